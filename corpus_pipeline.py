@@ -11,9 +11,8 @@ from marlstone.llm.common import materialise
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the rest lose their host's frequent lines. Columns of docs pass as they are but for text and n_chars."""
-    rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    kept = quality.judge(rows, keep_text=True).where("kept").select("__row.*", F.col("clean_text").alias("__clean"))
-    return _with_text(kept, F.col("__clean"), docs.columns)
+    kept = quality.clean(docs)
+    return _with_text(kept, F.col("text"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import WORD, digest, read
-
-SPACE = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+from marlstone.llm.common import WORD, digest, materialise, read
 
 
 def _lines(text: Column) -> Column:
@@ -18,35 +15,41 @@ def _lines(text: Column) -> Column:
 def _line_key(line: Column) -> Column:
     """128-bit key of the normalised line: A-Z and other letters lower-cased, digits to 0, runs of white space to one blank."""
     norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "), "[0-9]+", "0"))
-    return F.when(norm != "", F.struct(F.xxhash64(norm).alias("a"), F.xxhash64(F.lit(7), norm).alias("b")))
+    return _let(norm, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))))
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, wherever the optimizer puts the expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _repeat_words(w: Column) -> Column:
+    """Words in 3-word windows that the text has twice or more: windows are hashed to 64 bits, and only texts where two agree sort them."""
+
+    def sorted_pairs(h: Column) -> Column:
+        return F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+
+    def covered(s: Column) -> Column:
+        same = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
+        twice = F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
+        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+    windows = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
+    return F.when(F.size(w) < 4, 0).otherwise(_let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_let(sorted_pairs(h), covered))))
 
 
 def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; a null text counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
-    full = F.filter(_lines(t), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    words = _let(F.array_remove(F.split(t, r"[\x20\x09-\x0D]+", -1), ""), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("rep")))
+    dup = _let(F.filter(_lines(t), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     df = df.withColumns({
-        "__w": F.regexp_extract_all(t, F.lit(WORD), F.lit(0)),
-        "__l": full,
-        "word_chars": F.length(F.translate(t, SPACE, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "__base": words,
+        "word_chars": (F.length(t) - F.regexp_count(t, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": dup.cast("long"),
     })
-    w = F.col("__w")
-    # One hash for each 3-word window; only texts where two agree go on to sort their windows.
-    df = df.withColumns({
-        "n_words": F.size(w).cast("long"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "__h": F.when(F.size(w) > 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))),
-    }).drop("__l", "__w")
-    h = F.col("__h")
-    pairs = F.when(F.size(F.array_distinct(h)) < F.size(h), F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
-    df = df.withColumn("__s", pairs).drop("__h")
-    s = F.col("__s")
-    same = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
-    twice = F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"])
-    df = df.withColumn("__p", twice).drop("__s")
-    covered = F.size(F.array_distinct(F.flatten(F.transform("__p", lambda i: F.array(i, i + 1, i + 2)))))
-    df = df.withColumn("n_repeat_words", F.when(F.col("__p").isNull(), 0).otherwise(covered).cast("long")).drop("__p")
+    df = df.withColumns({"n_words": F.col("__base.n"), "n_repeat_words": F.col("__base.rep")}).drop("__base")
     return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -57,11 +60,12 @@ def frequent_lines(docs: DataFrame, host: str, text: str, max_docs: int, max_sha
     Exact copies of a text count once, so copies alone never make a line frequent.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    # One row for each (host, text): the copies meet in the partial aggregate, before the shuffle.
     one = F.transform(_lines(t), lambda x: F.struct(_line_key(x).alias("key"), F.coalesce(F.regexp_count(x, F.lit(WORD)), F.lit(0)).alias("words")))
-    per_doc = docs.select(F.xxhash64(F.col(host).isNull(), F.col(host)).alias("host"), digest(F.col(text)).alias("doc"), F.col("doc_id").alias("first"), F.filter(one, lambda x: x["key"].isNotNull()).alias("l"))
-    lines = per_doc.select("host", "doc", "first", F.explode("l").alias("l")).select("host", "doc", "first", F.col("l.key").alias("key"), F.col("l.words").alias("words"))
-    texts = per_doc.groupBy("host", "doc").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
+    # Written once: the texts are cut into lines a single time. explode_outer, so that an empty text still counts in its host.
+    lines = _keyed(docs, host, text).select(F.col("__host").alias("host"), F.col("__doc").alias("doc"), F.col("doc_id").alias("first"), F.explode_outer(one).alias("l"))
+    lines = materialise(lines.select("host", "doc", "first", F.col("l.key").alias("key"), F.col("l.words").alias("words")), "lines")
+    texts = lines.groupBy("host", "doc").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
+    lines = lines.where("key is not null")
     # First by (host, line, text), then by (host, line): a line that a third of all rows hold is never one group.
     held = lines.groupBy("host", "key", "doc").agg(F.min("first").alias("first"))
     counts = held.groupBy("host", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("first").isNull(), "first", "doc")).alias("m"))
@@ -83,31 +87,38 @@ def line_verdicts(docs: DataFrame, host: str = "source", text: str = "text", max
     return hit.groupBy("host", "doc").agg(F.sum("words").alias("n_removed_words"), F.sum("n").alias("n_removed_lines"), F.collect_set("key").alias("removed")).withColumn("__left", F.lit(min_left))
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", keep_text: bool = False, **limits) -> DataFrame:
-    """Each row of docs with its base statistics, n_removed_lines, n_removed_words, depleted, kept; keep_text adds clean_text.
+def judge(docs: DataFrame, host: str = "source", text: str = "text", keep_removed: bool = False, **limits) -> DataFrame:
+    """Each row of docs without its text, with its base statistics, n_removed_lines, n_removed_words, depleted, kept.
 
     Line frequency: hash every normalised line, count the different texts of each host that hold it, take the lines above the limits
     out, and reject what is then depleted. Null texts count as empty, null hosts are one host, empty lines are no lines; rows that
-    repeat get the same verdict each. Columns of docs that clash with the added names are replaced.
+    repeat get the same verdict each. Columns of docs that clash with the added names are replaced. keep_removed leaves the keys
+    __host and __doc of the text, and removed, the keys of its lines above the limits.
     """
-    verdicts = line_verdicts(docs, host, text, **limits)
-    own = docs.withColumns({"__host": F.xxhash64(F.col(host).isNull(), F.col(host)), "__doc": digest(F.col(text))})
-    if keep_text:
-        own = own.withColumn("__text", F.col(text))
-    own = base_columns(own, text)
-    if not keep_text:
-        own = own.drop(text)
-    v = verdicts.withColumnRenamed("host", "__host").withColumnRenamed("doc", "__doc")
-    v = v if keep_text else v.drop("removed")
-    own = own.drop("n_removed_words", "n_removed_lines", "depleted", "kept").join(v, ["__host", "__doc"], "left")
+    v = line_verdicts(docs, host, text, **limits).withColumnRenamed("host", "__host").withColumnRenamed("doc", "__doc")
+    own = base_columns(_keyed(docs, host, text), text).drop(text, "n_removed_words", "n_removed_lines", "depleted", "kept", "removed")
+    own = own.join(v if keep_removed else v.drop("removed"), ["__host", "__doc"], "left")
     gone = F.coalesce(F.col("n_removed_words"), F.lit(0)).cast("long")
     own = own.withColumns({"n_removed_words": gone, "n_removed_lines": F.coalesce(F.col("n_removed_lines"), F.lit(0)).cast("long")})
     own = own.withColumn("depleted", F.coalesce((F.col("n_words") - F.col("n_removed_words")) < F.col("__left") * F.col("n_words"), F.lit(False)))
-    own = own.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-    if keep_text:
-        left = F.array_join(F.filter(_lines(F.col("__text")), lambda x: ~F.coalesce(F.array_contains(F.col("removed"), _line_key(x)), F.lit(False))), "\n")
-        own = own.withColumn("clean_text", F.when(F.col("removed").isNull(), F.col("__text")).otherwise(left)).drop("__text", "removed")
-    return own.drop("__host", "__doc", "__left")
+    own = own.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("__left")
+    return own if keep_removed else own.drop("__host", "__doc")
+
+
+def _keyed(docs: DataFrame, host: str, text: str) -> DataFrame:
+    return docs.withColumns({"__host": F.xxhash64(F.col(host).isNull(), F.col(host)), "__doc": digest(F.col(text))})
+
+
+def clean(docs: DataFrame, host: str = "source", text: str = "text", **limits) -> DataFrame:
+    """The rows of docs that judge keeps, with their host's frequent lines taken out of text; other columns as they are.
+
+    The verdicts, one small row for each host and text, are written first, so no statistic is computed twice.
+    """
+    found = materialise(judge(docs.select("doc_id", host, text), host, text, keep_removed=True, **limits), "verdicts")
+    verdicts = found.where("kept").groupBy("__host", "__doc").agg(F.first("removed").alias("__removed"))
+    own = _keyed(docs, host, text).join(verdicts, ["__host", "__doc"])
+    left = F.array_join(F.filter(_lines(F.col(text)), lambda x: ~F.coalesce(F.array_contains(F.col("__removed"), _line_key(x)), F.lit(False))), "\n")
+    return own.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
 
 
 def op2_quality_lines(spark, sf_dir):
