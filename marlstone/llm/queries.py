@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from marlstone.llm import mixing, packing, pii, quality, simhash
+from marlstone.llm import ann, licenses, lm, mixing, packing, pii, quality, simhash, tokens, urls
 
 
 def queries() -> dict:
-    found = {
+    return {
         "op1_length_buckets": packing.op1_length_buckets,
         "op2_quality_lines": quality.op2_quality_lines,
         "op3_feistel_pseudonyms": pii.op3_feistel_pseudonyms,
         "op4_simhash_bitsliced": simhash.op4_simhash_bitsliced,
+        "op5_hilbert_neighbours": ann.op5_hilbert_neighbours,
+        "op6_token_digest_cache": tokens.op6_token_digest_cache,
         "op7_hash_threshold_mix": mixing.op7_hash_threshold_mix,
+        "op8_license_rules": licenses.op8_license_rules,
+        "op9_url_char_lm": urls.op9_url_char_lm,
+        "op10_gru_scores": lm.op10_gru_scores,
     }
-    return found
 
 
 def oracle_sql() -> dict[str, str]:
