@@ -65,7 +65,7 @@ def w01_forward_return(spark, sf_dir):
     return _rounded(bars(spark, sf_dir).select("symbol", "date", fx.forward_return(1).alias("fwd_1"), fx.forward_return(5).alias("fwd_5")), "fwd_1", "fwd_5")
 
 
-@query("WITH " + PANEL + " SELECT symbol, date, " + ", ".join(f"round({n} * {1e6 if n == 'amihud_20' else 1}, 5) AS {n}" for n in fx.FACTORS) + " FROM panel")
+@query("WITH " + PANEL + " SELECT symbol, date, " + ", ".join(f"round({n} * {1e6 if n == 'amihud_20' else 1}, 5) + 0 AS {n}" for n in fx.FACTORS) + " FROM panel")
 def w02_factors(spark, sf_dir):
     p = _panel(spark, sf_dir, list(fx.FACTORS))
     return p.select("symbol", "date", *[F.round(F.col(n) * (1e6 if n == "amihud_20" else 1), 5).alias(n) for n in fx.FACTORS])
@@ -155,7 +155,7 @@ def f07_standardise(spark, sf_dir):
 NEUTRAL = """sx AS (SELECT p.date, p.symbol, rev_5 AS x, coalesce(size, 0.0) AS s, s_nationkey AS sector FROM panel p JOIN supplier ON s_suppkey = p.symbol WHERE rev_5 IS NOT NULL)"""
 
 
-@query(f"WITH {PANEL}, {NEUTRAL}, a AS (SELECT date, symbol, s, x - avg(x) OVER (PARTITION BY date, sector) AS x FROM sx), g AS (SELECT *, avg(x) OVER d AS mx, avg(s) OVER d AS ms, coalesce(covar_pop(x, s) OVER d / nullif(var_pop(s) OVER d, 0), 0) AS beta FROM a WINDOW d AS (PARTITION BY date)) SELECT date, symbol, round(x - mx - beta * (s - ms), 6) AS residual FROM g")
+@query(f"WITH {PANEL}, {NEUTRAL}, a AS (SELECT date, symbol, s, x - avg(x) OVER (PARTITION BY date, sector) AS x FROM sx), g AS (SELECT *, avg(x) OVER d AS mx, avg(s) OVER d AS ms, coalesce(covar_pop(x, s) OVER d / nullif(var_pop(s) OVER d, 0), 0) AS beta FROM a WINDOW d AS (PARTITION BY date)) SELECT date, symbol, round(x - mx - beta * (s - ms), 6) + 0 AS residual FROM g")
 def f08_neutralise(spark, sf_dir):
     p = _panel(spark, sf_dir, ["rev_5"]).join(sectors(spark, sf_dir), "symbol", "left").where("rev_5 is not null")
     return fx.neutralise(p, "rev_5").select("date", "symbol", F.round("rev_5", 6).alias("residual"))
@@ -165,7 +165,7 @@ def f08_neutralise(spark, sf_dir):
 a AS (SELECT sx.date, symbol, s, greatest(lo, least(hi, x)) - avg(greatest(lo, least(hi, x))) OVER (PARTITION BY sx.date, sector) AS x FROM sx JOIN q USING (date)),
 g AS (SELECT *, avg(x) OVER d AS mx, avg(s) OVER d AS ms, coalesce(covar_pop(x, s) OVER d / nullif(var_pop(s) OVER d, 0), 0) AS beta FROM a WINDOW d AS (PARTITION BY date)),
 r AS (SELECT date, symbol, x - mx - beta * (s - ms) AS x FROM g), z AS (SELECT *, avg(x) OVER d AS m, stddev_pop(x) OVER d AS sd FROM r WINDOW d AS (PARTITION BY date))
-SELECT date, symbol, round(CASE WHEN sd > 1e-12 THEN (x - m) / sd ELSE 0 END, 4) AS prepared FROM z WHERE sd > 1e-9""")
+SELECT date, symbol, round(CASE WHEN sd > 1e-12 THEN (x - m) / sd ELSE 0 END, 4) + 0 AS prepared FROM z WHERE sd > 1e-9""")
 def x02_preprocess(spark, sf_dir):
     p = _panel(spark, sf_dir, ["rev_5"]).join(sectors(spark, sf_dir), "symbol", "left").where("rev_5 is not null")
     x = fx.neutralise(fx.winsor(p, "rev_5", "quantile"), "rev_5").withColumn("sd", F.stddev_pop("rev_5").over(Window.partitionBy("date")))

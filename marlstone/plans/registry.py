@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import factor_queries
+from marlstone.plans import factor_queries, ledger_queries
 
-MODULES = (factor_queries,)
+MODULES = (factor_queries, ledger_queries)
 
 
 def queries() -> dict:
