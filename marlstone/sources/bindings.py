@@ -81,10 +81,10 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     k = F.col("p_partkey")
     strike = F.round(F.col("p_retailprice") / 5).cast("long") * 5
-    side = F.when(k % 2 == 0, "C").otherwise("P")
+    side = F.when(F.floor(k / 4) % 2 == 0, "C").otherwise("P")
     out = p.select(
         k.alias("contract_id"), F.col("p_brand").alias("underlying"), F.date_add(F.lit("2024-01-19").cast("date"), (28 * (k % 4)).cast("int")).alias("expiry"), side.alias("side"), strike.cast("double").alias("strike"),
-        (10 * F.col("p_size")).cast("long").alias("open_interest"), (F.lit(0.10) + (k % 50) / 100.0).alias("iv"), (F.when(k % 2 == 0, 1.0).otherwise(-1.0) * (k % 20) / 20.0).alias("delta"), (k % 300).alias("volume"),
+        (10 * F.col("p_size")).cast("long").alias("open_interest"), (F.lit(0.10) + (k % 50) / 100.0).alias("iv"), (F.when(F.floor(k / 4) % 2 == 0, 1.0).otherwise(-1.0) * (k % 20) / 20.0).alias("delta"), (k % 300).alias("volume"),
         (F.lit(0.5) + (k % 80) / 10.0).alias("bid"), (F.lit(0.6) + (k % 80) / 10.0).alias("ask"),
     )
     spot = out.groupBy("underlying").agg(F.avg("strike").alias("spot"))
@@ -92,8 +92,8 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAIN = """
-ch0 AS (SELECT p_partkey AS contract_id, p_brand AS underlying, DATE '2024-01-19' + (28 * (p_partkey % 4))::INT AS expiry, CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'P' END AS side, (round(p_retailprice/5)::BIGINT*5)::DOUBLE AS strike,
-  (10*p_size)::BIGINT AS open_interest, 0.10::DOUBLE + (p_partkey % 50)/100.0::DOUBLE AS iv, (CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE * (p_partkey % 20) / 20.0::DOUBLE AS delta, (p_partkey % 300) AS volume,
+ch0 AS (SELECT p_partkey AS contract_id, p_brand AS underlying, DATE '2024-01-19' + (28 * (p_partkey % 4))::INT AS expiry, CASE WHEN (p_partkey // 4) % 2 = 0 THEN 'C' ELSE 'P' END AS side, (round(p_retailprice/5)::BIGINT*5)::DOUBLE AS strike,
+  (10*p_size)::BIGINT AS open_interest, 0.10::DOUBLE + (p_partkey % 50)/100.0::DOUBLE AS iv, (CASE WHEN (p_partkey // 4) % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE * (p_partkey % 20) / 20.0::DOUBLE AS delta, (p_partkey % 300) AS volume,
   0.5::DOUBLE + (p_partkey % 80)/10.0::DOUBLE AS bid, 0.6::DOUBLE + (p_partkey % 80)/10.0::DOUBLE AS ask FROM part),
 chain AS (SELECT *, avg(strike) OVER (PARTITION BY underlying) AS spot FROM ch0)"""
 
