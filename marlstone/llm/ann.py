@@ -108,7 +108,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 10,
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 keys = curve_keys(unit, curves)
                 for c in range(curves):
-                    yield pd.DataFrame({"key": part["key"], "asked": part["asked"], "curve": dim * 100 + c, "h": keys[:, c], "v": part["v"]})
+                    yield pd.DataFrame({"key": part["key"].tolist(), "asked": part["asked"].to_numpy(), "curve": dim * 100 + c, "h": keys[:, c], "v": part["v"].tolist()})
 
     points = materialise(v.mapInPandas(keyed, "key string, asked boolean, curve long, h long, v array<double>"), "curves")
     blocks = max(1, -(-points.count() // block_rows))
@@ -139,7 +139,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 10,
                     out["qkey"] += [asks["key"].iloc[at + i]] * most
                     out["key"] += names[row].tolist()
                     out["score"] += score.tolist()
-        return pd.DataFrame(out)
+        # Blocks without a query give no rows; the types are named, as none can be told from no rows.
+        return pd.DataFrame({"qkey": pd.Series(out["qkey"], dtype=object), "key": pd.Series(out["key"], dtype=object), "score": pd.Series(out["score"], dtype=float)})
 
     found = placed.select("curve", "place", "key", "v").groupBy("curve", "place").cogroup(seen.select(F.col("curve").alias("c"), F.col("place").alias("p"), F.col("key").alias("key"), F.col("v").alias("v")).groupBy("c", "p")).applyInPandas(rerank, "qkey string, key string, score double")
     found = found.groupBy("qkey", "key").agg(F.max("score").alias("score"))

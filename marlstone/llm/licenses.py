@@ -21,16 +21,16 @@ BASE = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("gener
 
 #: Licences: label, identifiers, name (a regular expression over lower-case text), address (or empty).
 LICENCES = (
-    ("mit", "mit", r"(?:the )?mit(?:/expat)?(?: license| licence)?", r"opensource\.org/licenses?/mit"),
+    ("mit", "mit", r"(?:the )?(?:mit|expat)(?:/expat)? licen[cs]e", r"opensource\.org/licenses?/mit"),
     ("mit-0", "mit-0", r"mit no attribution(?: license)?", r""),
     ("apache-2.0", "apache-2.0", r"(?:the )?apache(?: software)? licen[cs]e,? (?:version |v\.? ?)?2(?:\.0)?", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", "apache-1.1", r"(?:the )?apache(?: software)? licen[cs]e,? (?:version |v\.? ?)?1\.1", r"apache\.org/licenses/license-1\.1"),
-    ("gpl-1.0", "gpl-1.0|gpl-1.0-only|gpl-1.0-or-later", r"(?:gnu )?(?:gpl|general public licen[cs]e),? (?:version |v\.? ?)?1(?:\.0)?(?![.\d])", r""),
-    ("gpl-2.0", "gpl-2.0|gpl-2.0-only|gpl-2.0-or-later", r"(?:gnu )?(?:gpl|general public licen[cs]e),? (?:version |v\.? ?)?2(?:\.0)?(?![.\d])", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
-    ("gpl-3.0", "gpl-3.0|gpl-3.0-only|gpl-3.0-or-later", r"(?:gnu )?(?:gpl|general public licen[cs]e),? (?:version |v\.? ?)?3(?:\.0)?(?![.\d])", r"gnu\.org/licenses/gpl-3\.0"),
+    ("gpl-1.0", "gpl-1.0|gpl-1.0-only|gpl-1.0-or-later", r"(?:gnu )?(?:gpl|general public licen[cs]e),? (?:version |v\.? ?)?1(?:\.0)?(?!\.?\d)", r""),
+    ("gpl-2.0", "gpl-2.0|gpl-2.0-only|gpl-2.0-or-later", r"(?:gnu )?(?:gpl|general public licen[cs]e),? (?:version |v\.? ?)?2(?:\.0)?(?!\.?\d)", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
+    ("gpl-3.0", "gpl-3.0|gpl-3.0-only|gpl-3.0-or-later", r"(?:gnu )?(?:gpl|general public licen[cs]e),? (?:version |v\.? ?)?3(?:\.0)?(?!\.?\d)", r"gnu\.org/licenses/gpl-3\.0"),
     ("lgpl-2.1", "lgpl-2.1|lgpl-2.1-only|lgpl-2.1-or-later", r"(?:gnu )?(?:lgpl|lesser general public licen[cs]e),? (?:version |v\.? ?)?2\.1", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
-    ("lgpl-3.0", "lgpl-3.0|lgpl-3.0-only|lgpl-3.0-or-later", r"(?:gnu )?(?:lgpl|lesser general public licen[cs]e),? (?:version |v\.? ?)?3(?:\.0)?(?![.\d])", r"gnu\.org/licenses/lgpl-3\.0"),
-    ("agpl-3.0", "agpl-3.0|agpl-3.0-only|agpl-3.0-or-later", r"(?:gnu )?(?:agpl|affero general public licen[cs]e),? (?:version |v\.? ?)?3(?:\.0)?(?![.\d])", r"gnu\.org/licenses/agpl-3\.0"),
+    ("lgpl-3.0", "lgpl-3.0|lgpl-3.0-only|lgpl-3.0-or-later", r"(?:gnu )?(?:lgpl|lesser general public licen[cs]e),? (?:version |v\.? ?)?3(?:\.0)?(?!\.?\d)", r"gnu\.org/licenses/lgpl-3\.0"),
+    ("agpl-3.0", "agpl-3.0|agpl-3.0-only|agpl-3.0-or-later", r"(?:gnu )?(?:agpl|affero general public licen[cs]e),? (?:version |v\.? ?)?3(?:\.0)?(?!\.?\d)", r"gnu\.org/licenses/agpl-3\.0"),
     ("gfdl-1.3", "gfdl-1.3", r"gnu free documentation licen[cs]e(?:,? (?:version )?1\.3)?", r"gnu\.org/licenses/fdl"),
     ("bsd-2-clause", "bsd-2-clause", r"(?:the )?(?:simplified bsd|bsd[ -]2[ -]clause|2[ -]clause bsd|freebsd)(?: licen[cs]e)?", r"opensource\.org/licenses?/bsd-2-clause"),
     ("bsd-3-clause", "bsd-3-clause", r"(?:the )?(?:new bsd|modified bsd|bsd[ -]3[ -]clause|3[ -]clause bsd)(?: licen[cs]e)?", r"opensource\.org/licenses?/bsd-3-clause"),
@@ -114,16 +114,18 @@ def rules() -> tuple[tuple[int, str, float, re.Pattern], ...]:
             (75, 0.8, rf"{edge_l}licen[cs]e\s*[:=]\s*[\"']?(?:{any_id}|{name}){edge_r}"),
             (50, 0.7, rf"{edge_l}(?:{name}){edge_r}" if "licen" in name or label.startswith("cc") else None),
         ]
-        out += [(p, label, w, re.compile(f)) for p, w, f in forms if f]
-    out += [(p, label, w, re.compile(edge_l + s)) for label, s, p, w in SENTENCES]
+        out += [(p, label, w, f) for p, w, f in forms if f]
+    out += [(p, label, w, edge_l + s) for label, s, p, w in SENTENCES]
+    # A blank of a signature stands for any white space: licences are wrapped into lines.
+    out = [(p, label, w, re.compile(re.sub(r"(?<!\[) (?!-\])", r"\\s+", f).replace(r"\s+?", r"\s*"))) for p, label, w, f in out]
     return tuple(sorted(out, key=lambda r: (-r[0], r[1], r[3].pattern)))
 
 
 @cache
 def _words_of_rule() -> tuple[tuple[str, ...], ...]:
-    """For each rule the keywords one of which a text must hold: those that stand in its pattern's plain letters."""
-    plain = [re.sub(r"\\s\*|\[[^\]]*\]|\\", "", r[3].pattern).replace("licence", "licen") for r in rules()]
-    return tuple(tuple(k for k in KEYWORDS if k in p.replace("[ -]", " ")) or KEYWORDS for p in plain)
+    """For each rule the keywords one of which a text must hold: those in the plain letters of its pattern; a rule without any is always tried."""
+    plain = [r[3].pattern.replace("[cs]", "c").replace(r"\s+", " ").replace("[ -]", " ").replace("\\", "") for r in rules()]
+    return tuple(tuple(k for k in KEYWORDS if k in p) or KEYWORDS for p in plain)
 
 
 def detect(text: str) -> list[tuple[int, int, int, str, float]]:

@@ -73,7 +73,7 @@ def pack(docs: DataFrame, text: str = "text", buckets: int = 8, budget: int = 16
     counts, tops = _histogram(lengths)
     ends = best_boundaries(counts, tops, buckets)
     edges = [int(tops[i]) for i in ends] or [0]
-    rows = [int(counts[s + 1 : e + 1].sum()) for s, e in zip([-1, *ends[:-1]], ends, strict=True)] or [0]
+    rows = [int(counts[s + 1 : e + 1].sum()) for s, e in zip([-1, *ends], ends, strict=False)] or [0]
     per = F.array(*[F.lit(max(1, -(-r // cell_rows))) for r in rows])
     tops_col = F.array(*[F.lit(e).cast("long") for e in edges])
     # The first boundary that holds the length: at most `buckets` comparisons a row.
