@@ -76,7 +76,7 @@ def distinct_vectors(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     own = vectors.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v"))
     own = own.withColumn("key", F.concat_ws("-", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), F.reverse("v")))))
     v = own.groupBy("key").agg(F.first("v").alias("v"))
-    return v, least_ids(own.select("key", "vec_id").where("vec_id is not null").distinct(), "key", "vec_id", k + 1)
+    return v, least_ids(own.select("key", "vec_id").distinct(), "key", "vec_id", k + 1)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 10, share: float = 0.14, block_rows: int = 1024) -> DataFrame:
@@ -91,10 +91,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 10,
     with those of their own length only. Equal vectors are searched once; ids that repeat count once each. Fewer than k other vectors:
     all of them.
     """
-    own = vectors.withColumn("__q", F.coalesce(is_query, F.lit(False)))
+    own = vectors.withColumn("__q", F.coalesce(is_query, F.lit(False))).where("vec_id is not null")
     v, ids = distinct_vectors(own, k)
     ids = materialise(ids, "ids")
-    queries = own.where(F.col("__q") & usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    queries = own.where(F.col("__q") & usable(F.col("embedding")))
     queries = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v")).distinct()
     queries = queries.select("query_id", F.concat_ws("-", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), F.reverse("v")))).alias("key"))
     asked = queries.groupBy("key").agg(F.lit(True).alias("asked"))
