@@ -4,26 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import average_rank, erfc, finite, full_window, pearson, rank_bin
 
-BY = Window.partitionBy("symbol").orderBy("date")
+def series() -> WindowSpec:
+    """A symbol's rows in time."""
+    return Window.partitionBy("symbol").orderBy("date")
 
 
 def _back(n: int, upto: int = 0):
-    return BY.rowsBetween(-(n - 1) - upto, -upto)
+    return series().rowsBetween(-(n - 1) - upto, -upto)
 
 
 def forward_return(h: int) -> Column:
     """close[t+h] / close[t] - 1 within a symbol; missing where either is, or the close is not positive."""
-    close, later = finite(F.col("close")), finite(F.lead("close", h).over(BY))
+    close, later = finite(F.col("close")), finite(F.lead("close", h).over(series()))
     return F.when(close > 0, later / close - 1)
 
 
 def daily_return() -> Column:
-    before = finite(F.lag("close", 1).over(BY))
+    before = finite(F.lag("close", 1).over(series()))
     return F.when(before != 0, finite(F.col("close")) / before - 1)
 
 
@@ -32,7 +34,7 @@ def with_returns(bars: DataFrame) -> DataFrame:
 
 
 def _ratio(a: int, b: int) -> Column:
-    close = lambda k: finite(F.lag("close", k).over(BY)) if k else finite(F.col("close"))
+    close = lambda k: finite(F.lag("close", k).over(series())) if k else finite(F.col("close"))
     return F.try_divide(close(a), close(b)) - 1
 
 

@@ -89,7 +89,7 @@ def w05_rank_bins(spark, sf_dir):
 
 @query(f"WITH {BARS} SELECT symbol, date, round(ln(close / lag(close) OVER s), 6) AS log_ret, round(close / lag(close) OVER s - 1, 6) AS pct_ret FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY date)")
 def w06_returns(spark, sf_dir):
-    before = F.when(F.lag("close").over(fx.BY) > 0, F.lag("close").over(fx.BY))
+    before = F.when(F.lag("close").over(fx.series()) > 0, F.lag("close").over(fx.series()))
     return bars(spark, sf_dir).select("symbol", "date", F.round(F.log(F.when(F.col("close") > 0, F.col("close")) / before), 6).alias("log_ret"), F.round(F.col("close") / before - 1, 6).alias("pct_ret"))
 
 
@@ -109,8 +109,8 @@ f AS (SELECT symbol, date, x, y, CASE WHEN count(x) OVER w = 60 THEN covar_pop(y
 SELECT symbol, date, round(beta, 5) AS beta, round((y - my - beta * (x - mx)) / nullif(sqrt(greatest(vy - beta * cxy, 0)), 0), 4) AS residual_z FROM f WHERE beta IS NOT NULL AND y IS NOT NULL""")
 def w08_trailing_beta_z(spark, sf_dir):
     b = bars(spark, sf_dir)
-    r = b.join(benchmark_series(b), "date").select("symbol", "date", (F.col("close") / F.lag("close").over(fx.BY) - 1).alias("y"), (F.col("bench") / F.lag("bench").over(fx.BY) - 1).alias("x"))
-    w = fx.BY.rowsBetween(-60, -1)
+    r = b.join(benchmark_series(b), "date").select("symbol", "date", (F.col("close") / F.lag("close").over(fx.series()) - 1).alias("y"), (F.col("bench") / F.lag("bench").over(fx.series()) - 1).alias("x"))
+    w = fx.series().rowsBetween(-60, -1)
     f = r.withColumns({"n": F.count("x").over(w), "my": F.avg("y").over(w), "mx": F.avg("x").over(w), "vy": F.var_pop("y").over(w), "vx": F.var_pop("x").over(w), "c": F.covar_pop("y", "x").over(w)})
     f = f.withColumn("beta", F.when(F.col("n") == 60, F.try_divide("c", "vx"))).where("beta is not null and y is not null")
     z = F.try_divide(F.col("y") - F.col("my") - F.col("beta") * (F.col("x") - F.col("mx")), F.sqrt(F.greatest(F.col("vy") - F.col("beta") * F.col("c"), F.lit(0.0))))
@@ -128,8 +128,8 @@ def w09_percentile_of_last(spark, sf_dir):
 
 @query(f"WITH {BARS} SELECT symbol, date, round(100 * (close / lag(close, 1) OVER s - 1), 4) AS d1_pct, round(100 * (close / lag(close, 5) OVER s - 1), 4) AS d5_pct, round(10000 * (turnover_rate - lag(turnover_rate, 1) OVER s) / 100, 3) AS d1_bps FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY date)")
 def w10_changes(spark, sf_dir):
-    pct = lambda n: F.round(100 * (F.col("close") / F.lag("close", n).over(fx.BY) - 1), 4)
-    return bars(spark, sf_dir).select("symbol", "date", pct(1).alias("d1_pct"), pct(5).alias("d5_pct"), F.round(10000 * (F.col("turnover_rate") - F.lag("turnover_rate").over(fx.BY)) / 100, 3).alias("d1_bps"))
+    pct = lambda n: F.round(100 * (F.col("close") / F.lag("close", n).over(fx.series()) - 1), 4)
+    return bars(spark, sf_dir).select("symbol", "date", pct(1).alias("d1_pct"), pct(5).alias("d5_pct"), F.round(10000 * (F.col("turnover_rate") - F.lag("turnover_rate").over(fx.series())) / 100, 3).alias("d1_bps"))
 
 
 def _pre_sql(expr):

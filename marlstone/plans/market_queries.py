@@ -49,7 +49,7 @@ BETAS = "covar_pop(y, x) / nullif(var_pop(x), 0)"
 
 def _returns(spark, sf_dir):
     b = bars(spark, sf_dir)
-    return b.join(benchmark_series(b), "date").select("symbol", "date", (F.col("close") / F.lag("close").over(fx.BY) - 1).alias("y"), (F.col("bench") / F.lag("bench").over(fx.BY) - 1).alias("x"))
+    return b.join(benchmark_series(b), "date").select("symbol", "date", (F.col("close") / F.lag("close").over(fx.series()) - 1).alias("y"), (F.col("bench") / F.lag("bench").over(fx.series()) - 1).alias("x"))
 
 
 @query(f"WITH {BARS}, {RET}, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM ret WHERE x IS NOT NULL AND y IS NOT NULL) SELECT symbol, count(*) AS n, round({BETAS}, 5) AS beta, round(covar_pop(y, x) / nullif(sqrt(var_pop(x) * var_pop(y)), 0), 6) AS corr, round(pow(covar_pop(y, x), 2) / nullif(var_pop(x) * var_pop(y), 0), 6) AS r2 FROM l WHERE n <= 120 GROUP BY symbol")
@@ -68,7 +68,7 @@ def x15_relationship_graph(spark, sf_dir):
 
 @query(f"WITH {BARS}, r AS (SELECT symbol, date, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS y FROM bars) SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(covar_pop(a.y, b.y) / nullif(var_pop(b.y), 0), 5) + 0 AS beta, round(covar_pop(a.y, b.y) / nullif(sqrt(var_pop(a.y) * var_pop(b.y)), 0), 5) + 0 AS corr FROM r a JOIN r b ON a.date = b.date AND a.symbol <> b.symbol WHERE a.y IS NOT NULL AND b.y IS NOT NULL GROUP BY a.symbol, b.symbol HAVING count(*) >= 20")
 def j05_all_pairs(spark, sf_dir):
-    r = bars(spark, sf_dir).select("symbol", "date", F.log(F.col("close") / F.lag("close").over(fx.BY)).alias("y"))
+    r = bars(spark, sf_dir).select("symbol", "date", F.log(F.col("close") / F.lag("close").over(fx.series())).alias("y"))
     p = mk.pair_statistics(r)
     return p.select("a", "b", "n", F.round("beta", 5).alias("beta"), F.round("corr", 5).alias("corr"))
 

@@ -49,7 +49,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One snapshot per event: symbol, session_id, ts_ms, snap (place in the session), last_price, cumulative_volume and a level table."""
-    e = events(spark, sf_dir).withColumns({"session_id": F.to_date("ts"), "ts_ms": F.unix_millis("ts")})
+    e = events(spark, sf_dir).withColumns({"session_id": F.to_date("ts"), "ts_ms": F.floor(F.unix_micros("ts") / 1000).cast("long")})
     w = Window.partitionBy("user_id", "session_id").orderBy("ts_ms", "event_id")
     return e.select(
         "event_id", F.col("user_id").alias("symbol"), "session_id", "ts_ms", (F.row_number().over(w) - 1).alias("snap"), (F.round(F.coalesce("value", F.lit(0.0)), 2) + 1).alias("last_price"),
@@ -58,7 +58,7 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOOK = """
-ev AS (SELECT event_id, user_id AS symbol, CAST(ts AS DATE) AS session_id, epoch_ms(ts) AS ts_ms, value FROM events),
+ev AS (SELECT event_id, user_id AS symbol, CAST(ts AS DATE) AS session_id, epoch_us(ts) // 1000 AS ts_ms, value FROM events),
 book AS (SELECT event_id, symbol, session_id, ts_ms, row_number() OVER w - 1 AS snap, round(coalesce(value, 0.0), 2) + 1 AS last_price, (sum(event_id % 97) OVER w)::BIGINT AS cumulative_volume
   FROM ev WINDOW w AS (PARTITION BY symbol, session_id ORDER BY ts_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
