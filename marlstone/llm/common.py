@@ -13,6 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def folded_words(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z lower-cased, as UTF-8: bytes split at exactly the six ASCII blanks and lower-case ASCII only, many times faster than a pattern."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
