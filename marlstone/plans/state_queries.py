@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from marlstone.operators import factors as fx
 from marlstone.operators import states as sx
 from marlstone.sources import scans as sc
-from marlstone.sources.bindings import BARS, BENCH, JOURNAL, bars, benchmark_series, events, journal, read
+from marlstone.sources.bindings import BARS, BENCH, BOOK, JOURNAL, bars, benchmark_series, events, journal, read
 from marlstone.sources.shared import append_new, fresh_path
-from marlstone.streaming import streams
+from marlstone.streaming import detectors, streams
 
 Q, SQL = {}, {}
 
@@ -169,3 +169,17 @@ def r07_snapshot_runs(spark, sf_dir):
 @query("WITH w AS (SELECT user_id, event_type, ts, unnest([0, 1]) AS k FROM events) SELECT epoch_ms(time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE) AS start_ms, user_id, event_type, count(*) AS n FROM w GROUP BY 1, 2, 3")
 def r08_repeat_windows(spark, sf_dir):
     return streams.repeats(events(spark, sf_dir))
+
+
+@query(f"""WITH {BOOK}, d AS (SELECT *, cumulative_volume - lag(cumulative_volume) OVER w AS delta, round(last_price*100)::BIGINT AS t, lag(round(last_price*100)::BIGINT) OVER w AS pt FROM book WINDOW w AS (PARTITION BY symbol, session_id ORDER BY snap)),
+m AS (SELECT *, median(delta) OVER w2 AS mid, count(delta) OVER w2 AS n FROM d WINDOW w2 AS (PARTITION BY symbol, session_id ORDER BY snap ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING))
+SELECT event_id, delta > greatest(10.0, 1.2 * mid) AND t - pt >= 1 AS fired, round(least(1.0, delta / (2.0 * greatest(10.0, 1.2 * mid))), 6) AS strength FROM m WHERE n = 2""")
+def r02_stream_ignition(spark, sf_dir):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, detectors.ROCKS)
+    try:
+        x = streams.drain(detectors.ignition(detectors.snapshots_of(streams.event_stream(spark, sf_dir)), 1.2, 2, 10.0), "ignition")
+    finally:
+        spark.conf.set(name, before)
+    return x.select("event_id", "fired", F.round("strength", 6).alias("strength"))
