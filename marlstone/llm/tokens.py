@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -118,7 +119,7 @@ def counted(docs: DataFrame, tokenizer: str, text: str = "text", cache: str | No
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"digest": b["digest"], "tokenizer": version, "n_tokens": count_tokens(b["t"].tolist(), tokenizer, cut)})
+            yield pd.DataFrame({"digest": b["digest"].tolist(), "tokenizer": version, "n_tokens": count_tokens(b["t"].tolist(), tokenizer, cut)})
 
     misses.mapInPandas(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
     # A lost task's second try or a run beside this one may have appended a name twice; the counts are equal.
@@ -129,5 +130,7 @@ def counted(docs: DataFrame, tokenizer: str, text: str = "text", cache: str | No
 def op6_token_digest_cache(spark, sf_dir):
     import public_tokenizers
 
-    found = counted(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    # A cache of its own for each call, so that the query encodes every distinct text whatever ran before it.
+    cache = f"{shared_dir(spark)}/marlstone/token-counts-{uuid.uuid4().hex}"
+    found = counted(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache=cache)
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
