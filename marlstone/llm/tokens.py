@@ -124,6 +124,8 @@ def counted(docs: DataFrame, tokenizer: str, text: str = "text", cache: str | No
     misses.mapInPandas(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
     # A lost task's second try or a run beside this one may have appended a name twice; the counts are equal.
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, so that the join below deals both sides anew and Spark can split a digest that many rows share.
+    known = materialise(known, "known")
     return named.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
