@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, UPPER, WORD, materialise, read
+from marlstone.llm.common import folded_words, materialise, read
 
-_FOLD = str.maketrans(UPPER, LOWER)
-_WORDS = re.compile(WORD)
 BITS = 64
 
 
@@ -21,10 +18,10 @@ def fingerprint(text: str | None) -> int:
     """64 majority bits over the XXH64 (seed 42) of the 3-word shingles of a text, repeats included; no words: 0."""
     from xxhash import xxh64_intdigest
 
-    w = _WORDS.findall(text.translate(_FOLD) if text else "")
+    w = folded_words(text)
     if not w:
         return 0
-    grams = map(" ".join, zip(w, w[1:], w[2:], strict=False)) if len(w) >= 3 else [" ".join(w)]
+    grams = map(b" ".join, zip(w, w[1:], w[2:], strict=False)) if len(w) >= 3 else [b" ".join(w)]
     h = np.fromiter((xxh64_intdigest(g, 42) for g in grams), dtype="<u8", count=max(1, len(w) - 2))
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):  # whole texts, in pieces that bound the memory of the unpacked bits
