@@ -6,6 +6,8 @@ Documents run side by side as the columns of a batch; every function here works
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 
@@ -150,39 +152,86 @@ class Adam:
             self.w[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)).astype(np.float32)
 
 
+def _gradients(w: dict[str, np.ndarray], prev: np.ndarray, ids: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradients of minus the sum of the real ids' log probabilities over one window from state h, and the states after it."""
+    hid, live = w["u"].shape[0], ids.shape[1]
+    states, h, kept = forward(w, prev, h, keep=True)
+    _, g, d = output(w, states[real], ids[real], grad=True)
+    dstates = np.zeros_like(states)
+    dstates[real] = d
+    dx = np.empty((*ids.shape, 3 * hid), dtype=states.dtype)
+    du, dh, ut = np.zeros_like(w["u"]), np.zeros((live, hid), dtype=states.dtype), w["u"].T
+    for t in reversed(range(len(ids))):
+        before, z, r, new, gn = kept[t]
+        dh = dh + dstates[t]
+        dnew = dh * (1 - z) * (1 - new * new)
+        dz = dh * (before - new) * z * (1 - z)
+        dr = dnew * gn * r * (1 - r)
+        dx[t] = np.concatenate([dz, dr, dnew], axis=1)
+        dg = np.concatenate([dz, dr, dnew * r], axis=1)
+        du += before.T @ dg
+        dh = dh * z + dg @ ut
+    flat, rows = prev[real], dx[real]
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    g["wx"] = np.zeros_like(w["wx"])
+    g["wx"][flat[order][first]] = np.add.reduceat(rows[order], first, axis=0)
+    g["u"] = du
+    return g, h
+
+
+def _update(adam: Adam, g: dict[str, np.ndarray], n: int) -> None:
+    """A step by the mean over n tokens of the gradients g, of length 1 at most."""
+    scale = 1.0 / max(1, n)
+    size = np.sqrt(sum(float((x * x).sum()) for x in g.values())) * scale
+    scale *= min(1.0, 1.0 / max(size, 1e-9))
+    adam.step({k: x * np.float32(scale) for k, x in g.items()})
+
+
 def train(adam: Adam, docs: list[np.ndarray], end: int, width: int = 32) -> int:
     """One pass over the documents (sorted by falling length), an update for each window; gradients stop at a window's start, states go on."""
-    w, hid, seen = adam.w, adam.w["u"].shape[0], 0
-    h = np.zeros((len(docs), hid), dtype=w["u"].dtype)
+    w, seen = adam.w, 0
+    h = np.zeros((len(docs), w["u"].shape[0]), dtype=w["u"].dtype)
     for prev, ids, left, _ in windows(docs, end, width):
-        live = prev.shape[1]
-        states, h, kept = forward(w, prev, h[:live], keep=True)
         real = np.arange(len(ids))[:, None] < left[None, :]
-        _, g, d = output(w, states[real], ids[real], grad=True)
+        g, h = _gradients(w, prev, ids, real, h[: prev.shape[1]])
         n = int(real.sum())
-        dstates = np.zeros_like(states)
-        dstates[real] = d
-        dx = np.empty((*ids.shape, 3 * hid), dtype=states.dtype)
-        du, dh, ut = np.zeros_like(w["u"]), np.zeros((live, hid), dtype=states.dtype), w["u"].T
-        for t in reversed(range(len(ids))):
-            before, z, r, new, gn = kept[t]
-            dh = dh + dstates[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dnew * gn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dnew], axis=1)
-            dg = np.concatenate([dz, dr, dnew * r], axis=1)
-            du += before.T @ dg
-            dh = dh * z + dg @ ut
-        flat, rows = prev[real], dx[real]
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        g["wx"] = np.zeros_like(w["wx"])
-        g["wx"][flat[order][first]] = np.add.reduceat(rows[order], first, axis=0)
-        g["u"] = du
-        scale = 1.0 / max(1, n)
-        size = np.sqrt(sum(float((x * x).sum()) for x in g.values())) * scale
-        scale *= min(1.0, 1.0 / max(size, 1e-9))
-        adam.step({k: x * np.float32(scale) for k, x in g.items()})
+        _update(adam, g, n)
         seen += n
     return seen
+
+
+def train_stream(adam: Adam, docs: Iterator[np.ndarray], end: int, lanes: int = 128, width: int = 32, least: int = 2048) -> int:
+    """One pass over all tokens of the documents in their order, `lanes` of them side by side; returns the tokens.
+
+    Where a document has ended, the next one takes its lane at the start of a window, from an empty state; a longer one goes on from
+    its own state and last token. Windows of under `least` tokens, as the documents run out, are added up before an update.
+    """
+    w, hid, seen, n = adam.w, adam.w["u"].shape[0], 0, 0
+    docs = (d for d in docs if len(d))
+    live: list[tuple[np.ndarray, int]] = []
+    h, total = np.zeros((0, hid), dtype=w["u"].dtype), None
+    while True:
+        stay = [j for j, (d, at) in enumerate(live) if at < len(d)]
+        live = [live[j] for j in stay]
+        live += [(d, 0) for d in islice(docs, lanes - len(live))]
+        if not live:
+            break
+        h = np.concatenate([h[stay], np.zeros((len(live) - len(stay), hid), dtype=h.dtype)])
+        sizes = np.array([min(width, len(d) - at) for d, at in live])
+        ids, prev = np.zeros((sizes.max(), len(live)), dtype=np.int64), np.full((sizes.max(), len(live)), end, dtype=np.int64)
+        for j, (d, at) in enumerate(live):
+            ids[: sizes[j], j] = d[at : at + width]
+            if at:
+                prev[0, j] = d[at - 1]
+        prev[1:] = ids[:-1]
+        g, h = _gradients(w, prev, ids, np.arange(len(ids))[:, None] < sizes[None, :], h)
+        total = g if total is None else {k: x + g[k] for k, x in total.items()}
+        n += int(sizes.sum())
+        if n >= least:
+            _update(adam, total, n)
+            seen, n, total = seen + n, 0, None
+        live = [(d, at + width) for d, at in live]
+    if total is not None:
+        _update(adam, total, n)
+    return seen + n

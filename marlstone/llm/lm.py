@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -20,8 +19,6 @@ from marlstone.llm.common import folded_words, materialise, read
 END = b" end"
 #: Tokens whose counts the tasks hold; all others are joined. Ids 0 and 1 of the model: any other word, the end.
 HEAD, VOCAB, MEMBERS, HIDDEN = 100_000, 1024, 32, 16
-#: Tokens of each training document that the weights learn from: a run of whole windows, its place set by the document's hash.
-SPAN = 64
 #: Documents that run side by side, and tokens of one such batch at most (but for a single longer document).
 SIDE, SIDE_TOKENS = 1024, 2_000_000
 
@@ -86,8 +83,8 @@ def _batches(ids: list[np.ndarray]) -> Iterator[list[int]]:
         yield batch
 
 
-def train_model(train: DataFrame, ids: dict[bytes, int], counts: np.ndarray, rate: float = 0.02, hidden: int = HIDDEN, span: int = SPAN) -> dict[str, np.ndarray]:
-    """One pass over all training documents, of each a span of tokens from a place that its hash sets; every partition trains from the same start, the weights are averaged by tokens.
+def train_model(train: DataFrame, ids: dict[bytes, int], counts: np.ndarray, rate: float = 0.02, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
+    """One pass over all tokens of all training documents, states carried from window to window; every partition trains from the same start, the weights are averaged by tokens.
 
     The partitions' weights are summed in Spark, in groups of partitions first, so the driver gets 16 rows at most. Partitions that
     Spark runs twice give the same weights: order and start are fixed.
@@ -101,16 +98,19 @@ def train_model(train: DataFrame, ids: dict[bytes, int], counts: np.ndarray, rat
         from pyspark import TaskContext
 
         own, weights = shared.value
-        adam, seen = gru.Adam(gru.load(weights), rate), 0
-        get = own.get
-        for b in batches:
-            docs = []
-            for t in b["t"]:
-                words = [*folded_words(t), END]
-                at = zlib.crc32(t.encode(errors="replace") if t else b"") % max(1, len(words) - span + 1)
-                docs.append(np.array([get(x, 0) for x in words[at : at + span]], dtype=np.int32))
-            for at in range(0, len(docs), 64):
-                seen += gru.train(adam, sorted(docs[at : at + 64], key=len, reverse=True), 1)
+        adam = gru.Adam(gru.load(weights), rate)
+
+        def docs() -> Iterator[np.ndarray]:
+            for b in batches:
+                seqs = []
+                for t in b["t"]:
+                    words = folded_words(t)
+                    words.append(END)
+                    seqs.append(np.fromiter(map(own.get, words, repeat(0)), dtype=np.int32, count=len(words)))
+                # The longest begin first, so that no few of them are left to train alone.
+                yield from sorted(seqs, key=lambda s: -(len(s) // 1024))
+
+        seen = gru.train_stream(adam, docs(), 1)
         if seen:
             flat = np.concatenate([adam.w[k].ravel() for k in gru.NAMES]).astype(np.float64) * seen
             yield pd.DataFrame({"g": [TaskContext.get().partitionId() % 16], "n": [float(seen)], "w": [flat.tobytes()]})

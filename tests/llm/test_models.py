@@ -187,6 +187,32 @@ def test_language_model(spark):
     assert len(out) > 10 and out.score.sum() > out.base_score.sum()  # better than unigrams on held-out texts
 
 
+def test_stream_trains_every_token_with_its_state():
+    rng = np.random.default_rng(6)
+    w = gru.start(rng.integers(1, 50, 64).astype(float), 6, 8)
+    docs = [rng.integers(0, 64, n) for n in (150, 90, 7)]
+    a, b = (gru.Adam({k: x.copy() for k, x in w.items()}, 0.02) for _ in range(2))
+    assert gru.train_stream(a, iter(docs), 1, least=1) == gru.train(b, docs, 1) == 247
+    assert all(np.allclose(a.w[k], b.w[k], atol=1e-5) for k in gru.NAMES)
+    # One lane: the next document begins from an empty state and the end, as it would alone.
+    c = gru.Adam({k: x.copy() for k, x in w.items()}, 0.02)
+    assert gru.train_stream(c, iter(docs), 1, lanes=1, least=1) == 247
+    d = gru.Adam({k: x.copy() for k, x in w.items()}, 0.02)
+    assert sum(gru.train(d, [x], 1) for x in docs) == 247
+    assert all(np.allclose(c.w[k], d.w[k], atol=1e-5) for k in gru.NAMES)
+
+
+def test_model_learns_from_whole_texts(spark):
+    # Each word stands once in one long text: only the rows of words that training reads move.
+    texts = [" ".join(f"q{i}x{j}" for j in range(300)) for i in range(3)]
+    ids = {lm.END: 1} | {t.encode(): i + 2 for i, t in enumerate(" ".join(texts).split())}
+    counts = np.ones(928)
+    d = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    first, got = gru.start(counts, 4, lm.MEMBERS), lm.train_model(d, ids, counts, hidden=4)
+    moved = np.abs(got["wx"] - first["wx"]).sum(1) > 0
+    assert moved[1:902].all()
+
+
 def test_language_model_without_rows(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert lm.scored(d.where("doc_id < 0")).count() == 0
