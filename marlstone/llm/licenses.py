@@ -79,66 +79,79 @@ LICENCES = (
     ("busl-1.1", "busl-1.1", r"business source licen[cs]e(?:,? (?:version )?1\.1)?", r""),
     ("bigscience-rail", "bigscience-openrail-m", r"(?:bigscience )?open ?rail(?:[ -]m)?(?: licen[cs]e)?", r""),
 )
-#: Sentences that only one licence, or none, has: label, sentence, priority, weight.
+#: Sentences that only one licence, or none, has: label, sentence, priority, weight, keyword.
 SENTENCES = (
-    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software", 90, 0.95),
-    ("isc", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", 90, 0.95),
-    ("bsd", r"redistribution and use in source and binary forms, with or without modification, are permitted", 80, 0.9),
-    ("gpl", r"this program is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e", 70, 0.9),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", 90, 0.95),
-    ("public-domain", r"(?:released into|dedicated to|in) the public domain", 40, 0.6),
-    ("cc", r"creative commons licen[cs]e", 30, 0.6),
-    ("gpl", r"(?:gnu )?general public licen[cs]e", 30, 0.6),
-    ("lgpl", r"(?:gnu )?lesser general public licen[cs]e", 35, 0.6),
-    ("agpl", r"(?:gnu )?affero general public licen[cs]e", 35, 0.6),
-    ("apache", r"apache licen[cs]e", 30, 0.6),
-    ("proprietary", r"all rights reserved", 20, 0.3),
-    ("proprietary", r"proprietary and confidential", 60, 0.8),
-    ("copyright", r"copyright (?:\(c\)|©) \d{4}", 10, 0.2),
+    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software", 90, 0.95, "permission"),
+    ("isc", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", 90, 0.95, "permission"),
+    ("bsd", r"redistribution and use in source and binary forms, with or without modification, are permitted", 80, 0.9, "redistribution"),
+    ("gpl", r"this program is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e", 70, 0.9, "licen"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", 90, 0.95, "domain"),
+    ("public-domain", r"(?:released into|dedicated to|in) the public domain", 40, 0.6, "domain"),
+    ("cc", r"creative commons licen[cs]e", 30, 0.6, "creative"),
+    ("gpl", r"(?:gnu )?general public licen[cs]e", 30, 0.6, "licen"),
+    ("lgpl", r"(?:gnu )?lesser general public licen[cs]e", 35, 0.6, "licen"),
+    ("agpl", r"(?:gnu )?affero general public licen[cs]e", 35, 0.6, "licen"),
+    ("apache", r"apache licen[cs]e", 30, 0.6, "licen"),
+    ("proprietary", r"all rights reserved", 20, 0.3, "reserved"),
+    ("proprietary", r"proprietary and confidential", 60, 0.8, "proprietary"),
+    ("copyright", r"copyright (?:\(c\)|©) \d{4}", 10, 0.2, "copyright"),
 )
-#: A text without any of these holds no detection: the keyword prefilter, also as a gate before the texts leave the JVM.
-KEYWORDS = ("licen", "copyright", "public domain", "permission", "redistribution", "all rights", "proprietary", "cc0", "cc by", "cc-by", "creative", "rail", "gpl", "wtfpl", "spdx", "opensource.org", "opendatacommons")
+#: Keywords of the names that can do without "licen": every alternative of the name holds one of them. No keyword holds white space
+#: that a line break can stand for; the blank of "cc by" is of "[ -]", which is a blank or a hyphen alone.
+NAME_KEYWORDS = {
+    "mit-0": ("attribution",),
+    **dict.fromkeys(("gpl-1.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0"), ("gpl", "licen")),
+    **dict.fromkeys(("bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "bsd", "0bsd"), ("bsd",)),
+    "wtfpl": ("wtfpl", "licen"),
+    "cc0-1.0": ("cc0",),
+    **{label: ("cc by", "cc-by", "creative") for label, *_ in LICENCES if label.startswith("cc-by")},
+    "bigscience-rail": ("rail",),
+}
 
 
 @cache
-def rules() -> tuple[tuple[int, str, float, re.Pattern], ...]:
-    """(priority, label, weight, pattern), ordered: every licence as declared identifier, address, grant and bare name, then the sentences."""
+def _rules() -> tuple[tuple[int, str, float, re.Pattern, tuple[str, ...]], ...]:
+    """The rules, each with its keywords: every text that the pattern matches holds at least one of them."""
     edge_l, edge_r = r"(?<![a-z0-9])", r"(?![a-z0-9])"
     out = []
     for label, ids, name, address in LICENCES:
+        own = NAME_KEYWORDS.get(label, ("licen",))
         any_id = "|".join(map(re.escape, sorted(ids.split("|"), key=len, reverse=True)))
         forms = [
-            (100, 1.0, rf"spdx-license-identifier:\s*\(?(?:{any_id})(?![a-z0-9.-])"),
-            (95, 0.95, rf"{edge_l}(?:https?://)?(?:www\.)?{address}" if address else None),
-            (85, 0.9, rf"{edge_l}(?:licen[cs]ed|released|distributed|available|provided|published|covered|shared) (?:only )?(?:under|by|with) (?:the )?(?:terms of )?(?:the )?(?:{name}){edge_r}"),
-            (75, 0.8, rf"{edge_l}licen[cs]e\s*[:=]\s*[\"']?(?:{any_id}|{name}){edge_r}"),
-            (50, 0.7, rf"{edge_l}(?:{name}){edge_r}" if "licen" in name or label.startswith("cc") else None),
+            (100, 1.0, rf"spdx-license-identifier:\s*\(?(?:{any_id})(?![a-z0-9.-])", ("spdx",)),
+            (95, 0.95, rf"{edge_l}(?:https?://)?(?:www\.)?{address}" if address else None, (address.split("/")[0].replace("\\", ""),)),
+            (85, 0.9, rf"{edge_l}(?:licen[cs]ed|released|distributed|available|provided|published|covered|shared) (?:only )?(?:under|by|with) (?:the )?(?:terms of )?(?:the )?(?:{name}){edge_r}", own),
+            (75, 0.8, rf"{edge_l}licen[cs]e\s*[:=]\s*[\"']?(?:{any_id}|{name}){edge_r}", ("licen",)),
+            (50, 0.7, rf"{edge_l}(?:{name}){edge_r}" if "licen" in name or label.startswith("cc") else None, own),
         ]
-        out += [(p, label, w, f) for p, w, f in forms if f]
-    out += [(p, label, w, edge_l + s) for label, s, p, w in SENTENCES]
+        out += [(p, label, w, f, k) for p, w, f, k in forms if f]
+    out += [(p, label, w, edge_l + s, (k,)) for label, s, p, w, k in SENTENCES]
     # A blank of a signature stands for any white space: licences are wrapped into lines.
-    out = [(p, label, w, re.compile(re.sub(r"(?<!\[) (?!-\])", r"\\s+", f).replace(r"\s+?", r"\s*"))) for p, label, w, f in out]
+    out = [(p, label, w, re.compile(re.sub(r"(?<!\[) (?!-\])", r"\\s+", f).replace(r"\s+?", r"\s*")), k) for p, label, w, f, k in out]
     return tuple(sorted(out, key=lambda r: (-r[0], r[1], r[3].pattern)))
 
 
-@cache
-def _words_of_rule() -> tuple[tuple[str, ...], ...]:
-    """For each rule the keywords one of which a text must hold: those in the plain letters of its pattern; a rule without any is always tried."""
-    plain = [r[3].pattern.replace("[cs]", "c").replace(r"\s+", " ").replace("[ -]", " ").replace("\\", "") for r in rules()]
-    return tuple(tuple(k for k in KEYWORDS if k in p) or KEYWORDS for p in plain)
+def rules() -> tuple[tuple[int, str, float, re.Pattern], ...]:
+    """(priority, label, weight, pattern), ordered: every licence as declared identifier, address, grant and bare name, then the sentences."""
+    return tuple(r[:4] for r in _rules())
+
+
+#: A text without any of these holds no detection: the keyword prefilter, also as a gate before the texts leave the JVM.
+KEYWORDS = tuple(sorted({k for r in _rules() for k in r[4]}))
 
 
-def detect(text: str) -> list[tuple[int, int, int, str, float]]:
+def detect(text: str, gated: bool = True) -> list[tuple[int, int, int, str, float]]:
     """(start, end, priority, label, weight) that stay of all rules' matches in a lower-cased text, by start.
 
-    In the order of priority, then length, then start, then label, a match that lies within one that stays is suppressed.
+    In the order of priority, then length, then start, then label, a match that lies within one that stays is suppressed. Ungated, every
+    rule is tried, with the same result.
     """
     there = {k for k in KEYWORDS if k in text}
-    if not there:
+    if gated and not there:
         return []
     found = []
-    for (priority, label, weight, pattern), words in zip(rules(), _words_of_rule(), strict=True):
-        if there.intersection(words):
+    for priority, label, weight, pattern, words in _rules():
+        if not gated or there.intersection(words):
             found += [(m.start(), m.end(), priority, label, weight) for m in pattern.finditer(text)]
     stays: list[tuple[int, int, int, str, float]] = []
     for f in sorted(found, key=lambda f: (-f[2], f[0] - f[1], f[0], f[3])):

@@ -312,3 +312,58 @@ def test_license_overlaps():
     assert licenses.detect("er kommt mit der lizenz; the license is mit dabei") == []
     wrapped = "licensed under the apache\n    license, version 2.0"
     assert [f[3] for f in licenses.detect(wrapped)] == ["apache-2.0"]
+
+
+def samples(pattern):
+    """Texts that together take every branch of a pattern, each optional part once without."""
+    parse = re._parser.parse
+
+    def of(tree):
+        out = [""]
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                part = [chr(arg)]
+            elif name == "IN":
+                part = [chr(v[0] if str(k) == "RANGE" else v) if str(k) in ("LITERAL", "RANGE") else {"CATEGORY_SPACE": "\n", "CATEGORY_DIGIT": "1"}[str(v)] for k, v in arg]
+            elif name == "BRANCH":
+                part = [x for b in arg[1] for x in of(b)]
+            elif name == "SUBPATTERN":
+                part = of(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                part = [""] * (arg[0] == 0) + [x * max(1, arg[0]) for x in of(arg[2])]
+            else:  # looks around and ends
+                continue
+            # Every part once, not every combination.
+            out = [out[i % len(out)] + part[i % len(part)] for i in range(max(len(out), len(part)))]
+            out += [x for x in {out[0][: len(out[0]) - len(part[0])] + p for p in part} if x not in out]
+        return out
+
+    return of(parse(pattern.pattern))
+
+
+def test_license_keywords_lose_no_match():
+    tried = set()
+    for i, (_, label, _, pattern) in enumerate(licenses.rules()):
+        for x in samples(pattern):
+            if pattern.search(x):
+                tried.add(i)
+                assert licenses.detect(x) == licenses.detect(x, gated=False) != [], (label, x)
+    assert len(tried) == len(licenses.rules())
+
+
+def test_license_rules_behind_the_gate(spark):
+    want = {
+        "Available under CC-BY-4.0 here": "cc-by-4.0",
+        "use it: CC-BY-SA-3.0": "cc-by-sa-3.0",
+        "released under BSD-3-Clause": "bsd-3-clause",
+        "distributed under the 2-clause BSD": "bsd-2-clause",
+        "see mozilla.org/MPL/2.0": "mpl-2.0",
+        "see www.eclipse.org/legal/epl-2.0": "epl-2.0",
+        "see https://scripts.sil.org/OFL": "ofl-1.1",
+        "released under MIT no attribution": "mit-0",
+        "this is in the public\n  domain": "public-domain",
+        "all\n  rights\n  reserved": "proprietary",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan(docs(spark, list(want))).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
