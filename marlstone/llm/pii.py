@@ -17,7 +17,7 @@ _B, _E = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 #: kind: pattern; the first kind that fits a place wins.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}" + _E + r"|(?:ghp|gho|ghs)_[A-Za-z0-9]{36}" + _E + r"|(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_+/-]{8,128}",
+    "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}" + _E + r"|(?:ghp|gho|ghs)_[A-Za-z0-9]{36}" + _E + r"|(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_+/-]{8,}",
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)" + _E,
     "date": r"\d{4}-\d{2}-\d{2}(?![-\d])" + _E + r"|\d{2}[./]\d{2}[./]\d{4}" + _E,
     "card": r"(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})(?![ -]?\d)" + _E,
@@ -27,8 +27,8 @@ KINDS = {
 }
 # The kinds that begin with a digit, a letter or a sign stand behind one look at the character before.
 PATTERN = _B + "(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
-#: Text without these cannot hold any kind.
-GATE = r"[@0-9]"
+#: Text without these cannot hold any kind: a secret can be of letters alone, behind its name's sign or its own first letters.
+GATE = r"[@0-9=:]|AKIA|ASIA|gh[pos]_"
 #: 400 years of the calendar have 146,097 days = 189 * 773, the two halves of a date.
 ERA, DAY_L, DAY_R = 146_097, 189, 773
 

@@ -175,6 +175,16 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert all(other[i] != got[i].text for i in range(n))
 
 
+def test_secrets_of_letters_alone_and_long_ones(spark):
+    long = "aB" * 150
+    values = ["correcthorse", "abcdefghijkl", "gh" + "p_" + "abcdefghijklmnopqrstuvwxyzabcdefghij", "AKIA" + "BCDEFGHIJKLMNOPQ", long, long + "c"]
+    names = ["password: ", "api_key=", "", "", "token=", "secret = "]
+    got = pii.pseudonymise(docs(spark, [f"see {n}{v} there" for n, v in zip(names, values, strict=True)]), "key").orderBy("doc_id").collect()
+    for r, n, v in zip(got, names, values, strict=True):
+        assert r.pii == ["secret"] and v not in r.text and r.text.startswith(f"see {n}") and r.text.endswith(" there") and len(r.text) == len(n + v) + 10
+    assert all(long[at : at + 20] not in r.text for r in got[4:] for at in (0, 1))  # no readable end
+
+
 def test_pseudonyms_leave_the_rest(spark):
     texts = ["plain text", None, "", "4041894974608796", "999.1.1.1", "2001-02-30", "version 1.2.3 and 12 of 2000", "a@b"]
     d = docs(spark, texts).withColumn("pii", F.lit(1))
