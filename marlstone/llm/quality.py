@@ -54,7 +54,7 @@ def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, host: str, text: str, max_docs: int, max_share: float) -> tuple[DataFrame, DataFrame]:
-    """(lines, limits): every text's distinct lines with their words, and the line keys above the limit in a host.
+    """(lines, limits): every row's lines with their words, and the line keys above the limit in a host.
 
     A line is above the limit where more than max(max_docs, max_share of the host's texts) different texts of the host hold it.
     Exact copies of a text count once, so copies alone never make a line frequent.
@@ -62,8 +62,9 @@ def frequent_lines(docs: DataFrame, host: str, text: str, max_docs: int, max_sha
     t = F.coalesce(F.col(text), F.lit(""))
     one = F.transform(_lines(t), lambda x: F.struct(_line_key(x).alias("key"), F.coalesce(F.regexp_count(x, F.lit(WORD)), F.lit(0)).alias("words")))
     # Written once: the texts are cut into lines a single time. explode_outer, so that an empty text still counts in its host.
-    lines = _keyed(docs, host, text).select(F.col("__host").alias("host"), F.col("__doc").alias("doc"), F.col("doc_id").alias("first"), F.explode_outer(one).alias("l"))
-    lines = materialise(lines.select("host", "doc", "first", F.col("l.key").alias("key"), F.col("l.words").alias("words")), "lines")
+    own = _keyed(docs, host, text).withColumn("__row", F.monotonically_increasing_id())
+    lines = own.select(F.col("__host").alias("host"), F.col("__doc").alias("doc"), F.col("doc_id").alias("first"), F.col("__row").alias("row"), F.explode_outer(one).alias("l"))
+    lines = materialise(lines.select("host", "doc", "first", "row", F.col("l.key").alias("key"), F.col("l.words").alias("words")), "lines")
     texts = lines.groupBy("host", "doc").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
     lines = lines.where("key is not null")
     # First by (host, line, text), then by (host, line): a line that a third of all rows hold is never one group.
@@ -80,8 +81,8 @@ def line_verdicts(docs: DataFrame, host: str = "source", text: str = "text", max
     depleted: under min_left of the words are left.
     """
     lines, limits = frequent_lines(docs, host, text, max_docs, max_share)
-    # By text, so copies are looked up once; repeats of a line within a text are summed with it.
-    per_text = lines.groupBy("host", "doc", "first", "key").agg(F.sum("words").alias("words"), F.count("*").alias("n"))
+    # By text, so copies are looked up once; repeats of a line are summed within one row, as rows with one id or none hold the text again.
+    per_text = lines.groupBy("host", "doc", "row", "key").agg(F.sum("words").alias("words"), F.count("*").alias("n"))
     per_text = per_text.groupBy("host", "doc", "key").agg(F.min("words").alias("words"), F.min("n").alias("n"))
     hit = per_text.join(limits, ["host", "key"]).where(F.col("doc") != F.col("spared"))
     return hit.groupBy("host", "doc").agg(F.sum("words").alias("n_removed_words"), F.sum("n").alias("n_removed_lines"), F.collect_set("key").alias("removed")).withColumn("__left", F.lit(min_left))

@@ -52,6 +52,16 @@ def test_quality_copies_do_not_make_a_line_frequent(spark):
     assert x.where("kept").count() == 40
 
 
+@pytest.mark.parametrize("ids", ["doc_id", "null"])
+def test_quality_repeated_rows_remove_a_line_once(spark, ids):
+    shared = " ".join(["menu"] * 15 + ["home"] * 15)
+    d = docs(spark, [f"{shared}\n{p}" for p in PROSE]).where("doc_id > 0")
+    again = d.unionByName(d).unionByName(d).unionByName(d).withColumn("doc_id", F.expr(f"cast({ids} as long)"))
+    got = quality.judge(docs(spark, [f"{shared}\n{PROSE[0]}"]).unionByName(again), max_docs=5, max_share=0.0).collect()
+    assert len(got) == 45 and all(r.kept and not r.depleted for r in got)
+    assert {(r.n_removed_words, r.n_removed_lines) for r in got} == {(0, 0), (30, 1)}
+
+
 def test_clean_takes_lines_out_and_keeps_other_columns(spark):
     d = docs(spark, [f"Menu {i}\n{p}" for i, p in enumerate(PROSE)]).withColumn("kept", F.lit("mine"))
     out = quality.clean(d, max_docs=5, max_share=0.0)
