@@ -87,7 +87,8 @@ def train_model(train: DataFrame, ids: dict[bytes, int], counts: np.ndarray, rat
     """One pass over all tokens of all training documents, states carried from window to window; every partition trains from the same start, the weights are averaged by tokens.
 
     The partitions' weights are summed in Spark, in groups of partitions first, so the driver gets 16 rows at most. Partitions that
-    Spark runs twice give the same weights: order and start are fixed.
+    Spark runs twice give the same weights: order and start are fixed. How the input is cut into partitions decides which documents
+    train together, so the weights, and with them score, differ between cuts; counts and base_score do not.
     """
     sc = train.sparkSession.sparkContext
     first = gru.start(counts, hidden, MEMBERS)
@@ -145,8 +146,11 @@ def scored(docs: DataFrame, text: str = "text", head_size: int = HEAD, hidden: i
     own = _with_split(docs, text)
     train = own.where(~F.col("held_out"))
     counts = materialise(token_counts(train), "counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    is_end = F.col("token") == F.lit(END)
+    total, kinds, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0))).first()
     head = head_of(counts, head_size)
+    if ends:  # the end is no word that a join could find, so its count is always at hand
+        head[END] = ends
     ids, by_id = vocabulary(head, total)
     model = train_model(train, ids, by_id, hidden=hidden)
     # What the words outside the vocabulary have: tokens and kinds.

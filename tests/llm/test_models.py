@@ -187,6 +187,21 @@ def test_language_model(spark):
     assert len(out) > 10 and out.score.sum() > out.base_score.sum()  # better than unigrams on held-out texts
 
 
+def test_end_is_counted_where_words_outnumber_it(spark):
+    # Three words fill the head with greater counts than the end has.
+    rows = [(i, " ".join(["aa", "bb", "cc"] * (40 + i) + [f"rare{i}"])) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.scored(d, head_size=3, hidden=4).collect()}
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for t in train for w in [*t.split(), " end"])
+    n, v = sum(c.values()), len(c)
+    assert lm.END not in lm.head_of(lm.token_counts(d.select(F.col("text").alias("t"))), 3)
+    for i, t in rows:
+        w = [*t.split(), " end"]
+        assert (got[i].n_known, got[i].train_tokens) == (sum(c[x] > 0 for x in w), n)
+        assert got[i].base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), abs=1e-6)
+
+
 def test_stream_trains_every_token_with_its_state():
     rng = np.random.default_rng(6)
     w = gru.start(rng.integers(1, 50, 64).astype(float), 6, 8)
