@@ -42,28 +42,28 @@ def load(data: bytes) -> dict[str, np.ndarray]:
 
 
 def forward(w: dict[str, np.ndarray], prev: np.ndarray, h: np.ndarray, keep: bool = False):
-    """States after each of the steps of prev (steps, batch), from state h; keep also gives what backpropagation needs."""
+    """States after each of the steps of prev (steps, batch), from state h; keep also gives what backpropagation needs: (gates, candidates, their recurrent part)."""
     n, hid = prev.shape[0], h.shape[1]
     states = np.empty((n, *h.shape), dtype=h.dtype)
-    kept = []
+    gates = np.empty((n if keep else 1, len(h), 2 * hid), dtype=h.dtype)
+    news, parts = (np.empty((n if keep else 1, *h.shape), dtype=h.dtype) for _ in range(2))
     u, xs = w["u"], w["wx"][prev]
     for t in range(n):
-        x, g = xs[t], h @ u
-        zr = x[:, : 2 * hid] + g[:, : 2 * hid]
+        x, g, k = xs[t], h @ u, t if keep else 0
+        zr = np.add(x[:, : 2 * hid], g[:, : 2 * hid], out=gates[k])
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :hid], zr[:, hid:]
-        new = r * g[:, 2 * hid :]
+        new = np.multiply(zr[:, hid:], g[:, 2 * hid :], out=news[k])
         new += x[:, 2 * hid :]
         np.tanh(new, out=new)
         if keep:
-            kept.append((h, z, r, new, g[:, 2 * hid :]))
+            parts[t] = g[:, 2 * hid :]
         h = np.subtract(h, new, out=states[t])
-        h *= z
+        h *= zr[:, :hid]
         h += new
-    return states, h, kept
+    return states, h, (gates, news, parts)
 
 
 def output(w: dict[str, np.ndarray], states: np.ndarray, ids: np.ndarray, grad: bool = False):
@@ -154,23 +154,26 @@ class Adam:
 
 def _gradients(w: dict[str, np.ndarray], prev: np.ndarray, ids: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Gradients of minus the sum of the real ids' log probabilities over one window from state h, and the states after it."""
-    hid, live = w["u"].shape[0], ids.shape[1]
-    states, h, kept = forward(w, prev, h, keep=True)
+    hid, first = w["u"].shape[0], h
+    states, h, (gates, new, part) = forward(w, prev, h, keep=True)
     _, g, d = output(w, states[real], ids[real], grad=True)
     dstates = np.zeros_like(states)
     dstates[real] = d
-    dx = np.empty((*ids.shape, 3 * hid), dtype=states.dtype)
-    du, dh, ut = np.zeros_like(w["u"]), np.zeros((live, hid), dtype=states.dtype), w["u"].T
+    z, r = gates[..., :hid], gates[..., hid:]
+    before = np.concatenate([first[None], states[:-1]])
+    # What a unit of each state's gradient gives to the candidate, and to the three parts of the recurrent product, for all steps at once.
+    to_new = (1 - z) * (1 - new * new)
+    to_parts = np.stack([(before - new) * z * (1 - z), to_new * part * r * (1 - r), to_new * r], axis=2)
+    dparts, ut = np.empty_like(to_parts), np.ascontiguousarray(w["u"].T)
+    dh = np.zeros_like(h)
     for t in reversed(range(len(ids))):
-        before, z, r, new, gn = kept[t]
-        dh = dh + dstates[t]
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before - new) * z * (1 - z)
-        dr = dnew * gn * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dnew], axis=1)
-        dg = np.concatenate([dz, dr, dnew * r], axis=1)
-        du += before.T @ dg
-        dh = dh * z + dg @ ut
+        dh = np.add(dstates[t], dh, out=dstates[t])
+        dg = np.multiply(dh[:, None, :], to_parts[t], out=dparts[t]).reshape(len(h), 3 * hid)
+        dh = dh * z[t]
+        dh += dg @ ut
+    dx = dparts.reshape(*ids.shape, 3 * hid)
+    du = before.reshape(-1, hid).T @ dx.reshape(-1, 3 * hid)
+    dx[..., 2 * hid :] = dstates * to_new
     flat, rows = prev[real], dx[real]
     order = np.argsort(flat, kind="stable")
     first = np.flatnonzero(np.diff(flat[order], prepend=-1))
