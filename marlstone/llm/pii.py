@@ -2,7 +2,9 @@
 
 Every value found is checked (Luhn, calendar, octets, mod 97) and then permuted under a key within its own format: digits stay digits,
 letters stay letters of their case, separators stay in place, card numbers keep a right check digit, dates stay dates. The permutation
-depends on the key, the kind and the value alone, so equal values stay linked across documents, and no table of values is kept.
+depends on the key, the kind and the value alone, so equal values stay linked across documents, and no table of values is kept. It is
+one to one within each format: where the network leaves the format (a number that is no SSN, a hexadecimal value from one that is none),
+it is applied again until it is back, which keeps it a permutation of the format (cycle walking).
 """
 
 from __future__ import annotations
@@ -12,7 +14,11 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import read
 
-ROUNDS = 8
+#: Rounds of the network, and how often it is applied at most until a value is back in its format: of the widest gap, one letter of
+#: six in 26, no run is longer than six; of the others every further step is needed by under one value in eight of those before.
+ROUNDS, WALK = 8, 40
+HEXADECIMAL = "^(?:[0-9a-f]+|[0-9A-F]+)$"
+NO_SSN = "^(?:000|666|9)|^[0-9]{3}00|0000$"
 _B, _E = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 #: kind: pattern; the first kind that fits a place wins.
 KINDS = {
@@ -31,14 +37,21 @@ PATTERN = _B + "(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 GATE = r"[@0-9=:]|AKIA|ASIA|gh[pos]_"
 #: 400 years of the calendar have 146,097 days = 189 * 773, the two halves of a date.
 ERA, DAY_L, DAY_R = 146_097, 189, 773
+#: Years whose 400 years (counted from 1700) have four digits throughout.
+YEARS = (100, 9699)
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 
 
-def _mac(key: str, kind: Column, i: Column, other: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), kind, i.cast("string"), other), 512)
+def _mac(key: Column | str, kind: Column, i: Column, other: Column) -> Column:
+    return F.sha2(F.concat_ws("|", key if isinstance(key, Column) else F.lit(key), kind, i.cast("string"), other), 512)
 
 
 def _shift(half: Column, stream: Column, letters: Column) -> Column:
@@ -54,25 +67,37 @@ def _shift(half: Column, stream: Column, letters: Column) -> Column:
     return F.when(F.length(half) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), one), ""))
 
 
-def permute(value: Column, kind: Column, key: str) -> Column:
-    """Balanced Feistel network over a string: a permutation of the strings with the same character classes in the same places.
-
-    A string of hexadecimal digits of one case stays one.
-    """
-    letters = F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 6).otherwise(26)
+def _network(value: Column, kind: Column, key: Column | str, letters: Column) -> Column:
+    """Balanced Feistel network: a permutation of the strings with the same character classes in the same places."""
     cut = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substr(value, F.lit(1), cut).alias("l"), F.substr(value, cut + 1, F.length(value) - cut).alias("r"))
 
     def step(s: Column, i: Column) -> Column:
         l2 = _shift(s["l"], _mac(key, kind, 2 * i, s["r"]), letters)
         # The new left half is needed twice; a one-element transform names it.
-        return F.get(F.transform(F.array(l2), lambda x: F.struct(x.alias("l"), _shift(s["r"], _mac(key, kind, 2 * i + 1, x), letters).alias("r"))), F.lit(0))
+        return _let(l2, lambda x: F.struct(x.alias("l"), _shift(s["r"], _mac(key, kind, 2 * i + 1, x), letters).alias("r")))
+
+    return _let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, step), lambda s: F.concat(s["l"], s["r"]))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, step)
-    return F.get(F.transform(F.array(done), lambda s: F.concat(s["l"], s["r"])), F.lit(0))
 
+def permute(value: Column, kind: Column, key: Column | str, outside=None) -> Column:
+    """A permutation of the strings with the same character classes in the same places that lie not outside (a predicate).
+
+    Hexadecimal strings of one case are permuted among themselves, and so are all others: each network is applied until its value is
+    in the class that it came from.
+    """
+    out = outside or (lambda x: F.lit(False))
 
-def permute_number(value: Column, left: int, right: int, kind: str, key: str) -> Column:
+    def walk(hexadecimal: Column) -> Column:
+        letters = F.when(hexadecimal, 6).otherwise(26)
+        gone = lambda x: (~hexadecimal & x.rlike(HEXADECIMAL)) | out(x)
+        again = lambda x, _: F.when(gone(x), _network(x, kind, key, letters)).otherwise(x)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), _network(value, kind, key, letters), again)
+
+    return _let(value.rlike(HEXADECIMAL), walk)
+
+
+def permute_number(value: Column, left: int, right: int, kind: str, key: Column | str) -> Column:
     """Feistel network over 0 <= value < left * right, by modular addition on a half of each size; value is a long."""
 
     def word(i: Column, other: Column) -> Column:
@@ -106,13 +131,8 @@ def _lay(new: Column, like: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(like)), lambda j: F.when(place(j).rlike("[0-9]"), F.substr(new, at(j), F.lit(1))).otherwise(place(j))), "")
 
 
-def _let(value: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def kind_of(v: Column) -> Column:
-    """The kind of a value found, null where its check fails: such a value stays as it is."""
+    """The kind of a value found, null where its check fails: such a value stays as it is. Years before 100 or after 9699 are no dates."""
     d = _digits(v)
     octets = F.split(v, r"\.")
     date = F.coalesce(F.try_to_date(v, "yyyy-MM-dd"), F.try_to_date(F.translate(v, "/", "."), "dd.MM.yyyy"))
@@ -121,27 +141,28 @@ def kind_of(v: Column) -> Column:
     code = F.regexp_replace(v, " ", "")
     moved = F.concat(F.substr(code, F.lit(5), F.length(code)), F.substr(code, F.lit(1), F.lit(4)))
     val = lambda c: F.when(F.ascii(c).between(48, 57), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    checks = F.substr(code, F.lit(3), F.lit(2)).between("02", "98")
     rest = F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.pmod(F.when(val(c) > 9, a * 100).otherwise(a * 10) + val(c), F.lit(97)))
     return (
         F.when(v.contains("@"), "email")
         .when(whole(KINDS["secret"]), "secret")
         .when(whole(KINDS["ip"]), F.when(F.forall(octets, lambda o: o.cast("int") < 256), "ip"))
-        .when(whole(KINDS["date"]), F.when(date.isNotNull(), "date"))
+        .when(whole(KINDS["date"]), F.when(F.year(date).between(*YEARS), "date"))
         .when(v.startswith("+") | v.startswith("("), F.when(F.length(d).between(7, 15), "phone"))
         .when(whole(KINDS["card"]), F.when((_luhn_sum(d, False) % 10 == 0) & (d.cast("decimal(38,0)") > 0), "card"))
         .when(whole(r"\d{3}-\d{3}-\d{4}"), "phone")
         .when(whole(KINDS["ssn"]), F.when(~v.rlike("^(000|666|9)|-00-|-0000$"), "ssn"))
-        .when(whole(KINDS["iban"]), F.when(rest == 1, "iban"))
+        .when(whole(KINDS["iban"]), F.when((rest == 1) & checks, "iban"))
     )
 
 
-def pseudonym(v: Column, kind: Column, key: str) -> Column:
-    """The pseudonym of a value of this kind."""
-    card = _let(_digits(v), lambda d: _let(permute(F.substr(d, F.lit(1), F.length(d) - 1), F.lit("card"), key), lambda p: _lay(F.concat(p, F.pmod(10 - _luhn_sum(p, True) % 10, F.lit(10)).cast("string")), v)))
-    digits = _let(permute(_digits(v), kind, key), lambda p: _lay(p, v))
+def pseudonym(v: Column, kind: Column, key: Column | str) -> Column:
+    """The pseudonym of a value of this kind: of the same kind again, and another for every other value of its format."""
+    card = _let(_digits(v), lambda d: _let(permute(F.substr(d, F.lit(1), F.length(d) - 1), F.lit("card"), key, lambda p: p.rlike("^0+$")), lambda p: _lay(F.concat(p, F.pmod(10 - _luhn_sum(p, True) % 10, F.lit(10)).cast("string")), v)))
+    digits = _let(permute(_digits(v), F.lit("ssn"), key, lambda p: p.rlike(NO_SSN)), lambda p: _lay(p, v))
     # A phone keeps the country code that + opens.
     head = F.regexp_extract(v, r"^\+\d{1,3}(?=[ .(-])", 0)
-    phone = F.concat(head, _let(F.substr(v, F.length(head) + 1, F.length(v)), lambda w: _let(permute(_digits(w), kind, key), lambda p: _lay(p, w))))
+    phone = F.concat(head, _let(F.substr(v, F.length(head) + 1, F.length(v)), lambda w: _let(permute(_digits(w), F.lit("phone"), key), lambda p: _lay(p, w))))
     octet = lambda j: F.get(F.split(v, r"\."), F.lit(j)).cast("long")
     part = lambda x, by: F.pmod(F.floor(x / by).cast("long"), F.lit(256)).cast("string")
     ip = _let(permute_number(octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3), 65536, 65536, "ip", key), lambda x: F.concat_ws(".", part(x, 16777216), part(x, 65536), part(x, 256), part(x, 1)))
@@ -165,6 +186,12 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
     return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", digits).when(kind == "ip", ip).when(kind == "date", date).when(kind == "email", email).when(kind == "secret", secret).when(kind == "iban", iban)
 
 
+def _with_key(docs: DataFrame, key: str) -> DataFrame:
+    """docs with the key as __key: a subquery reads it from a table of one row, so that no plan, explain text or event log shows it."""
+    spark = docs.sparkSession
+    return docs.withColumn("__key", spark.createDataFrame([(key,)], "key string").select("key").scalar())
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with every checked value in text replaced, and pii: the kinds found, in the order of their places.
 
@@ -172,13 +199,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     docs is replaced; other columns, repeated rows and null ids pass as they are.
     """
     t = F.col(text)
-    out = docs.withColumn("__v", F.when(t.rlike(GATE), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))))
+    out = _with_key(docs, key).withColumn("__v", F.when(t.rlike(GATE), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))))
     out = out.withColumn("__k", F.transform("__v", lambda v: F.struct(v.alias("v"), kind_of(v).alias("k"))))
-    new = F.transform("__k", lambda x: F.coalesce(pseudonym(x["v"], x["k"], key), x["v"]))
+    new = F.transform("__k", lambda x: F.coalesce(pseudonym(x["v"], x["k"], F.col("__key")), x["v"]))
     out = out.withColumn("__n", F.when(F.exists("__k", lambda x: x["k"].isNotNull()), new))
     whole = F.array_join(F.zip_with(F.split(t, PATTERN, -1), F.col("__n"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     kinds = F.coalesce(F.filter(F.transform("__k", lambda x: x["k"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    return out.withColumns({text: F.when(F.col("__n").isNull(), t).otherwise(whole), "pii": kinds}).drop("__v", "__k", "__n")
+    return out.withColumns({text: F.when(F.col("__n").isNull(), t).otherwise(whole), "pii": kinds}).drop("__v", "__k", "__n", "__key")
 
 
 #: Stands in for the key that a production run takes from its secret store.

@@ -208,6 +208,61 @@ def test_permutations_are_one_to_one(spark):
     assert y.distinct().count() == 10_000 and y.where("p rlike '^[0-9]{4}$'").count() == 10_000
 
 
+def test_letters_and_hexadecimal_values_are_permuted_apart(spark):
+    from itertools import product
+    from string import ascii_lowercase
+
+    def images(values):
+        rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.permute(F.col("v"), F.lit("t"), "k").alias("p")).collect()
+        return {r.v: r.p for r in rows}
+
+    hexa = re.compile(pii.HEXADECIMAL)
+    for values in (ascii_lowercase, map("".join, product(ascii_lowercase, repeat=2)), map("".join, product("0123456789", ascii_lowercase, "ABCXYZ")), map("".join, product(ascii_lowercase, "0123456789"))):
+        got = images(list(values))
+        assert len(set(got.values())) == len(got)
+        assert all(len(p) == len(v) and bool(hexa.match(v)) == bool(hexa.match(p)) for v, p in got.items())
+        assert all([c.isdigit() for c in v] == [c.isdigit() for c in p] and [c.isupper() for c in v] == [c.isupper() for c in p] for v, p in got.items())
+    assert set(images(list(ascii_lowercase)).values()) == set(ascii_lowercase)
+
+
+def iban(country, bban):
+    rest = int("".join(str(int(c, 36)) for c in bban + country + "00")) % 97
+    return f"{country}{98 - rest:02d}{bban}"
+
+
+def test_pseudonyms_are_one_to_one_and_of_their_kind(spark):
+    rng = np.random.default_rng(8)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    low = lambda n, of="abcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(list(of), n))
+
+    def card(n):
+        body = digits(n - 1)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    makers = {
+        "card": lambda: card(16),
+        "ssn": lambda: next(x for x in iter(lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", "") if not re.search("^(000|666|9)|-00-|-0000$", x)),
+        "phone": lambda: f"+49 {digits(3)} {digits(4)} {digits(3)}",
+        "ip": lambda: ".".join(map(str, rng.integers(0, 256, 4))),
+        "date": lambda: f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}",
+        "email": lambda: f"{low(3)}@example.com",
+        "secret": lambda: f"token={low(8, '0123456789abcdefgh')}",
+        "iban": lambda: iban("GB", low(4, "ABCDEFXYZ") + digits(14)),
+    }
+    values = sorted({(k, make()) for k, make in makers.items() for _ in range(400)})
+    d = spark.createDataFrame(values, "k string, v string").withColumn("found", pii.kind_of(F.col("v")))
+    rows = d.withColumn("p", pii.pseudonym(F.col("v"), F.col("k"), "key")).withColumn("again", pii.kind_of(F.col("p"))).collect()
+    assert all(r.k == r.found == r.again for r in rows)
+    for k in makers:
+        assert len({r.p for r in rows if r.k == k}) == sum(r.k == k for r in rows)
+
+
+def test_the_key_is_in_no_plan(spark, capsys):
+    pii.pseudonymise(docs(spark, VALUES), "a-secret-of-its-own").explain("formatted")
+    shown = capsys.readouterr().out
+    assert "Project" in shown and "a-secret" not in shown
+
+
 def test_mix_targets_and_budget(spark):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), "en", ["s1", "s2", "s3", "s4", None][int(x)], 0) for i, x in enumerate(rng.choice(5, 800, p=[0.02, 0.2, 0.5, 0.2, 0.08]))]
