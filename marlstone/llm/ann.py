@@ -9,10 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialise, read
+from marlstone.llm.common import materialise, read, small
 
 #: Dimensions and bits of a curve: a key has DIMS * BITS bits.
 DIMS, BITS = 8, 7
+#: Curves of a length of vector have numbers below this.
+MOST_CURVES = 1000
+#: Queries whose true neighbours are looked up to fit the window, the smallest window, and the share of those neighbours to be reached.
+FIT_QUERIES, FIT_LEAST, FIT_SHARE = 256, 64, 0.95
+#: Scores that agree to so many decimals tie: the last ones depend on how a vector's length was rounded.
+TIE_DIGITS = 12
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -51,8 +57,8 @@ def curve_keys(unit: np.ndarray, curves: int, seed: int = 5) -> np.ndarray:
         rng = np.random.default_rng([seed, c, dim])
         side = max(dim, DIMS)
         axes = np.linalg.qr(rng.normal(size=(side, side)))[0][:dim, :DIMS]
-        # A coordinate of a unit vector spreads as 1 / sqrt(dim); four spreads each way fill the cube, the shift moves its cells.
-        at = (unit @ axes) * np.sqrt(dim) / 8 + 0.5 + rng.uniform(-0.06, 0.06, DIMS)
+        # A coordinate of a unit vector spreads as 1 / sqrt(dim); three spreads each way fill the cube, the shift moves its cells.
+        at = (unit @ axes) * np.sqrt(dim) / 6 + 0.5 + rng.uniform(-0.06, 0.06, DIMS)
         out[:, c] = hilbert_keys(np.clip(at * (1 << BITS), 0, (1 << BITS) - 1))
     return out
 
@@ -71,87 +77,153 @@ def least_ids(rows: DataFrame, key: str, id_: str, k: int) -> DataFrame:
     return rows
 
 
-def distinct_vectors(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(v, ids): each distinct usable vector under its key, and its k + 1 smallest ids (no more can be among k nearest)."""
-    own = vectors.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v"))
-    own = own.withColumn("key", F.concat_ws("-", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), F.reverse("v")))))
-    v = own.groupBy("key").agg(F.first("v").alias("v"))
-    return v, least_ids(own.select("key", "vec_id").distinct(), "key", "vec_id", k + 1)
+def _content() -> list[Column]:
+    return [F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), F.reverse("v")).alias("b")]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 10, share: float = 0.14, block_rows: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score: of each query row its k nearest other rows found, by cosine; ties to the smaller vec_id.
+def _stacked(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(np.float64)
+
 
-    Every distinct vector is put on `curves` Hilbert orderings, range-partitioned by Spark into blocks of about block_rows. A query
-    looks at its own block and, on either side, at as many as hold half of share of the vectors (at least one); what the windows of all
-    orderings hold is merged and reranked by the exact cosine of the original vectors, in double precision. share trades time for
-    recall: vectors without any structure need windows that span a share of the rows, clustered ones far less.
+def positions(vectors: DataFrame, curves: int) -> DataFrame:
+    """first, curve, pos, n: place of every vector on each curve and the curve's length.
 
-    Rows whose vector is null, zero or holds null or non-finite components, and rows with a null id, take no part. Vectors are compared
-    with those of their own length only. Equal vectors are searched once; ids that repeat count once each. Fewer than k other vectors:
-    all of them.
+    Spark range-partitions the keys of all curves and sorts each partition; a vector's place is that in its partition, after the
+    partitions before it. Vectors of another length have curves of their own.
     """
-    own = vectors.withColumn("__q", F.coalesce(is_query, F.lit(False))).where("vec_id is not null")
-    v, ids = distinct_vectors(own, k)
-    ids = materialise(ids, "ids")
-    queries = own.where(F.col("__q") & usable(F.col("embedding")))
-    queries = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v")).distinct()
-    queries = queries.select("query_id", F.concat_ws("-", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), F.reverse("v")))).alias("key"))
-    asked = queries.groupBy("key").agg(F.lit(True).alias("asked"))
-    v = v.join(asked, "key", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            size = b["v"].map(len)
-            for dim, part in b.groupby(size):
-                x = np.stack(part["v"].to_numpy()).astype(np.float64)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                keys = curve_keys(unit, curves)
-                for c in range(curves):
-                    yield pd.DataFrame({"key": part["key"].tolist(), "asked": part["asked"].to_numpy(), "curve": dim * 100 + c, "h": keys[:, c], "v": part["v"].tolist()})
-
-    points = materialise(v.mapInPandas(keyed, "key string, asked boolean, curve long, h long, v array<double>"), "curves")
-    blocks = max(1, -(-points.count() // block_rows))
-    ranged = points.repartitionByRange(blocks, "curve", "h", "key").withColumn("block", F.spark_partition_id())
-    ranged = materialise(ranged, "blocks")
-    # One row for each block of each curve: its place on the curve, and how many blocks the curve has.
-    on_curve = Window.partitionBy("curve")
-    places = ranged.groupBy("curve", "block").agg(F.count("*").alias("n")).withColumns({"place": F.row_number().over(on_curve.orderBy("block")) - 1, "places": F.count("*").over(on_curve)})
-    placed = materialise(ranged.join(places.select("curve", "block", "place", "places"), ["curve", "block"]), "placed")
-    side = F.greatest(F.lit(1), F.ceil(F.col("places") * share / 2).cast("int"))
-    # placed is written: both sides of the next step come from it.
-    seen = placed.where("asked").withColumn("place", F.explode(F.sequence(F.greatest(F.lit(0), F.col("place") - side), F.least(F.col("places") - 1, F.col("place") + side))))
-
-    def rerank(curve_place: tuple, there: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out = {"qkey": [], "key": [], "score": []}
-        if len(there) and len(asks):
-            x = np.stack(there["v"].to_numpy())
-            norm = np.sqrt((x * x).sum(axis=1))
-            names = there["key"].to_numpy()
-            most = min(k + 1, len(x))
-            for at in range(0, len(asks), 512):
-                q = np.stack(asks["v"].iloc[at : at + 512].to_numpy())
-                near = (q @ x.T) / norm
+            for dim, part in b.groupby(b["v"].map(len)):
+                x = _stacked(part["v"])
+                keys = curve_keys(x / np.linalg.norm(x, axis=1, keepdims=True), curves)
+                yield pd.DataFrame({"first": part["first"].to_numpy(), "dim": np.int64(dim), "h": list(keys)})
+
+    h = vectors.select("first", "v").mapInPandas(keyed, "first long, dim long, h array<long>")
+    h = h.select("first", "dim", F.posexplode("h").alias("c", "h")).select((F.col("dim") * MOST_CURVES + F.col("c")).alias("curve"), "h", "first")
+    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # The identifier counts the rows of a partition from its number's multiple of 2^33.
+    ranged = h.repartitionByRange(parts, "curve", "h", "first").sortWithinPartitions("curve", "h", "first").select("first", "curve", F.monotonically_increasing_id().alias("at"))
+    ranged = materialise(ranged.withColumn("part", F.shiftright("at", 33).cast("int")), "ranged")
+    runs = ranged.groupBy("part", "curve").agg(F.min("at").alias("lo"), F.count("*").alias("m"))
+    on_curve = Window.partitionBy("curve").orderBy("part")
+    runs = runs.withColumns({"before": F.sum("m").over(on_curve) - F.col("m"), "n": F.sum("m").over(Window.partitionBy("curve"))}).select("part", "curve", F.col("before") - F.col("lo"), "n").toDF("part", "curve", "move", "n")
+    # A row for each partition and curve that meet: partitions and curves at most.
+    return ranged.join(small(materialise(runs, "runs")), ["part", "curve"]).select("first", "curve", (F.col("at") + F.col("move")).alias("pos"), "n")
+
+
+def true_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """q, first: the k nearest distinct vectors of a bounded table of queries (first, v), by comparison with every vector."""
+    asked = [(r["first"], np.array(r["v"], dtype=np.float64)) for r in queries.collect()]
+    shared = vectors.sparkSession.sparkContext.broadcast(asked)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_dim: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+        for first, v in shared.value:
+            names, rows = by_dim.setdefault(len(v), ([], []))
+            names.append(first)
+            rows.append(v / np.linalg.norm(v))
+        for b in batches:
+            for dim, part in b.groupby(b["v"].map(len)):
+                if dim not in by_dim:
+                    continue
+                names, rows = by_dim[dim]
+                x, first = _stacked(part["v"]), part["first"].to_numpy()
+                near = np.stack(rows) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                most = min(k + 1, len(x))
                 best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-                for i, row in enumerate(best):
-                    # The candidates' scores are summed anew, one way for every pair: equal vectors get equal scores.
-                    score = (x[row] * q[i]).sum(axis=1) / (norm[row] * np.sqrt((q[i] * q[i]).sum()))
-                    out["qkey"] += [asks["key"].iloc[at + i]] * most
-                    out["key"] += names[row].tolist()
-                    out["score"] += score.tolist()
-        # Blocks without a query give no rows; the types are named, as none can be told from no rows.
-        return pd.DataFrame({"qkey": pd.Series(out["qkey"], dtype=object), "key": pd.Series(out["key"], dtype=object), "score": pd.Series(out["score"], dtype=float)})
-
-    found = placed.select("curve", "place", "key", "v").groupBy("curve", "place").cogroup(seen.select(F.col("curve").alias("c"), F.col("place").alias("p"), F.col("key").alias("key"), F.col("v").alias("v")).groupBy("c", "p")).applyInPandas(rerank, "qkey string, key string, score double")
-    found = found.groupBy("qkey", "key").agg(F.max("score").alias("score"))
-    # A distinct vector stands for at most k + 1 ids; k + 1 distinct vectors are enough for k others than the query.
-    few = materialise(found.withColumn("n", F.rank().over(Window.partitionBy("qkey").orderBy(F.desc("score")))).where(F.col("n") <= k + 1).drop("n"), "found")
-    hits = few.join(ids, "key").select("qkey", "vec_id", "score")
-    hits = hits.withColumn("n", F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    out = queries.join(hits.withColumnRenamed("qkey", "key"), "key").where("query_id <> vec_id")
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+                yield pd.DataFrame({"q": np.repeat(names, most), "first": first[best].ravel(), "score": np.take_along_axis(near, best, 1).ravel()})
+
+    found = vectors.select("first", "v").mapInPandas(scan, "q long, first long, score double").where("q <> first")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "first")
+    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("q", "first")
+
+
+def fit_window(vectors: DataFrame, at: DataFrame, k: int) -> int:
+    """Rows to look at on either side of a query on every curve, so that FIT_SHARE of the true neighbours are reached on some curve.
+
+    Measured on a bounded sample: FIT_QUERIES of the queries, taken by hash, with their neighbours by comparison with every vector.
+    Vectors in clusters need few rows; those without any structure a share of all.
+    """
+    sample = vectors.where("asked").orderBy(F.xxhash64("first"), "first").limit(FIT_QUERIES).select("first", "v")
+    pairs = materialise(true_neighbours(vectors, sample, k), "pairs")
+    names = F.broadcast(pairs.select(F.explode(F.array("q", "first")).alias("first")).distinct())  # k + 1 for each query of the sample at most
+    there = materialise(at.join(names, "first").select("first", "curve", "pos"), "sampled")
+    of = lambda c: there.select(F.col("first").alias(c), "curve", F.col("pos").alias(f"at_{c}"))
+    apart = pairs.withColumnRenamed("first", "nb").join(of("q"), "q").join(of("nb"), ["nb", "curve"]).groupBy("q", "nb").agg(F.min(F.abs(F.col("at_q") - F.col("at_nb"))).alias("apart"))
+    far = apart.agg(F.percentile("apart", F.lit(FIT_SHARE))).first()[0]
+    return max(FIT_LEAST, int(far or 0) + 1)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 32, window: int | None = None, block_rows: int = 16_384) -> DataFrame:
+    """query_id, rank, vec_id, score: of each query row its k nearest other rows found, by cosine; ties to the smaller vec_id.
+
+    Every distinct vector is put on `curves` Hilbert orderings, each of a projection and a shift of its own. A query looks at the
+    window rows before and after it on every curve (by default as many as fit_window finds for these vectors); what the windows of
+    all orderings hold is merged and reranked by the exact cosine of the original vectors, in double precision. Curves are cut into
+    blocks of block_rows, which also get the rows that lie within the window beyond their ends, so that no task ever holds more.
+
+    Scores that agree to 12 decimals tie. Rows whose vector is null, zero or holds null or non-finite components, and rows with a null
+    id, take no part. Vectors are compared with those of their own length only. Equal vectors are searched once; ids that repeat count
+    once each. Fewer than k other vectors: all of them. An empty table gives no rows.
+    """
+    if not 0 < curves <= MOST_CURVES:
+        raise ValueError(f"1 to {MOST_CURVES} curves")
+    own = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    own = own.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asked"), F.transform("embedding", lambda x: x + F.lit(0).cast(x_type(vectors))).alias("v"))
+    own = own.select("vec_id", "asked", "v", *_content())
+    # A distinct vector goes by its smallest id.
+    v = materialise(own.groupBy("a", "b").agg(F.min("vec_id").alias("first"), F.first("v").alias("v"), F.max("asked").alias("asked")), "vectors")
+    named = own.select("vec_id", "asked", "a", "b").join(v.select("a", "b", "first"), ["a", "b"]).select("first", "vec_id", "asked").distinct()
+    named = materialise(named, "named")
+    # No more than k + 1 ids of one vector can be among k nearest.
+    ids, queries = least_ids(named.select("first", "vec_id").distinct(), "first", "vec_id", k + 1), named.where("asked").select(F.col("vec_id").alias("query_id"), "first").distinct()
+    at = materialise(positions(v, curves), "positions")
+    half = window or fit_window(v, at, k)
+    home = F.floor(F.col("pos") / block_rows)
+    reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - half) / block_rows)), F.floor(F.least(F.col("pos") + half, F.col("n") - 1) / block_rows))
+    placed = at.select("first", "curve", "pos", home.alias("home"), F.explode(reach).alias("block"))
+    placed = placed.join(v.select("first", "v", "asked"), "first").select("curve", "block", "pos", "first", "v", (F.col("asked") & (F.col("home") == F.col("block"))).alias("asks"))
+
+    def rerank(block: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"q": [], "first": [], "score": []}
+        block = block.sort_values("pos", kind="stable")
+        asks = np.flatnonzero(block["asks"].to_numpy())
+        if len(asks):
+            x, pos, names = _stacked(block["v"]), block["pos"].to_numpy(), block["first"].to_numpy()
+            norm = np.sqrt((x * x).sum(axis=1))
+            span = max(FIT_LEAST, half)
+            # Queries that stand near each other look at the same stretch at once.
+            for ask in np.split(asks, np.flatnonzero(np.diff(pos[asks] // span)) + 1):
+                lo, hi = np.searchsorted(pos, (pos[ask[0]] - half, pos[ask[-1]] + half + 1))
+                near = (x[ask] @ x[lo:hi].T) / (norm[ask][:, None] * norm[lo:hi])
+                most = min(k + 1, hi - lo)
+                # All that could be among the best, ties of the last one with them; then each pair is summed anew, one way everywhere.
+                least = np.partition(near, hi - lo - most, axis=1)[:, hi - lo - most]
+                for i, row in enumerate(near >= (least - 10.0 ** (1 - TIE_DIGITS))[:, None]):
+                    there = lo + np.flatnonzero(row)
+                    score = (x[there] * x[ask[i]]).sum(axis=1) / (norm[there] * norm[ask[i]])
+                    best = np.lexsort((names[there], -np.round(score, TIE_DIGITS)))[:most]
+                    out["q"] += [names[ask[i]]] * len(best)
+                    out["first"] += names[there[best]].tolist()
+                    out["score"] += score[best].tolist()
+        return pd.DataFrame(out).astype({"q": "int64", "first": "int64", "score": "float64"})
+
+    found = placed.groupBy("curve", "block").applyInPandas(rerank, "q long, first long, score double")
+    found = found.groupBy("q", "first").agg(F.max("score").alias("score"))
+    order = [F.desc(F.round("score", TIE_DIGITS))]
+    few = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*order, "first"))).where(F.col("n") <= k + 1).drop("n")
+    hits = materialise(few, "found").join(ids, "first").select(F.col("q").alias("first"), "vec_id", "score")
+    hits = hits.withColumn("n", F.row_number().over(Window.partitionBy("first").orderBy(*order, "vec_id"))).where(F.col("n") <= k + 1).drop("n")
+    out = queries.join(hits, "first").where("query_id <> vec_id")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "vec_id"))).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def x_type(vectors: DataFrame) -> str:
+    """Type of the components: vectors travel as they are given, and are doubles where they are compared."""
+    return vectors.schema["embedding"].dataType.elementType.simpleString()
+
+
 def op5_hilbert_neighbours(spark, sf_dir):
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -31,7 +31,7 @@ def test_neighbours_recall_and_exact_scores(spark):
     rows += [(3000 + i, [float(x) for x in v[50]]) for i in range(40)]  # copies of a query
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("key", F.lit("clash"))
     got = defaultdict(list)
-    for r in ann.nearest(d, F.col("vec_id") % 50 == 0, block_rows=100).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(d, F.col("vec_id") % 50 == 0, block_rows=300).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     ids = np.array([*range(1500), *range(3000, 3040)])
     x = np.vstack([v, np.repeat(v[50:51], 40, axis=0)]).astype(np.float64)
@@ -57,6 +57,60 @@ def test_few_vectors_and_empty(spark):
     assert ann.nearest(d.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_collinear_vectors_tie_by_id(spark):
+    rows = [(i, [float(i + 1) * x for x in (0.3, -0.7, 0.2)]) for i in range(20)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [r.vec_id for r in ann.nearest(d, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert got == [1, 2, 3, 4, 5]
+
+
+def test_small_blocks_lose_no_row_of_a_window(spark):
+    rng = np.random.default_rng(3)
+    d = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(400, 8)))], "vec_id long, embedding array<double>")
+    for rows in (7, 4096):
+        assert ann.nearest(d, F.col("vec_id") % 50 == 0, curves=3, window=40, block_rows=rows).count() == 40
+    exact = {(r.query_id, r.rank): r.vec_id for r in ann.nearest(d, F.col("vec_id") % 50 == 0, curves=3, window=400, block_rows=50).collect()}
+    x = np.array([r.embedding for r in d.orderBy("vec_id").collect()])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 400, 50):
+        order = [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:5]
+        assert [exact[q, r] for r in range(1, 6)] == order
+
+
+def test_clustered_vectors_need_few_comparisons(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(300, 16))
+    x = (centres[rng.integers(0, 300, 6000)] + rng.normal(scale=0.05, size=(6000, 16))).astype(np.float32)
+    d = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    v = d.select(F.col("vec_id").alias("first"), F.col("embedding").alias("v"), (F.col("vec_id") % 50 == 0).alias("asked"))
+    half = ann.fit_window(v, ann.positions(v, 8), 5)
+    assert 8 * (2 * half + 1) < 0.25 * 6000  # compared rows of a query on all eight curves
+    got = defaultdict(set)
+    for r in ann.nearest(d, F.col("vec_id") % 50 == 0, curves=8).collect():
+        got[r.query_id].add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = sum(len(got[q] & {i for i in np.argsort(-(u @ u[q]))[:6] if i != q}) for q in range(0, 6000, 50))
+    assert hit >= 0.9 * 600
+
+
+def test_recall_on_the_given_vectors(spark):
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no given vectors")
+    got = defaultdict(set)
+    for r in ann.op5_hilbert_neighbours(spark, folder).collect():
+        got[r.query_id].add(r.vec_id)
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").where(ann.usable(F.col("embedding"))).select("vec_id", "embedding").collect()
+    ids = np.array([r.vec_id for r in rows])
+    u = np.array([r.embedding for r in rows], dtype=np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    asked = np.flatnonzero(ids % 50 == 0)
+    hit = sum(len(got[ids[q]] & set(ids[[i for i in np.argsort(-(u @ u[q]))[:6] if i != q][:5]])) for q in asked)
+    assert hit >= 0.9 * 5 * len(asked)
+
+
 URLS = ["http://a.example.com/en/1", "https://www.example.com/en/2?x=1", "https://m.www.example.com/en/3", "http://shop.net/es/9#t", "http://x.net/fr", "http://x.net/fr/", "HTTP://UP.Example.COM", "ftp://b.com?q", None, "no scheme/com/", "http://example.org/de/7", "x://y://com/", "http://notexample.com/en/5", ""]
 
 
