@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,18 +50,18 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view("<u8")
 
 
-def within(query: int, vertical: np.ndarray, alive: np.ndarray, radius: int = 3) -> np.ndarray:
-    """Bit mask (words of 64) of the alive fingerprints at most radius bits from query.
+def _near(differs: Callable[[int, np.ndarray], np.ndarray], alive: np.ndarray, radius: int) -> np.ndarray:
+    """Bit mask (words of 64) of the alive lanes that differ in at most radius bits; differs(p, at): where the words `at` differ in plane p.
 
-    A carry-save counter, one bit of the count per plane, is added to for 64 fingerprints at once; the sum saturates above the radius.
-    Words in which no fingerprint can still be within the radius are abandoned.
+    A carry-save counter, one bit of the count per plane, is added to for 64 lanes at once; the sum saturates above the radius. Words
+    in which no lane can still be within the radius are abandoned.
     """
     width = max(1, (radius + 1).bit_length())
     at = np.flatnonzero(alive)
     ok = alive[at].copy()
     counter = [np.zeros(len(at), dtype=np.uint64) for _ in range(width)]
     for p in range(BITS):
-        carry = vertical[p, at] if not (query >> p) & 1 else ~vertical[p, at]
+        carry = differs(p, at)
         for i in range(width):
             counter[i], carry = counter[i] ^ carry, counter[i] & carry
         if p % 4 == 3:  # above the radius or over the counter's end: out
@@ -82,14 +82,48 @@ def within(query: int, vertical: np.ndarray, alive: np.ndarray, radius: int = 3)
     return out
 
 
+def within(query: int, vertical: np.ndarray, alive: np.ndarray, radius: int = 3) -> np.ndarray:
+    """Bit mask of the alive fingerprints at most radius bits from query."""
+    return _near(lambda p, at: ~vertical[p, at] if (query >> p) & 1 else vertical[p, at], alive, radius)
+
+
+def pairs_within(a: np.ndarray, b: np.ndarray, radius: int = 3) -> np.ndarray:
+    """Whether a[i] and b[i] are at most radius bits apart: the pairs lie side by side in the lanes of two sets of planes."""
+    va, vb = planes(a), planes(b)
+    near = _near(lambda p, at: va[p, at] ^ vb[p, at], np.full(va.shape[1], 0xFFFFFFFFFFFFFFFF, dtype=np.uint64), radius)
+    return np.unpackbits(near.view(np.uint8), bitorder="little")[: len(a)].astype(bool)
+
+
+#: Groups of up to so many fingerprints are compared pair by pair, the pairs of all groups side by side: 28 pairs each at most.
+SMALL = 8
+
+
+def link_groups(tiles: np.ndarray, fps: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): links among the fingerprints of each run of equal tiles, enough to connect its classes."""
+    starts = np.flatnonzero(np.diff(tiles, prepend=tiles[:1] - 1))
+    sizes = np.diff(starts, append=len(tiles))
+    lefts, rights = [], []
+    for m in range(2, SMALL + 1):
+        i, j = np.triu_indices(m, 1)
+        group = starts[sizes == m][:, None]
+        lefts.append((group + i).ravel())
+        rights.append((group + j).ravel())
+    left, right = np.concatenate(lefts), np.concatenate(rights)
+    near = pairs_within(fps[left].view(np.uint64), fps[right].view(np.uint64), radius) if len(left) else np.zeros(0, dtype=bool)
+    a, b = [fps[left[near]]], [fps[right[near]]]
+    for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        found = np.array(link(fps[s : s + m].view(np.uint64), radius), dtype=np.int64).reshape(-1, 2)
+        a.append(fps[s + found[:, 0]])
+        b.append(fps[s + found[:, 1]])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def link(fps: np.ndarray, radius: int = 3) -> list[tuple[int, int]]:
     """Edges (index, index), a spanning forest of the links within radius among distinct fps.
 
     Each fingerprint is compared once with all that no earlier one has reached: what is already in a component needs no second link.
     """
     n = len(fps)
-    if n == 2:
-        return [(0, 1)] if (int(fps[0]) ^ int(fps[1])).bit_count() <= radius else []
     vertical = planes(fps)
     alive = np.zeros(vertical.shape[1], dtype=np.uint64)
     full, rest = divmod(n, 64)
@@ -154,16 +188,8 @@ def edges(fps: DataFrame, radius: int = 3, tile: int = 512) -> DataFrame:
         held = pd.DataFrame({"fp": np.array([], dtype=np.int64), "tile": np.array([], dtype=np.int64)})
 
         def linked(tiles: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
-            cut = np.flatnonzero(np.diff(tiles)) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(tiles)]])
-            a, b = [], []
-            for s, e in zip(starts, ends, strict=True):
-                if e - s > 1:
-                    group = fps[s:e]
-                    for x, y in link(group.view(np.uint64), radius):
-                        a.append(group[x])
-                        b.append(group[y])
-            return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+            a, b = link_groups(tiles, fps, radius)
+            return pd.DataFrame({"a": a, "b": b})
 
         for batch in batches:
             both = pd.concat([held, batch[["fp", "tile"]]], ignore_index=True)
