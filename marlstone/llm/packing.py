@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialise, n_words, read
+from marlstone.llm.common import materialise, n_words, read, small
 
 #: Lengths up to EXACT have a bin each, longer ones FINE bins for each doubling: at most EXACT + 53 * FINE bins whatever the corpus.
 EXACT, FINE = 1024, 128
@@ -66,10 +66,11 @@ def pack(docs: DataFrame, text: str = "text", buckets: int = 8, budget: int = 16
     n_tokens: words of the whole text, 0 for null. A batch holds documents of one bucket, each padded to bucket_len, and its padded
     size is at most the budget; a document that is longer than the budget is a batch of its own and over_budget. Within a bucket rows
     are dealt by hash into cells of about cell_rows rows, and a batch is filled within its cell, so that no bucket is one task: a cell
-    leaves one batch that is not full, which costs no padding. Rows that repeat are packed each; an empty table gives no rows.
+    leaves one batch that is not full, which costs no padding. Rows that repeat are packed each, and those that would fill a cell by
+    themselves are dealt over the cells one by one; an empty table gives no rows.
     """
     # Written once: the texts are read a single time, and both the histogram and the batches come from the same lengths.
-    lengths = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col(text)).alias("n_tokens")), "lengths")
+    lengths = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col(text)).alias("n_tokens")).withColumn("__row", F.monotonically_increasing_id()), "lengths")
     counts, tops = _histogram(lengths)
     ends = best_boundaries(counts, tops, buckets)
     edges = [int(tops[i]) for i in ends] or [0]
@@ -82,7 +83,10 @@ def pack(docs: DataFrame, text: str = "text", buckets: int = 8, budget: int = 16
         bucket = F.when(F.col("n_tokens") <= edges[i], i).otherwise(bucket)
     out = lengths.withColumn("bucket", bucket.cast("int")).withColumn("bucket_len", F.get(tops_col, F.col("bucket")))
     # The row's place in its cell is set by hash, then by its own values: rows that tie are equal.
-    out = out.withColumn("cell", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.get(per, F.col("bucket"))).cast("int"))
+    hot = lengths.groupBy(F.col("doc_id").alias("__d"), F.col("n_tokens").alias("__t")).agg(F.count("*").alias("__m")).where(F.col("__m") > cell_rows).drop("__m")
+    hot = small(materialise(hot.withColumn("__hot", F.lit(True)), "hot"))
+    out = out.join(hot, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("n_tokens") == F.col("__t")), "left").drop("__d", "__t")
+    out = out.withColumn("cell", F.pmod(F.xxhash64("doc_id", "n_tokens", F.when(F.col("__hot"), F.col("__row"))), F.get(per, F.col("bucket"))).cast("int"))
     fit = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))).cast("long"))
     cell = Window.partitionBy("bucket", "cell")
     out = out.withColumn("__rn", F.row_number().over(cell.orderBy("doc_id", "n_tokens")) - 1).withColumn("__all", F.count("*").over(cell))
