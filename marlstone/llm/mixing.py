@@ -11,6 +11,8 @@ from marlstone.llm.common import materialise, n_words, read, small
 LEVELS, BITS = 5, 12
 WIDTH = 1 << BITS
 CAP = 3
+#: Sources whose goals are broadcast; more are joined by a shuffle.
+MOST_SOURCES = 100_000
 
 
 def unit_hash(doc_id: Column, text: Column) -> Column:
@@ -47,10 +49,12 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     """
     g = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     g = g.withColumns({"rest": F.col("target") - F.col("whole") * F.col("source_size"), "prefix": F.lit(0).cast("long")})
+    # One row for each source in every round: counted once, whether they are few enough to broadcast.
+    near = F.broadcast if goals.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES else (lambda df: df)
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         known = g.select(F.col("source").alias("s"), "prefix", "rest")
-        at = sized.join(small(known) if level == 0 else F.broadcast(known), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", shift + BITS) == F.col("prefix")))
+        at = sized.join(near(known), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", shift + BITS) == F.col("prefix")))
         hist = at.groupBy("source", F.shiftright("hash", shift).alias("b")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
         run = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
