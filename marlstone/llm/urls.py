@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, UPPER, materialise, read
+from marlstone.llm.common import LOWER, UPPER, materialise, read, small
 
 #: Fixed rules: (host, path, verdict). A rule fits its host and all subdomains where the url's path starts with its path.
 RULES = (
@@ -19,6 +19,7 @@ ORDER = 4
 #: Symbols of the models: a-z, 0 for every digit, 11 marks, the start, and * for all else. Grams are bounded by 40 ** ORDER.
 START, OTHER = "^", "*"
 SYMBOLS = 40
+MOST_GRAMS = 400_000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -77,8 +78,9 @@ def gram_table(urls: DataFrame) -> DataFrame:
 
 def scored(urls: DataFrame, table: DataFrame) -> DataFrame:
     """folded, score: the sum of llr over the url's grams by their number; urls has one row for each folded url."""
-    # The table's rows are bounded by the symbols, not by the urls: at most 40 ** ORDER. Spark broadcasts it where its size allows.
-    at = urls.select("folded", F.explode(_grams(F.col("folded"))).alias("gram")).join(table, "gram")
+    # The table's rows are bounded by the symbols, not by the urls: at most 40 ** ORDER. Counted, it is broadcast up to MOST_GRAMS, so
+    # that the grams of the urls stay where they are.
+    at = urls.select("folded", F.explode(_grams(F.col("folded"))).alias("gram")).join(small(table, MOST_GRAMS), "gram")
     return at.groupBy("folded").agg(F.avg("llr").alias("score"))
 
 
