@@ -96,6 +96,23 @@ def _cached(spark: SparkSession, cache: str) -> DataFrame | None:
     return spark.read.schema(CACHE_SCHEMA).parquet(cache) if there else None
 
 
+def fill(docs: DataFrame, tokenizer: str, cache: str, text: str = "text") -> None:
+    """Append the counts of the distinct texts of docs that the cache does not hold."""
+    spark, version, cut = docs.sparkSession, tokenizer_digest(tokenizer), is_byte_level(tokenizer)
+    t = F.coalesce(F.col(text), F.lit(""))
+    # Copies meet on the map side: of a text that fills a third of the table, each task passes on one. The texts are dealt by digest
+    # once, for the copies and for the cache alike.
+    misses = docs.select(F.sha2(t, 256).alias("digest"), t.alias("t")).groupBy("digest").agg(F.first("t").alias("t"))
+    if (held := _cached(spark, cache)) is not None:
+        misses = misses.join(held.where(F.col("tokenizer") == version).select("digest"), "digest", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"digest": b["digest"].tolist(), "tokenizer": version, "n_tokens": count_tokens(b["t"].tolist(), tokenizer, cut)})
+
+    misses.mapInPandas(run, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache)
+
+
 def counted(docs: DataFrame, tokenizer: str, text: str = "text", cache: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens for each row of docs.
 
@@ -110,20 +127,11 @@ def counted(docs: DataFrame, tokenizer: str, text: str = "text", cache: str | No
     t = F.coalesce(F.col(text), F.lit(""))
     named = docs.select(F.col("doc_id"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("digest"))
     named = materialise(named, "digests")
-    texts = docs.select(F.sha2(t, 256).alias("digest"), t.alias("t"))
-    if (held := _cached(spark, cache)) is not None:
-        texts = texts.join(held.where(F.col("tokenizer") == version).select("digest"), "digest", "left_anti")
-    # Copies meet on the map side: of a text that fills a third of the table, each task passes on one.
-    misses = texts.groupBy("digest").agg(F.first("t").alias("t"))
-    cut = is_byte_level(tokenizer)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"digest": b["digest"].tolist(), "tokenizer": version, "n_tokens": count_tokens(b["t"].tolist(), tokenizer, cut)})
-
-    misses.mapInPandas(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    # A lost task's second try or a run beside this one may have appended a name twice; the counts are equal.
-    known = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    fill(docs, tokenizer, cache, text)
+    # Of the cache, the version's folder is read, and of that the digests at hand. A run beside this one may have appended a name
+    # twice; the counts are equal.
+    at_hand = named.select("digest").distinct()
+    known = _cached(spark, cache).where(F.col("tokenizer") == version).join(at_hand, "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     # Written, so that the join below deals both sides anew and Spark can split a digest that many rows share.
     known = materialise(known, "known")
     return named.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
@@ -132,7 +140,10 @@ def counted(docs: DataFrame, tokenizer: str, text: str = "text", cache: str | No
 def op6_token_digest_cache(spark, sf_dir):
     import public_tokenizers
 
-    # A cache of its own for each call, so that the query encodes every distinct text whatever ran before it.
-    cache = f"{shared_dir(spark)}/marlstone/token-counts-{uuid.uuid4().hex}"
-    found = counted(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache=cache)
+    # A cache of its own for each call, so that the query encodes every distinct text whatever ran before it: one row in 16 (by hash)
+    # first, as an earlier run over a smaller corpus would have, then all, of which those texts are found counted.
+    cache, path = f"{shared_dir(spark)}/marlstone/token-counts-{uuid.uuid4().hex}", public_tokenizers.path("byte_bpe_50k.json")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fill(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0), path, cache=cache)
+    found = counted(docs, path, cache=cache)
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
