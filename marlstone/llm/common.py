@@ -23,12 +23,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; one of our own only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session; where that is unset, one of our own in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if (found := sc._jsc.sc().getCheckpointDir()).isDefined():
         return found.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="marlstone-")
     sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
