@@ -18,7 +18,8 @@ def parse_number(x: Column) -> Column:
 
 def average_rank(value: Column, by: list[str]) -> Column:
     """Rank from 1 within by, ties sharing the mean of their places."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
+    w = Window.partitionBy(*by).orderBy(value)
+    return F.rank().over(w) + (F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2.0
 
 
 def rank_bin(value: Column, tie: Column, by: list[str], bins: int) -> Column:

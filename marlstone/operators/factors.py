@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import average_rank, erfc, finite, full_window, pearson, rank_bin
+from marlstone.operators.market import as_of
+
 
 def series() -> WindowSpec:
     """A symbol's rows in time."""
@@ -67,6 +69,10 @@ FACTORS: dict[str, tuple[Callable[[], Column], str, bool]] = {
 }
 
 
+#: Bars that a factor needs before its first value, its own among them.
+HISTORY = {"mom_20_1": 22, "mom_60_5": 66, "rev_5": 6, "vol_20": 21, "turn_20": 20, "turn_ratio_5_60": 60, "range_pos_252": 252, "amihud_20": 21}
+
+
 def size_proxy() -> Column:
     m = _rolling("amount", 20)
     return F.when(m > 0, F.log(m))
@@ -79,6 +85,12 @@ def factor_panel(bars: DataFrame, names: list[str] | None = None, horizons: tupl
     return with_returns(bars).withColumns(cols)
 
 
+def first_rows(panel: DataFrame, names: list[str]) -> DataFrame:
+    """factor_name, symbols, first_row: symbols with a value, and the least place in a symbol's history at which a factor has one."""
+    x = panel.withColumn("__i", F.row_number().over(series())).select("symbol", "__i", F.explode(F.array(*[F.struct(F.lit(n).alias("factor_name"), F.col(n).alias("v")) for n in names])).alias("x")).where("x.v is not null")
+    return x.groupBy("x.factor_name").agg(F.count_distinct("symbol").alias("symbols"), F.min("__i").alias("first_row"))
+
+
 def long_sections(panel: DataFrame, names: list[str], horizon: int, least: int, keep: list[str] | None = None) -> DataFrame:
     """factor_name, date, symbol, factor, fwd, fr, rr: the pairs that are there of dates with at least `least` names, with their average ranks."""
     x = panel.select("date", "symbol", F.col(f"fwd_{horizon}").alias("fwd"), *(keep or []), F.explode(F.array(*[F.struct(F.lit(n).alias("factor_name"), F.col(n).alias("factor")) for n in names])).alias("x"))
@@ -94,9 +106,9 @@ def strided(sections: DataFrame, horizon: int) -> DataFrame:
     return sections.join(dates.where(F.col("no") % horizon == 0), ["factor_name", "date"])
 
 
-def rank_ic(sections: DataFrame) -> DataFrame:
+def rank_ic(sections: DataFrame, by: list[str] | None = None) -> DataFrame:
     """ic for each factor and date: correlation of the average ranks."""
-    return sections.groupBy("factor_name", "date").agg(F.count("*").alias("names"), pearson("fr", "rr").alias("ic"))
+    return sections.groupBy(*(by or ["factor_name"]), "date").agg(F.count("*").alias("names"), pearson("fr", "rr").alias("ic"))
 
 
 def winsorise(panel: DataFrame, c: str, how: str) -> Column:
@@ -153,38 +165,55 @@ def preprocess(df: DataFrame, c: str, winsor_how: str = "quantile", standard_how
     return standardise(neutralise(winsor(df, c, winsor_how), c, sector=sector), c, standard_how)
 
 
-def _mean_ic_by_trial(ics: DataFrame) -> DataFrame:
-    return ics.where("ic is not null").groupBy("factor_name", "trial").agg(F.avg("ic").alias("trial_ic"))
+def _mean_ic_by_trial(ics: DataFrame, by: list[str]) -> DataFrame:
+    return ics.where("ic is not null").groupBy(*by, "trial").agg(F.avg("ic").alias("trial_ic"))
+
 
+def _draw(seed: Column | int, *parts: Column) -> Column:
+    """The same text in every run, on any partitioning, for what is drawn."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], (seed if isinstance(seed, Column) else F.lit(seed)).cast("string")))
 
-def shuffle_null(sections: DataFrame, trials: int, seed: int = 7) -> DataFrame:
+
+def shuffle_null(sections: DataFrame, trials: int, seed: Column | int = 7, by: list[str] | None = None) -> DataFrame:
     """factor_name, trial, trial_ic: in each date the factor ranks are dealt anew among the names, by the order of an md5 of (trial, date, symbol, seed).
 
-    The rows grow by trials but are reduced to (trial, date) at once; the draw is the same in every run and on any partitioning.
+    The panel is shuffled once, into one row for each section with its names as an array (as long as a date has names); all trials
+    are dealt inside that row, so neither rows nor shuffles grow with the trials. Means and spreads of the ranks are the same in every
+    trial: only the sum of products is counted anew.
     """
-    by = Window.partitionBy("factor_name", "date")
-    s = sections.withColumn("place", F.row_number().over(by.orderBy("fr", "symbol")))
-    t = s.select("factor_name", "date", "symbol", "rr", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    key = F.md5(F.concat_ws("|", "trial", F.col("date").cast("string"), F.col("symbol").cast("string"), F.lit(str(seed))))
-    t = t.withColumn("place", F.row_number().over(Window.partitionBy("factor_name", "trial", "date").orderBy(key, "symbol")))
-    dealt = t.join(s.select("factor_name", "date", "place", "fr"), ["factor_name", "date", "place"])
-    return _mean_ic_by_trial(dealt.groupBy("factor_name", "trial", "date").agg(pearson("fr", "rr").alias("ic")))
+    by = by or ["factor_name"]
+    s = sections.withColumn("__seed", seed if isinstance(seed, Column) else F.lit(seed)).groupBy(*by, "date").agg(
+        F.array_sort(F.collect_list("fr")).alias("frs"), F.collect_list(F.struct("symbol", "rr")).alias("held"), F.first("__seed").alias("seed"),
+        F.avg("fr").alias("mf"), F.avg("rr").alias("mr"), (F.stddev_pop("fr") * F.stddev_pop("rr")).alias("spread"),
+    )
+
+    def trial_ic(t: Column) -> Column:
+        dealt = F.array_sort(F.transform("held", lambda x: F.struct(_draw(F.col("seed"), t, F.col("date"), x["symbol"]).alias("k"), x["symbol"].alias("s"), x["rr"].alias("rr"))))
+        products = F.aggregate(F.zip_with("frs", dealt, lambda f, d: f * d["rr"]), F.lit(0.0), lambda a, x: a + x)
+        return F.try_divide(products / F.size("frs") - F.col("mf") * F.col("mr"), F.col("spread"))
 
+    ics = s.select(*by, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), trial_ic)).alias("trial", "ic"))
+    return _mean_ic_by_trial(ics, by)
 
-def circular_null(sections: DataFrame, trials: int, seed: int = 7) -> DataFrame:
+
+def circular_null(sections: DataFrame, trials: int, seed: Column | int = 7, by: list[str] | None = None) -> DataFrame:
     """factor_name, trial, trial_ic: each symbol's series of factor ranks is rotated by an offset of its own, from 2 to T - 2, then ranked anew per date.
 
-    Symbols with fewer than 4 sections take no part.
+    Symbols with fewer than 4 sections take no part. Two shuffles of the panel: by symbol, where every date gets an array of what each
+    trial's rotation brings it, and by date, where the trials are ranked one after the other without leaving their partition.
     """
-    per = Window.partitionBy("factor_name", "symbol")
-    s = sections.select("factor_name", "date", "symbol", "fr", "rr").withColumns({"pos": F.row_number().over(per.orderBy("date")) - 1, "t": F.count("*").over(per)}).where("t >= 4")
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", "trial", F.col("symbol").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
-    moved = s.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("src", F.pmod(F.col("pos") - (2 + draw % (F.col("t") - 3)), F.col("t")))
-    origin = s.select("factor_name", "symbol", F.col("pos").alias("src"), F.col("fr").alias("rotated"))
-    moved = moved.select("factor_name", "trial", "date", "symbol", "rr", "src").join(origin, ["factor_name", "symbol", "src"])
-    by = ["factor_name", "trial", "date"]
-    moved = moved.withColumns({"a": average_rank(F.col("rotated"), by), "b": average_rank(F.col("rr"), by)})
-    return _mean_ic_by_trial(moved.groupBy(*by).agg(pearson("a", "b").alias("ic")))
+    by = by or ["factor_name"]
+    series_ = sections.withColumn("__seed", seed if isinstance(seed, Column) else F.lit(seed)).groupBy(*by, "symbol").agg(F.array_sort(F.collect_list(F.struct("date", "fr", "rr"))).alias("s"), F.first("__seed").alias("seed")).where(F.size("s") >= 4)
+    t = F.size("s")
+    number = lambda trial: F.conv(F.substring(_draw(F.col("seed"), trial, F.col("symbol")), 1, 8), 16, 10).cast("long")
+    series_ = series_.withColumn("offsets", F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), lambda k: 2 + number(k) % (t - 3)))
+    brought = lambda i: F.transform("offsets", lambda o: F.get("s", F.pmod(i - o, t).cast("int"))["fr"])
+    x = series_.select(*by, "symbol", F.explode(F.transform("s", lambda v, i: F.struct(v["date"].alias("date"), v["rr"].alias("rr"), brought(i).alias("turned")))).alias("x")).select(*by, "symbol", "x.*")
+    x = x.repartition(*by, "date").withColumn("b", average_rank(F.col("rr"), [*by, "date"]))
+    x = x.select(*by, "date", "b", F.posexplode("turned").alias("trial", "rotated"))
+    one = [*by, "date", "trial"]
+    ics = x.withColumn("a", average_rank(F.col("rotated"), one)).groupBy(*one).agg(pearson("a", "b").alias("ic"))
+    return _mean_ic_by_trial(ics, by)
 
 
 def ic_statistics(ics: DataFrame, by: list[str]) -> DataFrame:
@@ -194,10 +223,11 @@ def ic_statistics(ics: DataFrame, by: list[str]) -> DataFrame:
     return x.withColumns({"icir": F.try_divide("mean_ic", "ic_std"), "t_stat": t, "p_value": erfc(F.abs(t) / 2**0.5)})
 
 
-def with_null(stats: DataFrame, null: DataFrame) -> DataFrame:
+def with_null(stats: DataFrame, null: DataFrame, by: list[str] | None = None) -> DataFrame:
     """stats with random_ic_mean, random_ic_std and alpha_t, the distance of mean_ic from the random controls in their deviations."""
-    n = null.groupBy("factor_name").agg(F.avg("trial_ic").alias("random_ic_mean"), F.stddev_samp("trial_ic").alias("random_ic_std"))
-    return stats.join(n, "factor_name", "left").withColumn("alpha_t", F.try_divide(F.col("mean_ic") - F.col("random_ic_mean"), F.col("random_ic_std")))
+    by = by or ["factor_name"]
+    n = null.groupBy(*by).agg(F.avg("trial_ic").alias("random_ic_mean"), F.stddev_samp("trial_ic").alias("random_ic_std"))
+    return stats.join(n, by, "left").withColumn("alpha_t", F.try_divide(F.col("mean_ic") - F.col("random_ic_mean"), F.col("random_ic_std")))
 
 
 def split_sections(sections: DataFrame, share: float) -> DataFrame:
@@ -210,26 +240,72 @@ def split_sections(sections: DataFrame, share: float) -> DataFrame:
     return sections.join(dates, ["factor_name", "date"])
 
 
-def evaluate(sections: DataFrame, trials: int, seed: int = 7, share: float = 0.7, null=shuffle_null) -> DataFrame:
-    """One row for each factor: statistics overall and of the train and test dates, each against random controls of its own seed."""
-    split = split_sections(sections, share)
-    out = with_null(ic_statistics(rank_ic(split), ["factor_name"]), null(split, trials, seed))
-    for i, part in enumerate(("train", "test"), 1):
-        own = split.where(F.col("part") == part)
-        x = with_null(ic_statistics(rank_ic(own), ["factor_name"]), null(own, trials, seed + i))
-        out = out.join(x.select("factor_name", *[F.col(c).alias(f"{part}_{c}") for c in ("mean_ic", "alpha_t", "section_count")]), "factor_name", "left")
-    return out
+#: What an evaluation tells of each scope, and of the whole only.
+STATS = ("mean_ic", "ic_std", "icir", "t_stat", "p_value", "random_ic_mean", "random_ic_std", "alpha_t", "positive_ic_share")
+
+
+def evaluate(panel: DataFrame, names: list[str], horizon: int = 1, trials: int = 100, seed: int = 7, least: int = 30, min_dates: int = 40, share: float = 0.7, stride: int = 1, null: str = "shuffle") -> DataFrame:
+    """One row for each factor: status, gaps, counts, statistics overall and of the train and test dates against random controls of their own seeds.
+
+    It fails closed: where too few sections are left (insufficient_effective_sections), more than 30% of the dates have too few names
+    (excessive_cross_section_exclusions), or a section has too few names for the controls (insufficient_null_cross_section), status is
+    insufficient_data and every statistic missing. Names whose history mixes sources (a column null_eligible that is false) and, under
+    rotation, series of fewer than 4 sections take no part in the controls; the gaps say so (cross_source_panel_excluded_from_null,
+    circular_series_too_short). Parameters out of range raise ValueError.
+    """
+    if trials < 2 or least < 2 or min_dates < 1 or stride < 1 or not 0 < share < 1 or null not in ("shuffle", "circular"):
+        raise ValueError("invalid evaluation parameters")
+    eligible = "null_eligible" in panel.columns
+    kept = long_sections(panel, names, horizon, least, ["null_eligible"] if eligible else None)
+    used = strided(kept, stride) if stride > 1 else kept
+    # Every section stands for the whole and for its own part.
+    by = ["factor_name", "scope"]
+    x = split_sections(used, share).withColumn("scope", F.explode(F.array(F.lit("overall"), F.col("part"))))
+    control = F.coalesce(F.col("null_eligible"), F.lit(True)) if eligible else F.lit(True)
+    x = x.withColumn("mixed", ~control)
+    short = (F.count("*").over(Window.partitionBy(*by, "symbol")) < 4) if null == "circular" else F.lit(False)
+    x = x.withColumn("short", ~F.col("mixed") & short).withColumn("control", ~F.col("mixed") & ~F.col("short"))
+    thin = x.groupBy(*by, "date").agg(F.count_if("control").alias("n"), F.max("mixed").alias("mixed"), F.max("short").alias("short"))
+    thin = thin.groupBy("factor_name").agg(F.min("n").alias("fewest"), F.max("mixed").alias("mixed"), F.max("short").alias("short"), F.count_if(F.col("scope") == "overall").alias("effective_sections"))
+    total = panel.groupBy().agg(F.count_distinct("date").alias("total_dates"))
+    all_names = total.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("factor_name"), "total_dates")
+    raw = kept.groupBy("factor_name").agg(F.count_distinct("date").alias("raw_sections"))
+    g = all_names.join(raw, "factor_name", "left").join(thin, "factor_name", "left").na.fill(0, ["raw_sections", "effective_sections"]).withColumn("excluded_dates", F.col("total_dates") - F.col("raw_sections"))
+    few, many = F.col("effective_sections") < min_dates, (F.col("total_dates") == 0) | (F.col("excluded_dates") > 0.30 * F.col("total_dates"))
+    starved = ~few & ~many & (F.col("fewest") < least)
+    told = F.array_compact(F.array(
+        F.when(few, "insufficient_effective_sections"), F.when(many, "excessive_cross_section_exclusions"), F.when(starved, "insufficient_null_cross_section"),
+        F.when(~few & ~many & F.col("mixed"), "cross_source_panel_excluded_from_null"), F.when(starved & F.col("short"), "circular_series_too_short"),
+    ))
+    g = g.select("factor_name", F.when(few | many | starved, "insufficient_data").otherwise("ok").alias("status"), told.alias("gaps"), "total_dates", "excluded_dates", "effective_sections")
+    if eligible or null == "circular":  # names leave, so that the others' ranks close up
+        y = x.where("control").withColumns({"fr": average_rank(F.col("fr"), [*by, "date"]), "rr": average_rank(F.col("rr"), [*by, "date"])})
+    else:
+        y = x
+    own_seed = F.when(F.col("scope") == "train", seed + 1).when(F.col("scope") == "test", seed + 2).otherwise(seed)
+    controls = (shuffle_null if null == "shuffle" else circular_null)(y, trials, own_seed, by)
+    st = with_null(ic_statistics(rank_ic(x, by), by), controls, by)
+    of = lambda scope, c: F.max(F.when(F.col("scope") == scope, F.col(c)))
+    wide = st.groupBy("factor_name").agg(*[of("overall", c).alias(c) for c in STATS], *[of(p, c).alias(f"{p}_{c}") for p in ("train", "test") for c in ("mean_ic", "alpha_t")])
+    out = g.join(wide, "factor_name", "left")
+    return out.select(*g.columns, *[F.when(F.col("status") == "ok", F.col(c)).alias(c) for c in wide.columns if c != "factor_name"])
 
 
-def verdict(evaluated: DataFrame, threshold: float = 3.5) -> DataFrame:
-    """state: confirmed_alive, train_only, reversed_strict or noise by the signed distances; null where a statistic is missing."""
-    sign = F.lit(1.0)
-    for n, f in FACTORS.items():
-        sign = F.when(F.col("factor_name") == n, -1.0 if f[1] == "-" else 1.0).otherwise(sign)
+def verdict(evaluated: DataFrame, threshold: float = 3.5, directions: dict[str, str] | None = None) -> DataFrame:
+    """state: confirmed_alive, train_only, reversed_strict or noise by the signed distances; null where a statistic is missing.
+
+    directions: the hypothesis of each factor, + or - or research (which has no opposite, so is never reversed); by default that of FACTORS.
+    """
+    known = directions or {n: f[1] for n, f in FACTORS.items()}
+    way = F.lit("")
+    for n, d in known.items():
+        way = F.when(F.col("factor_name") == n, d).otherwise(way)
+    sign = F.when(way == "-", -1.0).otherwise(1.0)
     a, tr, te = (finite(F.col(c)) * sign for c in ("alpha_t", "train_alpha_t", "test_alpha_t"))
-    against = lambda ic: ic * sign < 0
+    against = lambda ic: way.isin("+", "-") & (ic * sign < 0)
+    missing = a.isNull() | tr.isNull() | te.isNull() | finite(F.col("random_ic_mean")).isNull() | finite(F.col("train_mean_ic")).isNull() | finite(F.col("test_mean_ic")).isNull()
     state = (
-        F.when(a.isNull() | tr.isNull() | te.isNull(), None)
+        F.when(missing, None)
         .when((tr >= threshold) & (te >= threshold) & (F.col("train_mean_ic") * F.col("test_mean_ic") > 0), "confirmed_alive")
         .when((tr >= threshold) & (te < threshold), "train_only")
         .when((a <= -threshold) & (te <= -threshold) & against(F.col("mean_ic")) & against(F.col("test_mean_ic")), "reversed_strict")
@@ -280,21 +356,21 @@ def backtest(panel: DataFrame, factor: str, bins: int = 5, every: int = 5, shift
     A position is settled at its last price up to the exit date. Turnover is against the previous kept epoch's weights, drifted by
     their returns. Epochs with too few names are left out before they are numbered.
     """
-    dates = panel.select("date").distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1)
-    n = dates.count()  # one row a date: bounded by the calendar
-    slots = dates.select(F.explode(F.array([F.lit(e) for e in range(shift, max(shift, n - 1), every)] or [F.lit(-1)])).alias("entry")).distinct().withColumn("exit", F.least(F.col("entry") + every, F.lit(n - 1)))
-    at = lambda c, name: dates.select(F.col("i").alias(c), F.col("date").alias(name))
-    slots = slots.where("exit > entry and entry >= 0").withColumn("form", F.col("entry") - shift)
-    slots = F.broadcast(slots.join(at("entry", "entry_date"), "entry").join(at("exit", "exit_date"), "exit").join(at("form", "form_date"), "form"))
+    # One row a date: entries, exits and forming dates are neighbours in the calendar.
+    cal = Window.partitionBy(F.lit(0)).orderBy("date")
+    last_date = F.last("date").over(cal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    slots = panel.select("date").distinct().select(
+        (F.row_number().over(cal) - 1).alias("entry"), F.col("date").alias("entry_date"), F.coalesce(F.lead("date", every).over(cal), last_date).alias("exit_date"), F.lag("date", shift).over(cal).alias("form_date"),
+    ).where((F.col("entry") >= shift) & ((F.col("entry") - shift) % every == 0) & (F.col("exit_date") > F.col("entry_date")))
     close = panel.select("symbol", "date", finite(F.col("close")).alias("close"), finite(F.col(factor)).alias("factor"))
     formed = close.join(slots, close["date"] == slots["form_date"]).where("factor is not null").select("symbol", "factor", "entry", "entry_date", "exit_date")
     entered = close.where("close is not null").select("symbol", F.col("date").alias("entry_date"), F.col("close").alias("entry_close"))
     held = formed.join(entered, ["symbol", "entry_date"]).withColumn("names", F.count("*").over(Window.partitionBy("entry"))).where(F.col("names") >= max(least, bins))
     held = held.withColumn("bin", rank_bin(F.col("factor"), F.col("symbol"), ["entry"], bins) + 1)
     epochs = held.select("entry").distinct().withColumn("epoch", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("entry")))
-    prices = close.where("close > 0").select(F.col("symbol").alias("s"), "date", "close")
-    last = held.join(prices, (F.col("symbol") == F.col("s")) & F.col("date").between(F.col("entry_date"), F.col("exit_date")))
-    last = last.groupBy("entry", "bin", "symbol", "entry_close").agg(F.max_by("close", "date").alias("last_close"), F.max("date").alias("last_date"))
+    # The last price up to the exit: the prices before the entry are none of the position's.
+    last = as_of(held.select("symbol", "entry", "bin", "entry_date", "exit_date", "entry_close"), close.where("close > 0").select("symbol", "date", "close"), "exit_date", True)
+    last = last.where("base_date >= entry_date").select("entry", "bin", "symbol", "entry_close", F.col("base_close").alias("last_close"))
     w = Window.partitionBy("entry", "bin")
     pos = last.join(epochs, "entry").withColumns({"ret": F.col("last_close") / F.col("entry_close") - 1, "weight": 1.0 / F.count("*").over(w)})
     grown = F.col("weight") * (1 + F.col("ret"))

@@ -16,16 +16,15 @@ def _rounded(df, *cols, digits=R):
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
-def least_names(spark, sf_dir) -> int:
-    """Minimum names of a section: 30, but 4 where the table has so few symbols that no week could reach it."""
-    return 30 if bars(spark, sf_dir).select("symbol").distinct().count() >= 60 else 4
+#: Minimum names of a section, whatever the size of the table.
+LEAST_NAMES = 30
 
 
 def _panel(spark, sf_dir, names=None, horizons=(1,)):
     return fx.factor_panel(bars(spark, sf_dir), names, horizons)
 
 
-LEAST = "lim AS (SELECT CASE WHEN count(DISTINCT symbol) >= 60 THEN 30 ELSE 4 END AS least FROM bars)"
+LEAST = f"lim AS (SELECT {LEAST_NAMES} AS least)"
 W20 = "PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW"
 PANEL = f"""{BARS}, {LEAST},
 p0 AS (SELECT *, close / nullif(lag(close) OVER s, 0) - 1 AS ret, lead(close, 1) OVER s / close - 1 AS fwd_1, lead(close, 4) OVER s / close - 1 AS fwd_4 FROM bars WINDOW s AS (PARTITION BY symbol ORDER BY date)),
@@ -71,6 +70,11 @@ def w02_factors(spark, sf_dir):
     return p.select("symbol", "date", *[F.round(F.col(n) * (1e6 if n == "amihud_20" else 1), 5).alias(n) for n in fx.FACTORS])
 
 
+@query("WITH " + PANEL + ", n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM panel) " + " UNION ALL ".join(f"SELECT '{n}' AS factor_name, count(DISTINCT symbol) AS symbols, min(i)::INT AS first_row FROM n WHERE {n} IS NOT NULL HAVING count(*) > 0" for n in fx.FACTORS))
+def u01_factor_history(spark, sf_dir):
+    return fx.first_rows(_panel(spark, sf_dir, list(fx.FACTORS)), list(fx.FACTORS))
+
+
 @query("WITH " + PANEL + " SELECT symbol, date, round(size, 6) AS size FROM panel")
 def w03_size_proxy(spark, sf_dir):
     return _rounded(_panel(spark, sf_dir, []).select("symbol", "date", "size"), "size")
@@ -78,7 +82,7 @@ def w03_size_proxy(spark, sf_dir):
 
 @query("WITH " + PANEL + ", " + _sections_sql(["rev_5"]) + " SELECT date, symbol, fr AS factor_rank, rr AS return_rank FROM sec")
 def w04_average_ranks(spark, sf_dir):
-    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5"]), ["rev_5"], 1, least_names(spark, sf_dir))
+    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5"]), ["rev_5"], 1, LEAST_NAMES)
     return s.select("date", "symbol", F.col("fr").alias("factor_rank"), F.col("rr").alias("return_rank"))
 
 
@@ -175,18 +179,36 @@ def x02_preprocess(spark, sf_dir):
 @query("WITH " + PANEL + ", " + _sections_sql(DEFAULTS) + " SELECT s0.factor_name, count(DISTINCT s0.date) AS dates, (SELECT count(DISTINCT date) FROM sec x WHERE x.factor_name = s0.factor_name) AS kept_dates FROM s0 GROUP BY s0.factor_name")
 def x01_sections(spark, sf_dir):
     p = _panel(spark, sf_dir)
-    kept = fx.long_sections(p, DEFAULTS, 1, least_names(spark, sf_dir)).groupBy("factor_name").agg(F.count_distinct("date").alias("kept_dates"))
+    kept = fx.long_sections(p, DEFAULTS, 1, LEAST_NAMES).groupBy("factor_name").agg(F.count_distinct("date").alias("kept_dates"))
     names = p.select(F.explode(F.array(*[F.lit(n) for n in DEFAULTS])).alias("factor_name"), "date").groupBy("factor_name").agg(F.count_distinct("date").alias("dates"))
     return names.join(kept, "factor_name", "left").na.fill(0, ["kept_dates"])
 
 
 @query("WITH " + PANEL + ", " + _sections_sql(DEFAULTS) + f" SELECT factor_name, date, count(*) AS names, round({IC}, 6) AS ic FROM sec GROUP BY factor_name, date")
-def x03_rank_ic(spark, sf_dir):
-    s = fx.long_sections(_panel(spark, sf_dir), DEFAULTS, 1, least_names(spark, sf_dir))
+def x03_rank_ic(spark, sf_dir, least=LEAST_NAMES):
+    s = fx.long_sections(_panel(spark, sf_dir), DEFAULTS, 1, least)
     return _rounded(fx.rank_ic(s), "ic")
 
 
 TRIALS = 10
+#: Every section stands for the whole and for its part of the dates, each with controls of its own seed.
+SCOPES = """dn AS (SELECT factor_name, date, row_number() OVER (PARTITION BY factor_name ORDER BY date) AS i, count(*) OVER (PARTITION BY factor_name) AS n FROM (SELECT DISTINCT factor_name, date FROM sec)),
+parts AS (SELECT factor_name, date, CASE WHEN i <= greatest(1, least(n - 1, floor(n * 0.7::DOUBLE))) THEN 'train' ELSE 'test' END AS part FROM dn),
+ssec AS (SELECT sec.*, 'overall' AS scope, '7' AS seed FROM sec UNION ALL SELECT sec.*, part, CASE part WHEN 'train' THEN '8' ELSE '9' END FROM sec JOIN parts USING (factor_name, date))"""
+
+
+def _shuffled(source: str, control: str) -> str:
+    return f"""t0 AS (SELECT *, row_number() OVER (PARTITION BY factor_name, scope, date ORDER BY fr, symbol) AS place FROM {control}),
+t1 AS (SELECT factor_name, scope, date, symbol, rr, trial, row_number() OVER (PARTITION BY factor_name, scope, trial, date ORDER BY md5(concat_ws('|', trial::VARCHAR, date::VARCHAR, symbol::VARCHAR, seed)), symbol) AS place FROM t0, (SELECT unnest(range({TRIALS})) AS trial)),
+t2 AS (SELECT t1.factor_name, t1.scope, t1.trial, t1.date, covar_pop(fr, t1.rr) / nullif(sqrt(var_pop(fr) * var_pop(t1.rr)), 0) AS ic FROM t1 JOIN t0 ON t1.factor_name = t0.factor_name AND t1.scope = t0.scope AND t1.date = t0.date AND t1.place = t0.place GROUP BY t1.factor_name, t1.scope, t1.trial, t1.date),
+snul AS (SELECT factor_name, scope, trial, avg(ic) AS trial_ic FROM t2 WHERE ic IS NOT NULL GROUP BY factor_name, scope, trial),
+sics AS (SELECT factor_name, scope, date, {IC} AS ic FROM {source} GROUP BY factor_name, scope, date),
+sst AS (SELECT factor_name, scope, avg(ic) AS mean_ic, stddev_samp(ic) AS ic_std, count(*) AS section_count, avg((ic > 0)::INT) AS positive_ic_share FROM sics WHERE ic IS NOT NULL GROUP BY factor_name, scope),
+sns AS (SELECT factor_name, scope, avg(trial_ic) AS random_ic_mean, stddev_samp(trial_ic) AS random_ic_std FROM snul GROUP BY factor_name, scope),
+sv AS (SELECT sst.*, random_ic_mean, random_ic_std, (mean_ic - random_ic_mean) / nullif(random_ic_std, 0) AS alpha_t FROM sst JOIN sns USING (factor_name, scope)),
+ev AS (SELECT o.*, a.mean_ic AS train_mean_ic, a.alpha_t AS train_alpha_t, b.mean_ic AS test_mean_ic, b.alpha_t AS test_alpha_t FROM sv o JOIN sv a ON a.factor_name = o.factor_name AND o.scope = 'overall' AND a.scope = 'train' JOIN sv b ON b.factor_name = o.factor_name AND b.scope = 'test')"""
+
+
 SHUFFLE = f"""t0 AS (SELECT *, row_number() OVER (PARTITION BY factor_name, date ORDER BY fr, symbol) AS place FROM sec),
 t1 AS (SELECT factor_name, date, symbol, rr, trial, row_number() OVER (PARTITION BY factor_name, trial, date ORDER BY md5(concat_ws('|', trial::VARCHAR, date::VARCHAR, symbol::VARCHAR, '7')), symbol) AS place FROM t0, (SELECT unnest(range({TRIALS})) AS trial)),
 t2 AS (SELECT t1.factor_name, t1.trial, t1.date, covar_pop(fr, t1.rr) / nullif(sqrt(var_pop(fr) * var_pop(t1.rr)), 0) AS ic FROM t1 JOIN t0 ON t1.factor_name = t0.factor_name AND t1.date = t0.date AND t1.place = t0.place GROUP BY t1.factor_name, t1.trial, t1.date),
@@ -195,7 +217,7 @@ nul AS (SELECT factor_name, trial, avg(ic) AS trial_ic FROM t2 WHERE ic IS NOT N
 
 @query("WITH " + PANEL + ", " + _sections_sql(["rev_5"]) + ", " + SHUFFLE + " SELECT trial, round(trial_ic, 6) AS trial_ic FROM nul")
 def x04_shuffle_null(spark, sf_dir):
-    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5"]), ["rev_5"], 1, least_names(spark, sf_dir))
+    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5"]), ["rev_5"], 1, LEAST_NAMES)
     return fx.shuffle_null(s, TRIALS).select(F.col("trial").cast("long").alias("trial"), F.round("trial_ic", 6).alias("trial_ic"))
 
 
@@ -208,39 +230,79 @@ cnul AS (SELECT factor_name, trial, avg(ic) AS trial_ic FROM (SELECT factor_name
 
 @query("WITH " + PANEL + ", " + _sections_sql(["rev_5"]) + ", " + CIRCULAR + " SELECT trial, round(trial_ic, 6) AS trial_ic FROM cnul")
 def x05_circular_null(spark, sf_dir):
-    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5"]), ["rev_5"], 1, least_names(spark, sf_dir))
+    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5"]), ["rev_5"], 1, LEAST_NAMES)
     return fx.circular_null(s, TRIALS).select(F.col("trial").cast("long").alias("trial"), F.round("trial_ic", 6).alias("trial_ic"))
 
 
 STATS = f"ics AS (SELECT factor_name, date, {IC} AS ic FROM sec GROUP BY factor_name, date), st AS (SELECT factor_name, avg(ic) AS mean_ic, stddev_samp(ic) AS ic_std, count(*) AS section_count, avg((ic > 0)::INT) AS positive_ic_share FROM ics WHERE ic IS NOT NULL GROUP BY factor_name), ns AS (SELECT factor_name, avg(trial_ic) AS random_ic_mean, stddev_samp(trial_ic) AS random_ic_std FROM nul GROUP BY factor_name)"
 
 
-@query("WITH " + PANEL + ", " + _sections_sql(["rev_5", "vol_20"]) + ", " + SHUFFLE + ", " + STATS + " SELECT factor_name, section_count, round(mean_ic, 6) AS mean_ic, round(ic_std, 6) AS ic_std, round(mean_ic / ic_std, 5) AS icir, round(mean_ic / (ic_std / sqrt(section_count)), 4) AS t_stat, round(positive_ic_share, 6) AS positive_ic_share, round(random_ic_mean, 6) AS random_ic_mean, round((mean_ic - random_ic_mean) / nullif(random_ic_std, 0), 3) AS alpha_t FROM st JOIN ns USING (factor_name)")
+def _evaluated(spark, sf_dir):
+    return fx.evaluate(_panel(spark, sf_dir, ["rev_5", "vol_20"]), ["rev_5", "vol_20"], 1, TRIALS, least=LEAST_NAMES)
+
+
+EVALUATED = "WITH " + PANEL + ", " + _sections_sql(["rev_5", "vol_20"]) + ", " + SCOPES + ", " + _shuffled("ssec", "ssec")
+COUNTS = "tot AS (SELECT count(DISTINCT date) AS total_dates FROM panel), raw AS (SELECT factor_name, count(DISTINCT date) AS eff FROM sec GROUP BY factor_name)"
+
+
+@query(EVALUATED + ", " + COUNTS + """ SELECT factor_name, 'ok' AS status, total_dates, total_dates - eff AS excluded_dates, eff AS effective_sections, round(mean_ic, 6) AS mean_ic, round(ic_std, 6) AS ic_std, round(mean_ic / ic_std, 5) AS icir, round(mean_ic / (ic_std / sqrt(section_count)), 4) AS t_stat,
+  round(positive_ic_share, 6) AS positive_ic_share, round(random_ic_mean, 6) AS random_ic_mean, round(alpha_t, 3) AS alpha_t, round(train_mean_ic, 6) AS train_mean_ic, round(train_alpha_t, 3) AS train_alpha_t, round(test_mean_ic, 6) AS test_mean_ic, round(test_alpha_t, 3) AS test_alpha_t FROM ev JOIN raw USING (factor_name), tot""")
 def x06_evaluate(spark, sf_dir):
-    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5", "vol_20"]), ["rev_5", "vol_20"], 1, least_names(spark, sf_dir))
-    x = fx.with_null(fx.ic_statistics(fx.rank_ic(s), ["factor_name"]), fx.shuffle_null(s, TRIALS))
-    return _rounded(_rounded(x, "mean_ic", "ic_std", "positive_ic_share", "random_ic_mean"), "icir", digits=5).select("factor_name", "section_count", "mean_ic", "ic_std", "icir", F.round("t_stat", 4).alias("t_stat"), "positive_ic_share", "random_ic_mean", F.round("alpha_t", 3).alias("alpha_t"))
+    digits = {"mean_ic": 6, "ic_std": 6, "icir": 5, "t_stat": 4, "positive_ic_share": 6, "random_ic_mean": 6, "alpha_t": 3, "train_mean_ic": 6, "train_alpha_t": 3, "test_mean_ic": 6, "test_alpha_t": 3}
+    return _evaluated(spark, sf_dir).select("factor_name", "status", "total_dates", "excluded_dates", "effective_sections", *[F.round(c, n).alias(c) for c, n in digits.items()])
+
+
+#: Factors that meet the gates: all is well; dates with few names; too few dates; names of mixed sources; hardly any name for the controls.
+GATED = {"full": "rev_5", "thin": "CASE WHEN volume_week % 2 = 0 OR symbol % 8 = 0 THEN rev_5 END", "short": "CASE WHEN date < '1993-06-01' THEN rev_5 END"}
+
+
+def _gated(spark, sf_dir, mixed_below: int):
+    """The panel with factors of GATED; names whose number modulo 4 is below mixed_below have a history of mixed sources."""
+    p = _panel(spark, sf_dir, ["rev_5"])
+    p = p.withColumn("volume_week", F.substring("date", 9, 2).cast("int"))
+    return p.withColumns({n: F.expr(e) for n, e in GATED.items()}).withColumn("null_eligible", F.col("symbol") % 4 >= mixed_below)
+
+
+def _gates_sql(tag: str, mixed_below: int) -> str:
+    factors = " UNION ALL ".join(f"SELECT '{n}' AS factor_name, date, symbol, {e} AS factor, fwd_1 AS fwd FROM (SELECT *, substr(date, 9, 2)::INT AS volume_week FROM panel)" for n, e in GATED.items())
+    return f"""f{tag} AS ({factors}), v{tag} AS (SELECT factor_name, date, count(*) AS n, count(*) FILTER (symbol % 4 >= {mixed_below}) AS c FROM f{tag} WHERE factor IS NOT NULL AND fwd IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {LEAST_NAMES}),
+r{tag} AS (SELECT n.factor_name, total, coalesce(eff, 0) AS eff, fewest, coalesce(mixed, false) AS mixed FROM (SELECT unnest({list(GATED)}) AS factor_name, (SELECT count(DISTINCT date) FROM panel) AS total) n LEFT JOIN (SELECT factor_name, count(*) AS eff, min(c) AS fewest, bool_or(c < n) AS mixed FROM v{tag} GROUP BY 1) USING (factor_name)),
+g{tag} AS (SELECT '{tag}' AS sources, factor_name, total AS total_dates, total - eff AS excluded_dates, eff AS effective_sections, eff < 40 AS few, (total = 0 OR total - eff > 0.3 * total) AS many, fewest, mixed FROM r{tag})"""
+
+
+@query("WITH " + PANEL + ", " + ", ".join(_gates_sql(t, m) for t, m in (("one", 0), ("some", 1), ("most", 3))) + f""", g AS (SELECT * FROM gone UNION ALL SELECT * FROM gsome UNION ALL SELECT * FROM gmost),
+s AS (SELECT *, NOT few AND NOT many AND fewest < {LEAST_NAMES} AS starved FROM g)
+SELECT sources, factor_name, total_dates, excluded_dates, effective_sections, CASE WHEN few OR many OR coalesce(starved, false) THEN 'insufficient_data' ELSE 'ok' END AS status,
+  array_to_string(list_filter([CASE WHEN few THEN 'insufficient_effective_sections' END, CASE WHEN many THEN 'excessive_cross_section_exclusions' END, CASE WHEN starved THEN 'insufficient_null_cross_section' END, CASE WHEN NOT few AND NOT many AND mixed THEN 'cross_source_panel_excluded_from_null' END], lambda x: x IS NOT NULL), ',') AS gaps FROM s""")
+def x06_evaluation_gates(spark, sf_dir):
+    out = None
+    for tag, mixed in (("one", 0), ("some", 1), ("most", 3)):
+        x = fx.evaluate(_gated(spark, sf_dir, mixed), list(GATED), 1, 2, least=LEAST_NAMES).withColumn("sources", F.lit(tag))
+        out = x if out is None else out.unionByName(x)
+    return out.select("sources", "factor_name", "total_dates", "excluded_dates", "effective_sections", "status", F.array_join("gaps", ",").alias("gaps"))
 
 
 @query("WITH " + PANEL + ", " + _sections_sql(DEFAULTS, "fwd_4") + f", dn AS (SELECT factor_name, date, row_number() OVER (PARTITION BY factor_name ORDER BY date) - 1 AS no FROM (SELECT DISTINCT factor_name, date FROM sec)), ics AS (SELECT sec.factor_name, sec.date, {IC} AS ic FROM sec JOIN dn ON dn.factor_name = sec.factor_name AND dn.date = sec.date WHERE no % 4 = 0 GROUP BY sec.factor_name, sec.date) SELECT factor_name, count(ic) AS section_count, round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS ic_std FROM ics GROUP BY factor_name")
 def x07_engine_run(spark, sf_dir):
-    s = fx.strided(fx.long_sections(_panel(spark, sf_dir, None, (4,)), DEFAULTS, 4, least_names(spark, sf_dir)), 4)
+    s = fx.strided(fx.long_sections(_panel(spark, sf_dir, None, (4,)), DEFAULTS, 4, LEAST_NAMES), 4)
     return _rounded(fx.ic_statistics(fx.rank_ic(s), ["factor_name"]), "mean_ic", "ic_std").select("factor_name", "section_count", "mean_ic", "ic_std")
 
 
 @query("WITH " + PANEL + ", " + _sections_sql(["rev_5", "vol_20"]) + ", " + SHUFFLE + ", " + CIRCULAR + ", " + STATS + ", cs AS (SELECT factor_name, avg(trial_ic) AS cm, stddev_samp(trial_ic) AS csd FROM cnul GROUP BY factor_name) SELECT factor_name, round(random_ic_std, 6) AS shuffle_std, round(csd, 6) AS circular_std, (csd > random_ic_std) AS wider, (abs((mean_ic - cm) / csd) <= abs((mean_ic - random_ic_mean) / random_ic_std)) AS not_higher FROM st JOIN ns USING (factor_name) JOIN cs USING (factor_name)")
 def x08_compare_nulls(spark, sf_dir):
-    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5", "vol_20"]), ["rev_5", "vol_20"], 1, least_names(spark, sf_dir))
+    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5", "vol_20"]), ["rev_5", "vol_20"], 1, LEAST_NAMES)
     st = fx.ic_statistics(fx.rank_ic(s), ["factor_name"])
     a, b = fx.with_null(st, fx.shuffle_null(s, TRIALS)), fx.with_null(st, fx.circular_null(s, TRIALS))
     b = b.select("factor_name", F.col("random_ic_std").alias("csd"), F.col("alpha_t").alias("ca"))
     return a.join(b, "factor_name").select("factor_name", F.round("random_ic_std", 6).alias("shuffle_std"), F.round("csd", 6).alias("circular_std"), (F.col("csd") > F.col("random_ic_std")).alias("wider"), (F.abs("ca") <= F.abs("alpha_t")).alias("not_higher"))
 
 
-@query()
+@query(EVALUATED + """ SELECT factor_name, round(mean_ic, 6) AS mean_ic, round(alpha_t, 3) AS alpha_t, round(train_alpha_t, 3) AS train_alpha_t, round(test_alpha_t, 3) AS test_alpha_t, CASE
+  WHEN random_ic_mean IS NULL OR a IS NULL OR tr IS NULL OR te IS NULL THEN NULL WHEN tr >= 3.5 AND te >= 3.5 AND train_mean_ic * test_mean_ic > 0 THEN 'confirmed_alive' WHEN tr >= 3.5 AND te < 3.5 THEN 'train_only'
+  WHEN a <= -3.5 AND te <= -3.5 AND mean_ic * sg < 0 AND test_mean_ic * sg < 0 THEN 'reversed_strict' ELSE 'noise' END AS state FROM (SELECT *, alpha_t * sg AS a, train_alpha_t * sg AS tr, test_alpha_t * sg AS te FROM (SELECT *, CASE factor_name WHEN 'vol_20' THEN -1.0 ELSE 1.0 END AS sg FROM ev))""")
 def x09_verdict(spark, sf_dir):
-    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5", "vol_20"]), ["rev_5", "vol_20"], 1, least_names(spark, sf_dir))
-    return fx.verdict(fx.evaluate(s, TRIALS)).select("factor_name", "state", "mean_ic", "alpha_t", "train_alpha_t", "test_alpha_t")
+    x = fx.verdict(_evaluated(spark, sf_dir))
+    return x.select("factor_name", F.round("mean_ic", 6).alias("mean_ic"), *[F.round(c, 3).alias(c) for c in ("alpha_t", "train_alpha_t", "test_alpha_t")], "state")
 
 
 BACKTEST = f"""d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM panel)), mx AS (SELECT count(*) AS n FROM d),
@@ -258,7 +320,7 @@ bt AS (SELECT *, turnover * 8 / 10000 + sell_turnover * 5 / 10000 AS cost FROM g
 
 
 def _backtest(spark, sf_dir):
-    return fx.backtest(_panel(spark, sf_dir, ["rev_5"]), "rev_5", least=least_names(spark, sf_dir))
+    return fx.backtest(_panel(spark, sf_dir, ["rev_5"]), "rev_5", least=LEAST_NAMES)
 
 
 @query("WITH " + PANEL + ", " + BACKTEST + " SELECT epoch, bin, names, round(gross_return, 6) AS gross_return, round(turnover, 6) AS turnover, round(cost, 8) AS cost, round(gross_return - cost, 6) AS net_return FROM bt")
@@ -289,7 +351,7 @@ def x11_attribution(spark, sf_dir):
 def x12_conditional_validation(spark, sf_dir):
     p = _panel(spark, sf_dir, ["rev_5"])
     state = p.groupBy("date").agg(F.first("risk_regime").alias("reg")).withColumn("state", F.lag("reg").over(Window.partitionBy(F.lit(0)).orderBy("date"))).select("date", "state")
-    s = fx.rank_ic(fx.long_sections(p, ["rev_5"], 1, least_names(spark, sf_dir))).join(state, "date").where("state is not null")
+    s = fx.rank_ic(fx.long_sections(p, ["rev_5"], 1, LEAST_NAMES)).join(state, "date").where("state is not null")
     return _rounded(fx.ic_statistics(s, ["state"]), "mean_ic", "ic_std").select("state", "section_count", "mean_ic", "ic_std")
 
 
@@ -303,16 +365,25 @@ def x14_premarket_screen(spark, sf_dir):
     return fx.screen(_panel(spark, sf_dir), DEFAULTS)
 
 
+T02 = SQL["x14_premarket_screen"].rsplit("SELECT symbol, null_count", 1)[0]
+
+
+@query(T02 + "SELECT symbol, vote, row_number() OVER (ORDER BY abs(vote) DESC, vote DESC, symbol)::INT AS place FROM e WHERE edge_status = 'edge'")
+def t02_watch_ranking(spark, sf_dir):
+    x = fx.screen(_panel(spark, sf_dir), DEFAULTS)
+    return x.where("edge_status = 'edge'").select("symbol", "vote", F.col("watch_rank").alias("place"))
+
+
 @query("WITH " + PANEL + ", " + _sections_sql(["rev_5"]) + """, dn AS (SELECT date, lead(date) OVER (ORDER BY date) AS nx FROM (SELECT DISTINCT date FROM sec)),
 j AS (SELECT a.date, a.factor AS x, b.factor AS y FROM sec a JOIN dn ON dn.date = a.date JOIN sec b ON b.date = nx AND b.symbol = a.symbol),
 r AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY x) + (count(*) OVER (PARTITION BY date, x) - 1)/2.0::DOUBLE AS fr, rank() OVER (PARTITION BY date ORDER BY y) + (count(*) OVER (PARTITION BY date, y) - 1)/2.0::DOUBLE AS rr FROM j)
 SELECT date, count(*) AS names, round(""" + IC + ", 6) AS autocorrelation FROM r GROUP BY date")
 def j17_rank_autocorrelation(spark, sf_dir):
-    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5"]), ["rev_5"], 1, least_names(spark, sf_dir))
+    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5"]), ["rev_5"], 1, LEAST_NAMES)
     return _rounded(fx.autocorrelation(s), "autocorrelation").select("date", "names", "autocorrelation")
 
 
-@query("WITH " + PANEL + ", " + _sections_sql(["rev_5"]) + ", dn AS (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM sec)) SELECT date, CASE WHEN i <= greatest(1, least(n - 1, floor(n * 0.7))) THEN 'train' ELSE 'test' END AS part FROM dn")
+@query("WITH " + PANEL + ", " + _sections_sql(["rev_5"]) + ", dn AS (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM sec)) SELECT date, CASE WHEN i <= greatest(1, least(n - 1, floor(n * 0.7::DOUBLE))) THEN 'train' ELSE 'test' END AS part FROM dn")
 def w17_time_split(spark, sf_dir):
-    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5"]), ["rev_5"], 1, least_names(spark, sf_dir))
+    s = fx.long_sections(_panel(spark, sf_dir, ["rev_5"]), ["rev_5"], 1, LEAST_NAMES)
     return fx.split_sections(s, 0.7).select("date", "part").distinct()

@@ -68,19 +68,19 @@ def sections(spark, signal=True):
         f = rng.normal(size=20)
         y = f + 0.1 * rng.normal(size=20) if signal else rng.normal(size=20)
         rows += [(f"2024-{1 + d // 28:02d}-{1 + d % 28:02d}", s, float(f[s]), float(y[s])) for s in range(20)]
-    p = spark.createDataFrame(rows, "date string, symbol long, rev_5 double, fwd_1 double")
-    return fx.long_sections(p, ["rev_5"], 1, 5)
+    return spark.createDataFrame(rows, "date string, symbol long, rev_5 double, fwd_1 double")
 
 
 def test_planted_signal_is_found_and_noise_is_not(spark):
-    v = fx.verdict(fx.evaluate(sections(spark), 30)).first()
+    of = lambda p: fx.verdict(fx.evaluate(p, ["rev_5"], 1, 30, least=5, min_dates=20)).first()
+    v = of(sections(spark))
     assert v.mean_ic > 0.9 and v.alpha_t > 3.5 and v.state == "confirmed_alive"
-    n = fx.verdict(fx.evaluate(sections(spark, False), 30)).first()
+    n = of(sections(spark, False))
     assert abs(n.mean_ic) < 0.2 and n.state == "noise"
 
 
 def test_nulls_do_not_depend_on_partitions(spark):
-    s = sections(spark).select("factor_name", "date", "symbol", "fr", "rr").cache()
+    s = fx.long_sections(sections(spark), ["rev_5"], 1, 5).select("factor_name", "date", "symbol", "fr", "rr").cache()
     for null in (fx.shuffle_null, fx.circular_null):
         a = {r.trial: r.trial_ic for r in null(s, 5).collect()}
         b = {r.trial: r.trial_ic for r in null(s.repartition(7, "symbol"), 5).collect()}
