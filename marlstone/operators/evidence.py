@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import title_key
+from marlstone.sources.shared import few
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:
@@ -24,10 +25,15 @@ def merge_hits(hits: DataFrame) -> DataFrame:
 
 
 def coverage(targets: DataFrame, dimensions: DataFrame, observations: DataFrame, least_families: int) -> DataFrame:
-    """target, dimension, families, state for every cell of the grid, missing ones too. targets and dimensions are the two axes of a report."""
+    """target, dimension, families, state for every cell of the grid, missing ones too. targets and dimensions are the two axes of a report.
+
+    The dimensions are one list, which every target is spread over.
+    """
     usable = F.col("usable")
     o = observations.groupBy("target", "dimension").agg(F.count_distinct(F.when(usable, F.col("family"))).alias("families"), F.count("*").alias("rows_"))
-    grid = targets.crossJoin(F.broadcast(dimensions))
+    # One row, an array as long as the report is wide.
+    axis = dimensions.agg(F.array_sort(F.collect_set("dimension")).alias("dimensions"))
+    grid = targets.join(F.broadcast(axis)).select("target", F.explode("dimensions").alias("dimension"))
     x = grid.join(o, ["target", "dimension"], "left").na.fill(0, ["families", "rows_"])
     state = F.when(F.col("rows_") == 0, "missing").when(F.col("families") == 0, "unusable").when(F.col("families") < least_families, "partial").otherwise("covered")
     return x.withColumn("state", state)
@@ -51,7 +57,7 @@ def level_no(c: Column) -> Column:
 
 def apply_caps(signals: DataFrame, caps: DataFrame) -> DataFrame:
     """signals with level_out and changed: a module's cap may lower the level, never raise it; modules without a cap keep theirs."""
-    x = signals.join(F.broadcast(caps), "module", "left")
+    x = signals.join(few(caps), "module", "left")
     out = F.least(level_no(F.col("level")), F.coalesce(level_no(F.col("cap")), F.lit(5)))
     return x.withColumn("level_out", F.concat(F.lit("L"), out.cast("string"))).withColumn("changed", F.col("level_out") != F.col("level"))
 
@@ -91,3 +97,58 @@ def contained_quotes(quotes: DataFrame, documents: DataFrame) -> DataFrame:
 def latest_by(x: DataFrame, key: str, order: list[str]) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     return x.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+#: Parts of a key's name that make it sensitive, whole names that do, and names that are public all the same.
+SENSITIVE_PARTS = (
+    "api_key", "secret", "passphrase", "access_token", "refresh_token", "bearer_token", "auth_token", "session_token", "id_token", "api_token", "private_key",
+    "password", "authorization", "cookie", "mnemonic", "seed_phrase", "access_key", "access_sign", "signature",
+)
+SENSITIVE_NAMES = ("token", "auth", "credential", "credentials", "header", "headers", "sign")
+PUBLIC_NAMES = ("token_contract", "token_address")
+
+
+def has_sensitive_key(payload: Column) -> Column:
+    """Whether a key anywhere in a JSON text is sensitive: letters and digits of its name, whatever their case. Texts that are values are no keys."""
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    plain = lambda words: [w.replace("_", "") for w in words]
+    # String by string from the start, so that no match begins inside a value; a key is one that a colon follows.
+    strings = F.regexp_extract_all(payload, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    keys = F.transform(F.filter(strings, lambda s: s.endswith(":")), bare)
+    sensitive = lambda k: ~k.isin(*plain(PUBLIC_NAMES)) & (k.isin(*plain(SENSITIVE_NAMES)) | k.startswith("okaccess") | k.rlike("|".join(plain(SENSITIVE_PARTS))))
+    return F.coalesce(F.exists(keys, sensitive), F.lit(False))
+
+
+def is_live(closed: Column, active: Column) -> Column:
+    """A market is live unless it says that it is closed or not active; its end date is not to be trusted."""
+    return ~F.coalesce(closed, F.lit(False)) & F.coalesce(active, F.lit(True))
+
+
+def ordered_distinct(*lists: str) -> Column:
+    """The values of several lists one after the other, each at its first place only; missing ones go."""
+    return F.array_compact(F.array_distinct(F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in lists])))
+
+
+def confirmed_factors(registry: DataFrame, factors: list[str], market: str) -> DataFrame:
+    """factor, id, confirmations: rows (id, status, tags) that are confirmed alive for the market, by the factors that they name; id is the newest."""
+    alive = registry.where((F.col("status") == "confirmed_alive") & F.array_contains("tags", market))
+    named = alive.select("id", F.explode(F.array_intersect("tags", F.array(*[F.lit(f) for f in factors]))).alias("factor"))
+    return named.groupBy("factor").agg(F.max("id").alias("id"), F.count("*").alias("confirmations"))
+
+
+def card_errors(cards: DataFrame, documents: DataFrame) -> DataFrame:
+    """card, errors: codes of method cards (card, author, sources, covered): no author, a source that is no document (doc_id, access_state), a restricted source that no gap covers."""
+    used = cards.select("card", "covered", F.explode(F.array_distinct("sources")).alias("doc_id")).join(documents.select("doc_id", "access_state"), "doc_id", "left")
+    bare = F.col("access_state").isin("subscriber_only", "blocked") & ~F.array_contains("covered", F.col("doc_id"))
+    found = used.groupBy("card").agg(F.max(F.col("access_state").isNull()).alias("lost"), F.max(F.coalesce(bare, F.lit(False))).alias("bare"))
+    x = cards.join(found, "card", "left")
+    codes = F.array_compact(F.array(F.when(F.col("author").isNull(), "card_identity_missing"), F.when(F.size("sources") == 0, "card_sources_missing"), F.when(F.col("lost"), "card_source_missing"), F.when(F.col("bare"), "restricted_source_gap_missing")))
+    return x.select("card", codes.alias("errors"))
+
+
+def guard_cases(tags: DataFrame, cases: dict[str, str]) -> DataFrame:
+    """tag, n, guard_case: the case that guards against a failure tag; tags without one go to manual review."""
+    case = F.lit("manual_review")
+    for tag, name in cases.items():
+        case = F.when(F.col("tag") == tag, name).otherwise(case)
+    return tags.groupBy("tag").agg(F.count("*").alias("n")).withColumn("guard_case", case)

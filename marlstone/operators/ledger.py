@@ -100,21 +100,24 @@ def tail_streak(x: DataFrame, by: str, order: list[str], holds: Column) -> DataF
 def match_lots(journal: DataFrame) -> DataFrame:
     """symbol, open_pos, close_pos, quantity: closes take the oldest open lots first; a close beyond what is open is discarded, not carried.
 
-    Lots and closes are intervals of cumulative quantity per symbol; closes are moved by the running surplus. Both are cut at their
-    own symbol's grid of quantity blocks, so that the overlap is an equality join with few rows on each side of a block.
+    Lots and closes are intervals of cumulative quantity per symbol (exact to 8 decimals); closes are moved by the running surplus.
+    Both tile the same line, so between two neighbouring ends lies one piece of one lot and one close: a union of the ends and one
+    window over them, whatever the quantities are.
     """
+    kind = journal.schema["q"].dataType
     w = Window.partitionBy("symbol").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    is_open = F.col("kind") == "open"
-    j = journal.withColumns({"o": F.sum(F.when(is_open, F.col("q")).otherwise(0)).over(w), "x": F.sum(F.when(is_open, 0).otherwise(F.col("q"))).over(w)})
-    j = j.withColumn("u", F.greatest(F.lit(0), F.max(F.col("x") - F.col("o")).over(w)))
-    j = j.withColumn("xe", F.col("x") - F.col("u"))
-    j = j.withColumn("xb", F.coalesce(F.lag("xe").over(Window.partitionBy("symbol").orderBy("pos")), F.lit(0)))
-    block = 64
-    blocks = lambda a, b: F.explode(F.sequence(F.floor(a / block), F.floor((b - 1) / block)))
-    opens = j.where(is_open & (F.col("q") > 0)).select("symbol", F.col("pos").alias("open_pos"), (F.col("o") - F.col("q")).alias("a"), F.col("o").alias("b"), F.col("cents").alias("open_cents"), F.col("q").alias("open_q"))
-    closes = j.where(~is_open & (F.col("xe") > F.col("xb"))).select("symbol", F.col("pos").alias("close_pos"), F.col("xb").alias("c"), F.col("xe").alias("d"), F.col("cents").alias("close_cents"), F.col("q").alias("close_q"))
-    both = opens.withColumn("k", blocks(F.col("a"), F.col("b"))).join(closes.withColumn("k", blocks(F.col("c"), F.col("d"))), ["symbol", "k"]).where("a < d and c < b").dropDuplicates(["symbol", "open_pos", "close_pos"])
-    return both.withColumn("quantity", F.least("b", "d") - F.greatest("a", "c")).select("symbol", "open_pos", "close_pos", "quantity", "open_cents", "open_q", "close_cents", "close_q")
+    is_open, q, none = F.col("kind") == "open", F.col("q").cast("decimal(28,8)"), F.lit(0).cast("decimal(28,8)")
+    j = journal.withColumns({"o": F.sum(F.when(is_open, q).otherwise(none)).over(w), "x": F.sum(F.when(is_open, none).otherwise(q)).over(w)})
+    j = j.withColumn("xe", F.col("x") - F.greatest(none, F.max(F.col("x") - F.col("o")).over(w)))
+    j = j.withColumn("xb", F.coalesce(F.lag("xe").over(Window.partitionBy("symbol").orderBy("pos")), none))
+    row = F.struct("pos", "cents", "q")
+    ends = j.where((is_open & (q > 0)) | (~is_open & (F.col("xe") > F.col("xb")))).select("symbol", F.when(is_open, F.col("o")).otherwise(F.col("xe")).alias("p"), F.when(is_open, row).alias("a"), F.when(~is_open, row).alias("b"))
+    # Downwards, the last lot and the last close seen are those that reach over the piece below an end.
+    down = Window.partitionBy("symbol").orderBy(F.desc("p"), F.col("a").isNull(), "a.pos", "b.pos")
+    seen = lambda c: F.last(c, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    pieces = ends.select("symbol", (F.col("p") - F.coalesce(F.lead("p").over(down), none)).alias("quantity"), seen("a").alias("a"), seen("b").alias("b")).where("quantity > 0 and a is not null and b is not null")
+    side = lambda c, n: [F.col(f"{c}.{k}").alias(f"{n}_{k}") for k in ("cents", "q")]
+    return pieces.select("symbol", F.col("a.pos").alias("open_pos"), F.col("b.pos").alias("close_pos"), F.col("quantity").cast(kind).alias("quantity"), *side("a", "open"), *side("b", "close"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:

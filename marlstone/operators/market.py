@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.numeric import normal_cdf
+from marlstone.functions.numeric import finite, normal_cdf
 
 # ---- series and events ------------------------------------------------------------------------------------------
 
 
 def previous_close(events: DataFrame, bars: DataFrame, on: str = "event_date") -> DataFrame:
     """events with base_date, base_close: the last close strictly before the event, by symbol. Union and last value: one shuffle, no range join."""
-    return _as_of(events, bars, on, False)
+    return as_of(events, bars, on, False)
 
 
-def _as_of(events: DataFrame, bars: DataFrame, on: str, include: bool) -> DataFrame:
+def as_of(events: DataFrame, bars: DataFrame, on: str, include: bool) -> DataFrame:
+    """events with base_date, base_close of the last bar before the date `on`; include: or on it."""
     e = events.select("symbol", F.col(on).alias("__d"), F.lit(0 if not include else 2).alias("__k"), F.struct(*events.columns).alias("__e"))
     b = bars.select("symbol", F.col("date").alias("__d"), F.lit(1).alias("__k"), F.lit(None).cast(e.schema["__e"].dataType).alias("__e"), F.struct("date", "close").alias("__b"))
     w = Window.partitionBy("symbol").orderBy("__d", "__k").rowsBetween(Window.unboundedPreceding, 0)
@@ -27,8 +30,9 @@ def close_on_or_after(events: DataFrame, bars: DataFrame, on: str = "target_date
     """events with ref_date, ref_close: the first close on or after the target."""
     e = events.select("symbol", F.col(on).alias("__d"), F.lit(0).alias("__k"), F.struct(*events.columns).alias("__e"))
     b = bars.select("symbol", F.col("date").alias("__d"), F.lit(1).alias("__k"), F.lit(None).cast(e.schema["__e"].dataType).alias("__e"), F.struct("date", "close").alias("__b"))
-    w = Window.partitionBy("symbol").orderBy("__d", "__k").rowsBetween(0, Window.unboundedFollowing)
-    x = e.unionByName(b, allowMissingColumns=True).withColumn("__b", F.first("__b", ignorenulls=True).over(w)).where("__e is not null")
+    # Downwards, so that each row only adds to what was seen: a frame that ends at the last row is computed anew for every row.
+    w = Window.partitionBy("symbol").orderBy(F.desc("__d"), F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)
+    x = e.unionByName(b, allowMissingColumns=True).withColumn("__b", F.last("__b", ignorenulls=True).over(w)).where("__e is not null")
     return x.select("__e.*", F.col("__b.date").alias("ref_date"), F.col("__b.close").alias("ref_close"))
 
 
@@ -40,15 +44,89 @@ def market_betas(returns: DataFrame, k: int) -> DataFrame:
     return g.select("symbol", "n", F.try_divide("c", "vx").alias("beta"), corr.alias("corr"), (corr * corr).alias("r2"))
 
 
-def pair_statistics(returns: DataFrame, least: int = 20) -> DataFrame:
-    """a, b, n, beta (of a on b), corr for every ordered pair of symbols over their shared dates (columns symbol, date, y).
+#: Symbols of one side of a block of pairs: a task holds the series of two blocks, and works on SIDE * SIDE pairs at once.
+SIDE = 64
+PAIRS = "a {0}, b {0}, n_obs long, aligned long, beta_fast double, beta_slow double, corr double"
+
+
+def _tail_sums(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(n, cov, var of x, var of each y) of one series x against the rows of y over the last k times that both have (NaN: missing)."""
+    both = ~np.isnan(x) & ~np.isnan(y)
+    from_end = both[:, ::-1].cumsum(axis=1)[:, ::-1]
+    keep = both & (from_end <= k)
+    n = keep.sum(axis=1)
+    mean = lambda v: np.where(keep, v, 0.0).sum(axis=1) / np.maximum(n, 1)
+    dx, dy = (np.where(keep, v - mean(v)[:, None], 0.0) for v in (np.broadcast_to(x, y.shape), y))
+    size = np.maximum(n, 1)
+    return n, (dx * dy).sum(axis=1) / size, (dx * dx).sum(axis=1) / size, (dy * dy).sum(axis=1) / size
+
 
-    The join is on the date, and is reduced to pair sums at once. The result itself grows with the square of the symbols.
+def pair_graph(returns: DataFrame, fast: int = 60, slow: int = 120) -> DataFrame:
+    """a, b, n_obs, aligned, beta_<fast>, beta_<slow> (of a on b), corr_<slow>, shifted, gap for every ordered pair of symbols with a common date (columns symbol, date, y).
+
+    Betas and correlation are over the last dates that both have; gap: fewer than max(30, slow - 10) of them. The result itself grows
+    with the square of the symbols, the work between does not: each symbol's series goes once to every block of symbols, and all pairs of
+    two blocks are worked out in one task from their series, without a row for each pair and date.
     """
-    r = returns.where("y is not null").select("symbol", "date", "y")
-    p = r.select(F.col("symbol").alias("a"), "date", F.col("y").alias("ya")).join(r.select(F.col("symbol").alias("b"), "date", F.col("y").alias("yb")), "date").where("a <> b")
-    g = p.groupBy("a", "b").agg(F.count("*").alias("n"), F.covar_pop("ya", "yb").alias("c"), F.var_pop("yb").alias("vb"), F.var_pop("ya").alias("va")).where(F.col("n") >= least)
-    return g.select("a", "b", "n", F.try_divide("c", "vb").alias("beta"), F.try_divide("c", F.sqrt(F.col("va") * F.col("vb"))).alias("corr"))
+    r = returns.where("y is not null")
+    series = r.groupBy("symbol").agg(F.collect_list(F.struct(F.col("date").cast("string").alias("date"), "y")).alias("s"))
+    blocks = max(1, -(-series.count() // SIDE))
+    series = series.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = series.select("symbol", "s", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    schema = PAIRS.format(returns.schema["symbol"].dataType.simpleString())
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        dates = {d: i for i, d in enumerate(sorted({x["date"] for s in pdf["s"] for x in s}))}
+        values = np.full((len(pdf), len(dates)), np.nan)
+        for row, s in enumerate(pdf["s"]):
+            for x in s:
+                values[row, dates[x["date"]]] = x["y"]
+        names, block = pdf["symbol"].to_numpy(), pdf["block"].to_numpy()
+        left, right = np.flatnonzero(block == key[0]), np.flatnonzero(block == key[1])
+        out: list[pd.DataFrame] = []
+        for i in left:
+            others = right[right > i] if key[0] == key[1] else right
+            if not len(others):
+                continue
+            aligned = (~np.isnan(values[i]) & ~np.isnan(values[others])).sum(axis=1)
+            n, cs, vsa, vsb = _tail_sums(values[i], values[others], slow)
+            _, cf, vfa, vfb = _tail_sums(values[i], values[others], fast) if fast != slow else (n, cs, vsa, vsb)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                corr = cs / (np.sqrt(vsa) * np.sqrt(vsb))
+                for a, b, bf, bs in ((np.repeat(names[i], len(others)), names[others], cf / vfb, cs / vsb), (names[others], np.repeat(names[i], len(others)), cf / vfa, cs / vsa)):
+                    out.append(pd.DataFrame({"a": a, "b": b, "n_obs": n, "aligned": aligned, "beta_fast": bf, "beta_slow": bs, "corr": corr}))
+        if not out:
+            return pd.DataFrame({c: [] for c in ("a", "b", "n_obs", "aligned", "beta_fast", "beta_slow", "corr")})
+        all_ = pd.concat(out)
+        return all_[all_["aligned"] > 0]
+
+    g = dealt.groupBy("lo", "hi").applyInPandas(run, schema)
+    there = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    g = g.withColumns({c: there(c) for c in ("beta_fast", "beta_slow", "corr")})
+    shifted = F.coalesce(regime_shift(F.col("beta_fast"), F.col("beta_slow")), F.lit(False))
+    both = [F.col("beta_fast").alias(f"beta_{fast}")] if fast != slow else []
+    return g.select("a", "b", "n_obs", "aligned", *both, F.col("beta_slow").alias(f"beta_{slow}"), F.col("corr").alias(f"corr_{slow}"), shifted.alias("shifted"), (F.col("aligned") < max(30, slow - 10)).alias("gap"))
+
+
+def pair_statistics(returns: DataFrame, least: int = 20) -> DataFrame:
+    """a, b, n, beta (of a on b), corr for every ordered pair of symbols over all dates that both have, at least `least` of them."""
+    every = 2**31 - 1
+    g = pair_graph(returns, every, every).where(F.col("aligned") >= least)
+    return g.select("a", "b", F.col("aligned").alias("n"), F.col(f"beta_{every}").alias("beta"), F.col(f"corr_{every}").alias("corr"))
+
+
+def beta_lookup(symbols: DataFrame, returns: DataFrame, fast: int = 60, slow: int = 120) -> DataFrame:
+    """symbol, beta, source: the beta over slow returns, with too few of them that over fast ones, else 1.0 as benchmark_fallback."""
+    of = lambda k: market_betas(returns, k).select("symbol", F.col("n").alias(f"n{k}"), F.col("beta").alias(f"b{k}"))
+    x = symbols.join(of(slow), "symbol", "left").join(of(fast), "symbol", "left")
+    long_, short_ = (F.col(f"b{slow}").isNotNull() & (F.col(f"n{slow}") >= slow - 10)), (F.col(f"b{fast}").isNotNull() & (F.col(f"n{fast}") >= fast - 10))
+    return x.select("symbol", F.when(long_, F.col(f"b{slow}")).when(short_, F.col(f"b{fast}")).otherwise(1.0).alias("beta"), F.when(long_, f"beta_{slow}").when(short_, f"beta_{fast}").otherwise("benchmark_fallback").alias("source"))
+
+
+def retrospective(bars: DataFrame) -> DataFrame:
+    """Bars as input of a path study: stamped by their own date and marked unverified, as the clock is a replay convention and no evidence."""
+    stamp = F.concat(F.col("date").cast("string"), F.lit("T00:00:00+00:00"))
+    return bars.withColumns({"close_at": stamp, "available_at": stamp, "retrospective_only": F.lit(True), "evidence": F.lit("UNVERIFIED")})
 
 
 def regime_shift(fast: Column, slow: Column) -> Column:
@@ -82,14 +160,17 @@ def path_features(bars: DataFrame, lookback: int) -> DataFrame:
 
 
 def greedy_origins(x: DataFrame, key: str, place: str, skip: int) -> DataFrame:
-    """key, place: places taken greedily from the first, each more than skip after the last taken; a fold over the key's sorted places."""
-    g = x.groupBy(key).agg(F.array_sort(F.collect_list(place)).alias("all"))
-    none = F.array().cast("array<bigint>")
-    taken = F.aggregate(
-        "all", F.struct(F.lit(-1_000_000_000).cast("long").alias("last"), none.alias("got")),
-        lambda acc, i: F.when(i.cast("long") > acc["last"] + skip, F.struct(i.cast("long").alias("last"), F.concat(acc["got"], F.array(i.cast("long"))).alias("got"))).otherwise(acc), lambda acc: acc["got"],
-    )
-    return g.select(key, F.explode(taken).alias(place))
+    """key, place: places taken greedily from the first, each more than skip after the last taken; a fold over the key's places in their order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, last = [], None
+        for i in np.sort(pdf[place].to_numpy()).tolist():
+            if last is None or i > last + skip:
+                taken.append(i)
+                last = i
+        return pd.DataFrame({key: pdf[key].iloc[0], place: taken})
+
+    return x.select(key, F.col(place).cast("long").alias(place)).groupBy(key).applyInPandas(run, f"{key} {x.schema[key].dataType.simpleString()}, {place} long")
 
 
 # ---- option chains ----------------------------------------------------------------------------------------------
@@ -152,12 +233,57 @@ def positioning(chain: DataFrame) -> DataFrame:
     return g.select("underlying", F.try_divide("pv", "cv").alias("put_call_volume"), F.try_divide("po", "co").alias("put_call_oi"), (F.col("co") + F.col("po")).alias("total_oi"), F.date_format("nearest", "yyyy-MM-dd").alias("nearest_expiry"))
 
 
+def option_payoff(side: Column, strike: Column, at: Column) -> Column:
+    return F.when(side == "C", F.greatest(at - strike, F.lit(0.0))).otherwise(F.greatest(strike - at, F.lit(0.0)))
+
+
+def joint_scenarios(holdings: DataFrame, scenarios: list[tuple[str, float, float]], hedge: float, multiplier: int = 100) -> DataFrame:
+    """underlying, scenarios, worst_base, worst_joint, best_joint, expected_pnl, hedge_gain, improves: options held (side, strike, spot, qty, reference, fee) with a stock hedge of `hedge` shares of each underlying, over named (name, factor of spot, weight) scenarios.
+
+    Base and hedge are summed in the same scenario before the worst is taken. The expectation is there only where the weights sum to one.
+    """
+    s = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(m)).alias("m"), F.lit(float(w)).alias("w")) for n, m, w in scenarios]))
+    x = holdings.withColumn("s", s).select("*", "s.*")
+    pnl = F.col("qty") * multiplier * (option_payoff(F.col("side"), F.col("strike"), F.col("spot") * F.col("m")) - F.col("reference")) - F.col("fee")
+    g = x.groupBy("underlying", "scenario", "m", "w").agg(F.sum(pnl).alias("base"), (F.max("spot") * (F.first("m") - 1) * hedge).alias("hedge"))
+    g = g.withColumn("joint", F.col("base") + F.col("hedge")).groupBy("underlying").agg(F.count("*").alias("scenarios"), F.min("base").alias("worst_base"), F.min("joint").alias("worst_joint"), F.max("joint").alias("best_joint"), F.sum(F.col("w") * F.col("joint")).alias("e"), F.sum("w").alias("weights"))
+    return g.select("underlying", "scenarios", "worst_base", "worst_joint", "best_joint", F.when(F.abs(F.col("weights") - 1) < 1e-9, F.col("e")).alias("expected_pnl"), (F.col("worst_joint") - F.col("worst_base")).alias("hedge_gain"), (F.col("worst_joint") > F.col("worst_base")).alias("improves"))
+
+
+def expiry_geometry(legs: DataFrame, by: str) -> DataFrame:
+    """by, low, high, break_evens: extrema of the profit at expiry over the strikes and 0, and where it passes zero between them (legs: side, strike, qty, cost).
+
+    The profit is linear between neighbouring strikes. Running sums from below and above give it at every strike in one pass, without
+    a row for each leg and strike.
+    """
+    calls, puts = F.col("side") == "C", F.col("side") == "P"
+    s = lambda ok, v: F.sum(F.when(ok, v).otherwise(0.0))
+    q, k = F.col("qty"), F.col("strike")
+    at = legs.groupBy(by, "strike").agg(s(calls, q).alias("nc"), s(calls, q * k).alias("sc"), s(puts, q).alias("np"), s(puts, q * k).alias("sp"), F.sum(q * F.col("cost")).alias("cost"))
+    at = at.unionByName(legs.select(by).distinct().select(by, *[F.lit(0.0).alias(c) for c in ("strike", "nc", "sc", "np", "sp", "cost")])).groupBy(by, "strike").agg(*[F.sum(c).alias(c) for c in ("nc", "sc", "np", "sp", "cost")])
+    up, every = Window.partitionBy(by).orderBy("strike"), Window.partitionBy(by)
+    under = lambda c: F.sum(c).over(up)
+    x = F.col("strike")
+    value = x * under("nc") - under("sc") + (F.sum("sp").over(every) - under("sp")) - x * (F.sum("np").over(every) - under("np")) - F.sum("cost").over(every)
+    p = at.withColumn("value", value).withColumns({"px": F.lag("strike").over(up), "pv": F.lag("value").over(up)})
+    root = F.when(F.signum("pv") * F.signum("value") < 0, F.col("px") - F.col("pv") * (x - F.col("px")) / (F.col("value") - F.col("pv")))
+    return p.groupBy(by).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(root).alias("break_evens"), F.min(root).alias("first_break_even"))
+
+
 def call_value(spot: Column, strike: Column, years: Column, iv: Column, rate: float) -> Column:
     sd = iv * F.sqrt(years)
     d1 = (F.log(spot / strike) + (rate + 0.5 * iv * iv) * years) / sd
     return spot * normal_cdf(d1) - strike * F.exp(-rate * years) * normal_cdf(d1 - sd)
 
 
+def option_value(side: Column, spot: Column, strike: Column, years: Column, iv: Column, rate: float) -> Column:
+    """Black-Scholes value of a European option; a put by its own side of the distribution."""
+    sd = iv * F.sqrt(years)
+    d1 = (F.log(spot / strike) + (rate + 0.5 * iv * iv) * years) / sd
+    s = F.when(side == "C", 1.0).otherwise(-1.0)
+    return s * (spot * normal_cdf(s * d1) - strike * F.exp(-rate * years) * normal_cdf(s * (d1 - sd)))
+
+
 # ---- order book -------------------------------------------------------------------------------------------------
 
 
@@ -203,6 +329,73 @@ def ignition(book: DataFrame, multiplier: float = 3.0, lookback: int = 5, least:
     return x.select("symbol", "session_id", "snap", fired.alias("fired"), F.least(F.lit(1.0), F.col("delta") / (2.0 * gate)).alias("strength"))
 
 
+def wall_breaker(book: DataFrame, asks: DataFrame, lookback: int = 5, factor: float = 3.0, least_volume: float = 1000.0, steps: int = 2, most: int = 5, removed: float = 0.8, executed: float = 0.5) -> DataFrame:
+    """symbol, session_id, snap, strength: snapshots in which a large ask has been eaten by rising trades and the price has passed it, and had not one snapshot before.
+
+    book: ticks of the last price, cumulative_volume; asks: ticks, volume. A wall is an ask above factor times the median depth of the
+    lookback snapshots before. It is followed for `most` snapshots: its volume may not grow nor the price fall, at least `steps`
+    intervals have trades, enough of it is gone and enough was traded.
+    """
+    if steps > most:
+        raise ValueError("the steps cannot exceed the snapshots that a wall is followed")
+    asks = asks.withColumn("side", F.lit(2))
+    walls = asks.join(median_depth(asks, 2, lookback), ["symbol", "session_id", "snap"]).where(F.col("volume") > F.greatest(F.lit(least_volume), factor * F.col("base")))
+    walls = walls.select("symbol", "session_id", F.col("snap").alias("wall"), "ticks", F.col("volume").alias("v0")).withColumn("snap", F.explode(F.sequence(F.col("wall"), F.col("wall") + most)))
+    x = walls.join(book.select("symbol", "session_id", "snap", F.col("ticks").alias("last"), F.col("cumulative_volume").alias("cum")), ["symbol", "session_id", "snap"])
+    x = x.join(asks.select("symbol", "session_id", "snap", "ticks", F.col("volume").alias("q")), ["symbol", "session_id", "snap", "ticks"], "left").withColumn("q", F.coalesce("q", F.lit(0)))
+    w = Window.partitionBy("symbol", "session_id", "wall", "ticks").orderBy("snap")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    traded = F.col("cum") - F.lag("cum").over(w)
+    bad = F.coalesce((F.col("q") > F.lag("q").over(w)) | (F.col("last") < F.lag("last").over(w)), F.lit(False))
+    x = x.withColumns({"traded": traded, "bad": bad})
+    x = x.withColumns({"broken": F.max("bad").over(so_far), "rising": F.count_if(F.col("traded") > 0).over(so_far), "done": F.coalesce(F.sum("traded").over(so_far), F.lit(0)) / F.col("v0"), "gone": (F.col("v0") - F.col("q")) / F.col("v0")})
+    ok = (F.col("snap") - F.col("wall") >= steps) & ~F.col("broken") & (F.col("rising") >= steps) & (F.col("gone") >= removed) & (F.col("done") >= executed) & (F.col("last") > F.col("ticks"))
+    x = x.withColumn("ok", ok).withColumn("was", F.coalesce(F.lag("ok").over(w), F.lit(False))).where("ok and not was")
+    strength = F.least(F.lit(1.0), (F.col("gone") + F.least(F.lit(1.0), F.col("done") / (2.0 * executed))) / 2.0)
+    return x.groupBy("symbol", "session_id", "snap").agg(F.max(strength).alias("strength"))
+
+
+#: How a detector saw its input: every tick, or only what changed between snapshots.
+FIDELITIES = ("tick", "snapshot_diff")
+
+
+def detector_output(fired: Column, strength: Column, fidelity: Column, refs: Column) -> Column:
+    """The common output of the detectors: fired, strength within 0 and 1, input_fidelity, evidence (ids of the rows it rests on)."""
+    bounded = F.when(finite(strength).isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), strength)), 12))
+    return F.struct(fired.alias("fired"), bounded.alias("strength"), fidelity.alias("input_fidelity"), F.coalesce(refs, F.array().cast("array<string>")).alias("evidence"))
+
+
+def output_errors(fired: Column, strength: Column, fidelity: Column, refs: Column) -> Column:
+    """Codes of an output that breaks the contract."""
+    known = F.coalesce(fidelity.isin(*FIDELITIES), F.lit(False))
+    return F.array_compact(F.array(
+        F.when(finite(strength).isNull(), "strength_not_finite"), F.when((finite(strength) < 0) | (finite(strength) > 1), "strength_out_of_range"), F.when(~known, "invalid_input_fidelity"),
+        F.when(fired & (F.coalesce(F.size(refs), F.lit(0)) == 0), "fired_without_evidence"),
+    ))
+
+
+#: Parameters of the detectors with their types, least and greatest values.
+DETECTORS = {
+    "order_wall": {"factor": (float, 1.0, 100.0), "lookback": (int, 1, 1000), "least_volume": (float, 0.0, 1e12)},
+    "imbalance": {"ratio": (float, 1.0, 100.0), "least": (float, 0.0, 1e12)},
+    "ignition": {"multiplier": (float, 1.0, 100.0), "lookback": (int, 1, 1000), "least": (float, 0.0, 1e12), "min_ticks": (int, 1, 1000)},
+    "wall_breaker": {"lookback": (int, 1, 1000), "factor": (float, 1.0, 100.0), "least_volume": (float, 0.0, 1e12), "steps": (int, 1, 100), "most": (int, 1, 100), "removed": (float, 0.0, 1.0), "executed": (float, 0.0, 100.0)},
+}
+
+
+def checked_parameters(name: str, **given) -> dict:
+    """The parameters of a detector by their specification; an unknown name, a wrong type or a value out of range raises ValueError."""
+    if name not in DETECTORS:
+        raise ValueError(f"unknown detector: {name}")
+    for key, value in given.items():
+        if key not in DETECTORS[name]:
+            raise ValueError(f"{name} has no parameter {key}")
+        kind, low, high = DETECTORS[name][key]
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or (kind is int and int(value) != value) or not low <= value <= high:
+            raise ValueError(f"{name}.{key} has to be {kind.__name__} from {low} to {high}")
+    return given
+
+
 def setup_count(bars: DataFrame, direction: str = "buy") -> DataFrame:
     """symbol, date, setup: run of bars whose close is below (buy) or above (sell) the close four bars before, by gaps and islands."""
     w = Window.partitionBy("symbol").orderBy("date")

@@ -63,3 +63,11 @@ def walk_forward(x: DataFrame, by: str, order: list[str], least: int) -> DataFra
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     y = x.withColumns({"base": F.avg("actual").over(w), "seen": F.count("actual").over(w)}).where(F.col("seen") >= least)
     return y.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.pow(F.col("predicted") - F.col("actual"), 2)).alias("brier"), F.avg(F.pow(F.col("base") - F.col("actual"), 2)).alias("base_brier"))
+
+
+def interval_coverage(x: DataFrame, by: str, order: list[str], value: str, last: int = 100, least: int = 20) -> DataFrame:
+    """by, n, coverage, width: how often a value lies within the 5% and 95% quantiles of the `last` values before it, and how wide they are apart on average."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(-last, -1)
+    y = x.withColumns({"__q": F.percentile(value, F.array(F.lit(0.05), F.lit(0.95))).over(w), "__n": F.count(value).over(w)}).where(F.col("__n") >= least)
+    low, high = F.get("__q", F.lit(0)), F.get("__q", F.lit(1))
+    return y.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.col(value).between(low, high).cast("double")).alias("coverage"), F.avg(high - low).alias("width"))

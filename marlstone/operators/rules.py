@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.numeric import slope
+
 
 def alignment(as_of: Column, target: Column, observed: Column) -> Column:
     """pass, degraded (the target is a weekend) or blocked: the observation may not lie before the target nor after the as-of date; three date formats are read."""
@@ -80,10 +82,15 @@ def beat_rate(forecasts: DataFrame, reports: DataFrame, last: int = 8) -> DataFr
 
 
 def settle(predictions: DataFrame, quotes: DataFrame, lag_seconds: int) -> DataFrame:
-    """prediction_id, status, outcome: the first quote at or after the due time, no later than the lag cap; direction right or wrong."""
-    q = predictions.join(quotes, "symbol").where((F.col("quote_ts") >= F.col("due_ts")) & (F.col("quote_ts") <= F.col("due_ts") + F.make_interval(secs=F.lit(lag_seconds))))
-    q = q.groupBy("prediction_id").agg(F.min_by("price", "quote_ts").alias("price"))
-    x = predictions.join(q, "prediction_id", "left")
+    """prediction_id, status, outcome: the first quote at or after the due time, no later than the lag cap; direction right or wrong.
+
+    One window by symbol over forecasts and quotes together, no range join.
+    """
+    from marlstone.operators.market import close_on_or_after
+
+    x = close_on_or_after(predictions, quotes.select("symbol", F.col("quote_ts").alias("date"), F.col("price").alias("close")), "due_ts")
+    price = F.when(F.col("ref_date") <= F.col("due_ts") + F.make_interval(secs=F.lit(lag_seconds)), F.col("ref_close"))
+    x = x.withColumn("price", price)
     up = F.col("price") > F.col("reference_price")
     return x.select("prediction_id", F.when(F.col("price").isNull(), "pending").otherwise("settled").alias("status"), F.when(F.col("price").isNotNull(), F.when(F.col("direction") == "long", up).otherwise(~up)).alias("right"))
 
@@ -121,3 +128,22 @@ def level_lifetimes(levels: DataFrame, side: int, most: int, least_volume: int,
     ratio = F.least(F.col("added"), F.greatest(F.col("v0") - F.coalesce("v", F.lit(0)), F.lit(0))) / F.col("added")
     y = y.withColumn("ratio", ratio).where(F.col("ratio") >= share)
     return y.groupBy("symbol", "session_id", "ticks", "appeared").agg(F.min("snap").alias("removed"), F.min_by("ratio", "snap").alias("ratio"))
+
+
+def dislocation(x: DataFrame, after: int) -> DataFrame:
+    """symbol, n, beta, age, abnormal, event_z, block_z, spill_over, stable: returns y against x from place `event` on, by a fit frozen before it (columns symbol, i, event, y, x).
+
+    event_z: the residual of the event's own row in the fit's deviations; block_z: of the sum over the rows after; spill_over: what came
+    after the event's row. stable: the fit's halves agree on beta, to 0.35 or 35% of it.
+    """
+    before = x.where("i < event")
+    half = lambda c: slope(F.when(c, F.col("y")), F.when(c, F.col("x")))
+    early = 2 * F.col("i") <= F.col("event")
+    left = F.greatest(F.var_pop("y") - F.try_divide(F.pow(F.covar_pop("y", "x"), F.lit(2)), F.var_pop("x")), F.lit(0.0))
+    fit = before.groupBy("symbol").agg(F.count("*").alias("n"), slope(F.col("y"), F.col("x")).alias("beta"), F.avg("y").alias("my"), F.avg("x").alias("mx"), left.alias("left"), half(early).alias("b1"), half(~early).alias("b2"))
+    fit = fit.withColumn("sigma", F.sqrt(F.try_divide(F.col("n") * F.col("left"), F.col("n") - 2)))
+    a = x.where((F.col("i") >= F.col("event")) & (F.col("i") < F.col("event") + after)).join(fit, "symbol")
+    a = a.withColumn("ab", (F.col("y") - F.col("my")) - F.col("beta") * (F.col("x") - F.col("mx")))
+    own = F.col("i") == F.col("event")
+    g = a.groupBy("symbol", "n", "beta", "sigma", "b1", "b2").agg(F.count("*").alias("age"), F.sum("ab").alias("abnormal"), F.sum(F.when(own, F.col("ab"))).alias("at"), F.coalesce(F.sum(F.when(~own, F.col("ab"))), F.lit(0.0)).alias("spill_over"))
+    return g.select("symbol", "n", "beta", "age", "abnormal", F.try_divide("at", "sigma").alias("event_z"), F.try_divide(F.col("abnormal"), F.col("sigma") * F.sqrt("age")).alias("block_z"), "spill_over", (F.abs(F.col("b1") - F.col("b2")) < F.greatest(F.lit(0.35), 0.35 * F.abs("beta"))).alias("stable"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.market import greedy_origins
+from marlstone.sources.shared import few
+
 
 def book_depth(bids: Column, asks: Column, top: int = 5) -> tuple[Column, Column]:
     """(depth, imbalance) of the first levels of both sides (arrays of price and volume); no depth, no imbalance."""
@@ -18,6 +21,12 @@ def history_delta(history: Column) -> Column:
     return F.when(F.size(history) >= 2, F.element_at(history, -1) - F.element_at(history, 1))
 
 
+def change_over(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """key, delta: last less first value of each key that is there, by its time; missing with fewer than two. No history is gathered."""
+    x = rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.max_by(value, at).alias("last"), F.min_by(value, at).alias("first"))
+    return x.select(key, F.when(F.col("n") >= 2, F.col("last") - F.col("first")).alias("delta"))
+
+
 def reliability(depth: Column, spread: Column, age_hours: Column) -> Column:
     """1 less penalties for a thin book, a wide spread and an old quote, within 0 and 1."""
     p = F.when(depth < 1000, 0.3).otherwise(0.0) + F.when(spread > 0.05, 0.25).otherwise(0.0) + F.when(age_hours > 24, 0.25).otherwise(0.0)
@@ -49,19 +58,13 @@ def crossings(quotes: DataFrame, triggers: DataFrame, cooldown_seconds: int) ->
     """
     w = Window.partitionBy("symbol").orderBy("ts", "event_id")
     q = quotes.withColumn("before", F.lag("price").over(w)).join(triggers, "symbol")
-    hit = q.where((F.col("before") < F.col("threshold")) & (F.col("price") >= F.col("threshold"))).groupBy("trigger_id").agg(F.array_sort(F.collect_list(F.unix_micros("ts"))).alias("at"))
-    gap = cooldown_seconds * 1_000_000
-    none = F.array().cast("array<bigint>")
-    kept = F.aggregate(
-        "at", F.struct(F.lit(-(2**62)).cast("long").alias("last"), none.alias("got")),
-        lambda s, t: F.when(t - s["last"] >= gap, F.struct(t.alias("last"), F.concat(s["got"], F.array(t)).alias("got"))).otherwise(s), lambda s: s["got"],
-    )
-    return hit.select("trigger_id", F.explode(kept).alias("at_us"))
+    hit = q.where((F.col("before") < F.col("threshold")) & (F.col("price") >= F.col("threshold"))).select("trigger_id", F.unix_micros("ts").alias("at_us"))
+    return greedy_origins(hit, "trigger_id", "at_us", cooldown_seconds * 1_000_000 - 1)
 
 
 def method_weights(subjects: DataFrame, rules: DataFrame, tighten: Column) -> DataFrame:
     """subject rows with each method's weight of their scenario; under a tightened regime the defensive methods gain a half."""
-    x = subjects.join(F.broadcast(rules), "scenario").withColumn("weight", F.when(tighten & F.col("defensive"), F.col("weight") * 1.5).otherwise(F.col("weight")))
+    x = subjects.join(few(rules), "scenario").withColumn("weight", F.when(tighten & F.col("defensive"), F.col("weight") * 1.5).otherwise(F.col("weight")))
     return x.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("subject")))
 
 

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 CANON = """CASE WHEN regexp_matches(url, '(?i)^https?://[^/?#]+') THEN lower(regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1))
   || regexp_replace(CASE WHEN regexp_extract(url, '(?i)^https?://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '(?i)^https?://[^/?#]+([^?#]*)', 1) END, '/{2,}', '/', 'g')
   || CASE WHEN qs = '' THEN '' ELSE '?' || qs END ELSE '' END"""
-URLS = """u0 AS (SELECT page_id, trim(coalesce(url, '')) AS url, html FROM pages), u1 AS (SELECT *, array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ('fbclid','gclid','ref','ref_src','spm')), '&') AS qs FROM u0)"""
+URLS = """u0 AS (SELECT page_id, trim(coalesce(url, '')) AS url, html FROM pages), u1 AS (SELECT *, array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ('fbclid','gclid','mc_cid','mc_eid','ref','ref_src','spm')), '&') AS qs FROM u0)"""
 
 
 @query(f"WITH {URLS} SELECT page_id, {CANON} AS canonical FROM u1")
@@ -51,11 +51,11 @@ def s17_link_extraction(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.explode(tx.links(F.col("html"))).alias("l")).groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("l").alias("distinct_links"))
 
 
-@query("""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches(lower(l), 'token|credential|auth') THEN '[redacted]' ELSE l END), chr(10))) AS redacted_md5,
+@query("""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches(lower(l), 'token|credential|auth|/home/') THEN '[redacted]' ELSE l END), chr(10))) AS redacted_md5,
 md5(regexp_replace(regexp_replace(text, '(?i)((?:api[_-]?key|access[_-]?token|secret|password|passphrase)\\s*[=:]\\s*)([^\\s,;]+)', '\\1<redacted>', 'g'), '(?i)\\b(bearer)\\s+([A-Za-z0-9._~+/-]+=*)', '\\1 <redacted>', 'g')) AS scrubbed_md5 FROM documents""")
 def p12_redaction(spark, sf_dir):
     t = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(tx.redact_lines(t)).alias("redacted_md5"), F.md5(tx.scrub(t)).alias("scrubbed_md5"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(tx.redact_lines(t, "/home/")).alias("redacted_md5"), F.md5(tx.scrub(t)).alias("scrubbed_md5"))
 
 
 @query("SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s*[-*]\\s'))) AS bullets, len(list_filter(string_split(text, chr(10)), lambda l: contains(l, '|'))) AS table_lines, regexp_matches(text, '(?i)password|token') AS has_secret_word, CASE WHEN regexp_matches(text, '(?i)lorem ipsum|todo|tbd') THEN 1 ELSE 0 END AS placeholder FROM documents")
@@ -76,10 +76,10 @@ def f12_keywords(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", tx.has_keyword(F.col("text"), "license").alias("has_license"), tx.has_keyword(F.col("text"), "copyright").alias("has_copyright"))
 
 
-@query("SELECT c.conv_id, c.turn FROM conversations c WHERE c.conv_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT doc_id FROM documents)")
 def j18_orphan_claims(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("doc_id % 3 = 0")
-    return ev.orphans(read(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", docs, "doc_id")
+    """Orders as claims that cite the document of their customer's number."""
+    return ev.orphans(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", read(spark, sf_dir, "documents"), "doc_id").select("o_orderkey", "o_custkey")
 
 
 @query(r"SELECT item_id AS quote_id, item_id AS doc_id, coalesce(contains(trim(regexp_replace(d.text, '\s+', ' ', 'g')), trim(regexp_replace(b.text, '\s+', ' ', 'g'))), false) AS found FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id")
@@ -119,11 +119,10 @@ def o01_union_sources(spark, sf_dir):
     return h.unionByName(more).groupBy("engine").agg(F.count("*").alias("n"), F.count_distinct("url").alias("urls"))
 
 
-@query("WITH o AS (SELECT user_id AS target, event_type AS dimension, event_id % 4 AS family, event_id % 5 <> 0 AS usable FROM events WHERE event_id % 7 < 3), t AS (SELECT DISTINCT user_id AS target FROM events), d AS (SELECT DISTINCT event_type AS dimension FROM events), g AS (SELECT target, dimension, count(DISTINCT family) FILTER (usable) AS families, count(*) AS n FROM o GROUP BY 1, 2) SELECT t.target, d.dimension, coalesce(families, 0) AS families, CASE WHEN n IS NULL THEN 'missing' WHEN families = 0 THEN 'unusable' WHEN families < 3 THEN 'partial' ELSE 'covered' END AS state FROM t CROSS JOIN d LEFT JOIN g ON g.target = t.target AND g.dimension = d.dimension")
+@query("WITH o AS (SELECT user_id AS target, hour(ts) AS dimension, event_id % 4 AS family, event_id % 5 <> 0 AS usable FROM events), t AS (SELECT DISTINCT user_id AS target FROM events), d AS (SELECT DISTINCT hour(ts) AS dimension FROM events), g AS (SELECT target, dimension, count(DISTINCT family) FILTER (usable) AS families, count(*) AS n FROM o GROUP BY 1, 2) SELECT t.target, d.dimension::INT AS dimension, coalesce(families, 0) AS families, CASE WHEN n IS NULL THEN 'missing' WHEN families = 0 THEN 'unusable' WHEN families < 3 THEN 'partial' ELSE 'covered' END AS state FROM t CROSS JOIN d LEFT JOIN g ON g.target = t.target AND g.dimension = d.dimension")
 def a17_coverage(spark, sf_dir):
-    e = events(spark, sf_dir)
-    o = e.where("event_id % 7 < 3").select(F.col("user_id").alias("target"), F.col("event_type").alias("dimension"), (F.col("event_id") % 4).alias("family"), (F.col("event_id") % 5 != 0).alias("usable"))
-    return ev.coverage(e.select(F.col("user_id").alias("target")).distinct(), e.select(F.col("event_type").alias("dimension")).distinct(), o, 3).select("target", "dimension", "families", "state")
+    o = events(spark, sf_dir).select(F.col("user_id").alias("target"), F.hour("ts").alias("dimension"), (F.col("event_id") % 4).alias("family"), (F.col("event_id") % 5 != 0).alias("usable"))
+    return ev.coverage(o.select("target").distinct(), o.select("dimension").distinct(), o, 3).select("target", "dimension", "families", "state")
 
 
 @query("SELECT user_id, event_type, count(DISTINCT event_id % 4) AS independent_sources, count(*) AS retrievals, CASE WHEN count(DISTINCT event_id % 4) >= 3 THEN 'broad' WHEN count(DISTINCT event_id % 4) = 2 THEN 'emerging' ELSE 'quiet' END AS state FROM events GROUP BY user_id, event_type")

@@ -76,9 +76,10 @@ def j05_all_pairs(spark, sf_dir):
 @query(f"""WITH {BARS}, {EVENTS}, {RET}, h AS (SELECT * FROM (VALUES ('T0', 0), ('T1', 1), ('T3', 3)) AS t(horizon, days)),
 b AS (SELECT event_id, evn.symbol, event_date, max(b.date) AS bd, arg_max(b.close, b.date) AS base FROM evn LEFT JOIN bars b ON b.symbol = evn.symbol AND b.date < event_date GROUP BY 1, 2, 3),
 t AS (SELECT b.event_id, horizon, b.symbol, event_date, base, min(r.date) AS ref_date, arg_min(r.close, r.date) AS ref FROM b, h LEFT JOIN bars r ON r.symbol = b.symbol AND r.date >= (event_date::DATE + days)::VARCHAR GROUP BY 1, 2, 3, 4, 5),
-l AS (SELECT symbol, x, y, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM ret WHERE x IS NOT NULL AND y IS NOT NULL), bt AS (SELECT symbol, {BETAS} AS beta FROM l WHERE n <= 120 GROUP BY symbol),
+l AS (SELECT symbol, x, y, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM ret WHERE x IS NOT NULL AND y IS NOT NULL), bt0 AS (SELECT symbol, count(*) AS m, covar_pop(y, x) FILTER (n <= 120) / nullif(var_pop(x) FILTER (n <= 120), 0) AS sl, covar_pop(y, x) FILTER (n <= 60) / nullif(var_pop(x) FILTER (n <= 60), 0) AS fa FROM l GROUP BY symbol),
+bt AS (SELECT symbol, CASE WHEN m >= 110 THEN sl WHEN m >= 50 THEN fa END AS beta, CASE WHEN m >= 110 THEN 'beta_120' WHEN m >= 50 THEN 'beta_60' END AS src FROM bt0),
 q AS (SELECT t.*, (SELECT arg_max(bench, date) FROM bench WHERE date < event_date) AS b0, (SELECT bench FROM bench WHERE bench.date = t.ref_date) AS b1 FROM t)
-SELECT event_id, horizon, ref_date, round((ref / base - 1) * 100, 4) AS raw_return_pct, round((b1 / b0 - 1) * 100, 4) AS benchmark_return_pct, CASE WHEN beta IS NULL THEN 'benchmark_fallback' ELSE 'relationship_graph' END AS beta_source, round(round((ref / base - 1) * 100, 4) - coalesce(beta, 1.0) * round((b1 / b0 - 1) * 100, 4), 2) AS abnormal_return_pct FROM q LEFT JOIN bt ON bt.symbol = q.symbol""")
+SELECT event_id, horizon, ref_date, round((ref / base - 1) * 100, 4) AS raw_return_pct, round((b1 / b0 - 1) * 100, 4) AS benchmark_return_pct, coalesce(src, 'benchmark_fallback') AS beta_source, round(round((ref / base - 1) * 100, 4) - coalesce(beta, 1.0) * round((b1 / b0 - 1) * 100, 4), 2) AS abnormal_return_pct FROM q LEFT JOIN bt ON bt.symbol = q.symbol""")
 def e07_event_reactions(spark, sf_dir):
     b = bars(spark, sf_dir)
     e = mk.previous_close(_events(spark, sf_dir), b)
@@ -90,9 +91,9 @@ def e07_event_reactions(spark, sf_dir):
     series = bench.select(F.lit(0).cast("long").alias("symbol"), "date", F.col("bench").alias("close"))
     before = mk.previous_close(e.select(F.lit(0).cast("long").alias("symbol"), "event_date").distinct(), series).select("event_date", F.col("base_close").alias("b0"))
     e = e.join(before, "event_date", "left").join(bench.select(F.col("date").alias("ref_date"), F.col("bench").alias("b1")), "ref_date", "left")
-    e = e.join(mk.market_betas(_returns(spark, sf_dir), 120).select("symbol", "beta"), "symbol", "left")
+    e = e.join(mk.beta_lookup(e.select("symbol").distinct(), _returns(spark, sf_dir)), "symbol", "left")
     raw, bm = F.round((F.col("ref_close") / F.col("base_close") - 1) * 100, 4), F.round((F.col("b1") / F.col("b0") - 1) * 100, 4)
-    return e.select("event_id", "horizon", "ref_date", raw.alias("raw_return_pct"), bm.alias("benchmark_return_pct"), F.when(F.col("beta").isNull(), "benchmark_fallback").otherwise("relationship_graph").alias("beta_source"), F.round(raw - F.coalesce("beta", F.lit(1.0)) * bm, 2).alias("abnormal_return_pct"))
+    return e.select("event_id", "horizon", "ref_date", raw.alias("raw_return_pct"), bm.alias("benchmark_return_pct"), F.col("source").alias("beta_source"), F.round(raw - F.col("beta") * bm, 2).alias("abnormal_return_pct"))
 
 
 @query(f"WITH {BARS}, {EVENTS}, h AS (SELECT unnest(['T0','T1','T3']) AS horizon) SELECT event_id, symbol, horizon FROM evn, h WHERE NOT (event_id % 3 = 0 AND horizon = 'T0')")
@@ -146,13 +147,16 @@ def w19_path_cone(spark, sf_dir):
     return x.groupBy((F.col("k") + 1).cast("long").alias("step")).agg(F.count("*").alias("n"), q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"))
 
 
-@query(f"WITH {BARS}, p AS (SELECT date, max(close) FILTER (symbol = 1) AS a, max(close) FILTER (symbol = 2) AS b, max(close) FILTER (symbol = 3) AS c FROM bars WHERE symbol IN (1, 2, 3) GROUP BY date HAVING count(*) = 3), r AS (SELECT date, 100 * (a / lag(a) OVER (ORDER BY date) - 1) AS ra, 100 * (b / lag(b) OVER (ORDER BY date) - 1) AS rb, 100 * (c / lag(c) OVER (ORDER BY date) - 1) AS rc FROM p) SELECT date, CASE WHEN ra <= -0.25 AND rb >= 0.25 AND rc >= 0.25 THEN 'diverging_down' WHEN ra >= 0.25 AND rb <= -0.25 AND rc <= -0.25 THEN 'diverging_up' ELSE 'aligned' END AS state, coalesce(ra < 0 AND rb < 0 AND ra / nullif(rb, 0) >= 2.0, false) AS weak_2x FROM r WHERE ra IS NOT NULL")
+@query(f"WITH {BARS}, p AS (SELECT a.symbol, a.date, a.close AS a, b.close AS b, c.close AS c FROM bars a JOIN bars b ON b.symbol = a.symbol + 1 AND b.date = a.date JOIN bars c ON c.symbol = a.symbol + 2 AND c.date = a.date), r AS (SELECT symbol, date, 100 * (a / lag(a) OVER w - 1) AS ra, 100 * (b / lag(b) OVER w - 1) AS rb, 100 * (c / lag(c) OVER w - 1) AS rc FROM p WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT symbol, date, CASE WHEN ra <= -0.25 AND rb >= 0.25 AND rc >= 0.25 THEN 'diverging_down' WHEN ra >= 0.25 AND rb <= -0.25 AND rc <= -0.25 THEN 'diverging_up' ELSE 'aligned' END AS state, coalesce(ra < 0 AND rb < 0 AND ra / nullif(rb, 0) >= 2.0, false) AS weak_2x FROM r WHERE ra IS NOT NULL")
 def e09_divergence(spark, sf_dir):
-    p = bars(spark, sf_dir).where("symbol in (1, 2, 3)").groupBy("date").pivot("symbol", [1, 2, 3]).agg(F.max("close")).toDF("date", "a", "b", "c").dropna()
-    w = Window.partitionBy(F.lit(0)).orderBy("date")  # one row a date
-    r = p.select("date", *[(100 * (F.col(c) / F.lag(c).over(w) - 1)).alias(f"r{c}") for c in "abc"]).where("ra is not null")
+    """Every symbol against the next two, on the dates that all three have."""
+    b = bars(spark, sf_dir)
+    at = lambda k, n: b.select((F.col("symbol") - k).alias("symbol"), "date", F.col("close").alias(n))
+    p = at(0, "a").join(at(1, "b"), ["symbol", "date"]).join(at(2, "c"), ["symbol", "date"])
+    w = fx.series()
+    r = p.select("symbol", "date", *[(100 * (F.col(c) / F.lag(c).over(w) - 1)).alias(f"r{c}") for c in "abc"]).where("ra is not null")
     state = F.when((F.col("ra") <= -0.25) & (F.col("rb") >= 0.25) & (F.col("rc") >= 0.25), "diverging_down").when((F.col("ra") >= 0.25) & (F.col("rb") <= -0.25) & (F.col("rc") <= -0.25), "diverging_up").otherwise("aligned")
-    return r.select("date", state.alias("state"), F.coalesce((F.col("ra") < 0) & (F.col("rb") < 0) & (F.try_divide("ra", "rb") >= 2.0), F.lit(False)).alias("weak_2x"))
+    return r.select("symbol", "date", state.alias("state"), F.coalesce((F.col("ra") < 0) & (F.col("rb") < 0) & (F.try_divide("ra", "rb") >= 2.0), F.lit(False)).alias("weak_2x"))
 
 
 @query(f"WITH {CHAIN} SELECT underlying, strike, sum(CASE WHEN side = 'C' THEN open_interest ELSE 0 END)::BIGINT AS call_oi, sum(CASE WHEN side = 'P' THEN open_interest ELSE 0 END)::BIGINT AS put_oi, count(*) AS contracts FROM chain GROUP BY underlying, strike")
@@ -210,13 +214,35 @@ def e08_implied_move(spark, sf_dir):
     return s.select("underlying", F.round("m", 6).alias("implied_move_pct"), F.when(F.col("m") >= 1.25, "RICH").when(F.col("m") <= 0.95, "CHEAP").otherwise("FAIR").alias("label"))
 
 
-@query(f"WITH {CHAIN}, sc AS (SELECT unnest([0.9, 1.0, 1.1])::DOUBLE AS m), l AS (SELECT c.*, m, CASE WHEN side = 'C' THEN greatest(spot * m - strike, 0) ELSE greatest(strike - spot * m, 0) END - (bid + ask) / 2 AS pnl FROM chain c, sc WHERE contract_id % 25 = 0) SELECT underlying, m AS scenario, count(*) AS legs, round(sum(pnl), 4) + 0 AS pnl, round(min(pnl), 4) + 0 AS worst_leg FROM l GROUP BY underlying, m")
+#: The normal distribution as SQL: the fit that the engine uses, so that both agree to the last rounded digit.
+ERFC = "(1 / (1 + {x} / 2)) * exp(-{x} * {x} - 1.26551223 + (1 / (1 + {x} / 2)) * (1.00002368 + (1 / (1 + {x} / 2)) * (0.37409196 + (1 / (1 + {x} / 2)) * (0.09678418 + (1 / (1 + {x} / 2)) * (-0.18628806 + (1 / (1 + {x} / 2)) * (0.27886807 + (1 / (1 + {x} / 2)) * (-1.13520398 + (1 / (1 + {x} / 2)) * (1.48851587 + (1 / (1 + {x} / 2)) * (-0.82215223 + (1 / (1 + {x} / 2)) * 0.17087277)))))))))"
+
+
+def _cdf(x: str) -> str:
+    tail = ERFC.format(x=f"(abs({x}) / sqrt(2.0::DOUBLE))")
+    return f"(CASE WHEN {x} < 0 THEN {tail} / 2 ELSE 1 - {tail} / 2 END)"
+
+
+@query(f"""WITH {CHAIN}, sc AS (SELECT unnest([0.9, 1.0, 1.1])::DOUBLE AS m), l0 AS (SELECT c.*, m, spot * m AS sp1, datediff('day', DATE '{AS_OF}', expiry) / 365.0::DOUBLE / 2 AS yrs, CASE WHEN side = 'C' THEN 1 ELSE -1 END AS sg FROM chain c, sc), l1 AS (SELECT *, (ln(sp1 / strike) + (0.04 + 0.5 * iv * iv) * yrs) / (iv * sqrt(yrs)) AS d1 FROM l0),
+l AS (SELECT *, greatest(sg * (sp1 - strike), 0) - (bid + ask) / 2 AS pnl, sg * (sp1 * {_cdf("(sg * d1)")} - strike * exp(-0.04::DOUBLE * yrs) * {_cdf("(sg * (d1 - iv * sqrt(yrs)))")}) - (bid + ask) / 2 AS early FROM l1)
+SELECT underlying, m AS scenario, count(*) AS legs, round(sum(pnl), 4) + 0 AS pnl, round(min(pnl), 4) + 0 AS worst_leg, round(sum(early), 3) + 0 AS pnl_half_way FROM l GROUP BY underlying, m""")
 def g04_scenario_pnl(spark, sf_dir):
-    c = chain(spark, sf_dir).where("contract_id % 25 = 0").withColumn("m", F.explode(F.array(*[F.lit(x) for x in (0.9, 1.0, 1.1)])))
-    at = F.col("spot") * F.col("m")
-    pay = F.when(F.col("side") == "C", F.greatest(at - F.col("strike"), F.lit(0.0))).otherwise(F.greatest(F.col("strike") - at, F.lit(0.0)))
-    c = c.withColumn("pnl", pay - (F.col("bid") + F.col("ask")) / 2)
-    return c.groupBy("underlying", F.col("m").alias("scenario")).agg(F.count("*").alias("legs"), F.round(F.sum("pnl"), 4).alias("pnl"), F.round(F.min("pnl"), 4).alias("worst_leg"))
+    """Every contract bought at its mid: profit at expiry, and by the model half-way there."""
+    c = chain(spark, sf_dir).withColumn("m", F.explode(F.array(*[F.lit(x) for x in (0.9, 1.0, 1.1)])))
+    at, mid = F.col("spot") * F.col("m"), (F.col("bid") + F.col("ask")) / 2
+    years = F.datediff("expiry", F.lit(AS_OF).cast("date")) / 365.0 / 2
+    c = c.withColumns({"pnl": mk.option_payoff(F.col("side"), F.col("strike"), at) - mid, "early": mk.option_value(F.col("side"), at, F.col("strike"), years, F.col("iv"), 0.04) - mid})
+    return c.groupBy("underlying", F.col("m").alias("scenario")).agg(F.count("*").alias("legs"), F.round(F.sum("pnl"), 4).alias("pnl"), F.round(F.min("pnl"), 4).alias("worst_leg"), F.round(F.sum("early"), 3).alias("pnl_half_way"))
+
+
+@query(f"""WITH {CHAIN}, lg AS (SELECT underlying, side, strike, (CASE WHEN contract_id % 3 = 0 THEN -1 ELSE 1 END)::DOUBLE AS qty, (bid + ask) / 2 AS cost FROM chain), kn AS (SELECT DISTINCT underlying, strike AS x FROM lg UNION SELECT DISTINCT underlying, 0.0 FROM lg),
+v AS (SELECT kn.underlying, x, sum(qty * (CASE WHEN side = 'C' THEN greatest(x - strike, 0) ELSE greatest(strike - x, 0) END - cost)) AS v FROM kn JOIN lg ON lg.underlying = kn.underlying GROUP BY 1, 2), p AS (SELECT *, lag(x) OVER w AS px, lag(v) OVER w AS pv FROM v WINDOW w AS (PARTITION BY underlying ORDER BY x)),
+r AS (SELECT *, CASE WHEN sign(pv) * sign(v) < 0 THEN px - pv * (x - px) / (v - pv) END AS root FROM p) SELECT underlying, round(min(v), 4) AS low, round(max(v), 4) AS high, count(root) AS break_evens, round(min(root), 4) AS first_break_even FROM r GROUP BY underlying""")
+def g04_expiry_geometry(spark, sf_dir):
+    """Every third contract sold, the others bought: extrema and break-evens of each underlying at expiry."""
+    legs = chain(spark, sf_dir).select("underlying", "side", "strike", F.when(F.col("contract_id") % 3 == 0, -1.0).otherwise(1.0).alias("qty"), ((F.col("bid") + F.col("ask")) / 2).alias("cost"))
+    x = mk.expiry_geometry(legs, "underlying")
+    return x.select("underlying", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "break_evens", F.round("first_break_even", 4).alias("first_break_even"))
 
 
 @query(f"WITH {CHAIN}, g AS (SELECT underlying, sum(ask)::DOUBLE AS cost, sum(open_interest) AS oi, avg(iv) AS iv FROM chain GROUP BY underlying), r AS (SELECT underlying, round(cost, 4) AS cost, oi::BIGINT AS oi, round(iv, 6) AS iv FROM g) SELECT a.underlying FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.cost <= a.cost AND b.oi >= a.oi AND b.iv <= a.iv AND (b.cost < a.cost OR b.oi > a.oi OR b.iv < a.iv))")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import ledger as lg
 from marlstone.operators import registers as rg
 from marlstone.operators import states as sx
-from marlstone.plans.ledger_queries import VERIFIED
-from marlstone.plans.state_queries import LOTS
+from marlstone.plans.ledger_queries import LOTS, VERIFIED
 from marlstone.sources.bindings import BARS, DECISIONS, RESULTS, bars, decisions, events, journal, read, results
 
 Q, SQL = {}, {}
@@ -47,22 +46,27 @@ def e14_exposure_weakening(spark, sf_dir):
     return rg.weakening(s, 0.5)
 
 
-@query("SELECT l_suppkey AS supplier, max(abs(l_extendedprice - l_quantity * 1500)) AS spread, min(abs(l_extendedprice - 30000)) AS margin, max(abs(l_extendedprice - l_quantity * 1500)) < min(abs(l_extendedprice - 30000)) AS robust FROM lineitem WHERE l_linenumber = 1 GROUP BY 1")
+@query("SELECT l_suppkey AS supplier, max(abs(l_extendedprice - l_quantity * 1500)) AS spread, min(abs(l_extendedprice - (100000 + 15000 * (l_suppkey % 5)))) AS margin, max(abs(l_extendedprice - l_quantity * 1500)) < min(abs(l_extendedprice - (100000 + 15000 * (l_suppkey % 5)))) AS robust FROM lineitem GROUP BY 1")
 def e13_threshold_sensitivity(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("supplier"), F.col("l_extendedprice").alias("value"), (F.col("l_quantity") * 1500).alias("alt"), F.lit(30000.0).alias("threshold"))
+    s = F.col("l_suppkey")
+    li = read(spark, sf_dir, "lineitem").select(s.alias("supplier"), F.col("l_extendedprice").alias("value"), (F.col("l_quantity") * 1500).alias("alt"), (100000.0 + 15000 * (s % 5)).alias("threshold"))
     return rg.threshold_margin(li, "supplier")
 
 
-@query("WITH e AS (SELECT event_id, sha256(concat_ws('|', (user_id % 20)::VARCHAR, event_type)) AS h, ts FROM events WHERE event_id % 2 = 1), b AS (SELECT sha256(concat_ws('|', (user_id % 20)::VARCHAR, event_type)) AS h, min(ts) AS f FROM events WHERE event_id % 200 = 0 GROUP BY 1) SELECT event_id AS entry_id, CASE WHEN f IS NULL THEN 'no_bundle' WHEN f >= ts THEN 'bundle_after_entry' ELSE 'linked' END AS state FROM e LEFT JOIN b ON b.h = e.h")
+@query("WITH e AS (SELECT event_id, sha256(concat_ws('|', user_id::VARCHAR, event_type)) AS h, ts FROM events), b AS (SELECT sha256(concat_ws('|', c_custkey::VARCHAR, t)) AS h, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (c_custkey % 40) AS f FROM customer, (SELECT unnest(['click', 'view', 'purchase']) AS t)) SELECT event_id AS entry_id, CASE WHEN f IS NULL THEN 'no_bundle' WHEN f >= ts THEN 'bundle_after_entry' ELSE 'linked' END AS state FROM e LEFT JOIN b ON b.h = e.h")
 def j14_content_hash_join(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("content_hash", rg.fingerprint(F.col("user_id") % 20, F.col("event_type")))
-    return rg.hash_feedback(e.where("event_id % 2 = 1").select(F.col("event_id").alias("entry_id"), "content_hash", F.col("ts").alias("entered_at")), e.where("event_id % 200 = 0").select("content_hash", F.col("ts").alias("frozen_at")))
+    """Events as entries, and bundles of three event types for every customer, frozen on days of their own."""
+    e = events(spark, sf_dir).select(F.col("event_id").alias("entry_id"), rg.fingerprint(F.col("user_id"), F.col("event_type")).alias("content_hash"), F.col("ts").alias("entered_at"))
+    k = F.col("c_custkey")
+    b = read(spark, sf_dir, "customer").select(k, F.explode(F.array(*[F.lit(t) for t in ("click", "view", "purchase")])).alias("t"))
+    return rg.hash_feedback(e, b.select(rg.fingerprint(k, F.col("t")).alias("content_hash"), F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + 86400 * (k % 40)).alias("frozen_at")))
 
 
-@query("WITH e AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 3 <> 0), o AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45 GROUP BY 1) SELECT coalesce(e.k, o.k) AS part, CASE WHEN n IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unexpected' WHEN n > 1 THEN 'duplicate' ELSE 'ok' END AS state FROM e FULL JOIN o ON e.k = o.k")
+@query("WITH e AS (SELECT c_custkey + 10 AS k FROM customer), o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) SELECT coalesce(e.k, o.k) AS customer, CASE WHEN n IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unexpected' WHEN n > 1 THEN 'duplicate' ELSE 'ok' END AS state FROM e FULL JOIN o ON e.k = o.k")
 def j23_expected_universe(spark, sf_dir):
-    expected = read(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("part"))
-    return rg.universe_coverage(expected, read(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity > 45").select(F.col("l_partkey").alias("part")), "part")
+    """The customers' numbers moved by ten are expected, those of the orders observed."""
+    expected = read(spark, sf_dir, "customer").select((F.col("c_custkey") + 10).alias("customer"))
+    return rg.universe_coverage(expected, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer")), "customer")
 
 
 @query(f"WITH {DECISIONS}, {RESULTS}, p AS (SELECT decision_id, symbol FROM decisions WHERE decision_id NOT IN (SELECT decision_id FROM results)), s AS (SELECT symbol, month(analysis_time) AS t FROM decisions), n AS (SELECT DISTINCT symbol FROM s WHERE t = (SELECT max(t) FROM s)) SELECT decision_id, symbol FROM p WHERE symbol NOT IN (SELECT symbol FROM n)")
@@ -92,6 +96,13 @@ def e05_walk_forward(spark, sf_dir):
     return x.select("regime", "n", F.round("brier", 6).alias("brier"), F.round("base_brier", 6).alias("base_brier"))
 
 
+@query(VERIFIED + ", w AS (SELECT regime, return_pct, quantile_cont(return_pct, 0.05) OVER v AS lo, quantile_cont(return_pct, 0.95) OVER v AS hi, count(*) OVER v AS seen FROM ver WINDOW v AS (PARTITION BY regime ORDER BY validation_time, decision_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)) SELECT regime, count(*) AS n, round(avg((return_pct BETWEEN lo AND hi)::INT), 6) AS coverage, round(avg(hi - lo), 5) AS width FROM w WHERE seen >= 20 GROUP BY regime")
+def e05_interval_coverage(spark, sf_dir):
+    v = lg.verified(decisions(spark, sf_dir), results(spark, sf_dir))
+    x = rg.interval_coverage(v, "regime", ["validation_time", "decision_id"], "return_pct")
+    return x.select("regime", "n", F.round("coverage", 6).alias("coverage"), F.round("width", 5).alias("width"))
+
+
 @query(VERIFIED + " SELECT regime, count(*) AS n, round(avg((outcome = 'success')::INT), 4) AS win_rate, round(avg(pow(predicted - (outcome = 'success')::INT, 2)) FILTER (outcome IN ('success', 'failure')), 4) AS brier, max(validation_time)::DATE::VARCHAR AS last_day FROM ver GROUP BY regime")
 def a25_digest(spark, sf_dir):
     v = lg.verified(decisions(spark, sf_dir), results(spark, sf_dir)).withColumn("won", (F.col("outcome") == "success").cast("int"))

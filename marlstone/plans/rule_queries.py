@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import numeric as nm
 from marlstone.operators import factors as fx
+from marlstone.operators import market as mk
 from marlstone.operators import rules as rl
 from marlstone.sources.bindings import BARS, BENCH, BOOK, DECISIONS, LEVELS, bars, benchmark_series, book, decisions, events, levels, read
 
@@ -43,9 +44,12 @@ def p05_alignment(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", rl.alignment(F.date_format(F.date_add(d, 1), "yyyy-MM-dd"), target, observed).alias("state"))
 
 
-@query(f"WITH {BARS} SELECT symbol, date, 'close_out_of_range' AS code FROM bars WHERE close > high + 1e-9 OR close < low - 1e-9 UNION ALL SELECT symbol, date, 'not_positive' FROM bars WHERE low <= 0")
+@query(f"WITH {BARS}, x AS (SELECT symbol, date, CASE WHEN volume % 11 = 0 THEN close * 100 WHEN volume % 13 = 0 THEN close / 100 ELSE close END AS close, high, CASE WHEN volume % 17 = 0 THEN -low ELSE low END AS low, volume FROM bars) SELECT symbol, date, 'close_out_of_range' AS code FROM x WHERE close > high + 1e-9 OR close < low - 1e-9 UNION ALL SELECT symbol, date, 'not_positive' FROM x WHERE low <= 0 UNION ALL SELECT symbol, date, 'date_repeats' FROM x WHERE volume % 19 = 0 UNION ALL SELECT symbol, date, 'close_out_of_range' FROM x WHERE volume % 19 = 0 AND (close > high + 1e-9 OR close < low - 1e-9) UNION ALL SELECT symbol, date, 'not_positive' FROM x WHERE volume % 19 = 0 AND low <= 0")
 def p08_bar_errors(spark, sf_dir):
-    return rl.bar_errors(bars(spark, sf_dir))
+    """Bars that break each rule: closes moved out of their range, lows turned negative, rows that repeat."""
+    v = F.col("volume")
+    x = bars(spark, sf_dir).withColumns({"close": F.when(v % 11 == 0, F.col("close") * 100).when(v % 13 == 0, F.col("close") / 100).otherwise(F.col("close")), "low": F.when(v % 17 == 0, -F.col("low")).otherwise(F.col("low"))})
+    return rl.bar_errors(x.unionByName(x.where("volume % 19 = 0")))
 
 
 @query(f"WITH {BARS}, s AS (SELECT symbol, min(date) AS a, max(date) AS b FROM bars GROUP BY symbol), c AS (SELECT DISTINCT date FROM bars) SELECT s.symbol, c.date FROM s JOIN c ON c.date BETWEEN a AND b ANTI JOIN bars ON bars.symbol = s.symbol AND bars.date = c.date")
@@ -87,17 +91,19 @@ def p18_unit_values(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", F.round(rl.unit_value(F.col("o_totalprice"), unit, {"CNY": 1.0, "10k": 1e4, "100M": 1e8}), 2).alias("value"))
 
 
-@query(f"WITH {BARS}, {BENCH} SELECT a.date, round(a.close, 6) AS x, round(b.close, 6) AS y, round(bench, 6) AS z FROM bars a JOIN bars b ON a.date = b.date AND a.symbol = 1 AND b.symbol = 2 JOIN bench ON bench.date = a.date")
+@query(f"WITH {BARS}, {BENCH} SELECT a.symbol, a.date, a.close AS x, b.close AS y, round(bench, 6) AS z FROM bars a JOIN bars b ON a.date = b.date AND b.symbol = a.symbol + 1 JOIN bench ON bench.date = a.date")
 def j04_aligned_series(spark, sf_dir):
-    b = bars(spark, sf_dir)
-    one = lambda s, n: b.where(F.col("symbol") == s).select("date", F.round("close", 6).alias(n))
-    return one(1, "x").join(one(2, "y"), "date").join(benchmark_series(b).select("date", F.round("bench", 6).alias("z")), "date")
+    """Every symbol beside the next one and the benchmark, on the dates that all three have."""
+    b = bars(spark, sf_dir).select("symbol", "date", F.col("close").alias("x"))
+    after = b.select((F.col("symbol") - 1).alias("symbol"), "date", F.col("x").alias("y"))
+    return b.join(after, ["symbol", "date"]).join(benchmark_series(bars(spark, sf_dir)).select("date", F.round("bench", 6).alias("z")), "date").select("symbol", "date", "x", "y", "z")
 
 
-@query(f"WITH {BARS} SELECT max(date) AS date FROM (SELECT date FROM bars WHERE symbol IN (1, 2, 3) AND date <= '1999-06-30' GROUP BY date HAVING count(*) = 3)")
+@query(f"WITH {BARS}, g AS (SELECT symbol - i AS first, date FROM bars, (SELECT unnest(range(3)) AS i) WHERE date <= '1999-06-30'), c AS (SELECT first, date FROM g GROUP BY first, date HAVING count(*) = 3) SELECT first, max(date) AS date FROM c GROUP BY first")
 def j08_latest_common_date(spark, sf_dir):
-    x = bars(spark, sf_dir).where("symbol in (1, 2, 3) and date <= '1999-06-30'").groupBy("date").count().where("count = 3")
-    return x.agg(F.max("date").alias("date"))
+    """Of every three neighbouring symbols the last date at or before the as-of that all of them have."""
+    g = bars(spark, sf_dir).where("date <= '1999-06-30'").select("symbol", "date", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select((F.col("symbol") - F.col("i")).alias("first"), "date")
+    return g.groupBy("first", "date").count().where("count = 3").groupBy("first").agg(F.max("date").alias("date"))
 
 
 @query(f"WITH {BARS}, r AS (SELECT date, any_value(risk_regime) AS g FROM bars GROUP BY date), l AS (SELECT date, lag(g) OVER (ORDER BY date) AS known FROM r) SELECT symbol, bars.date, known FROM bars JOIN l USING (date) WHERE known IS NOT NULL")
@@ -107,20 +113,21 @@ def j09_lagged_condition(spark, sf_dir):
     return b.select("symbol", "date").join(state.select("date", "known"), "date").where("known is not null")
 
 
-@query(f"WITH {BARS}, e AS (SELECT symbol, date AS entry, close AS c0, (date::DATE + 35)::VARCHAR AS ex FROM bars WHERE date LIKE '1998-0%'), s AS (SELECT e.symbol, entry, ex, c0, max(b.date) AS last, arg_max(b.close, b.date) AS c1 FROM e JOIN bars b ON b.symbol = e.symbol AND b.date BETWEEN entry AND ex GROUP BY 1, 2, 3, 4) SELECT symbol, entry, round(c1 / c0 - 1, 6) AS ret, last <> ex AS interrupted FROM s")
+@query(f"WITH {BARS}, e AS (SELECT symbol, date AS entry, close AS c0, (date::DATE + 35)::VARCHAR AS ex FROM bars), s AS (SELECT e.symbol, entry, ex, c0, max(b.date) AS last, arg_max(b.close, b.date) AS c1 FROM e JOIN bars b ON b.symbol = e.symbol AND b.date BETWEEN entry AND ex GROUP BY 1, 2, 3, 4) SELECT symbol, entry, round(c1 / c0 - 1, 6) AS ret, last <> ex AS interrupted FROM s")
 def j10_range_settlement(spark, sf_dir):
+    """Every bar as an entry, settled at the last price up to five weeks later: a last value by symbol, no range join."""
     b = bars(spark, sf_dir).select("symbol", "date", "close")
-    e = b.where("date like '1998-0%'").select("symbol", F.col("date").alias("entry"), F.col("close").alias("c0"), F.date_format(F.date_add(F.col("date").cast("date"), 35), "yyyy-MM-dd").alias("ex"))
-    s = e.join(b, "symbol").where(F.col("date").between(F.col("entry"), F.col("ex"))).groupBy("symbol", "entry", "ex", "c0").agg(F.max("date").alias("last"), F.max_by("close", "date").alias("c1"))
-    return s.select("symbol", "entry", F.round(F.col("c1") / F.col("c0") - 1, 6).alias("ret"), (F.col("last") != F.col("ex")).alias("interrupted"))
+    e = b.select("symbol", F.col("date").alias("entry"), F.col("close").alias("c0"), F.date_format(F.date_add(F.col("date").cast("date"), 35), "yyyy-MM-dd").alias("ex"))
+    s = mk.as_of(e, b, "ex", True)
+    return s.select("symbol", "entry", F.round(F.col("base_close") / F.col("c0") - 1, 6).alias("ret"), (F.col("base_date") != F.col("ex")).alias("interrupted"))
 
 
-@query("WITH r AS (SELECT o_orderkey AS row_id, o_custkey AS cust, o_orderkey % 40 AS legacy FROM orders WHERE o_orderkey < 3000), a AS (SELECT c_custkey AS cust, c_custkey AS match_id FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey % 80 AS legacy, c_custkey AS match_id FROM customer WHERE c_custkey < 100 AND c_custkey % 3 = 0), bg AS (SELECT legacy, min(match_id) AS m, count(*) AS n FROM b GROUP BY legacy) SELECT row_id, CASE WHEN a.match_id IS NOT NULL THEN a.match_id WHEN bg.n = 1 THEN bg.m END AS match_id, CASE WHEN a.match_id IS NOT NULL THEN 'cust' WHEN bg.n > 1 THEN 'ambiguous' WHEN bg.n = 1 THEN 'legacy' ELSE 'none' END AS how FROM r LEFT JOIN a ON a.cust = r.cust LEFT JOIN bg ON bg.legacy = r.legacy")
+@query("WITH r AS (SELECT o_orderkey AS row_id, o_custkey AS cust, o_orderkey % 400 AS legacy FROM orders), a AS (SELECT c_custkey AS cust, c_custkey AS match_id FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey // 4 AS legacy, c_custkey AS match_id FROM customer WHERE c_custkey % 3 = 0), bg AS (SELECT legacy, min(match_id) AS m, count(*) AS n FROM b GROUP BY legacy) SELECT row_id, CASE WHEN a.match_id IS NOT NULL THEN a.match_id WHEN bg.n = 1 THEN bg.m END AS match_id, CASE WHEN a.match_id IS NOT NULL THEN 'cust' WHEN bg.n > 1 THEN 'ambiguous' WHEN bg.n = 1 THEN 'legacy' ELSE 'none' END AS how FROM r LEFT JOIN a ON a.cust = r.cust LEFT JOIN bg ON bg.legacy = r.legacy")
 def j13_prioritised_lookup(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("cust"), (F.col("o_orderkey") % 40).alias("legacy"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("cust"), (F.col("o_orderkey") % 400).alias("legacy"))
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("match_id"))
     a = c.where("match_id % 2 = 0").withColumn("cust", F.col("match_id"))
-    b = c.where("match_id < 100 and match_id % 3 = 0").withColumn("legacy", F.col("match_id") % 80)
+    b = c.where("match_id % 3 = 0").withColumn("legacy", F.floor(F.col("match_id") / 4))
     return rl.prioritised(rows, [("cust", a), ("legacy", b)]).select("row_id", "match_id", "how")
 
 
@@ -131,11 +138,11 @@ def j15_single_receipt(spark, sf_dir):
     return rl.one_receipt(exits, r)
 
 
-@query("WITH f AS (SELECT l_suppkey AS symbol, strftime(l_shipdate, '%Y-%m') AS period, l_shipdate AS o, l_quantity AS forecast, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE day(l_shipdate) <= 10), r AS (SELECT l_suppkey AS symbol, strftime(l_shipdate, '%Y-%m') AS period, date_trunc('month', l_shipdate) + INTERVAL 7 DAY AS rep, avg(l_quantity) AS actual FROM lineitem GROUP BY 1, 2, 3), j AS (SELECT f.symbol, f.period, actual, arg_min(forecast, strftime(o, '%Y%m%d') || lpad(l_orderkey::VARCHAR, 12, '0') || lpad(l_linenumber::VARCHAR, 3, '0') || lpad(l_partkey::VARCHAR, 12, '0') || lpad(forecast::BIGINT::VARCHAR, 4, '0')) AS forecast FROM f JOIN r USING (symbol, period) WHERE o < rep GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY period DESC) AS n FROM j) SELECT symbol, count(*) AS n, round(avg((actual > forecast)::INT), 6) AS beat_rate FROM k WHERE n <= 8 GROUP BY symbol")
+@query("WITH f AS (SELECT l_suppkey AS symbol, strftime(l_shipdate, '%Y-%m') AS period, l_shipdate AS o, l_quantity AS forecast, l_orderkey, l_linenumber, l_partkey FROM lineitem), r AS (SELECT l_suppkey AS symbol, strftime(l_shipdate, '%Y-%m') AS period, date_trunc('month', l_shipdate) + INTERVAL 7 DAY AS rep, avg(l_quantity) AS actual FROM lineitem GROUP BY 1, 2, 3), j AS (SELECT f.symbol, f.period, actual, arg_min(forecast, strftime(o, '%Y%m%d') || lpad(l_orderkey::VARCHAR, 12, '0') || lpad(l_linenumber::VARCHAR, 3, '0') || lpad(l_partkey::VARCHAR, 12, '0') || lpad(forecast::BIGINT::VARCHAR, 4, '0')) AS forecast FROM f JOIN r USING (symbol, period) WHERE o < rep GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY period DESC) AS n FROM j) SELECT symbol, count(*) AS n, round(avg((actual > forecast)::INT), 6) AS beat_rate FROM k WHERE n <= 8 GROUP BY symbol")
 def j16_beat_rate(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").withColumn("period", F.date_format("l_shipdate", "yyyy-MM"))
     key = F.concat(F.date_format("l_shipdate", "yyyyMMdd"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), F.lpad(F.col("l_partkey").cast("string"), 12, "0"), F.lpad(F.col("l_quantity").cast("long").cast("string"), 4, "0"))
-    f = li.where(F.dayofmonth("l_shipdate") <= 10).select(F.col("l_suppkey").alias("symbol"), "period", key.alias("observed_at"), F.col("l_quantity").alias("forecast"))
+    f = li.select(F.col("l_suppkey").alias("symbol"), "period", key.alias("observed_at"), F.col("l_quantity").alias("forecast"))
     r = li.groupBy(F.col("l_suppkey").alias("symbol"), "period").agg(F.avg("l_quantity").alias("actual")).withColumn("reported_at", F.concat(F.regexp_replace("period", "-", ""), F.lit("08")))
     return rl.beat_rate(f, r).select("symbol", "n", F.round("beat_rate", 6).alias("beat_rate"))
 
@@ -186,13 +193,18 @@ def f04_local_dates(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.date_format(t, "yyyy-MM-dd").alias("local_day"), F.date_format(t, "HH:mm").alias("hhmm"))
 
 
-@query(f"WITH {BARS}, {BENCH}, r AS (SELECT symbol, b.date, close / lag(close) OVER s - 1 AS y, bench / lag(bench) OVER s - 1 AS x FROM bars b JOIN bench USING (date) WINDOW s AS (PARTITION BY symbol ORDER BY b.date)), e AS (SELECT symbol, event_date FROM (SELECT symbol, max(date) AS last, arg_max(date, date) AS event_date FROM bars WHERE date < '2000-01-01' GROUP BY symbol)), t AS (SELECT r.symbol, count(*) AS n, covar_pop(y, x) / nullif(var_pop(x), 0) AS beta, avg(y) AS my, avg(x) AS mx FROM r JOIN e ON e.symbol = r.symbol WHERE r.date < event_date AND y IS NOT NULL AND x IS NOT NULL GROUP BY r.symbol), c AS (SELECT r.symbol, sum(y - (my - beta * mx) - beta * x) AS abnormal, count(*) AS age FROM r JOIN e ON e.symbol = r.symbol JOIN t ON t.symbol = r.symbol WHERE r.date >= event_date AND r.date < (event_date::DATE + 70)::VARCHAR GROUP BY r.symbol) SELECT t.symbol, n, round(beta, 5) AS beta, age, round(abnormal, 4) AS abnormal FROM t JOIN c ON c.symbol = t.symbol")
+@query(f"""WITH {BARS}, {BENCH}, r AS (SELECT symbol, b.date, close / lag(close) OVER s - 1 AS y, bench / lag(bench) OVER s - 1 AS x FROM bars b JOIN bench USING (date) WINDOW s AS (PARTITION BY symbol ORDER BY b.date)),
+v AS (SELECT symbol, date, y, x, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, count(*) OVER (PARTITION BY symbol) AS t FROM r WHERE y IS NOT NULL AND x IS NOT NULL), z AS (SELECT *, greatest(8, floor(t * 0.6::DOUBLE)) AS e FROM v WHERE t >= 20),
+f AS (SELECT symbol, any_value(e) AS e, count(*) AS n, covar_pop(y, x) / nullif(var_pop(x), 0) AS beta, avg(y) AS my, avg(x) AS mx, sqrt(count(*) * greatest(var_pop(y) - pow(covar_pop(y, x), 2) / nullif(var_pop(x), 0), 0) / (count(*) - 2)) AS sigma,
+  covar_pop(y, x) FILTER (2 * i <= e) / nullif(var_pop(x) FILTER (2 * i <= e), 0) AS b1, covar_pop(y, x) FILTER (2 * i > e) / nullif(var_pop(x) FILTER (2 * i > e), 0) AS b2 FROM z WHERE i < e GROUP BY symbol),
+a AS (SELECT z.symbol, i - f.e AS k, (y - my) - beta * (x - mx) AS ab, f.* EXCLUDE (symbol, e) FROM z JOIN f ON f.symbol = z.symbol WHERE i >= f.e AND i < f.e + 10)
+SELECT symbol, n, round(any_value(beta), 5) AS beta, count(*) AS age, round(sum(ab), 4) AS abnormal, round(sum(ab) FILTER (k = 0) / any_value(sigma), 4) AS event_z, round(sum(ab) / (any_value(sigma) * sqrt(count(*))), 4) AS block_z, round(coalesce(sum(ab) FILTER (k > 0), 0), 4) AS spill_over, abs(any_value(b1) - any_value(b2)) < greatest(0.35, 0.35 * abs(any_value(beta))) AS stable FROM a GROUP BY symbol, n""")
 def e02_event_dislocation(spark, sf_dir):
+    """An event at six tenths of each symbol's history, the market fit frozen before it."""
     b = bars(spark, sf_dir)
     r = b.join(benchmark_series(b), "date").select("symbol", "date", (F.col("close") / F.lag("close").over(fx.series()) - 1).alias("y"), (F.col("bench") / F.lag("bench").over(fx.series()) - 1).alias("x"))
-    e = b.where("date < '2000-01-01'").groupBy("symbol").agg(F.max("date").alias("event_date"))
-    x = r.join(e, "symbol")
-    fit = x.where("date < event_date and y is not null and x is not null").groupBy("symbol").agg(F.count("*").alias("n"), nm.slope(F.col("y"), F.col("x")).alias("beta"), F.avg("y").alias("my"), F.avg("x").alias("mx"))
-    after = x.where((F.col("date") >= F.col("event_date")) & (F.col("date") < F.date_format(F.date_add(F.col("event_date").cast("date"), 70), "yyyy-MM-dd"))).join(fit, "symbol")
-    c = after.groupBy("symbol", "n", "beta").agg(F.sum(F.col("y") - (F.col("my") - F.col("beta") * F.col("mx")) - F.col("beta") * F.col("x")).alias("abnormal"), F.count("*").alias("age"))
-    return c.select("symbol", "n", F.round("beta", 5).alias("beta"), "age", F.round("abnormal", 4).alias("abnormal"))
+    w = Window.partitionBy("symbol")
+    z = r.where("y is not null and x is not null").withColumns({"i": F.row_number().over(w.orderBy("date")), "t": F.count("*").over(w)}).where("t >= 20")
+    z = z.withColumn("event", F.greatest(F.lit(8), F.floor(F.col("t") * 0.6)))
+    d = rl.dislocation(z, 10)
+    return d.select("symbol", "n", F.round("beta", 5).alias("beta"), "age", *[F.round(c, 4).alias(c) for c in ("abnormal", "event_z", "block_z", "spill_over")], "stable")

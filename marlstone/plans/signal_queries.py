@@ -21,20 +21,18 @@ def query(sql: str | None = None):
     return add
 
 
-@query("WITH a AS (SELECT l_orderkey AS k, sum(l_quantity * l_linenumber) FILTER (l_linestatus = 'O' AND l_linenumber <= 2) AS b, sum(l_quantity * l_linenumber) FILTER (l_linestatus = 'F' AND l_linenumber <= 2) AS s FROM lineitem GROUP BY 1) SELECT k, coalesce(b, 0) + coalesce(s, 0) AS depth, round((coalesce(b, 0) - coalesce(s, 0)) / nullif(coalesce(b, 0) + coalesce(s, 0), 0), 6) AS imbalance FROM a")
+@query("WITH r AS (SELECT l_orderkey AS k, l_linestatus AS side, l_linenumber AS price, l_quantity AS volume, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_quantity) AS n FROM lineitem), a AS (SELECT k, coalesce(sum(price * volume) FILTER (side = 'O' AND n <= 5), 0) AS b, coalesce(sum(price * volume) FILTER (side = 'F' AND n <= 5), 0) AS s FROM r GROUP BY 1) SELECT k, b + s AS depth, round((b - s) / nullif(b + s, 0), 6) AS imbalance FROM a")
 def f14_book_depth(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
-    side = lambda s: F.collect_list(F.when(F.col("l_linestatus") == s, F.struct(F.col("l_linenumber").cast("double").alias("price"), F.col("l_quantity").alias("volume"))))
-    g = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct().join(li.groupBy(F.col("l_orderkey").alias("k")).agg(side("O").alias("b"), side("F").alias("s")), "k", "left")
-    empty = F.array().cast("array<struct<price:double,volume:double>>")
-    depth, imbalance = sg.book_depth(F.coalesce("b", empty), F.coalesce("s", empty), 1000)
+    """The lines of an order as the levels of its book; the first five of each side count."""
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("l_linestatus") == s, F.struct(F.col("l_linenumber").cast("double").alias("price"), F.col("l_quantity").alias("volume")))))
+    g = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(side("O").alias("b"), side("F").alias("s"))
+    depth, imbalance = sg.book_depth(F.col("b"), F.col("s"), 5)
     return g.select("k", depth.alias("depth"), F.round(imbalance, 6).alias("imbalance"))
 
 
 @query("SELECT user_id, CASE WHEN count(*) >= 2 THEN round(arg_max(value, ts) - arg_min(value, ts), 6) END AS delta FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def f15_history_delta(spark, sf_dir):
-    h = F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"])
-    return events(spark, sf_dir).where("value is not null").groupBy("user_id").agg(h.alias("h")).select("user_id", F.round(sg.history_delta(F.col("h")), 6).alias("delta"))
+    return sg.change_over(events(spark, sf_dir), "user_id", "ts", "value").select("user_id", F.round("delta", 6).alias("delta"))
 
 
 @query("SELECT p_partkey, round(1 - CASE WHEN p_size * 50 < 1000 THEN 0.3 ELSE 0 END - CASE WHEN (p_partkey % 10) / 100.0 > 0.05 THEN 0.25 ELSE 0 END - CASE WHEN p_partkey % 40 > 24 THEN 0.25 ELSE 0 END, 6)::DOUBLE AS reliability FROM part")
@@ -58,11 +56,11 @@ def m08_limit_leak(spark, sf_dir):
     return sg.limit_leak(x).join(b.select("symbol", "session_id", "snap", "event_id"), ["symbol", "session_id", "snap"]).select("event_id", "fired", F.round("strength", 6).alias("strength"))
 
 
-@query(f"WITH {BARS}, b AS (SELECT symbol, date, close, lag(close) OVER w AS p, lead(close) OVER w AS n, row_number() OVER w AS i FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT symbol, count(*) AS events, round(median(abs(100 * (CASE WHEN i % 2 = 0 THEN n / close ELSE close / p END - 1))), 5) AS median_move FROM b WHERE i % 9 = 4 GROUP BY symbol")
+@query(f"WITH {BARS}, b AS (SELECT symbol, date, close, lag(close) OVER w AS p, lead(close) OVER w AS n, row_number() OVER w AS i FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT symbol, count(*) AS events, round(median(abs(100 * (CASE WHEN i % 2 = 0 THEN n / close ELSE close / p END - 1))), 5) AS median_move FROM b GROUP BY symbol")
 def w18_session_moves(spark, sf_dir):
     w = Window.partitionBy("symbol").orderBy("date")
     b = bars(spark, sf_dir)
-    e = b.select("symbol", "date", F.row_number().over(w).alias("i")).where("i % 9 = 4").select("symbol", F.col("date").alias("event_date"), F.concat_ws("-", "symbol", "date").alias("event_id"), F.when(F.col("i") % 2 == 0, "after_close").otherwise("before_open").alias("session"))
+    e = b.select("symbol", "date", F.row_number().over(w).alias("i")).select("symbol", F.col("date").alias("event_date"), F.concat_ws("-", "symbol", "date").alias("event_id"), F.when(F.col("i") % 2 == 0, "after_close").otherwise("before_open").alias("session"))
     return sg.session_moves(e, b).groupBy("symbol").agg(F.count("*").alias("events"), F.round(F.percentile("move_pct", F.lit(0.5)), 5).alias("median_move"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from marlstone.operators import factors as fx
 from marlstone.operators import states as sx
 from marlstone.sources import scans as sc
-from marlstone.sources.bindings import BARS, BENCH, BOOK, JOURNAL, bars, benchmark_series, events, journal, read
+from marlstone.plans.ledger_queries import LOTS
+from marlstone.sources.bindings import BARS, BENCH, BOOK, bars, benchmark_series, events, journal, read
 from marlstone.sources.shared import append_new, fresh_path
 from marlstone.streaming import detectors, streams
 
@@ -82,11 +83,6 @@ def e01_partial_fit(spark, sf_dir):
     return x.select("symbol", "n", F.round("beta_benchmark", 5).alias("beta_benchmark"), F.round("beta_issuer", 5).alias("beta_issuer"), F.round("sigma", 5).alias("sigma"))
 
 
-LOTS = f"""{JOURNAL}, c AS (SELECT *, sum(CASE WHEN kind='open' THEN q ELSE 0 END) OVER w AS o, sum(CASE WHEN kind='close' THEN q ELSE 0 END) OVER w AS x FROM journal WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
-d AS (SELECT *, greatest(0, max(x - o) OVER (PARTITION BY symbol ORDER BY pos)) AS u FROM c), e AS (SELECT *, x - u AS xe, coalesce(lag(x - u) OVER (PARTITION BY symbol ORDER BY pos), 0) AS xb FROM d),
-lots AS (SELECT a.symbol, a.pos AS open_pos, least(a.o, b.xe) - greatest(a.o - a.q, b.xb) AS quantity, a.cents / a.q::DOUBLE AS op, b.cents / b.q::DOUBLE AS cp, a.q AS oq FROM e a JOIN e b ON a.symbol = b.symbol AND a.kind = 'open' AND b.kind = 'close' AND a.o - a.q < b.xe AND b.xb < a.o AND b.xe > b.xb)"""
-
-
 @query(f"WITH {LOTS}, g AS (SELECT symbol, open_pos, sum(quantity)::BIGINT AS xq, count(*) AS exits, sum(100*(cp/op - 1)*quantity/oq) AS ret FROM lots GROUP BY 1, 2) SELECT j.symbol, j.pos AS open_pos, coalesce(xq, 0) AS exit_quantity, coalesce(exits, 0) AS exits, round(ret, 4) AS return_pct, CASE WHEN coalesce(xq, 0) >= q THEN 'closed' WHEN coalesce(xq, 0) > 0 THEN 'partial' ELSE 'open' END AS status FROM journal j LEFT JOIN g ON g.symbol = j.symbol AND g.open_pos = j.pos WHERE kind = 'open'")
 def l01_lifecycles(spark, sf_dir):
     return sx.lifecycles(journal(spark, sf_dir)).select("symbol", "open_pos", "exit_quantity", "exits", F.round("return_pct", 4).alias("return_pct"), "status")

@@ -6,14 +6,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset."""
+    """spark.checkpoint.dir of the session; where that is unset, a folder of our own in local mode, and an error on a cluster."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -30,3 +33,8 @@ def append_new(table: str, rows: DataFrame, keys: list[str]) -> None:
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         rows = rows.join(spark.read.schema(rows.schema).parquet(table).select(*keys), keys, "left_anti")
     rows.write.mode("append").parquet(table)
+
+
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A broadcast hint on a small table once its rows are counted; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
