@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import evidence_queries, factor_queries, ledger_queries, market_queries, register_queries, rule_queries, signal_queries, state_queries
+from marlstone.plans import checkpoint_queries, evidence_queries, factor_queries, ledger_queries, market_queries, register_queries, rule_queries, scan_queries, signal_queries, state_queries
 
-MODULES = (factor_queries, ledger_queries, market_queries, evidence_queries, state_queries, rule_queries, signal_queries, register_queries)
+MODULES = (factor_queries, ledger_queries, market_queries, evidence_queries, state_queries, rule_queries, scan_queries, signal_queries, register_queries, checkpoint_queries, scan_queries)
 
 
 def queries() -> dict:

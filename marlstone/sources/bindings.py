@@ -140,3 +140,42 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOURNAL = """
 journal AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY ts, l_orderkey, l_partkey, l_linenumber, cents, q, kind) AS pos, kind, q, cents, ts FROM (
   SELECT l_suppkey AS symbol, l_shipdate AS ts, l_orderkey, l_partkey, l_linenumber, round(100*l_extendedprice)::BIGINT AS cents, l_quantity::BIGINT AS q, CASE WHEN l_linestatus = 'O' THEN 'open' ELSE 'close' END AS kind FROM lineitem))"""
+
+
+#: Columns of a short cycle's checkpoint, made from an order's key in the expressions that Spark and the checks share.
+CHECKPOINT = {
+    "direction": "CASE WHEN k % 5 < 3 THEN 'long' ELSE 'short' END", "market_scope": "CASE WHEN k % 10 < 8 THEN 'US_only' ELSE 'HK' END",
+    "checkpoint": "CASE k % 4 WHEN 0 THEN 'open_0940' WHEN 1 THEN 'pre_open' WHEN 2 THEN 'open_0940' ELSE CASE WHEN k % 8 = 3 THEN 'eod_review' ELSE 'close' END END",
+    "action_cap": "CASE k % 6 WHEN 0 THEN 'L0' WHEN 1 THEN 'L1' WHEN 2 THEN 'L2' WHEN 3 THEN 'L3' WHEN 4 THEN 'L3' ELSE 'none' END", "thesis_valid": "k % 7 <> 0", "pre_open_status": "CASE WHEN k % 11 = 0 THEN 'weak' ELSE 'ok' END",
+    "spot": "CAST(100 + k % 40 AS DOUBLE)", "put_wall": "CAST(105 + k % 7 AS DOUBLE)", "gamma_flip": "CASE WHEN k % 29 <> 0 THEN CAST(112 + k % 5 AS DOUBLE) END", "call_wall": "CAST(120 + k % 11 - CASE WHEN k % 37 = 0 THEN 30 ELSE 0 END AS DOUBLE)",
+    "net_gex": "CAST(k % 9 - 4 AS DOUBLE)", "vrp": "CASE WHEN k % 43 <> 0 THEN CAST(k % 5 - 2 AS DOUBLE) END", "gamma_age": "CASE WHEN k % 47 <> 0 THEN CAST(k % 50 * 30 AS DOUBLE) END",
+    "option_session": "CASE WHEN k % 3 <> 0 THEN 'RTH' ELSE 'ETH' END", "expiry_scope": "CASE WHEN k % 2 = 0 THEN '0DTE' ELSE 'far' END",
+    "bid": "CAST(k % 20 AS DOUBLE)", "ask": "CAST(k % 20 AS DOUBLE) + CAST(k % 4 AS DOUBLE) / 4 - CASE WHEN k % 53 = 0 THEN 2 ELSE 0 END", "side": "CASE WHEN k % 31 = 0 THEN 'hold' WHEN k % 2 = 0 THEN 'buy' ELSE 'sell' END",
+    "order_type": "CASE WHEN k % 59 = 0 THEN 'odd' WHEN k % 3 = 0 THEN 'market' WHEN k % 3 = 1 THEN 'limit' ELSE 'limit_mid' END", "ask_size": "CAST(k % 15 + 2 AS DOUBLE)", "bid_size": "CAST(k % 12 + 3 AS DOUBLE)", "quote_age": "CASE WHEN k % 61 <> 0 THEN CAST(k % 7 AS DOUBLE) END",
+    "contracts": "CAST(k % 6 AS DOUBLE)", "expected_edge_bps": "CASE WHEN k % 23 <> 0 THEN CAST(k % 700 AS DOUBLE) END", "slippage_bps": "CAST(k % 5 AS DOUBLE)", "fees_bps": "CASE WHEN k % 3 = 0 THEN 1.5E0 END", "volume": "CAST(k % 10 AS DOUBLE)",
+    "last": "CAST(90 + k % 21 AS DOUBLE)", "previous_close": "CASE WHEN k % 17 <> 0 THEN CAST(95 + k % 11 AS DOUBLE) END", "vwap": "CASE WHEN k % 19 <> 0 THEN CAST(93 + k % 13 AS DOUBLE) END", "range_high": "CAST(100 + k % 3 AS DOUBLE)",
+    "range_low": "CAST(92 - k % 4 + CASE WHEN k % 41 = 0 THEN 20 ELSE 0 END AS DOUBLE)", "relative_volume": "CAST(k % 20 AS DOUBLE) / 10", "breadth": "k % 2 = 0", "sector": "CASE WHEN k % 13 <> 0 THEN k % 3 <> 0 END",
+    "entry_price": "CAST(100 + k % 9 AS DOUBLE)", "open_price": "CAST(101 + k % 8 AS DOUBLE)", "price_0940": "CASE WHEN k % 14 <> 0 THEN CAST(99 + k % 12 AS DOUBLE) END", "close_price": "CAST(98 + k % 15 AS DOUBLE)", "exit_price": "CASE WHEN k % 16 <> 0 THEN CAST(97 + k % 16 AS DOUBLE) END",
+    "estimated_cost_bps": "CAST(k % 6 AS DOUBLE)", "realized_cost_bps": "CASE WHEN k % 18 <> 0 THEN CAST(k % 9 AS DOUBLE) END",
+}
+
+
+def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One checkpoint of a short cycle for each order."""
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select("k", *[F.expr(e).alias(c) for c, e in CHECKPOINT.items()])
+
+
+CHECKPOINTS = "cpk AS (SELECT o_orderkey AS k FROM orders), cp AS (SELECT k, " + ", ".join(f'{e} AS "{c}"' for c, e in CHECKPOINT.items()) + " FROM cpk)"
+
+
+#: An order log by supplier: opens and exits in event order, with voids, heals, repeats and closes without evidence among them.
+ORDER_LOG = {
+    "order_id": "CAST(pos AS STRING)", "side": "CASE WHEN kind = 'open' THEN CASE WHEN pos % 3 = 0 THEN 'BUY' ELSE 'long' END WHEN pos % 17 = 0 THEN NULL WHEN pos % 2 = 0 THEN 'sell' ELSE 'Exit' END",
+    "status": "CASE WHEN kind = 'open' THEN CASE WHEN pos % 19 = 0 THEN 'reconciliation_void' WHEN pos % 2 = 0 THEN 'open' ELSE 'Filled_Open' END WHEN pos % 17 = 0 THEN 'closed_unreconciled' WHEN pos % 23 = 0 THEN 'closed' ELSE 'partial_closed' END",
+    "voids_order_id": "CASE WHEN kind = 'open' AND pos % 19 = 0 THEN CAST(pos - 1 AS STRING) END", "fill_confirmed": "pos % 38 = 18", "quantity": "CAST(q AS DOUBLE)", "r": "CASE WHEN pos % 7 <> 0 THEN CAST(cents % 500 - 240 AS DOUBLE) / 100 END", "ret": "CAST(cents % 700 - 340 AS DOUBLE) / 100",
+}
+
+
+def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = journal(spark, sf_dir)
+    return j.select("symbol", F.col("pos").alias("seq"), "ts", F.lit(None).cast("string").alias("lifecycle"), "kind", *[F.expr(e).alias(c) for c, e in ORDER_LOG.items()])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import parse_number
+from marlstone.sources.shared import few
 
 BAR = "struct<date:string,open:double,close:double,high:double,low:double,volume:double,amount:double,turnover_rate:double,pct_change:double>"
 PANEL = f"symbol string, market string, source string, adjust string, basis string, caveats array<string>, rows array<{BAR}>"
@@ -22,11 +23,41 @@ def load_panels(spark: SparkSession, path: str, wanted: DataFrame | None = None)
 
 
 def read_journal(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, gaps) of a JSON-lines journal; malformed lines go to the gaps."""
-    x = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
+    """(rows, gaps) of a JSON-lines journal; malformed lines go to the gaps, empty ones are none."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    x = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema + ", _bad string", options).alias("r")).select("r.*")
     return x.where("_bad is null").drop("_bad"), x.where("_bad is not null").select(F.col("_bad").alias("line"), F.lit("malformed_line").alias("reason_code"))
 
 
+def universe(spark: SparkSession, paths: list[str], most: int = 10_000) -> DataFrame:
+    """symbol, layer, place of the symbols that the files list, in the order of the files and their lines, each where it is seen first.
+
+    A file is a list with one symbol a line (what follows a blank is ignored, lines that begin with # are comments) or a JSON policy
+    with universe_core and universe_probation.symbols (texts, or objects with a symbol). Lists are small by nature: each is read as one
+    text. More than `most` symbols, or none, raise ValueError.
+    """
+    policy = "universe_core array<string>, universe_probation struct<symbols:array<string>>"
+    parts = []
+    for i, path in enumerate(paths):
+        t = spark.read.text(path, wholetext=True).withColumn("j", F.from_json("value", policy))
+        of = lambda items: F.transform(items, lambda s: F.when(s.startswith("{"), F.get_json_object(s, "$.symbol")).otherwise(s))
+        lines = F.transform(F.filter(F.split("value", "\n"), lambda s: ~F.ltrim(s).startswith("#")), lambda s: F.substring_index(F.regexp_replace(F.trim(s), r"\s+", " "), " ", 1))
+        is_policy = F.col("j.universe_core").isNotNull() | F.col("j.universe_probation").isNotNull()
+        none = F.array().cast("array<string>")
+        layers = F.when(is_policy, F.array(F.struct(F.lit("core").alias("layer"), of(F.coalesce("j.universe_core", none)).alias("s")), F.struct(F.lit("probation").alias("layer"), of(F.coalesce("j.universe_probation.symbols", none)).alias("s")))).otherwise(F.array(F.struct(F.lit("list").alias("layer"), lines.alias("s"))))
+        x = t.select(F.lit(i).alias("file"), F.posexplode(layers).alias("part", "l")).select("file", "part", "l.layer", F.posexplode("l.s").alias("line", "symbol"))
+        parts.append(x.withColumn("symbol", F.upper(F.trim("symbol"))).where("symbol <> ''"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    first = every.groupBy("symbol").agg(F.min(F.struct("file", "part", "line", "layer")).alias("at"))
+    n = first.count()
+    if not 0 < n <= most:
+        raise ValueError(f"{n} symbols; from 1 to {most} are allowed")
+    # At most `most` rows: one window over them numbers the list.
+    return first.select("symbol", "at.layer", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at")).alias("place"))
+
+
 def in_window(files: DataFrame, first: Column, last: Column) -> DataFrame:
     """Files (column path) whose name holds a time stamp yyyymmddThhmmss within the window; others are pruned before they are read."""
     at = F.try_to_timestamp(F.regexp_extract("path", r"(\d{8}T\d{6})", 1), F.lit("yyyyMMdd'T'HHmmss"))
@@ -54,7 +85,7 @@ def cascade(sources: list[DataFrame], keys: list[str]) -> DataFrame:
 def provenance(bars: DataFrame, allowed: DataFrame) -> DataFrame:
     """symbol, sources, adjusts, status: more than one basis, or a market and source that are not allowed together, fails closed."""
     g = bars.groupBy("symbol", "market").agg(F.array_sort(F.collect_set("panel_source")).alias("sources"), F.count_distinct("panel_adjust").alias("adjusts"), F.count("*").alias("rows_"))
-    legal = bars.select("symbol", "market", "panel_source").distinct().join(F.broadcast(allowed), ["market", "panel_source"], "left_anti").groupBy("symbol").agg(F.count("*").alias("illegal"))
+    legal = bars.select("symbol", "market", "panel_source").distinct().join(few(allowed), ["market", "panel_source"], "left_anti").groupBy("symbol").agg(F.count("*").alias("illegal"))
     x = g.join(legal, "symbol", "left").na.fill(0, ["illegal"])
     return x.withColumn("status", F.when(F.col("illegal") > 0, "illegal_source").when((F.size("sources") > 1) | (F.col("adjusts") > 1), "mixed_basis").otherwise("ok"))
 

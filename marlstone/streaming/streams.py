@@ -14,6 +14,13 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def as_stream(spark: SparkSession, rows: DataFrame, what: str, files: int = 1) -> DataFrame:
+    """A table as a stream of its files: written to the shared folder, read as they are found."""
+    path = fresh_path(spark, what)
+    rows.coalesce(files).write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
 def drain(stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that its source holds now and give what its sink has: a Parquet table in the shared folder."""
     spark = stream.sparkSession
