@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import WORD, digest, materialise, read
 
 
+#: Words of a short line.
+SHORT = 2
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -56,8 +60,9 @@ def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
 def frequent_lines(docs: DataFrame, host: str, text: str, max_docs: int, max_share: float) -> tuple[DataFrame, DataFrame]:
     """(lines, limits): every row's lines with their words, and the line keys above the limit in a host.
 
-    A line is above the limit where more than max(max_docs, max_share of the host's texts) different texts of the host hold it.
-    Exact copies of a text count once, so copies alone never make a line frequent.
+    A line is above the limit where more than max_docs different texts of the host hold it, whatever the host's size; a line of one or
+    two words, which texts share by chance, has to be in more than max_share of the host's texts as well. Exact copies of a text count
+    once, so copies alone never make a line frequent.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     one = F.transform(_lines(t), lambda x: F.struct(_line_key(x).alias("key"), F.coalesce(F.regexp_count(x, F.lit(WORD)), F.lit(0)).alias("words")))
@@ -68,9 +73,9 @@ def frequent_lines(docs: DataFrame, host: str, text: str, max_docs: int, max_sha
     texts = lines.groupBy("host", "doc").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
     lines = lines.where("key is not null")
     # First by (host, line, text), then by (host, line): a line that a third of all rows hold is never one group.
-    held = lines.groupBy("host", "key", "doc").agg(F.min("first").alias("first"))
-    counts = held.groupBy("host", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("first").isNull(), "first", "doc")).alias("m"))
-    limits = counts.where(F.col("n") > max_docs).join(texts, "host").where(F.col("n") > max_share * F.col("texts"))
+    held = lines.groupBy("host", "key", "doc").agg(F.min("first").alias("first"), F.max("words").alias("words"))
+    counts = held.groupBy("host", "key").agg(F.count("*").alias("n"), F.max("words").alias("words"), F.min(F.struct(F.col("first").isNull(), "first", "doc")).alias("m"))
+    limits = counts.where(F.col("n") > max_docs).join(texts, "host").where((F.col("words") > SHORT) | (F.col("n") > max_share * F.col("texts")))
     return lines, limits.select("host", "key", F.col("m.doc").alias("spared"))
 
 
@@ -137,8 +142,8 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id,
 ln AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS l FROM d),
 nl AS (SELECT doc_id, source, t, l, trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS k, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS nw FROM ln),
 hosts AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
-lim AS (SELECT nl.source, k, count(DISTINCT t) AS n, arg_min(t, doc_id) AS spared FROM nl WHERE k <> '' GROUP BY nl.source, k),
-over AS (SELECT lim.source, k, spared FROM lim JOIN hosts ON lim.source IS NOT DISTINCT FROM hosts.source WHERE n > 24 AND n > 0.0005 * texts),
+lim AS (SELECT nl.source, k, max(nw) AS nw, count(DISTINCT t) AS n, arg_min(t, doc_id) AS spared FROM nl WHERE k <> '' GROUP BY nl.source, k),
+over AS (SELECT lim.source, k, spared FROM lim JOIN hosts ON lim.source IS NOT DISTINCT FROM hosts.source WHERE n > 24 AND (nw > 2 OR n > 0.0005 * texts)),
 gone AS (SELECT doc_id, count(*) AS rl, sum(nw) AS rw FROM nl JOIN over ON nl.source IS NOT DISTINCT FROM over.source AND nl.k = over.k WHERE nl.t <> over.spared GROUP BY doc_id),
 s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(array_to_string(ws, '')), 0)::BIGINT AS word_chars,
   (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
