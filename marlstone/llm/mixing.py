@@ -99,9 +99,10 @@ def taken(docs: DataFrame, source: str = "source", text: str = "text", weights:
 def mix(docs: DataFrame, source: str = "source", text: str = "text", weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them; the thresholds are broadcast to the documents, which stay in place."""
     plan, times = _times(_plan(materialise(_sized(docs, source, text).select("source", "size", "hash"), "sizes"), weights))
-    own = docs.withColumn("__hash", unit_hash(F.col("doc_id"), F.col(text)))
-    out = own.join(plan.select("__s", "whole", "threshold"), F.col(source).eqNullSafe(F.col("__s")))
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), times))).where("__i > 0").select(*docs.columns)
+    # The row travels as one column, so that none of its own can be taken for one of the plan's.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(source).alias("__source"), unit_hash(F.col("doc_id"), F.col(text)).alias("__hash"))
+    out = own.join(plan.select("__s", "whole", "threshold"), F.col("__source").eqNullSafe(F.col("__s")))
+    return out.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), times))).where("__i > 0").select("__row.*")
 
 
 def op7_hash_threshold_mix(spark, sf_dir):
