@@ -47,6 +47,12 @@ def test_quality_base_and_lines(spark):
     assert got[16].depleted and not got[1].depleted and got[1].kept
 
 
+def test_quality_short_lines_need_a_share_of_the_texts(spark):
+    d = docs(spark, [f"hello there\nread more about us\n{p} {i}" for i, p in enumerate(PROSE)])
+    of = lambda share: {r.n_removed_lines for r in quality.judge(d, max_docs=5, max_share=share).where("doc_id > 0").collect()}
+    assert of(0.9) == {2} and of(1.0) == {1}
+
+
 def test_quality_copies_do_not_make_a_line_frequent(spark):
     x = quality.judge(docs(spark, [PROSE[0]] * 40), max_docs=5, max_share=0.0)
     assert x.where("kept").count() == 40
