@@ -17,6 +17,8 @@ DIMS, BITS = 8, 7
 MOST_CURVES = 1000
 #: Queries whose true neighbours are looked up to fit the window, the smallest window, and the share of those neighbours to be reached.
 FIT_QUERIES, FIT_LEAST, FIT_SHARE = 256, 64, 0.95
+#: Queries that a task takes beside a block of vectors.
+ASKED = 131_072
 #: Scores that agree to so many decimals tie: the last ones depend on how a vector's length was rounded.
 TIE_DIGITS = 12
 
@@ -161,7 +163,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 32,
     Every distinct vector is put on `curves` Hilbert orderings, each of a projection and a shift of its own. A query looks at the
     window rows before and after it on every curve (by default as many as fit_window finds for these vectors); what the windows of
     all orderings hold is merged and reranked by the exact cosine of the original vectors, in double precision. Curves are cut into
-    blocks of block_rows, which also get the rows that lie within the window beyond their ends, so that no task ever holds more.
+    blocks of block_rows vectors; a query goes to every block that its window reaches, so vectors are dealt once for each curve however
+    wide the window is. The queries of a block are split where they are more than ASKED, so that no task ever holds more than both.
 
     Scores that agree to 12 decimals tie. Rows whose vector is null, zero or holds null or non-finite components, and rows with a null
     id, take no part. Vectors are compared with those of their own length only. Equal vectors are searched once; ids that repeat count
@@ -180,36 +183,41 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 32,
     ids, queries = least_ids(named.select("first", "vec_id").distinct(), "first", "vec_id", k + 1), named.where("asked").select(F.col("vec_id").alias("query_id"), "first").distinct()
     at = materialise(positions(v, curves), "positions")
     half = window or fit_window(v, at, k)
-    home = F.floor(F.col("pos") / block_rows)
-    reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - half) / block_rows)), F.floor(F.least(F.col("pos") + half, F.col("n") - 1) / block_rows))
-    placed = at.select("first", "curve", "pos", home.alias("home"), F.explode(reach).alias("block"))
-    placed = placed.join(v.select("first", "v", "asked"), "first").select("curve", "block", "pos", "first", "v", (F.col("asked") & (F.col("home") == F.col("block"))).alias("asks"))
-
-    def rerank(block: pd.DataFrame) -> pd.DataFrame:
+    counted = v.agg(F.count("*").alias("n"), F.count_if("asked").alias("m")).first()
+    chunks = max(1, -(-(2 * half + block_rows) * counted["m"] // max(1, counted["n"]) // ASKED))
+    block = lambda c: F.floor(c / block_rows)
+    there = at.join(v.select("first", "v"), "first").select("curve", block(F.col("pos")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "pos", "first", "v")
+    reach = F.sequence(block(F.greatest(F.lit(0).cast("long"), F.col("pos") - half)), block(F.least(F.col("pos") + half, F.col("n") - 1)))
+    asks = at.join(v.where("asked").select("first", "v"), "first").select("curve", F.explode(reach).alias("block"), F.pmod(F.xxhash64("first"), F.lit(chunks)).cast("int").alias("chunk"), "pos", "first", "v")
+
+    def rerank(block: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"q": [], "first": [], "score": []}
-        block = block.sort_values("pos", kind="stable")
-        asks = np.flatnonzero(block["asks"].to_numpy())
-        if len(asks):
+        if len(block) and len(asks):
+            block, asks = block.sort_values("pos", kind="stable"), asks.sort_values("pos", kind="stable")
             x, pos, names = _stacked(block["v"]), block["pos"].to_numpy(), block["first"].to_numpy()
-            norm = np.sqrt((x * x).sum(axis=1))
-            span = max(FIT_LEAST, half)
+            q, at, asking = _stacked(asks["v"]), asks["pos"].to_numpy(), asks["first"].to_numpy()
+            norm, own = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
             # Queries that stand near each other look at the same stretch at once.
-            for ask in np.split(asks, np.flatnonzero(np.diff(pos[asks] // span)) + 1):
-                lo, hi = np.searchsorted(pos, (pos[ask[0]] - half, pos[ask[-1]] + half + 1))
-                near = (x[ask] @ x[lo:hi].T) / (norm[ask][:, None] * norm[lo:hi])
+            near_by = np.split(np.arange(len(at)), np.flatnonzero(np.diff(at // max(FIT_LEAST, half))) + 1)
+            for ask in (some[i : i + 512] for some in near_by for i in range(0, len(some), 512)):
+                lo, hi = np.searchsorted(pos, (at[ask[0]] - half, at[ask[-1]] + half + 1))
+                if lo == hi:
+                    continue
+                near = (q[ask] @ x[lo:hi].T) / (own[ask][:, None] * norm[lo:hi])
                 most = min(k + 1, hi - lo)
                 # All that could be among the best, ties of the last one with them; then each pair is summed anew, one way everywhere.
                 least = np.partition(near, hi - lo - most, axis=1)[:, hi - lo - most]
                 for i, row in enumerate(near >= (least - 10.0 ** (1 - TIE_DIGITS))[:, None]):
-                    there = lo + np.flatnonzero(row)
-                    score = (x[there] * x[ask[i]]).sum(axis=1) / (norm[there] * norm[ask[i]])
-                    best = np.lexsort((names[there], -np.round(score, TIE_DIGITS)))[:most]
-                    out["q"] += [names[ask[i]]] * len(best)
-                    out["first"] += names[there[best]].tolist()
+                    held = lo + np.flatnonzero(row)
+                    score = (x[held] * q[ask[i]]).sum(axis=1) / (norm[held] * own[ask[i]])
+                    best = np.lexsort((names[held], -np.round(score, TIE_DIGITS)))[:most]
+                    out["q"] += [asking[ask[i]]] * len(best)
+                    out["first"] += names[held[best]].tolist()
                     out["score"] += score[best].tolist()
         return pd.DataFrame(out).astype({"q": "int64", "first": "int64", "score": "float64"})
 
-    found = placed.groupBy("curve", "block").applyInPandas(rerank, "q long, first long, score double")
+    by = ["curve", "block", "chunk"]
+    found = there.groupBy(*by).cogroup(asks.groupBy(*by)).applyInPandas(rerank, "q long, first long, score double")
     found = found.groupBy("q", "first").agg(F.max("score").alias("score"))
     order = [F.desc(F.round("score", TIE_DIGITS))]
     few = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*order, "first"))).where(F.col("n") <= k + 1).drop("n")
