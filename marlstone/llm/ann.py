@@ -189,13 +189,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 32,
     there = at.join(v.select("first", "v"), "first").select("curve", block(F.col("pos")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "pos", "first", "v")
     reach = F.sequence(block(F.greatest(F.lit(0).cast("long"), F.col("pos") - half)), block(F.least(F.col("pos") + half, F.col("n") - 1)))
     asks = at.join(v.where("asked").select("first", "v"), "first").select("curve", F.explode(reach).alias("block"), F.pmod(F.xxhash64("first"), F.lit(chunks)).cast("int").alias("chunk"), "pos", "first", "v")
+    # Columns of its own, as both sides of the cogroup come from the same tables.
+    asks = asks.select(F.col("curve").alias("q_curve"), F.col("block").alias("q_block"), F.col("chunk").alias("q_chunk"), F.col("pos").alias("q_pos"), F.col("first").alias("q_first"), F.col("v").alias("q_v"))
 
     def rerank(block: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"q": [], "first": [], "score": []}
         if len(block) and len(asks):
-            block, asks = block.sort_values("pos", kind="stable"), asks.sort_values("pos", kind="stable")
+            block, asks = block.sort_values("pos", kind="stable"), asks.sort_values("q_pos", kind="stable")
             x, pos, names = _stacked(block["v"]), block["pos"].to_numpy(), block["first"].to_numpy()
-            q, at, asking = _stacked(asks["v"]), asks["pos"].to_numpy(), asks["first"].to_numpy()
+            q, at, asking = _stacked(asks["q_v"]), asks["q_pos"].to_numpy(), asks["q_first"].to_numpy()
             norm, own = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
             # Queries that stand near each other look at the same stretch at once.
             near_by = np.split(np.arange(len(at)), np.flatnonzero(np.diff(at // max(FIT_LEAST, half))) + 1)
@@ -204,10 +206,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 32,
                 if lo == hi:
                     continue
                 near = (q[ask] @ x[lo:hi].T) / (own[ask][:, None] * norm[lo:hi])
+                # Each query keeps to its own window, so that neither blocks nor the other queries decide what it sees.
+                inside = np.abs(pos[lo:hi] - at[ask][:, None]) <= half
+                near[~inside] = -np.inf
                 most = min(k + 1, hi - lo)
                 # All that could be among the best, ties of the last one with them; then each pair is summed anew, one way everywhere.
                 least = np.partition(near, hi - lo - most, axis=1)[:, hi - lo - most]
-                for i, row in enumerate(near >= (least - 10.0 ** (1 - TIE_DIGITS))[:, None]):
+                for i, row in enumerate((near >= (least - 10.0 ** (1 - TIE_DIGITS))[:, None]) & inside):
                     held = lo + np.flatnonzero(row)
                     score = (x[held] * q[ask[i]]).sum(axis=1) / (norm[held] * own[ask[i]])
                     best = np.lexsort((names[held], -np.round(score, TIE_DIGITS)))[:most]
@@ -216,8 +221,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 32,
                     out["score"] += score[best].tolist()
         return pd.DataFrame(out).astype({"q": "int64", "first": "int64", "score": "float64"})
 
-    by = ["curve", "block", "chunk"]
-    found = there.groupBy(*by).cogroup(asks.groupBy(*by)).applyInPandas(rerank, "q long, first long, score double")
+    found = there.groupBy("curve", "block", "chunk").cogroup(asks.groupBy("q_curve", "q_block", "q_chunk")).applyInPandas(rerank, "q long, first long, score double")
     found = found.groupBy("q", "first").agg(F.max("score").alias("score"))
     order = [F.desc(F.round("score", TIE_DIGITS))]
     few = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*order, "first"))).where(F.col("n") <= k + 1).drop("n")
