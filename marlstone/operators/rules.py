@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.numeric import slope
+from marlstone.functions.numeric import finite, slope
 
 
 def alignment(as_of: Column, target: Column, observed: Column) -> Column:
@@ -81,6 +81,25 @@ def beat_rate(forecasts: DataFrame, reports: DataFrame, last: int = 8) -> DataFr
     return x.groupBy("symbol").agg(F.count("*").alias("n"), F.avg((F.col("actual") > F.col("forecast")).cast("double")).alias("beat_rate"))
 
 
+def quote(raw: Column) -> Column:
+    """(price, source) of a raw quote as JSON text: an object with price and quote_source or source, a pair of price and source, or a bare number (source stub). A price that is no positive number is missing, its source stays."""
+    t = F.trim(raw)
+    positive = lambda c: F.when(c.try_cast("double") > 0, c.try_cast("double"))
+    of = lambda path: F.nullif(F.get_json_object(t, path), F.lit(""))
+    number = lambda path: F.when(~F.coalesce(F.get_json_object(t, path), F.lit("")).rlike("(?i)^(true|false)$"), F.get_json_object(t, path))
+    # A price in quotes is a text, no number.
+    bare = F.when(~t.rlike(r'"price"\s*:\s*"') & ~t.rlike(r'^\[\s*"'), F.coalesce(number("$.price"), number("$[0]")))
+    price = finite(F.when(t.startswith("{") | t.startswith("["), positive(bare)).otherwise(positive(t)))
+    source = F.when(t.startswith("{"), F.coalesce(of("$.quote_source"), of("$.source"), F.when(price.isNotNull(), "unknown"))).when(t.startswith("["), of("$[1]")).otherwise(F.when(price.isNotNull(), "stub"))
+    return F.struct(price.alias("price"), source.alias("source"))
+
+
+def quote_symbol(symbol: Column, market: Column, given: Column) -> Column:
+    """The code that a quote is asked for by: the one that is given, else symbol and the market's suffix."""
+    suffix = F.when(F.upper(market).isin("US", "HK", "SH", "SZ"), F.upper(market)).when(F.upper(market) == "A", "SH")
+    return F.coalesce(F.nullif(given, F.lit("")), F.when(suffix.isNotNull(), F.concat_ws(".", symbol, suffix)).otherwise(symbol))
+
+
 def settle(predictions: DataFrame, quotes: DataFrame, lag_seconds: int) -> DataFrame:
     """prediction_id, status, outcome: the first quote at or after the due time, no later than the lag cap; direction right or wrong.
 

@@ -11,6 +11,7 @@ from marlstone.operators import factors as fx
 from marlstone.operators import lifecycles as lc
 from marlstone.operators import market as mk
 from marlstone.operators import states as sx
+from marlstone.plans import market_queries as mq
 from marlstone.plans.ledger_queries import LOTS
 from marlstone.plans.market_queries import RET
 from marlstone.sources.bindings import BARS, CHAIN, CHECKPOINTS, JOURNAL, ORDER_LOG, bars, chain, checkpoints, events, journal, order_log, read
@@ -290,6 +291,31 @@ def m10_detector_contract(spark, sf_dir):
     return x.select("event_id", F.col("out.strength").alias("strength"), F.array_join(mk.output_errors(F.col("fired"), F.col("strength"), F.col("fidelity"), F.col("refs")), ",").alias("errors"))
 
 
+FOUND = {"order_wall": "m03_order_wall", "imbalance": "m04_imbalance", "ignition": "m05_ignition"}
+OUTPUTS = " UNION ALL ".join(f"SELECT '{n}' AS detector, event_id, {'true AS fired' if n == 'order_wall' else 'fired'}, strength FROM ({mq.SQL[q]})" for n, q in FOUND.items())
+
+
+@query(f"SELECT detector, event_id, fired, strength, 'snapshot_diff' AS input_fidelity, event_id::VARCHAR AS refs FROM ({OUTPUTS}) WHERE strength IS NOT NULL")
+def m10_detector_outputs(spark, sf_dir):
+    """What the detectors find, each in the common output with the snapshot that it rests on."""
+    every = None
+    for name, q in FOUND.items():
+        x = mq.Q[q](spark, sf_dir)
+        fired = F.lit(True) if name == "order_wall" else F.col("fired")
+        x = x.select(F.lit(name).alias("detector"), "event_id", mk.detector_output(fired, F.col("strength"), F.lit("snapshot_diff"), F.array(F.col("event_id").cast("string"))).alias("o"))
+        every = x if every is None else every.unionByName(x)
+    x = every.where("o.strength is not null")
+    return x.select("detector", "event_id", "o.fired", F.col("o.strength").alias("strength"), "o.input_fidelity", F.array_join("o.evidence", ",").alias("refs"))
+
+
+@query(mq.SQL["m04_imbalance"])
+def r02_stream_imbalance(spark, sf_dir):
+    """The imbalance of live snapshots, each with its levels as arrays: no state is needed."""
+    volume = lambda side: F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: (F.col("event_id") * 7919 + k * 104729 + side * 31) % 5000)
+    live = streams.event_stream(spark, sf_dir).select("event_id", volume(1).alias("bids"), volume(2).alias("asks"))
+    return streams.drain(detectors.imbalance(live, 1.02), "imbalance").select("event_id", "fired", F.round("strength", 6).alias("strength"))
+
+
 # ---- predicates, cards, universes -------------------------------------------------------------------------------
 
 

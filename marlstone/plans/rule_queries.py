@@ -208,3 +208,16 @@ def e02_event_dislocation(spark, sf_dir):
     z = z.withColumn("event", F.greatest(F.lit(8), F.floor(F.col("t") * 0.6)))
     d = rl.dislocation(z, 10)
     return d.select("symbol", "n", F.round("beta", 5).alias("beta"), "age", *[F.round(c, 4).alias(c) for c in ("abnormal", "event_z", "block_z", "spill_over")], "stable")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 8 IN (0, 1, 4, 6) THEN user_id + 0.5 END::DOUBLE AS price, CASE event_id % 8 WHEN 0 THEN 'q' WHEN 1 THEN 'unknown' WHEN 2 THEN 's' WHEN 4 THEN 'pair' WHEN 5 THEN 'pair' WHEN 6 THEN 'stub' WHEN 3 THEN 's' END AS source,
+CASE WHEN event_id % 7 = 0 THEN 'GIVEN.X' WHEN event_id % 3 = 0 THEN 'S' || user_id::VARCHAR || '.US' WHEN event_id % 3 = 1 THEN 'S' || user_id::VARCHAR || '.SH' ELSE 'S' || user_id::VARCHAR END AS code FROM events""")
+def u03_normalised_quotes(spark, sf_dir):
+    """Quotes as objects, pairs and bare numbers, some with prices that are none."""
+    k, p = F.col("event_id") % 8, (F.col("user_id") + 0.5).cast("string")
+    raw = (
+        F.when(k == 0, F.concat(F.lit('{"price": '), p, F.lit(', "quote_source": "q", "source": "s"}'))).when(k == 1, F.concat(F.lit('{"price": '), p, F.lit("}"))).when(k == 2, F.lit('{"price": -1, "source": "s"}'))
+        .when(k == 3, F.concat(F.lit('{"price": "'), p, F.lit('", "source": "s"}'))).when(k == 4, F.concat(F.lit("["), p, F.lit(', "pair"]'))).when(k == 5, F.lit('[0, "pair"]')).when(k == 6, p)
+    )
+    x = events(spark, sf_dir).select("event_id", rl.quote(raw).alias("q"), rl.quote_symbol(F.concat(F.lit("S"), F.col("user_id").cast("string")), F.when(F.col("event_id") % 3 == 0, "us").when(F.col("event_id") % 3 == 1, "A").otherwise("?"), F.when(F.col("event_id") % 7 == 0, "GIVEN.X").otherwise("")).alias("code"))
+    return x.select("event_id", "q.price", "q.source", "code")

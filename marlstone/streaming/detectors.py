@@ -45,6 +45,14 @@ def ignition(snapshots: DataFrame, multiplier: float = 3.0, lookback: int = 5, l
     return keyed.transformWithStateInPandas(statefulProcessor=Ignition(multiplier, lookback, least), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
+def imbalance(snapshots: DataFrame, ratio: float = 3.0, least: float = 1000.0) -> DataFrame:
+    """event_id, fired, strength of snapshots with arrays of bid and ask volumes: one side's total above ratio times the other's."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("double"), lambda a, v: a + v)
+    x = snapshots.select("event_id", total("bids").alias("bid"), total("asks").alias("ask")).where((F.col("bid") > 0) & (F.col("ask") > 0) & (F.col("bid") + F.col("ask") >= least))
+    r = F.col("bid") / F.col("ask")
+    return x.select("event_id", (r > ratio).alias("fired"), F.least(F.lit(1.0), r / (2 * ratio)).alias("strength"))
+
+
 def snapshots_of(stream: DataFrame) -> DataFrame:
     """Event rows as snapshots, as the batch binding makes them."""
     return stream.select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("session_id"), "ts", "event_id", F.round((F.round(F.coalesce("value", F.lit(0.0)), 2) + 1) * 100).cast("long").alias("ticks"), (F.col("event_id") % 97).alias("traded"))
