@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import average_rank, erfc, finite, full_window, pearson, rank_bin
 from marlstone.operators.market import as_of
+from marlstone.sources.shared import written
 
 
 def series() -> WindowSpec:
@@ -256,7 +257,8 @@ def evaluate(panel: DataFrame, names: list[str], horizon: int = 1, trials: int =
     if trials < 2 or least < 2 or min_dates < 1 or stride < 1 or not 0 < share < 1 or null not in ("shuffle", "circular"):
         raise ValueError("invalid evaluation parameters")
     eligible = "null_eligible" in panel.columns
-    kept = long_sections(panel, names, horizon, least, ["null_eligible"] if eligible else None)
+    # Gates, statistics and controls all start from the sections: they are worked out once.
+    kept = written(long_sections(panel, names, horizon, least, ["null_eligible"] if eligible else None), "sections")
     used = strided(kept, stride) if stride > 1 else kept
     # Every section stands for the whole and for its own part.
     by = ["factor_name", "scope"]

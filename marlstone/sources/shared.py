@@ -25,6 +25,13 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/marlstone/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read back: computed once for all that use it."""
+    path = fresh_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_new(table: str, rows: DataFrame, keys: list[str]) -> None:
     """Appends the rows whose keys the Parquet table does not hold; repeats among the rows themselves are one row. Running it twice adds nothing."""
     spark = rows.sparkSession
