@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the operators split words on it, for Java and for Python regular expressions.
@@ -48,6 +48,18 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def placed(df: DataFrame, order: list[Column], what: str) -> DataFrame:
+    """df, written in order, with pos: 0, 1, 2, ... over all its rows. Spark range-partitions and sorts them, so rows that are alike in part of order are dealt over many tasks."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    # The identifier counts the rows of a partition from its number's multiple of 2^33.
+    ranged = materialise(ranged.withColumn("__part", F.shiftright("__at", 33).cast("int")), what)
+    runs = ranged.groupBy("__part").agg(F.min("__at").alias("lo"), F.count("*").alias("m"))
+    # One row for each partition: the only window without a key.
+    runs = runs.select("__part", (F.sum("m").over(Window.orderBy("__part")) - F.col("m") - F.col("lo")).alias("__move"))
+    return ranged.join(F.broadcast(runs), "__part").withColumn("pos", F.col("__at") + F.col("__move")).drop("__part", "__at", "__move")
+
+
 def fold_case(text: Column) -> Column:
     """A-Z lower-cased, all other characters as they are."""
     return F.translate(text, UPPER, LOWER)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import ann, licenses, lm, mixing, packing, pii, quality, simhash, tokens, urls
+from marlstone.llm import ann, licenses, lm, mixing, packing, pii, quality, repair, resample, search, simhash, tokens, urls
 
 
 def queries() -> dict:
@@ -17,8 +17,17 @@ def queries() -> dict:
         "op8_license_rules": licenses.op8_license_rules,
         "op9_url_char_lm": urls.op9_url_char_lm,
         "op10_gru_scores": lm.op10_gru_scores,
+        "op11_maxscore_search": search.op11_maxscore_search,
+        "op12_crc_resample": resample.op12_crc_resample,
+        "op13_conversation_repair": repair.op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_lines": quality.OP2_SQL, "op7_hash_threshold_mix": mixing.OP7_SQL}
+    return {
+        "op2_quality_lines": quality.OP2_SQL,
+        "op7_hash_threshold_mix": mixing.OP7_SQL,
+        "op11_maxscore_search": search.OP11_SQL,
+        "op12_crc_resample": resample.OP12_SQL,
+        "op13_conversation_repair": repair.OP13_SQL,
+    }
