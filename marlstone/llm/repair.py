@@ -230,7 +230,8 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     repaired = ordered.join(kept, "pos").select("conv_id", "pos", "nth", F.coalesce("new", "role").alias("role"), "text")
     repaired = repaired.union(changed.where("letter = 'I'").select("conv_id", "pos", "nth", "role", F.lit("").alias("text")))
     wide = lambda x: x.cast("decimal(20,0)")
-    gaps = ordered.groupBy("conv_id").agg(F.least(wide(F.max("turn")) - wide(F.min("turn")) + 1 - F.count_distinct("turn"), wide(F.lit(2**63 - 1))).cast("long").alias("gaps"))
+    missing = F.least(wide(F.max("turn")) - wide(F.min("turn")) + 1 - F.count_distinct("turn"), wide(F.lit(2**63 - 1))).cast("long")
+    gaps = ordered.groupBy("conv_id").agg(F.when(F.max("turn").isNotNull(), missing).alias("gaps"))
     # Both have one row for each conversation.
     both = planned.drop("lo").withColumn("gaps", F.lit(None).cast("long")).unionByName(gaps, allowMissingColumns=True)
     return both.groupBy("conv_id").agg(F.coalesce(F.max("gaps"), F.lit(0).cast("long")).alias("gaps"), *[F.max(c).alias(c) for c in planned.columns[2:]]), repaired
