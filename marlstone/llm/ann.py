@@ -19,8 +19,8 @@ MOST_CURVES = 1000
 FIT_QUERIES, FIT_LEAST, FIT_SHARE = 256, 64, 0.95
 #: Queries that a task takes beside a block of vectors.
 ASKED = 131_072
-#: Scores that agree to so many decimals tie: the last ones depend on how a vector's length was rounded.
-TIE_DIGITS = 12
+#: What the product of two blocks of unit vectors may be off by: pairs so near the last place are scored exactly too.
+SLACK = 1e-11
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -84,7 +84,15 @@ def _content() -> list[Column]:
 
 
 def _stacked(v: pd.Series) -> np.ndarray:
-    return np.stack(v.to_numpy()).astype(np.float64)
+    """The vectors as rows, each times a power of two that brings its largest component near 1: cosines stay, and no square is too large or too small."""
+    x = np.stack(v.to_numpy()).astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0, keepdims=True))[1])
+
+
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosine of q with every row of x, summed in extended precision and rounded to double once, so that it depends on the two vectors alone."""
+    x, q = x.astype(np.longdouble), q.astype(np.longdouble)
+    return ((x * q).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (q * q).sum())).astype(np.float64)
 
 
 def positions(vectors: DataFrame, curves: int) -> DataFrame:
@@ -116,7 +124,7 @@ def positions(vectors: DataFrame, curves: int) -> DataFrame:
 
 def true_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """q, first: the k nearest distinct vectors of a bounded table of queries (first, v), by comparison with every vector."""
-    asked = [(r["first"], np.array(r["v"], dtype=np.float64)) for r in queries.collect()]
+    asked = [(r["first"], _stacked(pd.Series([r["v"]]))[0]) for r in queries.collect()]
     shared = vectors.sparkSession.sparkContext.broadcast(asked)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +174,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 32,
     blocks of block_rows vectors; a query goes to every block that its window reaches, so vectors are dealt once for each curve however
     wide the window is. The queries of a block are split where they are more than ASKED, so that no task ever holds more than both.
 
-    Scores that agree to 12 decimals tie. Rows whose vector is null, zero or holds null or non-finite components, and rows with a null
+    A score depends on the two vectors alone and is the double next to their cosine; the nearest have the largest, with no tolerance. Rows whose vector is null, zero or holds null or non-finite components, and rows with a null
     id, take no part. Vectors are compared with those of their own length only. Equal vectors are searched once; ids that repeat count
     once each. Fewer than k other vectors: all of them. An empty table gives no rows.
     """
@@ -210,12 +218,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 32,
                 inside = np.abs(pos[lo:hi] - at[ask][:, None]) <= half
                 near[~inside] = -np.inf
                 most = min(k + 1, hi - lo)
-                # All that could be among the best, ties of the last one with them; then each pair is summed anew, one way everywhere.
+                # All that could be among the best, with what rounding may hide; then each of these pairs is scored exactly.
                 least = np.partition(near, hi - lo - most, axis=1)[:, hi - lo - most]
-                for i, row in enumerate((near >= (least - 10.0 ** (1 - TIE_DIGITS))[:, None]) & inside):
+                for i, row in enumerate((near >= (least - SLACK)[:, None]) & inside):
                     held = lo + np.flatnonzero(row)
-                    score = (x[held] * q[ask[i]]).sum(axis=1) / (norm[held] * own[ask[i]])
-                    best = np.lexsort((names[held], -np.round(score, TIE_DIGITS)))[:most]
+                    score = cosines(x[held], q[ask[i]])
+                    best = np.lexsort((names[held], -score))[:most]
                     out["q"] += [asking[ask[i]]] * len(best)
                     out["first"] += names[held[best]].tolist()
                     out["score"] += score[best].tolist()
@@ -223,7 +231,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = 32,
 
     found = there.groupBy("curve", "block", "chunk").cogroup(asks.groupBy("q_curve", "q_block", "q_chunk")).applyInPandas(rerank, "q long, first long, score double")
     found = found.groupBy("q", "first").agg(F.max("score").alias("score"))
-    order = [F.desc(F.round("score", TIE_DIGITS))]
+    order = [F.desc("score")]
     few = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*order, "first"))).where(F.col("n") <= k + 1).drop("n")
     hits = materialise(few, "found").join(ids, "first").select(F.col("q").alias("first"), "vec_id", "score")
     hits = hits.withColumn("n", F.row_number().over(Window.partitionBy("first").orderBy(*order, "vec_id"))).where(F.col("n") <= k + 1).drop("n")
