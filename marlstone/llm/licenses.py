@@ -80,6 +80,8 @@ LICENCES = (
     ("busl-1.1", "busl-1.1", r"business source licen[cs]e(?:,? (?:version )?1\.1)?", r""),
     ("bigscience-rail", "bigscience-openrail-m", r"(?:bigscience )?open ?rail(?:[ -]m)?(?: licen[cs]e)?", r""),
 )
+#: Families whose short form with a version (GPLv2, LGPL 2.1, Apache-2.0, MPL 2.0+) stands for the licence.
+FAMILIES = ("agpl", "lgpl", "gpl", "apache", "mpl", "epl", "eupl", "cddl", "gfdl")
 _Q = "[\"'‘’“”]?"
 #: Signature sentences, written by hand: label, sentence, priority, weight, stem, keyword. Every match holds the stem and the keyword;
 #: stems are few, as the gate looks for them in every text, keywords are rare words of the sentence.
@@ -311,19 +313,41 @@ NAME_KEYWORDS = {
 }
 
 
+#: What Python takes for white space, spelt out for Java.
+_WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_GRANTED = "licen[cs]ed|released|distributed|available|provided|covered|published|is|are|falls?"
+_IDS = {i: label for label, ids, *_ in LICENCES for i in ids.split("|")}
+#: The places of short forms and of grants by identifier, each with the family or identifier that tells which rules may fit there.
+SHORT = rf"({'|'.join(FAMILIES)})(?:[ ,-]{{0,2}}v(?:ersion|\.)?)?[ -]?[0-9]"
+GRANT = rf"under{_WS}(?:(?:the|terms|of|gnu){_WS}){{0,5}}({'|'.join(map(re.escape, sorted([*_IDS, *FAMILIES], key=lambda i: (-len(i), i))))})"
+
+
+def _short(label: str) -> str | None:
+    """The short form of a family's version: a sign, v or version between may lack, and so may a minor version of 0."""
+    family, _, version = label.rpartition("-")
+    if family not in FAMILIES:
+        return None
+    major, minor = version.split(".")
+    return rf"(?:gnu[ ])?{family}(?:[ ,-]{{0,2}}v(?:ersion|\.)?)?[ -]?{major}(?:\.{minor}){'?' if minor == '0' else ''}(?:\+|-only|-or-later)?(?!\.?\d)"
+
+
 @cache
 def _rules() -> tuple[tuple[int, str, float, re.Pattern, tuple[str, ...], tuple[str, ...]], ...]:
-    """The rules, each with its keywords and stems: every text that the pattern matches holds at least one of either."""
+    """The rules, each with its keywords and stems: every text that the pattern matches holds at least one of either. Those without keywords match where SHORT or GRANT does."""
     edge_l, edge_r = r"(?<![a-z0-9])", r"(?![a-z0-9])"
     out = []
     for label, ids, name, address in LICENCES:
         own = NAME_KEYWORDS.get(label, ("licen",))
         any_id = "|".join(map(re.escape, sorted(ids.split("|"), key=len, reverse=True)))
+        short = _short(label)
+        named = f"{any_id}|{short}" if short else any_id
         forms = [
             (100, 1.0, rf"spdx-license-identifier:\s*\(?(?:{any_id})(?![a-z0-9.-])", ("spdx",)),
             (95, 0.95, rf"{edge_l}(?:https?://)?(?:www\.)?{address}" if address else None, (address.split("/")[0].replace("\\", ""),)),
             (85, 0.9, rf"{edge_l}(?:licen[cs]ed|released|distributed|available|provided|published|covered|shared) (?:only )?(?:under|by|with) (?:the )?(?:terms of )?(?:the )?(?:{name}){edge_r}", own),
-            (75, 0.8, rf"{edge_l}licen[cs]e\s*[:=]\s*[\"']?(?:{any_id}|{name}){edge_r}", ("licen",)),
+            (84, 0.9, rf"{edge_l}(?:{_GRANTED}) (?:only )?under (?:the )?(?:terms of )?(?:the )?(?:{named})(?: licen[cs]e)?{edge_r}", ()),
+            (75, 0.8, rf"{edge_l}licen[cs]e\s*[:=]\s*[\"']?(?:{named}|{name}){edge_r}", ("licen",)),
+            (55, 0.7, rf"{edge_l}(?:{short})(?: licen[cs]e)?{edge_r}" if short else None, ()),
             (50, 0.7, rf"{edge_l}(?:{name}){edge_r}" if "licen" in name or label.startswith("cc") else None, own),
         ]
         out += [(p, label, w, f, k, k) for p, w, f, k in forms if f]
@@ -338,13 +362,14 @@ def rules() -> tuple[tuple[int, str, float, re.Pattern], ...]:
     return tuple(r[:4] for r in _rules())
 
 
-#: A text without any of these holds no detection: the prefilter before the texts leave the JVM.
+#: A text that holds none of these and no place of SHORT or GRANT holds no detection: the prefilter before the texts leave the JVM.
 STEMS = tuple(sorted({k for r in _rules() for k in r[5]}))
+PLACES = f"{SHORT}|{GRANT}"
 
 
 @cache
 def _index():
-    """(automaton of the keywords, rules of each keyword, number of rules)."""
+    """(automaton of the keywords, rules of each keyword, PLACES as a pattern, rules of each identifier and family at a place)."""
     import ahocorasick
 
     of: dict[str, list[int]] = {}
@@ -355,7 +380,12 @@ def _index():
     for k in of:
         a.add_word(k, k)
     a.make_automaton()
-    return a, of
+    placed: dict[str, list[int]] = {}
+    for i, r in enumerate(_rules()):
+        if not r[4]:
+            for k in [k for k, label in _IDS.items() if label == r[1]] + [r[1].rpartition("-")[0]]:
+                placed.setdefault(k, []).append(i)
+    return a, of, re.compile(PLACES), placed
 
 
 def detect(text: str, gated: bool = True) -> list[tuple[int, int, int, str, float]]:
@@ -366,12 +396,13 @@ def detect(text: str, gated: bool = True) -> list[tuple[int, int, int, str, floa
     order of start and falling end, all that can hold a match come before it, so the furthest end of each priority so far decides.
     """
     if gated:
-        automaton, of = _index()
-        tried = sorted({i for k in {k for _, k in automaton.iter(text)} for i in of[k]})
+        automaton, of, places, placed = _index()
+        tried = {i for k in {k for _, k in automaton.iter(text)} for i in of[k]}
+        tried |= {i for k in {m[1] or m[2] for m in places.finditer(text)} for i in placed[k]}
     else:
         tried = range(len(_rules()))
     found = []
-    for i in tried:
+    for i in sorted(tried):
         priority, label, weight, pattern = _rules()[i][:4]
         found += [(m.start(), m.end(), priority, label, weight) for m in pattern.finditer(text)]
     stays, furthest = [], {}
@@ -405,7 +436,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     low = F.translate(t, UPPER, LOWER)
-    gate = functools.reduce(lambda a, b: a | b, [low.contains(k) for k in STEMS])
+    gate = functools.reduce(lambda a, b: a | b, [low.contains(k) for k in STEMS]) | low.rlike(PLACES)
     words = re.compile(WORD)
     schema = "n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:int,end:int,label:string>>"
 
