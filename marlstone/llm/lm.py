@@ -9,6 +9,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +22,13 @@ END = b" end"
 HEAD, VOCAB, MEMBERS, HIDDEN = 100_000, 1024, 32, 16
 #: Documents that run side by side, and tokens of one such batch at most (but for a single longer document).
 SIDE, SIDE_TOKENS = 1024, 2_000_000
+#: Rounds of training, after each of which the shards' weights are averaged, and tokens of a shard.
+ROUNDS, SHARD_TOKENS = 2, 4_000_000
 
 
 def _with_split(docs: DataFrame, text: str) -> DataFrame:
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return docs.select("doc_id", (F.crc32(name) % 10 == 0).alias("held_out"), F.col(text).alias("t"))
+    return docs.select("doc_id", (F.crc32(name) % 10 == 0).alias("held_out"), F.col(text).cast("string").alias("t"))
 
 
 def token_counts(train: DataFrame) -> DataFrame:
@@ -84,54 +87,62 @@ def _batches(ids: list[np.ndarray]) -> Iterator[list[int]]:
 
 
 def train_model(train: DataFrame, ids: dict[bytes, int], counts: np.ndarray, rate: float = 0.02, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
-    """One pass over all tokens of all training documents, states carried from window to window; every partition trains from the same start, the weights are averaged by tokens.
+    """One pass over all tokens of all training documents, states carried from window to window, in ROUNDS rounds.
 
-    The partitions' weights are summed in Spark, in groups of partitions first, so the driver gets 16 rows at most. Partitions that
-    Spark runs twice give the same weights: order and start are fixed. How the input is cut into partitions decides which documents
-    train together, so the weights, and with them score, differ between cuts; counts and base_score do not.
+    Hashes deal the documents to rounds and to as many shards as the corpus has multiples of SHARD_TOKENS tokens. In a round every shard
+    trains from the same weights on its documents of the round, in the order of their hashes; the shards' weights, averaged by tokens,
+    begin the next round. So the weights depend on the rows alone, not on how the input or the cluster is cut into partitions. The
+    shards' weights are summed in Spark, in 16 groups, so the driver gets 16 rows at most for each round. Rows with one id and one text
+    are of one shard, which reads them as a stream.
     """
     sc = train.sparkSession.sparkContext
-    first = gru.start(counts, hidden, MEMBERS)
-    shared = sc.broadcast((ids, gru.dump(first)))
-    shape = [first[k].shape for k in gru.NAMES]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        own, weights = shared.value
-        adam = gru.Adam(gru.load(weights), rate)
-
-        def docs() -> Iterator[np.ndarray]:
-            for b in batches:
-                seqs = []
-                for t in b["t"]:
-                    words = folded_words(t)
-                    words.append(END)
-                    seqs.append(np.fromiter(map(own.get, words, repeat(0)), dtype=np.int32, count=len(words)))
-                # The longest begin first, so that no few of them are left to train alone.
-                yield from sorted(seqs, key=lambda s: -(len(s) // 1024))
-
-        seen = gru.train_stream(adam, docs(), 1)
-        if seen:
-            flat = np.concatenate([adam.w[k].ravel() for k in gru.NAMES]).astype(np.float64) * seen
-            yield pd.DataFrame({"g": [TaskContext.get().partitionId() % 16], "n": [float(seen)], "w": [flat.tobytes()]})
+    model = gru.start(counts, hidden, MEMBERS)
+    shape = [model[k].shape for k in gru.NAMES]
+    shards = int(max(1, -(-counts.sum() // SHARD_TOKENS)))
+    names = [F.col(c) for c in ("doc_id", "t") if c in train.columns]
+    own = train.select("t", F.xxhash64(*names).alias("o"))
+
+    def trained(shared) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            own, weights = shared.value
+            adam = gru.Adam(gru.load(weights), rate)
+
+            def docs() -> Iterator[np.ndarray]:
+                for b in batches:
+                    seqs = []
+                    for t in b["t"]:
+                        words = folded_words(t)
+                        words.append(END)
+                        seqs.append(np.fromiter(map(own.get, words, repeat(0)), dtype=np.int32, count=len(words)))
+                    # The longest begin first, so that no few of them are left to train alone.
+                    yield from sorted(seqs, key=lambda s: -(len(s) // 1024))
+
+            seen = gru.train_stream(adam, docs(), 1)
+            if seen:
+                flat = np.concatenate([adam.w[k].ravel() for k in gru.NAMES]).astype(np.float64) * seen
+                yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "n": [float(seen)], "w": [flat.tobytes()]})
+
+        mine = own.where(F.pmod("o", F.lit(ROUNDS)) == round_)
+        # A shard is a partition.
+        dealt = mine.repartitionById(shards, F.pmod(F.shiftright("o", 8), F.lit(shards)).cast("int")).sortWithinPartitions("o")
+        return dealt.select("t").mapInPandas(run, "shard int, n double, w binary")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": pdf["g"].iloc[:1], "n": [pdf["n"].sum()], "w": [np.sum([np.frombuffer(x) for x in pdf["w"]], axis=0).tobytes()]})
-
-    schema = "g int, n double, w binary"
-    found = materialise(train.select("t").mapInPandas(run, schema), "weights").withColumn("h", F.pmod(F.xxhash64("w"), F.lit(4)).cast("int"))
-    halves = found.groupBy("g", "h").applyInPandas(lambda p: add(p), schema)
-    rows = halves.groupBy("g").applyInPandas(add, schema).collect()
-    if not rows:
-        return first
-    flat = np.sum([np.frombuffer(r["w"]) for r in sorted(rows, key=lambda r: r["g"])], axis=0) / sum(r["n"] for r in rows)
-    out, at = {}, 0
-    for k, s in zip(gru.NAMES, shape, strict=True):
-        n = int(np.prod(s))
-        out[k] = flat[at : at + n].reshape(s).astype(np.float32)
-        at += n
-    return out
+        pdf = pdf.sort_values("shard")
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "n": [pdf["n"].sum()], "w": [np.sum([np.frombuffer(x) for x in pdf["w"]], axis=0).tobytes()]})
+
+    for round_ in range(ROUNDS):
+        found = materialise(trained(sc.broadcast((ids, gru.dump(model)))), "weights")
+        rows = found.groupBy(F.pmod("shard", F.lit(16)).alias("g")).applyInPandas(add, found.schema).collect()
+        if rows:
+            flat, at = np.sum([np.frombuffer(r["w"]) for r in sorted(rows, key=lambda r: r["shard"])], axis=0) / sum(r["n"] for r in rows), 0
+            for k, s in zip(gru.NAMES, shape, strict=True):
+                n = int(np.prod(s))
+                model[k] = flat[at : at + n].reshape(s).astype(np.float32)
+                at += n
+    return model
 
 
 def scored(docs: DataFrame, text: str = "text", head_size: int = HEAD, hidden: int = HIDDEN) -> DataFrame:
@@ -159,7 +170,7 @@ def scored(docs: DataFrame, text: str = "text", head_size: int = HEAD, hidden: i
     bottom, other = math.log10(total + 0.1 * (kinds + 1)), math.log10(other_n + 0.1 * other_v)
     shared = sc.broadcast((head, ids, gru.dump(model)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, ids, weights = shared.value
         w = gru.load(weights)
         # A word's place in the head gives its id and the logarithm of its count; the last place stands for all others.
@@ -173,7 +184,7 @@ def scored(docs: DataFrame, text: str = "text", head_size: int = HEAD, hidden: i
         for b in batches:
             rows = {k: [] for k in ("n_tokens", "known", "base", "others", "tail", "times")}
             seqs = []
-            for t in b["t"]:
+            for t in b.column("t").to_pylist():
                 words = folded_words(t)
                 at = np.fromiter(map(place.get, words, repeat(n)), dtype=np.int32, count=len(words))
                 tail = Counter(map(words.__getitem__, np.flatnonzero(at == n).tolist()))
@@ -187,10 +198,13 @@ def scored(docs: DataFrame, text: str = "text", head_size: int = HEAD, hidden: i
             logp = np.zeros(len(seqs))
             for part in _batches(seqs):
                 logp[part] = gru.score(w, [seqs[i] for i in part], 1)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], **rows, "logp": logp / math.log(10)})
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            made = [pa.array(x, kind) for x, kind in zip(rows.values(), kinds, strict=True)]
+            # Ids pass as Arrow has them: pandas would make a batch with a null one floats.
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *made, pa.array(logp / math.log(10))], ["doc_id", "held_out", *rows, "logp"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, others double, tail array<binary>, times array<long>, logp double"
-    done = own.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "t").mapInPandas(run, schema)
+    done = own.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "t").mapInArrow(run, schema)
     done = materialise(done.withColumn("row", F.monotonically_increasing_id()), "scores")
     # The rare words, counted by a join: every kind of word has one row in counts, and few documents hold it.
     rare = done.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("token"), F.col("x.times").alias("times"))
