@@ -58,10 +58,41 @@ def test_few_vectors_and_empty(spark):
 
 
 def test_collinear_vectors_tie_by_id(spark):
-    rows = [(i, [float(i + 1) * x for x in (0.3, -0.7, 0.2)]) for i in range(20)]
+    rows = [(i, [float(i + 1) * x for x in (3.0, -7.0, 2.0)]) for i in range(20)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [r.vec_id for r in ann.nearest(d, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
-    assert got == [1, 2, 3, 4, 5]
+    got = [(r.vec_id, r.score) for r in ann.nearest(d, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert got == [(i, 1.0) for i in (1, 2, 3, 4, 5)]
+
+
+def test_nearest_has_no_tolerance(spark):
+    # Cosines with (1, 0) differ in the last digits of a double; ids are against the order.
+    from decimal import Decimal, localcontext
+
+    apart = [1e-7, 5e-7, 7e-7, 9e-7, 1e-6, 0.0, 2e-8]
+    rows = [(0, [1.0, 0.0]), *((i + 1, [1.0, x]) for i, x in enumerate(apart))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with localcontext() as c:
+        c.prec = 50
+        cosine = {i: float(1 / (1 + Decimal(v[1]) ** 2).sqrt()) for i, v in rows}
+    want = sorted((i for i in cosine if i), key=lambda i: (-cosine[i], i))[:5]
+    got = ann.nearest(d, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == want and got[0].vec_id == 6
+    assert [r.score for r in got] == [cosine[i] for i in want]
+
+
+def test_nearest_of_large_and_small_components(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(60, 6))
+    scale = [1.0, 1e200, 1e-200, 1e300, 1e-300]
+    rows = [(i, [float(x) * scale[i % 5] for x in r]) for i, r in enumerate(v)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(d, F.col("vec_id") % 20 == 0).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in (0, 20, 40):
+        near = unit @ unit[q]
+        order = [i for i in np.argsort(-near) if i != q][:5]
+        assert [got[q, n + 1][0] for n in range(5)] == order
+        assert [got[q, n + 1][1] for n in range(5)] == pytest.approx([near[i] for i in order], abs=1e-12)
 
 
 def test_small_blocks_lose_no_row_of_a_window(spark, monkeypatch):
@@ -285,6 +316,19 @@ def test_model_learns_from_whole_texts(spark):
     assert moved[1:902].all()
 
 
+def test_language_model_keeps_large_ids_beside_null(spark):
+    big = [2**53 + 1, 2**53 + 3, 2**62 + 5, None]
+    d = spark.createDataFrame([(i, "a b c") for i in big], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id for r in lm.scored(d, hidden=4).collect()), key=repr) == sorted(big, key=repr)
+
+
+def test_weights_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 2_000)
+    d = spark.createDataFrame(corpus(), "doc_id long, text string")
+    one, many = ({r.doc_id: r.score for r in lm.scored(d.repartition(n), hidden=4).collect()} for n in (1, 7))
+    assert one == pytest.approx(many, abs=1e-6)
+
+
 def test_language_model_without_rows(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert lm.scored(d.where("doc_id < 0")).count() == 0
