@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +24,22 @@ def as_stream(spark: SparkSession, rows: DataFrame, what: str, files: int = 1) -
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
-def drain(stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that its source holds now and give what its sink has: a Parquet table in the shared folder."""
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB, which state of several kinds and timers need; the session's own provider afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drain(stream: DataFrame, what: str, mode: str = "append", folders: tuple[str, str] | None = None) -> DataFrame:
+    """Run a stream over all that its source holds now and give what its sink has: a Parquet table in the shared folder. With folders (of the sink and of the checkpoint) a later call goes on where this one ended."""
     spark = stream.sparkSession
-    path, state = fresh_path(spark, what), fresh_path(spark, f"{what}-state")
+    path, state = folders or (fresh_path(spark, what), fresh_path(spark, f"{what}-state"))
     schema = stream.schema
 
     def put(batch: DataFrame, number: int) -> None:
