@@ -24,6 +24,17 @@ def as_stream(spark: SparkSession, rows: DataFrame, what: str, files: int = 1) -
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
+def in_order(spark: SparkSession, rows: DataFrame, what: str, files: int = 3) -> DataFrame:
+    """A table with ts as a stream that brings a file for each micro-batch: `files` equal stretches of time, one after the other."""
+    path = fresh_path(spark, what)
+    us = F.unix_micros("ts")
+    lo, hi = rows.agg(F.min(us), F.max(us)).first()
+    width = -(-((hi or 0) - (lo or 0) + 1) // files)
+    for i in range(files):
+        rows.where(F.floor((us - (lo or 0)) / width) == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @contextmanager
 def rocks(spark: SparkSession) -> Iterator[None]:
     """State in RocksDB, which state of several kinds and timers need; the session's own provider afterwards."""
