@@ -138,15 +138,6 @@ def e03_greedy_origins(spark, sf_dir):
     return mk.greedy_origins(x.select("symbol", "i"), "symbol", "i", 10)
 
 
-@query(f"""WITH {BARS}, n AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM bars), p AS (SELECT b.i - a.i AS step, b.close / a.close - 1 AS r FROM n a JOIN n b ON b.symbol = a.symbol AND b.i BETWEEN a.i + 1 AND a.i + 5)
-SELECT step, count(*) AS n, round(quantile_cont(r, 0.05), 6) AS q05, round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.95), 6) AS q95 FROM p GROUP BY step""")
-def w19_path_cone(spark, sf_dir):
-    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(1, 5)
-    x = bars(spark, sf_dir).select("close", F.collect_list("close").over(w).alias("path")).select("close", F.posexplode("path").alias("k", "c"))
-    q = lambda p: F.round(F.percentile(F.col("c") / F.col("close") - 1, F.lit(p)), 6)
-    return x.groupBy((F.col("k") + 1).cast("long").alias("step")).agg(F.count("*").alias("n"), q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"))
-
-
 @query(f"WITH {BARS}, p AS (SELECT a.symbol, a.date, a.close AS a, b.close AS b, c.close AS c FROM bars a JOIN bars b ON b.symbol = a.symbol + 1 AND b.date = a.date JOIN bars c ON c.symbol = a.symbol + 2 AND c.date = a.date), r AS (SELECT symbol, date, 100 * (a / lag(a) OVER w - 1) AS ra, 100 * (b / lag(b) OVER w - 1) AS rb, 100 * (c / lag(c) OVER w - 1) AS rc FROM p WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT symbol, date, CASE WHEN ra <= -0.25 AND rb >= 0.25 AND rc >= 0.25 THEN 'diverging_down' WHEN ra >= 0.25 AND rb <= -0.25 AND rc <= -0.25 THEN 'diverging_up' ELSE 'aligned' END AS state, coalesce(ra < 0 AND rb < 0 AND ra / nullif(rb, 0) >= 2.0, false) AS weak_2x FROM r WHERE ra IS NOT NULL")
 def e09_divergence(spark, sf_dir):
     """Every symbol against the next two, on the dates that all three have."""

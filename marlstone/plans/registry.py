@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import checkpoint_queries, evidence_queries, factor_queries, ledger_queries, market_queries, register_queries, rule_queries, scan_queries, signal_queries, state_queries, stream_queries
+from marlstone.plans import checkpoint_queries, evidence_queries, factor_queries, ledger_queries, market_queries, path_queries, register_queries, rule_queries, scan_queries, signal_queries, state_queries, stream_queries
 
-MODULES = (factor_queries, ledger_queries, market_queries, evidence_queries, state_queries, rule_queries, scan_queries, signal_queries, register_queries, checkpoint_queries, stream_queries)
+MODULES = (factor_queries, ledger_queries, market_queries, evidence_queries, state_queries, rule_queries, scan_queries, signal_queries, register_queries, checkpoint_queries, path_queries, stream_queries)
 
 
 def queries() -> dict:

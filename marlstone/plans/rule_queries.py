@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import numeric as nm
 from marlstone.operators import factors as fx
 from marlstone.operators import market as mk
+from marlstone.operators import dislocation as ds
 from marlstone.operators import rules as rl
 from marlstone.sources.bindings import BARS, BENCH, BOOK, DECISIONS, LEVELS, bars, benchmark_series, book, decisions, events, levels, read
 
@@ -193,21 +194,31 @@ def f04_local_dates(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.date_format(t, "yyyy-MM-dd").alias("local_day"), F.date_format(t, "HH:mm").alias("hhmm"))
 
 
-@query(f"""WITH {BARS}, {BENCH}, r AS (SELECT symbol, b.date, close / lag(close) OVER s - 1 AS y, bench / lag(bench) OVER s - 1 AS x FROM bars b JOIN bench USING (date) WINDOW s AS (PARTITION BY symbol ORDER BY b.date)),
-v AS (SELECT symbol, date, y, x, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, count(*) OVER (PARTITION BY symbol) AS t FROM r WHERE y IS NOT NULL AND x IS NOT NULL), z AS (SELECT *, greatest(8, floor(t * 0.6::DOUBLE)) AS e FROM v WHERE t >= 20),
-f AS (SELECT symbol, any_value(e) AS e, count(*) AS n, covar_pop(y, x) / nullif(var_pop(x), 0) AS beta, avg(y) AS my, avg(x) AS mx, sqrt(count(*) * greatest(var_pop(y) - pow(covar_pop(y, x), 2) / nullif(var_pop(x), 0), 0) / (count(*) - 2)) AS sigma,
-  covar_pop(y, x) FILTER (2 * i <= e) / nullif(var_pop(x) FILTER (2 * i <= e), 0) AS b1, covar_pop(y, x) FILTER (2 * i > e) / nullif(var_pop(x) FILTER (2 * i > e), 0) AS b2 FROM z WHERE i < e GROUP BY symbol),
-a AS (SELECT z.symbol, i - f.e AS k, (y - my) - beta * (x - mx) AS ab, f.* EXCLUDE (symbol, e) FROM z JOIN f ON f.symbol = z.symbol WHERE i >= f.e AND i < f.e + 10)
-SELECT symbol, n, round(any_value(beta), 5) AS beta, count(*) AS age, round(sum(ab), 4) AS abnormal, round(sum(ab) FILTER (k = 0) / any_value(sigma), 4) AS event_z, round(sum(ab) / (any_value(sigma) * sqrt(count(*))), 4) AS block_z, round(coalesce(sum(ab) FILTER (k > 0), 0), 4) AS spill_over, abs(any_value(b1) - any_value(b2)) < greatest(0.35, 0.35 * abs(any_value(beta))) AS stable FROM a GROUP BY symbol, n""")
+@query(f"""WITH {BARS}, {BENCH}, c AS (SELECT a.symbol, a.date, ln(a.close) AS t, ln(i.close) AS i, ln(bench) AS b FROM bars a JOIN bars i ON i.symbol = 1 AND i.date = a.date JOIN bench ON bench.date = a.date WHERE a.symbol <> 1),
+p AS MATERIALIZED (SELECT symbol, date, t AS lt, i AS li, b AS lb, t - lag(t) OVER w AS t, i - lag(i) OVER w AS i, b - lag(b) OVER w AS b, row_number() OVER w AS pos, count(*) OVER (PARTITION BY symbol) AS last FROM c WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+v AS (SELECT symbol, last, greatest(last - 2 - symbol % 9, 1) AS base FROM p GROUP BY symbol, last),
+x AS MATERIALIZED (SELECT p.*, v.base, v.last - v.base AS age, pos - v.base + 59 AS k FROM p JOIN v ON v.symbol = p.symbol),
+ok AS (SELECT DISTINCT symbol FROM x WHERE base - 1 >= 60 AND age >= 1),
+m AS (SELECT symbol, h, count(*) AS n, avg(t) AS mt, avg(i) AS mi, avg(b) AS mb, var_pop(b) AS bb, var_pop(i) AS ii, covar_pop(b, i) AS bi, covar_pop(b, t) AS bt, covar_pop(i, t) AS it FROM (SELECT *, unnest([0, CASE WHEN k < 30 THEN 1 ELSE 2 END]) AS h FROM x WHERE k BETWEEN 0 AND 59) GROUP BY symbol, h),
+f AS (SELECT *, (it - bi * bt / bb) / (ii - bi * bi / bb) AS fi, (bt - (it - bi * bt / bb) / (ii - bi * bi / bb) * bi) / bb AS fb FROM m),
+fit AS MATERIALIZED (SELECT a.symbol, a.fb, a.fi, a.mt - a.fb * a.mb - a.fi * a.mi AS al, a.mt - a.bt / a.bb * a.mb AS ta, a.bt / a.bb AS tb, a.mi - a.bi / a.bb * a.mb AS ia, a.bi / a.bb AS ib, abs(u.fb - w.fb) AS sb, abs(u.fi - w.fi) AS si FROM f a JOIN f u ON u.symbol = a.symbol AND u.h = 1 JOIN f w ON w.symbol = a.symbol AND w.h = 2 WHERE a.h = 0),
+cu AS (SELECT symbol, any_value(age) AS age, max(lt) FILTER (pos = last) - max(lt) FILTER (pos = base) AS ct, max(li) FILTER (pos = last) - max(li) FILTER (pos = base) AS ci, max(lb) FILTER (pos = last) - max(lb) FILTER (pos = base) AS cb FROM x GROUP BY symbol),
+re AS (SELECT x.symbol, (59 - k) // age AS block, any_value(age) AS age, sum(t - al - fb * b - fi * i) AS s, sum(pow(t - al - fb * b - fi * i, 2)) AS q FROM x JOIN fit ON fit.symbol = x.symbol WHERE k BETWEEN 0 AND 59 GROUP BY 1, 2),
+bl AS (SELECT symbol, count(*) FILTER (block < 60 // age) AS blocks, avg(s) FILTER (block < 60 // age) AS bm, stddev_samp(s) FILTER (block < 60 // age) AS bs, sqrt(sum(q) / 57) AS sigma FROM re GROUP BY symbol),
+d AS (SELECT v.symbol, cu.age, fb, fi, sigma, ct - ta * cu.age - tb * cb AS ab, ci - ia * cu.age - ib * cb AS own, blocks, bm, bs, sb, si FROM v JOIN ok ON ok.symbol = v.symbol JOIN cu ON cu.symbol = v.symbol JOIN fit ON fit.symbol = v.symbol JOIN bl ON bl.symbol = v.symbol),
+e AS (SELECT *, ab - fi * own AS extra, CASE WHEN blocks >= 3 AND bs > 1e-12 THEN (ab - fi * own - bm) / bs END AS z FROM d)
+SELECT v.symbol, CASE WHEN v.base - 1 < 60 THEN 'training:insufficient_pre_event_lookback' END AS gap, age, round(fb, 5) AS beta_benchmark, round(fi, 5) AS beta_issuer, round(sigma, 5) AS sigma, round(ab, 5) AS abnormal, round(own, 5) AS issuer_abnormal, round(fi * own, 5) AS spill_over, round(extra, 5) AS extra, blocks, 60 % age AS discarded, round(bm, 5) AS block_mean, round(bs, 5) AS block_sigma, round(z, 4) AS z, round(sb, 5) AS shift_benchmark, round(si, 5) AS shift_issuer,
+  CASE WHEN age IS NULL THEN NULL WHEN greatest(sb, si) > 1.0 THEN 'model_inapplicable_regime_break' WHEN age > 8 OR z IS NULL THEN 'statistical_residual_only' WHEN abs(z) >= 1.5 THEN 'relative_dislocation_candidate' ELSE 'no_threshold_dislocation' END AS classification FROM v LEFT JOIN e ON e.symbol = v.symbol""")
 def e02_event_dislocation(spark, sf_dir):
-    """An event at six tenths of each symbol's history, the market fit frozen before it."""
+    """Supplier 1 is the issuer, every other one a target; the event lies two to ten of their common weeks before the last."""
     b = bars(spark, sf_dir)
-    r = b.join(benchmark_series(b), "date").select("symbol", "date", (F.col("close") / F.lag("close").over(fx.series()) - 1).alias("y"), (F.col("bench") / F.lag("bench").over(fx.series()) - 1).alias("x"))
-    w = Window.partitionBy("symbol")
-    z = r.where("y is not null and x is not null").withColumns({"i": F.row_number().over(w.orderBy("date")), "t": F.count("*").over(w)}).where("t >= 20")
-    z = z.withColumn("event", F.greatest(F.lit(8), F.floor(F.col("t") * 0.6)))
-    d = rl.dislocation(z, 10)
-    return d.select("symbol", "n", F.round("beta", 5).alias("beta"), "age", *[F.round(c, 4).alias(c) for c in ("abnormal", "event_z", "block_z", "spill_over")], "stable")
+    issuer = b.where("symbol = 1").select("date", F.col("close").alias("issuer"))
+    c = b.where("symbol <> 1").join(issuer, "date").join(benchmark_series(b), "date").select(F.col("symbol").alias("case"), "date", F.col("close").alias("target"), "issuer", F.col("bench").alias("benchmark"))
+    w = Window.partitionBy("case")
+    at = c.withColumns({"pos": F.row_number().over(w.orderBy("date")), "last": F.count("*").over(w)}).where(F.col("pos") == F.greatest(F.col("last") - 2 - F.col("case") % 9, F.lit(1)))
+    d = ds.dislocations(c, at.select("case", F.col("date").alias("published")), 60, 8, 1.5, 1.0)
+    five = ("beta_benchmark", "beta_issuer", "sigma", "abnormal", "issuer_abnormal", "spill_over", "extra", "block_mean", "block_sigma", "shift_benchmark", "shift_issuer")
+    return d.select(F.col("case").alias("symbol"), "gap", "age", "blocks", "discarded", "classification", F.round("z", 4).alias("z"), *[F.round(k, 5).alias(k) for k in five])
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 8 IN (0, 1, 4, 6) THEN user_id + 0.5 END::DOUBLE AS price, CASE event_id % 8 WHEN 0 THEN 'q' WHEN 1 THEN 'unknown' WHEN 2 THEN 's' WHEN 4 THEN 'pair' WHEN 5 THEN 'pair' WHEN 6 THEN 'stub' WHEN 3 THEN 's' END AS source,

@@ -18,7 +18,6 @@ from marlstone.operators import factors as fx
 from marlstone.operators import ledger as lg
 from marlstone.operators import lifecycles as lc
 from marlstone.operators import market as mk
-from marlstone.operators import rules as rl
 from marlstone.operators import signals as sg
 from marlstone.sources import filings as fl
 from marlstone.sources import scans as sc
@@ -235,17 +234,6 @@ def test_put_and_call_values_keep_parity(spark):
     assert v.C - v.P == pytest.approx(95.0 - 100.0 * np.exp(-0.02), abs=1e-4)
 
 
-def test_dislocation_freezes_its_fit(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=60)
-    y = 1.5 * x + 0.01 * rng.normal(size=60)
-    y[40] += 1.0
-    rows = [("s", i + 1, 41, float(y[i]), float(x[i])) for i in range(60)]
-    a = rl.dislocation(spark.createDataFrame(rows, "symbol string, i int, event int, y double, x double"), 5).first()
-    assert (a.n, a.age, a.stable) == (40, 5, True) and a.beta == pytest.approx(1.5, abs=0.02)
-    assert a.abnormal == pytest.approx(1.0, abs=0.1) and a.event_z > 50 and abs(a.spill_over) < 0.1
-
-
 def test_betas_fall_back(spark):
     rng = np.random.default_rng(2)
     n = {"long": 120, "short": 60, "few": 10}
