@@ -78,6 +78,6 @@ def dislocations(closes: DataFrame, events: DataFrame, lookback: int, most_sessi
     out = g.join(blocks, "case", "left").withColumn("z", z)
     broke = F.coalesce(F.greatest("shift_benchmark", "shift_issuer") > most_shift, F.lit(False)) if most_shift is not None else F.lit(False)
     kind = F.when(broke, BREAK).when((F.col("age") > most_sessions) | F.col("z").isNull(), RESIDUAL).when(F.abs("z") >= least_z, CANDIDATE).otherwise(NONE)
-    out = out.withColumns({"side": F.when(F.col("extra") < 0, "laggard").when(F.col("extra") > 0, "rich").otherwise("at_model"), "dislocation_pct": 100 * F.expm1("extra"), "discarded": F.lit(lookback) % F.col("age"), "classification": kind})
+    out = out.withColumns({"side": F.when(F.col("extra") < 0, "laggard").when(F.col("extra") > 0, "rich").otherwise("at_model"), "dislocation_pct": 100 * F.expm1("extra"), "discarded": F.try_mod(F.lit(lookback).cast("long"), F.col("age")), "classification": kind})
     values = ("age", "beta_benchmark", "beta_issuer", "alpha", "sigma", "abnormal", "issuer_abnormal", "spill_over", "extra", "dislocation_pct", "side", "blocks", "discarded", "block_mean", "block_sigma", "z", "shift_benchmark", "shift_issuer", "classification")
     return events.select("case").join(out, "case", "left").select("case", F.when(F.col("base").isNull(), NO_BASELINE).otherwise(F.col("gap")).alias("gap"), *[F.when(F.col("gap").isNull() & F.col("base").isNotNull(), F.col(c)).alias(c) for c in values])

@@ -162,7 +162,7 @@ def test_dislocation_is_frozen_before_its_event(spark):
     b, i = 0.01 * rng.normal(size=n), 0.02 * rng.normal(size=n)
     t = 0.001 + 1.2 * b + 0.5 * i + 0.004 * rng.normal(size=n)
     i[-age:] += 0.03
-    t[-3] += 0.10
+    t[-3] += 0.20
     price = {c: (100 * np.exp(np.concatenate([[0.0], np.cumsum(x)]))).tolist() for c, x in (("b", b), ("i", i), ("t", t))}
     rows = [("x", day(k), price["t"][k], price["i"][k], price["b"][k]) for k in range(n + 1)]
     rows += [("late", *r[1:]) for r in rows] + [("early", *r[1:]) for r in rows[: n + 1]] + [("short", *r[1:]) for r in rows[: n + 1]] + [("flat", r[1], r[2], r[3], 50.0) for r in rows[: n + 1]] + [("twin", r[1], r[2], r[4] * 3, r[4]) for r in rows[: n + 1]] + [("blocks", *r[1:]) for r in rows[: n + 1]]
