@@ -9,7 +9,7 @@ CJK = "\\x{3400}-\\x{9fff}"
 #: Query parameters that only track, and words whose line is taken out whole.
 TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "spm")
 CREDENTIAL_WORDS = ("token", "credential", "auth")
-#: Names whose assigned value is masked; a blank stands for nothing, a hyphen or an underscore.
+#: Names whose assigned value is masked, words apart.
 SECRET_NAMES = ("api key", "access token", "secret", "password", "passphrase")
 
 
@@ -46,13 +46,48 @@ def redact_lines(text: Column, home: str | None = None) -> Column:
     return F.array_join(F.transform(F.split(text, "\n", -1), lambda line: F.when(bad(line), "[redacted]").otherwise(line)), "\n")
 
 
+#: What stands between the words of a text, and the characters of a bearer credential (RFC 6750: letters, digits and these, then any =).
+BETWEEN = r"[ \t\n\f\r\x0B,;]+"
+CREDENTIAL = r"^[\p{Alpha}\p{Digit}\-._~+/]+=*"
+MASK = "<redacted>"
+
+
 def scrub(text: Column) -> Column:
-    """Masks in place what follows a secret's name and = or : up to a blank, comma or semicolon, and the credential after the word bearer (RFC 6750)."""
-    names = "|".join(n.replace(" ", "[-_]?") for n in SECRET_NAMES)
-    assigned = rf"(?i)(?<sign>(?:{names})\s*[:=]\s*)[^,;\s]+"
-    credential = r"[\p{Alnum}\-._~+/]+=*"
-    masked = F.regexp_replace(text, assigned, "${sign}<redacted>")
-    return F.regexp_replace(masked, rf"(?i)\b(?<scheme>bearer)\s+{credential}", "${scheme} <redacted>")
+    """Masks the values of secrets in place: what stands behind a secret's name and a sign, up to white space, a comma or a semicolon, and the credential behind the word bearer.
+
+    A text is cut into words. A name is the end of what precedes a sign (= or :), compared without case, hyphens and underscores. Name,
+    sign and value may share a word or stand apart, with white space alone between them: a word is masked from behind its first sign
+    that follows a name, or whole if the word before ends in such a sign.
+    """
+    cut = F.struct(F.split(text, BETWEEN, -1).alias("words"), F.regexp_extract_all(text, F.lit(BETWEEN), F.lit(0)).alias("gaps"))
+    # All names and the word bearer hold one of these. The text is cut once, and its words are looked at by their places.
+    done = F.get(F.transform(F.array(cut), lambda s: _scrubbed(s["words"], s["gaps"])), F.lit(0))
+    return F.when(text.rlike("(?i)key|token|secret|pass|bearer"), done).otherwise(text)
+
+
+def _scrubbed(words: Column, gaps: Column) -> Column:
+    names = F.array(*[F.lit(n.replace(" ", "")) for n in SECRET_NAMES])
+    named = lambda w: F.exists(names, lambda n: F.translate(F.lower(F.regexp_extract(w, "[A-Za-z0-9_-]*$", 0)), "-_", "").endswith(n))
+    signed = lambda w: w.rlike("[=:]$")
+    bare = lambda w: F.regexp_replace(w, "[=:]$", "")
+    at = lambda i: F.coalesce(F.get(words, i), F.lit(""))
+    apart = lambda i: F.coalesce(F.get(gaps, i), F.lit(",")).rlike("^[^,;]+$")
+    # Pieces of a word up to each sign and the rest behind the last one.
+    pieces = lambda w: F.regexp_extract_all(w, F.lit("[^=:]*[=:]|[^=:]+$"), F.lit(0))
+
+    def one(w: Column, i: Column) -> Column:
+        before, gap = at(i - 1), apart(i - 1)
+        # The word before ends in a sign behind a name, be the name its own or, of a sign that stands alone, one word back.
+        alone = before.isin("=", ":")
+        valued = gap & signed(before) & F.when(alone, apart(i - 2) & named(at(i - 2))).otherwise(named(bare(before)))
+        led = gap & w.rlike("^[=:].") & named(before)
+        p = pieces(w)
+        first = F.array_min(F.filter(F.transform(p, lambda x, k: F.when(signed(x) & named(bare(x)) & (k < F.size(p) - 1), k)), lambda k: k.isNotNull()))
+        inner = F.concat(F.array_join(F.slice(p, 1, first + 1), ""), F.lit(MASK))
+        bearer = gap & F.lower(before).rlike(r"\bbearer$")
+        return F.when(w == "", w).when(valued, MASK).when(led, F.concat(F.substring(w, 1, 1), F.lit(MASK))).when(first.isNotNull(), inner).when(bearer, F.regexp_replace(w, CREDENTIAL, MASK)).otherwise(w)
+
+    return F.array_join(F.zip_with(F.transform(words, one), gaps, lambda w, g: F.concat(w, F.coalesce(g, F.lit("")))), "")
 
 
 def has_keyword(text: Column, word: str) -> Column:
@@ -82,8 +117,12 @@ def padded_code(symbol: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """All href values of a page."""
-    return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))
+    """All addresses of a page's href attributes, in quotes of either kind or none, and of the link elements of a feed, in their order; nothing for empty ones."""
+    attribute = r"""(?<![\w-])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    element = r"<link>\s*(?:<!\[CDATA\[\s*)?([^<\]]*?)\s*(?:\]\]>\s*)?</link>"
+    places = F.regexp_extract_all(html, F.lit(f"(?is)(?:{attribute}|{element})"), F.lit(0))
+    found = F.transform(places, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?is)^href\s*=\s*[\"']?|[\"']$", ""), r"(?is)^<link>\s*(?:<!\[CDATA\[\s*)?|\s*(?:\]\]>\s*)?</link>$", "")))
+    return F.filter(found, lambda x: x != "")
 
 
 def title(html: Column) -> Column:

@@ -108,15 +108,23 @@ SENSITIVE_NAMES = ("token", "auth", "credential", "credentials", "header", "head
 PUBLIC_NAMES = ("token_contract", "token_address")
 
 
+#: Full-width forms and what they stand for.
+_WIDE, _PLAIN = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+
+
 def has_sensitive_key(payload: Column) -> Column:
-    """Whether a key anywhere in a JSON text is sensitive: letters and digits of its name, whatever their case. Texts that are values are no keys."""
-    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    """Whether a key anywhere in a JSON text is sensitive. Keys are decoded first; a key with a letter or digit that is not ASCII, full-width forms apart, is sensitive whatever it says, as is one that can't be decoded. Texts that are values are no keys."""
     plain = lambda words: [w.replace("_", "") for w in words]
     # String by string from the start, so that no match begins inside a value; a key is one that a colon follows.
-    strings = F.regexp_extract_all(payload, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
-    keys = F.transform(F.filter(strings, lambda s: s.endswith(":")), bare)
-    sensitive = lambda k: ~k.isin(*plain(PUBLIC_NAMES)) & (k.isin(*plain(SENSITIVE_NAMES)) | k.startswith("okaccess") | k.rlike("|".join(plain(SENSITIVE_PARTS))))
-    return F.coalesce(F.exists(keys, sensitive), F.lit(False))
+    strings = F.regexp_extract_all(payload, F.lit(r'"(?:[^"\\]|\\.)*+"(?:\s*:)?'), F.lit(0))
+    keys = F.transform(F.filter(strings, lambda s: s.endswith(":")), lambda s: F.regexp_replace(s, r"\s*:$", ""))
+    # All keys of a payload as one array: escapes are read by the parser of JSON.
+    decoded = F.from_json(F.concat(F.lit("["), F.array_join(keys, ","), F.lit("]")), "array<string>")
+    names = F.transform(decoded, lambda k: F.translate(k, _WIDE, _PLAIN))
+    foreign = lambda k: k.rlike(r"[\p{L}\p{N}&&[^\x00-\x7F]]")
+    bare = lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "")
+    known = lambda k: ~k.isin(*plain(PUBLIC_NAMES)) & (k.isin(*plain(SENSITIVE_NAMES)) | k.startswith("okaccess") | k.rlike("|".join(plain(SENSITIVE_PARTS))))
+    return F.when(payload.isNull() | (F.size(keys) == 0), False).otherwise(F.coalesce(F.exists(names, lambda k: foreign(k) | known(bare(k))), F.lit(True)))
 
 
 def is_live(closed: Column, active: Column) -> Column:

@@ -319,11 +319,11 @@ def r02_stream_imbalance(spark, sf_dir):
 # ---- predicates, cards, universes -------------------------------------------------------------------------------
 
 
-@query("""SELECT event_id, event_id % 5 IN (1, 2) OR event_id % 7 = 3 AS rejected FROM events""")
+@query("""SELECT event_id, event_id % 5 IN (1, 2) OR event_id % 7 IN (3, 4, 5) AS rejected FROM events""")
 def p13_sensitive_keys(spark, sf_dir):
     k = F.col("event_id")
     inner = F.when(k % 5 == 1, F.lit('{"Api-Key": 1}')).when(k % 5 == 2, F.lit('[{"x": {"session_token": "a"}}]')).when(k % 5 == 3, F.lit('{"token_address": "0x", "tokens": 2}')).otherwise(F.lit('{"note": "the token is \\"secret\\": no"}'))
-    head = F.when(k % 7 == 3, F.lit('"Auth": true, ')).otherwise(F.lit(""))
+    head = F.when(k % 7 == 3, F.lit('"Auth": true, ')).when(k % 7 == 4, F.lit('"\\u0061pi_key": 1, ')).when(k % 7 == 5, F.lit('"п\u0430роль": 1, ')).when(k % 7 == 6, F.lit('"ｎｏｔｅ": 1, ')).otherwise(F.lit(""))
     payload = F.concat(F.lit("{"), head, F.lit('"props": '), "props", F.lit(', "inner": '), inner, F.lit("}"))
     return events(spark, sf_dir).select("event_id", ev.has_sensitive_key(payload).alias("rejected"))
 

@@ -51,8 +51,18 @@ def s17_link_extraction(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.explode(tx.links(F.col("html"))).alias("l")).groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("l").alias("distinct_links"))
 
 
-@query("""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches(lower(l), 'token|credential|auth|/home/') THEN '[redacted]' ELSE l END), chr(10))) AS redacted_md5,
-md5(regexp_replace(regexp_replace(text, '(?i)((?:api[_-]?key|access[_-]?token|secret|password|passphrase)\\s*[=:]\\s*)([^\\s,;]+)', '\\1<redacted>', 'g'), '(?i)\\b(bearer)\\s+([A-Za-z0-9._~+/-]+=*)', '\\1 <redacted>', 'g')) AS scrubbed_md5 FROM documents""")
+@query(r"""WITH w AS (SELECT doc_id, text, string_split_regex(text, '[ \t\n\f\r\v,;]+') AS ws, regexp_extract_all(text, '[ \t\n\f\r\v,;]+') AS gs FROM documents),
+x AS (SELECT doc_id, text, unnest(list_transform(range(1, len(ws) + 1), lambda i: {'i': i, 'w': ws[i], 'b': CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END, 'bb': CASE WHEN i > 2 THEN ws[i - 2] ELSE '' END, 'gb': i > 1 AND NOT regexp_matches(gs[i - 1], '[,;]'), 'gbb': i > 2 AND NOT regexp_matches(gs[i - 2], '[,;]'), 'g': coalesce(gs[i], '')})) AS s FROM w),
+y AS (SELECT doc_id, s.i AS i, s.w AS w, s.g AS g, s.b AS b, s.bb AS bb, s.gb AS gb, s.gbb AS gbb, regexp_extract_all(s.w, '[^=:]*[=:]|[^=:]+$') AS ps FROM x),
+nm AS (SELECT *, list_transform(ps, lambda p: right(p, 1) IN ('=', ':') AND len(list_filter(['apikey', 'accesstoken', 'secret', 'password', 'passphrase'], lambda n: suffix(translate(lower(regexp_extract(left(p, -1), '[A-Za-z0-9_-]*$')), '-_', ''), n))) > 0) AS hit,
+  len(list_filter(['apikey', 'accesstoken', 'secret', 'password', 'passphrase'], lambda n: suffix(translate(lower(regexp_extract(regexp_replace(b, '[=:]$', ''), '[A-Za-z0-9_-]*$')), '-_', ''), n))) > 0 AS nb,
+  len(list_filter(['apikey', 'accesstoken', 'secret', 'password', 'passphrase'], lambda n: suffix(translate(lower(regexp_extract(b, '[A-Za-z0-9_-]*$')), '-_', ''), n))) > 0 AS nw,
+  len(list_filter(['apikey', 'accesstoken', 'secret', 'password', 'passphrase'], lambda n: suffix(translate(lower(regexp_extract(bb, '[A-Za-z0-9_-]*$')), '-_', ''), n))) > 0 AS nbb FROM y),
+f AS (SELECT *, list_position(hit[1:len(hit) - 1], true) AS k FROM nm),
+z AS (SELECT doc_id, i, CASE WHEN w = '' THEN w WHEN gb AND right(b, 1) IN ('=', ':') AND (CASE WHEN b IN ('=', ':') THEN gbb AND nbb ELSE nb END) THEN '<redacted>' WHEN gb AND len(w) > 1 AND left(w, 1) IN ('=', ':') AND nw THEN left(w, 1) || '<redacted>' WHEN k > 0 THEN array_to_string(ps[1:k], '') || '<redacted>'
+  WHEN gb AND regexp_matches(lower(b), '\bbearer$') THEN regexp_replace(w, '^[A-Za-z0-9._~+/-]+=*', '<redacted>') ELSE w END || g AS o FROM f),
+r AS (SELECT doc_id, string_agg(o, '' ORDER BY i) AS s FROM z GROUP BY doc_id)
+SELECT d.doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches(lower(l), 'token|credential|auth|/home/') THEN '[redacted]' ELSE l END), chr(10))) AS redacted_md5, md5(r.s) AS scrubbed_md5 FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id""")
 def p12_redaction(spark, sf_dir):
     t = F.col("text")
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(tx.redact_lines(t, "/home/")).alias("redacted_md5"), F.md5(tx.scrub(t)).alias("scrubbed_md5"))

@@ -263,7 +263,7 @@ def test_blockers_in_their_order(spark):
 
 
 def test_sensitive_keys_at_any_depth(spark):
-    payloads = {'{"a": {"API_Key": 1}}': True, '[{"b": [{"sessionToken": 1}]}]': True, '{"token": 1}': True, '{"tokens": 1, "token_address": 2}': False, '{"note": "my \\"password\\": x"}': False, '{"note": "password"}': False, '{"x-ok-access-sign": 1}': True, None: False, "": False}
+    payloads = {'{"a": {"API_Key": 1}}': True, '[{"b": [{"sessionToken": 1}]}]': True, '{"token": 1}': True, '{"tokens": 1, "token_address": 2}': False, '{"note": "my \\"password\\": x"}': False, '{"note": "password"}': False, '{"x-ok-access-sign": 1}': True, None: False, "": False, '{"\\u0061pi_key": 1}': True, '{"a": {"ａｐｉ＿ｋｅｙ": 1}}': True, '{"ｎｏｔｅ": 1}': False, '{"пароль": 1}': True, '{"größe": 1}': True, '{"note": "größe"}': False, '{"bad\\x": 1}': True, '{"n\\u006fte": 2}': False}
     d = spark.createDataFrame([(p,) for p in payloads], "p string")
     assert [r.s for r in d.select(ev.has_sensitive_key(F.col("p")).alias("s")).collect()] == list(payloads.values())
 
@@ -273,7 +273,15 @@ def test_tracking_keys_and_secrets(spark):
     assert d.select(tx.canonical_url(F.col("u"))).first()[0] == "http://a.com/?b=3"
     t = spark.createDataFrame([("at /Home/Me/x\nfine", "API-KEY : a;b, access_token=c, Authorization: BEARER  x~y+z/== tail, my secret: $1 \\ end")], "a string, b string").select(tx.redact_lines(F.col("a"), "/home/me").alias("a"), tx.scrub(F.col("b")).alias("b")).first()
     assert t.a == "[redacted]\nfine"
-    assert t.b == "API-KEY : <redacted>;b, access_token=<redacted>, Authorization: BEARER <redacted> tail, my secret: <redacted> \\ end"
+    cases = {
+        "password = x": "password = <redacted>", "password =x y": "password =<redacted> y", "password=a:b c": "password=<redacted> c", "url=http://h?api_key=k&z": "url=http://h?api_key=<redacted>", "PASS-PHRASE:\n v, w": "PASS-PHRASE:\n <redacted>, w",
+        "secret, = x": "secret, = x", "secret:": "secret:", "the secret is safe": "the secret is safe", "bearer of news, bearer": "bearer <redacted> news, bearer", "xbearer abc": "xbearer abc", "": "", "password:,x": "password:,x", "my_access_token=1;2": "my_access_token=<redacted>;2",
+    }
+    got = spark.createDataFrame([(c,) for c in cases] + [("word password: x, " * 20_000,), (None,)], "t string").select(tx.scrub(F.col("t")).alias("t")).collect()
+    assert [r.t for r in got] == [*cases.values(), "word password: <redacted>, " * 20_000, None]
+    html = """<a href="a.html">x</a><A HREF = 'b.html' >y</A><a href=c.html>z</a><a href=""></a><p data-href=no></p><item><link>http://d/1</link></item><link><![CDATA[ http://d/2 ]]></link>"""
+    assert spark.createDataFrame([(html,)], "h string").select(tx.links(F.col("h"))).first()[0] == ["a.html", "b.html", "c.html", "http://d/1", "http://d/2"]
+    assert t.b == "API-KEY : <redacted>;b, access_token=<redacted>, Authorization: BEARER  <redacted> tail, my secret: <redacted> \\ end"
 
 
 def test_universe_lists(spark, tmp_path):
