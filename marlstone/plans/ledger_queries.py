@@ -164,12 +164,12 @@ def s06_duplicate_keys(spark, sf_dir):
     return r.unionByName(li.drop("l_linenumber"))
 
 
-LOTS = f"""{JOURNAL}, c AS (SELECT *, sum(CASE WHEN kind='open' THEN q ELSE 0 END) OVER w AS o, sum(CASE WHEN kind='close' THEN q ELSE 0 END) OVER w AS x FROM journal WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
+LOTS = f"""{JOURNAL}, c AS MATERIALIZED (SELECT *, sum(CASE WHEN kind='open' THEN q ELSE 0 END) OVER w AS o, sum(CASE WHEN kind='close' THEN q ELSE 0 END) OVER w AS x FROM journal WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
 d AS (SELECT *, greatest(0, max(x - o) OVER (PARTITION BY symbol ORDER BY pos)) AS u FROM c), e AS (SELECT *, x - u AS xe, coalesce(lag(x - u) OVER (PARTITION BY symbol ORDER BY pos), 0) AS xb FROM d),
-ends AS (SELECT symbol, o AS p, pos AS op, q AS oq, cents AS oc, NULL AS cl, NULL AS cq, NULL AS cc FROM e WHERE kind = 'open' AND q > 0 UNION ALL SELECT symbol, xe, NULL, NULL, NULL, pos, q, cents FROM e WHERE kind = 'close' AND xe > xb),
-pc AS (SELECT symbol, p - coalesce(lead(p) OVER o, 0) AS quantity, last_value(op IGNORE NULLS) OVER w AS open_pos, last_value(oq IGNORE NULLS) OVER w AS oq, last_value(oc IGNORE NULLS) OVER w AS oc, last_value(cl IGNORE NULLS) OVER w AS close_pos, last_value(cq IGNORE NULLS) OVER w AS cq, last_value(cc IGNORE NULLS) OVER w AS cc
+ends AS MATERIALIZED (SELECT symbol, o AS p, pos AS op, q AS oq, cents AS oc, NULL AS cl, NULL AS cq, NULL AS cc FROM e WHERE kind = 'open' AND q > 0 UNION ALL SELECT symbol, xe, NULL, NULL, NULL, pos, q, cents FROM e WHERE kind = 'close' AND xe > xb),
+pc AS MATERIALIZED (SELECT symbol, p - coalesce(lead(p) OVER o, 0) AS quantity, last_value(op IGNORE NULLS) OVER w AS open_pos, last_value(oq IGNORE NULLS) OVER w AS oq, last_value(oc IGNORE NULLS) OVER w AS oc, last_value(cl IGNORE NULLS) OVER w AS close_pos, last_value(cq IGNORE NULLS) OVER w AS cq, last_value(cc IGNORE NULLS) OVER w AS cc
   FROM ends WINDOW o AS (PARTITION BY symbol ORDER BY p DESC, op IS NULL, op, cl), w AS (PARTITION BY symbol ORDER BY p DESC, op IS NULL, op, cl ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-lots AS (SELECT symbol, open_pos, close_pos, quantity::BIGINT AS quantity, oc / oq::DOUBLE AS op, cc / cq::DOUBLE AS cp, oq FROM pc WHERE quantity > 0 AND open_pos IS NOT NULL AND close_pos IS NOT NULL)"""
+lots AS MATERIALIZED (SELECT symbol, open_pos, close_pos, quantity::BIGINT AS quantity, oc / oq::DOUBLE AS op, cc / cq::DOUBLE AS cp, oq FROM pc WHERE quantity > 0 AND open_pos IS NOT NULL AND close_pos IS NOT NULL)"""
 
 
 @query(f"WITH {LOTS} SELECT symbol, open_pos, close_pos, quantity FROM lots")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import factors as fx
 from marlstone.operators import market as mk
+from marlstone.operators.skyline import skyline
 from marlstone.sources.bindings import BARS, BENCH, BOOK, CHAIN, LEVELS, bars, benchmark_series, book, chain, events, levels
 
 Q, SQL = {}, {}
@@ -236,12 +237,10 @@ def g04_expiry_geometry(spark, sf_dir):
     return x.select("underlying", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "break_evens", F.round("first_break_even", 4).alias("first_break_even"))
 
 
-@query(f"WITH {CHAIN}, g AS (SELECT underlying, sum(ask)::DOUBLE AS cost, sum(open_interest) AS oi, avg(iv) AS iv FROM chain GROUP BY underlying), r AS (SELECT underlying, round(cost, 4) AS cost, oi::BIGINT AS oi, round(iv, 6) AS iv FROM g) SELECT a.underlying FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.cost <= a.cost AND b.oi >= a.oi AND b.iv <= a.iv AND (b.cost < a.cost OR b.oi > a.oi OR b.iv < a.iv))")
+@query(f"WITH {CHAIN}, r AS MATERIALIZED (SELECT contract_id, ask, open_interest AS oi, iv FROM chain) SELECT a.contract_id FROM r a WHERE a.ask IS NOT NULL AND a.oi IS NOT NULL AND a.iv IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r b WHERE b.ask <= a.ask AND b.oi >= a.oi AND b.iv <= a.iv AND (b.ask < a.ask OR b.oi > a.oi OR b.iv < a.iv))")
 def t08_pareto_front(spark, sf_dir):
-    r = chain(spark, sf_dir).groupBy("underlying").agg(F.round(F.sum("ask"), 4).alias("cost"), F.sum("open_interest").alias("oi"), F.round(F.avg("iv"), 6).alias("iv"))
-    b = r.toDF("u2", "c2", "o2", "v2")
-    better = (b.c2 <= r.cost) & (b.o2 >= r.oi) & (b.v2 <= r.iv) & ((b.c2 < r.cost) | (b.o2 > r.oi) | (b.v2 < r.iv))
-    return r.join(b, better, "left_anti").select("underlying")
+    """Contracts that none beats in price, open interest and implied volatility at once."""
+    return skyline(chain(spark, sf_dir).select("contract_id", "ask", "open_interest", "iv"), ["ask", "iv"], ["open_interest"]).select("contract_id")
 
 
 def _levels(spark, sf_dir):

@@ -90,11 +90,11 @@ def a24_learning_triage(spark, sf_dir):
     return sg.triage(t, seen).select("pattern", "n", F.round("mean_r", 4).alias("mean_r"), "fresh", "novelty")
 
 
-@query(f"WITH {DECISIONS}, b AS (SELECT symbol, arg_max(direction, decision_id) AS direction, max(decision_id) AS v FROM decisions WHERE decision_id % 2 = 0 GROUP BY symbol), c AS (SELECT symbol, arg_max(direction, decision_id) AS direction, max(decision_id) AS v FROM decisions WHERE decision_id % 2 = 1 AND decision_id % 5 = 1 GROUP BY symbol) SELECT * FROM c UNION ALL SELECT * FROM b WHERE symbol NOT IN (SELECT symbol FROM c)")
+@query(f"WITH {DECISIONS}, b AS (SELECT symbol, arg_max(direction, decision_id) AS direction, max(decision_id) AS v FROM decisions WHERE decision_id % 2 = 0 GROUP BY symbol), c AS (SELECT symbol, arg_max(direction, decision_id) AS direction, max(decision_id) AS v FROM decisions WHERE decision_id % 2 = 1 GROUP BY symbol) SELECT * FROM c UNION ALL SELECT * FROM b WHERE symbol NOT IN (SELECT symbol FROM c)")
 def x13_keyed_upsert(spark, sf_dir):
     d = decisions(spark, sf_dir).select("symbol", "direction", F.col("decision_id").alias("v"))
     table = d.where("v % 2 = 0").groupBy("symbol").agg(F.max_by("direction", "v").alias("direction"), F.max("v").alias("v"))
-    return sg.upsert(table, d.where("v % 2 = 1 and v % 5 = 1"), "symbol", "v")
+    return sg.upsert(table, d.where("v % 2 = 1"), "symbol", "v")
 
 
 @query("WITH f AS (SELECT l_suppkey AS entity, 'q' || (l_linenumber % 3)::VARCHAR AS field, CASE WHEN l_returnflag = 'A' THEN 'gaap' WHEN l_returnflag = 'N' THEN 'ifrs' ELSE 'other' END AS tag, l_quantity AS value, l_shipdate AS filed FROM lineitem) SELECT entity, field, tag, value, filed::DATE::VARCHAR AS filed FROM f QUALIFY row_number() OVER (PARTITION BY entity, field ORDER BY CASE tag WHEN 'gaap' THEN 0 WHEN 'ifrs' THEN 1 ELSE 99 END, filed DESC, value DESC) = 1")

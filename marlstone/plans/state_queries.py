@@ -106,10 +106,11 @@ def s14_option_codes(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(k.alias("k"), c["root"].alias("root"), F.date_format(c["expiry"], "yyyy-MM-dd").alias("expiry"), c["side"].alias("side"), c["strike"].alias("strike"))
 
 
-@query(f"WITH {BARS}, a AS (SELECT * FROM bars WHERE symbol % 3 = 0), b AS (SELECT * FROM bars WHERE symbol % 2 = 0) SELECT symbol, 0 AS source_no, count(*) AS n FROM a GROUP BY symbol UNION ALL SELECT symbol, 1, count(*) FROM b WHERE symbol NOT IN (SELECT symbol FROM a) GROUP BY symbol")
+@query(f"WITH {BARS} SELECT symbol, CASE WHEN symbol % 3 = 0 THEN 0 WHEN symbol % 2 = 0 THEN 1 END AS source_no, count(*) FILTER (symbol % 3 = 0 OR symbol % 2 = 0) AS n, CASE WHEN symbol % 3 <> 0 AND symbol % 2 <> 0 THEN 'no_source_has_rows' END AS failure FROM bars GROUP BY symbol")
 def s08_source_cascade(spark, sf_dir):
+    """Two sources that lack symbols; what neither has is told as a failure."""
     b = bars(spark, sf_dir)
-    return sc.cascade([b.where("symbol % 3 = 0"), b.where("symbol % 2 = 0")], ["symbol"]).groupBy("symbol", "source_no").agg(F.count("*").alias("n"))
+    return sc.cascade_status([b.where("symbol % 3 = 0"), b.where("symbol % 2 = 0")], b.select("symbol"), ["symbol"])
 
 
 @query(f"WITH {BARS} SELECT symbol, date, round(close, 4) AS close, round(100*(round(close, 4)/lag(round(close, 4)) OVER (PARTITION BY symbol ORDER BY date) - 1), 2) AS pct_change FROM bars")
@@ -123,11 +124,11 @@ def s07_normalised_bars(spark, sf_dir):
     return x.select("symbol", "date", F.round("close", 4).alias("close"), F.round("pct_change", 2).alias("pct_change"))
 
 
-@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 4 <> 3")
+@query("SELECT event_id, user_id, event_type FROM events")
 def s11_keyed_append(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", "user_id", "event_type")
     table = fresh_path(spark, "append")
-    for part in ("event_id % 4 = 0", "event_id % 4 <= 1", "event_id % 4 <= 2", "event_id % 4 <= 2"):
+    for part in ("event_id % 4 = 0", "event_id % 4 <= 1", "event_id % 4 <= 2", "event_id % 4 >= 1", "event_id is not null"):
         append_new(table, e.where(part), ["event_id"])
     return spark.read.parquet(table)
 

@@ -82,6 +82,13 @@ def cascade(sources: list[DataFrame], keys: list[str]) -> DataFrame:
     return x.withColumn("__m", F.min("source_no").over(Window.partitionBy(*keys))).where(F.col("source_no") == F.col("__m")).drop("__m")
 
 
+def cascade_status(sources: list[DataFrame], expected: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, source_no, n, failure for every expected key: the source that it is taken from and its rows there, or no_source_has_rows."""
+    got = cascade(sources, keys).groupBy(*keys).agg(F.first("source_no").alias("source_no"), F.count("*").alias("n"))
+    x = expected.select(*keys).distinct().join(got, keys, "left")
+    return x.select(*keys, "source_no", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(F.col("n").isNull(), "no_source_has_rows").alias("failure"))
+
+
 def provenance(bars: DataFrame, allowed: DataFrame) -> DataFrame:
     """symbol, sources, adjusts, status: more than one basis, or a market and source that are not allowed together, fails closed."""
     g = bars.groupBy("symbol", "market").agg(F.array_sort(F.collect_set("panel_source")).alias("sources"), F.count_distinct("panel_adjust").alias("adjusts"), F.count("*").alias("rows_"))

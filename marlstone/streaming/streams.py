@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.sources.shared import fresh_path
@@ -24,14 +24,17 @@ def as_stream(spark: SparkSession, rows: DataFrame, what: str, files: int = 1) -
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
-def in_order(spark: SparkSession, rows: DataFrame, what: str, files: int = 3) -> DataFrame:
-    """A table with ts as a stream that brings a file for each micro-batch: `files` equal stretches of time, one after the other."""
+def in_order(spark: SparkSession, rows: DataFrame, what: str, files: int = 3, behind: Column | None = None) -> DataFrame:
+    """A table with ts as a stream that brings a file for each micro-batch: `files` equal stretches of time, one after the other, and the rows that are `behind` in a last one."""
     path = fresh_path(spark, what)
     us = F.unix_micros("ts")
     lo, hi = rows.agg(F.min(us), F.max(us)).first()
     width = -(-((hi or 0) - (lo or 0) + 1) // files)
+    last = F.coalesce(behind, F.lit(False)) if behind is not None else F.lit(False)
     for i in range(files):
-        rows.where(F.floor((us - (lo or 0)) / width) == i).coalesce(1).write.mode("append").parquet(path)
+        rows.where(~last & (F.floor((us - (lo or 0)) / width) == i)).coalesce(1).write.mode("append").parquet(path)
+    if behind is not None:
+        rows.where(last).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -90,3 +93,47 @@ def feed_ages(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     g = stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.max("ts").alias("last"))
     late = F.unix_timestamp("w.end") - F.unix_timestamp("last") > 3600
     return g.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", late.alias("stale"))
+
+
+def accounted_days(stream: DataFrame, what: str, delay_hours: int = 24, folders: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts, late) of a stream of events, drained: day, event_type, n, cents, closed of the rows that came in time, and the rows that came after their day had closed, so that both together are all rows.
+
+    A day closes when an event of a later time than its end and the delay has been read; what a micro-batch brings is held against the
+    days closed by those before it. Each micro-batch leaves its sums, its late rows and its latest time in folders of its own, which
+    are overwritten when it is tried again; with folders given, a later call goes on where this one ended.
+    """
+    spark = stream.sparkSession
+    path, state = folders or (fresh_path(spark, what), fresh_path(spark, f"{what}-state"))
+    fields, delay_us, day_us = stream.schema, delay_hours * 3_600_000_000, 86_400_000_000
+    us = F.unix_micros("ts")
+    end = (F.floor(us / day_us) + 1) * day_us
+
+    def clock(before: int) -> int:
+        """Time up to which days are closed for a batch: that of the batches before it, less the delay."""
+        seen = _table(spark, f"{path}/clock", "us long").where(F.col("batch") < before).agg(F.max("us")).first()[0]
+        return -(2**62) if seen is None else seen - delay_us
+
+    def put(batch: DataFrame, number: int) -> None:
+        closed = F.lit(clock(number))
+        batch = batch.persist()
+        late = batch.where(end <= closed)
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        sums = batch.where(end > closed).groupBy(F.floor(us / day_us).alias("d"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+        sums.write.mode("overwrite").parquet(f"{path}/sums/batch={number}")
+        batch.agg(F.max(us).alias("us")).write.mode("overwrite").parquet(f"{path}/clock/batch={number}")
+        batch.unpersist()
+
+    q = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start()
+    q.awaitTermination()
+    closed = clock(2**31)
+    g = _table(spark, f"{path}/sums", "d long, event_type string, n long, cents long").groupBy("d", "event_type").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
+    facts = g.select(F.date_format(F.timestamp_micros(F.col("d") * day_us), "yyyy-MM-dd").alias("day"), "event_type", "n", "cents", ((F.col("d") + 1) * day_us <= closed).alias("closed"))
+    return facts, _table(spark, f"{path}/late", fields).drop("batch")
+
+
+def _table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The batches' folders under path, which may not be there yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*").withColumn("batch", F.regexp_extract(F.input_file_name(), "batch=([0-9]+)", 1).cast("int"))

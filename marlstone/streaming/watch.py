@@ -144,3 +144,18 @@ def watch(quotes: DataFrame, triggers: DataFrame, delay: str = "1 hour") -> Data
     q = quotes.where(F.col("price").isNotNull() & ~F.isnan("price")).withWatermark("ts", delay)
     q = q.join(own.select("symbol", "trigger_id"), "symbol").select("symbol", "trigger_id", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), F.col("price").cast("double").alias("price"))
     return q.groupBy("symbol", "trigger_id").transformWithStateInPandas(statefulProcessor=Watch(), outputStructType=OUT, outputMode="Append", timeMode="EventTime", initialState=own.groupBy("symbol", "trigger_id"))
+
+
+def feed_watchdog(events: DataFrame, feeds: DataFrame, max_age_seconds: int, delay: str = "1 hour") -> DataFrame:
+    """feed, state, at_us over a stream of events (feed, ts, event_id): stale once a feed has been still for max_age_seconds, by a timer although none of its rows comes, recovered at its next row.
+
+    feeds: feed, since_us, the moment from which each is expected to speak; one that never does gets stale too.
+    """
+    base = feeds.select(F.col("feed").cast("string").alias("symbol"), F.col("since_us").cast("long").alias("created_us"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("trigger_type"), F.lit(CONDITIONS[t][0]).alias("condition")) for t in ("source_stale", "data_gap_recovered")])).alias("k")
+    own = base.select("*", kinds).select(
+        "symbol", F.col("k.condition").alias("trigger_id"), "k.trigger_type", "k.condition", F.lit(float(max_age_seconds)).alias("threshold"), F.lit(None).cast("double").alias("reference_value"), "created_us",
+        F.lit(2**62).alias("expires_us"), F.lit(0).cast("long").alias("cooldown_seconds"), F.lit("recross").alias("rearm_rule"), F.lit(False).alias("one_shot"),
+    )
+    fired = watch(events.select(F.col("feed").cast("string").alias("symbol"), "ts", "event_id", F.lit(0.0).alias("price")), own, delay)
+    return fired.select(F.col("symbol").alias("feed"), F.when(F.col("condition") == "recovers", "recovered").otherwise("stale").alias("state"), "at_us")

@@ -1,4 +1,4 @@
-"""Path studies, exact quantiles and event dislocations against loops and least squares."""
+"""Path studies, exact quantiles, skylines and event dislocations against loops and least squares."""
 
 import math
 import random
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import dislocation as ds
 from marlstone.operators import paths as pt
 from marlstone.operators import quantiles as qt
+from marlstone.operators import skyline as sk
 
 LOOKBACK, H, UP, DOWN = 5, 3, 0.05, 0.04
 EDGES = {"trailing_return": [-0.02, 0.03], "drawdown": [-0.05]}
@@ -194,3 +195,29 @@ def test_dislocation_is_frozen_before_its_event(spark):
     # What comes after the baseline changes no coefficient.
     later = c.withColumn("target", F.when(F.col("date") > day(base), F.col("target") * 3).otherwise(F.col("target")))
     assert ds.dislocations(later, e, lookback, 10, 2.0).where("case = 'x'").first().beta_issuer == pytest.approx(x.beta_issuer)
+
+
+@pytest.mark.parametrize("strong", [1000, 3])
+def test_skyline_of_any_front(spark, monkeypatch, strong):
+    monkeypatch.setattr(sk, "STRONG", strong)
+    rng = np.random.default_rng(8)
+    x = rng.random((300, 3))
+    x[:150, 2] = 2 - x[:150, 0] - x[:150, 1]  # a plane: no point of it dominates another
+    rows = [(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(x)]
+    rows += [(1000 + i, *rows[i][1:]) for i in range(5)] + [(2000, None, 0.0, 0.0), (2001, float("nan"), 0.0, 9.0)]
+    d = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(4)
+    ok = [r for r in rows if r[1] is not None and not math.isnan(r[1])]
+    beats = lambda p, q: p[1] <= q[1] and p[2] <= q[2] and p[3] >= q[3] and p[1:] != q[1:]
+    want = sorted(r[0] for r in ok if not any(beats(p, r) for p in ok))
+    out = sk.skyline(d, ["a", "b"], ["c"])
+    assert sorted(r.id for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sk.skyline(d.where("id < 0"), ["a"], []).count() == 0
+
+
+def test_front_in_tiles():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 6, (900, 3)).astype(float)
+    got = {tuple(p) for p in sk.front(x)}
+    assert got == {tuple(p) for p in x if not any((q <= p).all() and (q < p).any() for q in x)}

@@ -172,3 +172,84 @@ def test_settled_rows_leave_the_state_and_later_voids_do_not_reach_them(spark, t
     got = {r.lifecycle: (r.status, r.exited) for r in lifecycle_log.standing(changes).collect()}
     # o1 was settled before it was voided; o4 was not.
     assert got == {"x:o0": ("closed", 5.0), "x:o1": ("closed", 2.0), "x:o3": ("partial", 0.5)}
+
+
+# ---- live book ---------------------------------------------------------------------------------------------------
+
+
+def test_live_book_in_any_cut_with_a_restart(spark, tmp_path):
+    from marlstone.operators import market as mk
+    from marlstone.operators import rules as rl
+    from marlstone.operators import signals as sg
+    from marlstone.streaming import live_book
+
+    rng, rows = random.Random(4), []
+    for s in ("x", "y"):
+        cum, price = 0, 100
+        for i in range(40):
+            cum += rng.choice([0, 50, 400])
+            price += rng.choice([-1, 0, 1, 1])
+            bids, asks = [price - k for k in range(1, 6)], [price + k for k in range(1, 6)]
+            volume = lambda: [rng.choice([0, 50, 100, 150, 900]) for _ in range(5)]
+            rows.append((s, "d", T0 + timedelta(minutes=i), len(rows), price, cum, bids, volume(), asks, volume(), 101, rng.choice([0, 10, 100])))
+    schema = "symbol string, session_id string, ts timestamp, event_id long, last long, cum long, bids array<long>, bid_volumes array<long>, asks array<long>, ask_volumes array<long>, limit_ticks long, seal long"
+    p = live_book.Settings(lookback=3, wall_factor=1.5, wall_least=50.0, vanish_most=2, vanish_least=100, vanish_share=0.6, break_factor=1.1, break_least=60.0, break_steps=1, break_most=4, break_removed=0.3, break_executed=0.2)
+    order = sorted(rows, key=lambda r: (r[2], r[3]))
+    read, put = files_of(spark, tmp_path, [order[:25], order[25:50]], schema)
+    folders = (f"{tmp_path}/out", f"{tmp_path}/state")
+    with streams.rocks(spark):
+        for part in (None, [*order[50:], order[3]]):  # a snapshot of the past comes again
+            if part:
+                put(part)
+            got = streams.drain(live_book.follow(read(), p), "b", folders=folders).collect()
+    found = defaultdict(list)
+    for r in got:
+        found[r.detector].append((r.event_id, r.ticks, r.fired, pytest.approx(r.strength)))
+    d = spark.createDataFrame(rows, schema).withColumn("snap", F.minute("ts").cast("long"))
+    side = lambda n, c, v: d.select("symbol", "session_id", "snap", "event_id", F.lit(n).alias("side"), F.explode(F.arrays_zip(c, v)).alias("x")).select("symbol", "session_id", "snap", "event_id", "side", F.col(f"x.{c}").alias("ticks"), F.col(f"x.{v}").alias("volume"))
+    levels = side(1, "bids", "bid_volumes").unionByName(side(2, "asks", "ask_volumes"))
+    named = lambda x: {(r.symbol, r.snap): r for r in x.collect()}
+    event = {(r[0], r[2].minute): r[3] for r in rows}
+    walls = named(mk.order_wall(levels, 1, 1.5, 3, 50.0))
+    assert sorted(found["order_wall"], key=str) == sorted([(event[k], None, True, r.strength) for k, r in walls.items()], key=str) and walls
+    gone = rl.level_lifetimes(levels, 1, 2, 100, 0.6).collect()
+    assert sorted((e, t) for e, t, *_ in found["vanished_level"]) == sorted((event[r.symbol, r.appeared], r.ticks) for r in gone) and gone
+    breakers = named(mk.wall_breaker(d.select("symbol", "session_id", "snap", F.col("last").alias("ticks"), F.col("cum").alias("cumulative_volume")), levels.where("side = 2").drop("side"), 3, 1.1, 60.0, 1, 4, 0.3, 0.2))
+    assert {e: s for e, _, _, s in found["wall_breaker"]} == {event[k]: r.strength for k, r in breakers.items()} and breakers
+    leaks = named(sg.limit_leak(d.select("symbol", "session_id", "snap", F.col("last").alias("ticks"), "limit_ticks", "seal")))
+    assert {e: (f, s) for e, _, f, s in found["limit_leak"]} == {event[k]: (r.fired, r.strength) for k, r in leaks.items()} and leaks
+    assert [x[0] for x in found["out_of_order"]] == [order[3][3]]
+
+
+# ---- feeds and late rows -----------------------------------------------------------------------------------------
+
+
+def test_feeds_get_stale_by_timers_and_recover(spark, tmp_path):
+    schema = "feed string, ts timestamp, event_id long"
+    at = lambda h: T0 + timedelta(hours=h)
+    read, _ = files_of(spark, tmp_path, [[("a", at(0), 1), ("b", at(0), 2)], [("a", at(1), 3)], [("a", at(9), 4), ("b", at(3), 5)], [("a", at(12), 6)]], schema)
+    feeds = spark.createDataFrame([(f, us(T0)) for f in ("a", "b", "never")], "feed string, since_us long")
+    with streams.rocks(spark):
+        got = {(r.feed, r.state, r.at_us) for r in streams.drain(watch.feed_watchdog(read(), feeds, 4 * 3600, "10 hours"), "f").collect()}
+    # The watermark ends at two o'clock: nothing has been still for four hours by then.
+    assert got == set()
+    with streams.rocks(spark):
+        got = sorted((r.feed, r.state, (r.at_us - us(T0)) // 3_600_000_000) for r in streams.drain(watch.feed_watchdog(read(), feeds, 4 * 3600, "6 minutes"), "f").collect())
+    # b's row of three o'clock comes behind the watermark and is dropped.
+    assert got == [("a", "recovered", 9), ("a", "stale", 5), ("b", "stale", 4), ("never", "stale", 4)]
+
+
+def test_late_rows_and_those_in_time_are_all_rows(spark, tmp_path):
+    schema = "event_id long, ts timestamp, event_type string, value double"
+    at = lambda d, h: T0 + timedelta(days=d, hours=h)
+    rows = [[(1, at(0, 1), "x", 1.0), (2, at(0, 5), "y", 2.0)], [(3, at(2, 1), "x", 1.5), (4, at(0, 9), "x", 4.0)], [(5, at(0, 7), "x", 8.0), (6, at(1, 7), "x", 16.0)]]
+    read, put = files_of(spark, tmp_path, rows[:2], schema)
+    folders = (f"{tmp_path}/out", f"{tmp_path}/state")
+    for part in (None, rows[2]):
+        if part:
+            put(part)
+        facts, late = streams.accounted_days(read(), "d", 24, folders)
+    assert [r.event_id for r in late.collect()] == [5]  # its day closed with row 3; row 6's day has not, row 4 came in the batch that closed it
+    got = {(r.day, r.event_type): (r.n, r.cents, r.closed) for r in facts.collect()}
+    assert got == {("2024-01-01", "x"): (2, 500, True), ("2024-01-01", "y"): (1, 200, True), ("2024-01-02", "x"): (1, 1600, False), ("2024-01-03", "x"): (1, 150, False)}
+    assert sum(n for n, *_ in got.values()) + late.count() == 6
