@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import finite, normal_cdf
+from marlstone.sources.shared import written
 
 # ---- series and events ------------------------------------------------------------------------------------------
 
@@ -210,20 +211,54 @@ def walls(strikes: DataFrame) -> DataFrame:
     )
 
 
+def _contracts(chain: DataFrame, as_of: str) -> DataFrame:
+    """Open interest of all contracts that share strike, time, volatility and side: they have one gamma everywhere. Contracts without positive inputs carry none."""
+    x = chain.withColumns({"years": F.datediff("expiry", F.lit(as_of).cast("date")) / 365.0, "sign": F.when(F.col("side") == "C", 1).otherwise(-1)})
+    x = x.where("strike > 0 and years > 0 and iv > 0 and open_interest > 0")
+    return x.groupBy("underlying", "strike", "years", "iv", "sign").agg(F.sum("open_interest").alias("oi"))
+
+
+def _profile(contracts: DataFrame, points: DataFrame, rate: float) -> DataFrame:
+    """Net exposure at points (underlying, bracket, i, x) with open interest and implied volatilities frozen; tasks add up their own contracts first."""
+    v = F.col("sign") * gamma(F.col("x"), F.col("strike"), F.col("years"), F.col("iv"), rate) * F.col("oi") * F.col("x") * F.col("x")
+    return contracts.join(points, "underlying").groupBy("underlying", "bracket", "i").agg(F.first("x").alias("x"), F.sum(v).alias("value"))
+
+
+def _grid(ends: DataFrame, points: int) -> DataFrame:
+    """points + 1 places from lo to hi of every row (underlying, bracket, lo, hi)."""
+    return ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points)))).select("underlying", "bracket", "i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / float(points)).alias("x"))
+
+
+def _turns(profile: DataFrame) -> DataFrame:
+    """Neighbouring points that are not 0 and differ in sign: px, pv and x, value of underlying and bracket."""
+    w = Window.partitionBy("underlying", "bracket").orderBy("i")
+    p = profile.where("value <> 0").withColumns({"px": F.lag("x").over(w), "pv": F.lag("value").over(w)})
+    return p.where(F.col("pv").isNotNull() & (F.signum("pv") != F.signum("value")))
+
+
 def exposure_profile(chain: DataFrame, as_of: str, rate: float = 0.04, points: int = 400) -> DataFrame:
-    """underlying, x, value: net exposure at each point of a grid from half to one and a half times spot, with implied volatilities frozen."""
-    x = exposure(chain, as_of, rate)
-    g = x.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points)))).withColumn("x", F.col("spot") * (0.5 + F.col("i") / float(points)))
-    v = F.col("sign") * gamma(F.col("x"), F.col("strike"), F.col("years"), F.col("iv"), rate) * F.col("open_interest") * F.col("x") * F.col("x")
-    return g.groupBy("underlying", "i", "spot").agg(F.first("x").alias("x"), F.sum(v).alias("value"))
-
-
-def flip(profile: DataFrame) -> DataFrame:
-    """Roots of the profile by sign changes between neighbouring points that are not 0; the root is linear in the bracket. flip: the nearest to spot."""
-    w = Window.partitionBy("underlying").orderBy("i")
-    p = profile.where("value <> 0").withColumns({"px": F.lag("x").over(w), "pv": F.lag("value").over(w)}).where((F.signum("pv") != F.signum("value")) & F.col("pv").isNotNull())
-    root = F.col("px") - F.col("pv") * (F.col("x") - F.col("px")) / (F.col("value") - F.col("pv"))
-    return p.withColumn("root", root).groupBy("underlying").agg(F.count("*").alias("roots"), F.min_by("root", F.abs(F.col("root") - F.col("spot"))).alias("flip"))
+    """underlying, i, x, value: net exposure at each point of a grid from half to one and a half times spot."""
+    spots = chain.groupBy("underlying").agg(F.max("spot").alias("spot")).select("underlying", F.lit(0).alias("bracket"), (F.col("spot") * 0.5).alias("lo"), (F.col("spot") * 1.5).alias("hi"))
+    return _profile(_contracts(chain, as_of), _grid(spots, points), rate).drop("bracket")
+
+
+def exposure_roots(chain: DataFrame, as_of: str, rate: float = 0.04, points: int = 400) -> DataFrame:
+    """underlying, root: where the net exposure changes its sign between half and one and a half times spot.
+
+    A second grid of as many points lies in each bracket of the first, so only the few brackets are worked out anew; the root is linear
+    in the bracket of the second, a step of spot / points squared.
+    """
+    contracts = written(_contracts(chain, as_of), "contracts")
+    first = exposure_profile(chain, as_of, rate, points).withColumn("bracket", F.lit(0))
+    ends = _turns(first).select("underlying", F.col("i").alias("bracket"), F.col("px").alias("lo"), F.col("x").alias("hi"))
+    fine = _turns(_profile(contracts, _grid(ends, points), rate))
+    return fine.select("underlying", (F.col("px") - F.col("pv") * (F.col("x") - F.col("px")) / (F.col("value") - F.col("pv"))).alias("root"))
+
+
+def flip(roots: DataFrame, spots: DataFrame) -> DataFrame:
+    """underlying, roots, flip: how many there are and the one nearest to spot."""
+    x = roots.join(spots, "underlying")
+    return x.groupBy("underlying").agg(F.count("*").alias("roots"), F.min_by("root", F.struct(F.abs(F.col("root") - F.col("spot")), "root")).alias("flip"))
 
 
 def positioning(chain: DataFrame) -> DataFrame:

@@ -79,10 +79,11 @@ def skyline(rows: DataFrame, least: list[str], most: list[str]) -> DataFrame:
     others = fronts.select(F.col("p").alias("q"), F.explode(F.sequence("tile", F.lit(count))).alias("i2"), F.col("tile").alias("j2"))
 
     def beaten(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(others):
-            return pd.DataFrame({"p": []})
-        p = np.stack(mine["p"].to_numpy())
-        return pd.DataFrame({"p": list(p[~_undominated(p, np.stack(others["q"].to_numpy()))])})
+        out = np.zeros((0, width))
+        if len(mine) and len(others):
+            p = np.stack(mine["p"].to_numpy())
+            out = p[~_undominated(p, np.stack(others["q"].to_numpy()))]
+        return pd.DataFrame({"p": pd.Series(list(out), dtype=object)})
 
     gone = mine.groupBy("i", "j").cogroup(others.groupBy("i2", "j2")).applyInPandas(beaten, "p array<double>").distinct()
     stays = fronts.select("p").join(gone, "p", "left_anti")

@@ -185,9 +185,14 @@ PROFILE = f"""{GEX}, g AS (SELECT underlying, i, spot, spot * (0.5 + i / 400.0::
 pf AS (SELECT underlying, i, any_value(x) AS x, any_value(spot) AS spot, sum(sgn * exp(-0.5 * pow((ln(x / strike) + (0.04 + 0.5 * iv * iv) * years) / (iv * sqrt(years)), 2)) / sqrt(6.283185307179586) / (x * iv * sqrt(years)) * open_interest * x * x) AS value FROM g GROUP BY underlying, i)"""
 
 
-@query(f"WITH {PROFILE}, l AS (SELECT *, lag(x) OVER w AS px, lag(value) OVER w AS pv FROM pf WHERE value <> 0 WINDOW w AS (PARTITION BY underlying ORDER BY i)), r AS (SELECT underlying, spot, px - pv * (x - px) / (value - pv) AS root FROM l WHERE pv IS NOT NULL AND sign(pv) <> sign(value)) SELECT underlying, count(*) AS roots, round(arg_min(root, abs(root - spot)), 2) AS flip FROM r GROUP BY underlying")
+@query(f"""WITH {PROFILE}, l AS (SELECT *, lag(x) OVER w AS px, lag(value) OVER w AS pv FROM pf WHERE value <> 0 WINDOW w AS (PARTITION BY underlying ORDER BY i)), br AS (SELECT underlying, spot, i AS bracket, px AS lo, x AS hi FROM l WHERE pv IS NOT NULL AND sign(pv) <> sign(value)),
+g2 AS (SELECT ex.underlying, bracket, br.spot, j, lo + (hi - lo) * j / 400.0::DOUBLE AS x, strike, years, iv, open_interest, sgn FROM ex JOIN br ON br.underlying = ex.underlying, (SELECT unnest(range(401)) AS j)),
+p2 AS (SELECT underlying, bracket, j, any_value(x) AS x, any_value(spot) AS spot, sum(sgn * exp(-0.5 * pow((ln(x / strike) + (0.04 + 0.5 * iv * iv) * years) / (iv * sqrt(years)), 2)) / sqrt(6.283185307179586) / (x * iv * sqrt(years)) * open_interest * x * x) AS value FROM g2 GROUP BY 1, 2, 3),
+l2 AS (SELECT *, lag(x) OVER w AS px, lag(value) OVER w AS pv FROM p2 WHERE value <> 0 WINDOW w AS (PARTITION BY underlying, bracket ORDER BY j)), r AS (SELECT underlying, spot, px - pv * (x - px) / (value - pv) AS root FROM l2 WHERE pv IS NOT NULL AND sign(pv) <> sign(value))
+SELECT underlying, count(*) AS roots, round(arg_min(root, abs(root - spot)), 4) AS flip FROM r GROUP BY underlying""")
 def g01_exposure_flip(spark, sf_dir):
-    return mk.flip(mk.exposure_profile(chain(spark, sf_dir), AS_OF)).select("underlying", "roots", F.round("flip", 2).alias("flip"))
+    c = chain(spark, sf_dir)
+    return mk.flip(mk.exposure_roots(c, AS_OF), c.groupBy("underlying").agg(F.max("spot").alias("spot"))).select("underlying", "roots", F.round("flip", 4).alias("flip"))
 
 
 @query(f"WITH {CHAIN}, n AS (SELECT *, row_number() OVER (PARTITION BY underlying, expiry, side ORDER BY abs(strike - spot), strike, contract_id) AS a, row_number() OVER (PARTITION BY underlying, expiry, side ORDER BY abs(abs(delta) - 0.25), strike, contract_id) AS d FROM chain) SELECT underlying, expiry::VARCHAR AS expiry, round(avg(iv) FILTER (a = 1), 6) AS atm_iv, round(max(iv) FILTER (d = 1 AND side = 'P') - max(iv) FILTER (d = 1 AND side = 'C'), 6) + 0 AS skew_25d FROM n GROUP BY underlying, expiry HAVING count(DISTINCT side) = 2")

@@ -9,6 +9,8 @@ from marlstone.operators import registers as rg
 from marlstone.operators import states as sx
 from marlstone.plans.ledger_queries import LOTS, VERIFIED
 from marlstone.sources.bindings import BARS, DECISIONS, RESULTS, bars, decisions, events, journal, read, results
+from marlstone.sources import store
+from marlstone.sources.shared import fresh_path
 
 Q, SQL = {}, {}
 
@@ -84,9 +86,14 @@ def l02_active_lifecycle(spark, sf_dir):
 
 @query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, arg_max(o_orderkey, lpad(o_custkey::VARCHAR, 9, '0') || lpad(o_orderkey::VARCHAR, 12, '0')) AS k, count(*) AS versions FROM orders GROUP BY 1")
 def s19_daily_index(spark, sf_dir):
+    """The index as folders of months, upserted with one half of the orders and then with the other."""
     o = read(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    newest = rg.newest_per_day(o, "day", ["o_custkey", "o_orderkey"]).select("day", F.col("o_orderkey").alias("k"))
-    return newest.join(o.groupBy("day").agg(F.count("*").alias("versions")), "day")
+    rows = o.select("day", F.col("o_orderkey").alias("k"), (F.col("o_custkey").cast("decimal(20,0)") * 10**12 + F.col("o_orderkey")).alias("version"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    path = fresh_path(spark, "index")
+    for i in (0, 1):
+        store.upsert_days(rows.where(F.col("k") % 2 == i), path, "month", ["day"], "version")
+    index = spark.read.schema(rows.schema).parquet(path).select("day", "k")
+    return index.join(o.groupBy("day").agg(F.count("*").alias("versions")), "day")
 
 
 @query(VERIFIED + ", w AS (SELECT *, avg(actual) OVER v AS base, count(*) OVER v AS seen FROM prs WINDOW v AS (PARTITION BY regime ORDER BY validation_time, decision_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT regime, count(*) AS n, round(avg(pow(predicted - actual, 2)), 6) AS brier, round(avg(pow(base - actual, 2)), 6) AS base_brier FROM w WHERE seen >= 20 GROUP BY regime")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from marlstone.sources import filings as fl
@@ -69,14 +71,15 @@ def s03_journal_scan(spark, sf_dir):
     return rows.groupBy("event_type").agg(F.count("*").alias("rows_"), F.sum("user_id").alias("users")).join(lost, "event_type", "left").na.fill(0, ["malformed"]).select("event_type", "rows_", "malformed", "users")
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS files FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1")
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS orders, sum(o_custkey)::BIGINT AS customers FROM orders WHERE o_orderdate >= TIMESTAMP '1996-11-01' AND o_orderdate < TIMESTAMP '1998-02-01' GROUP BY 1")
 def s04_file_window(spark, sf_dir):
-    """File names with a time stamp, one in five without; only those of 1997 are left to be read."""
-    k = F.col("o_orderkey")
-    stamp = F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss")
-    f = read(spark, sf_dir, "orders").select(F.concat(F.lit("journal_"), F.when(k % 5 == 0, "none").otherwise(stamp), F.lit("_"), k.cast("string"), F.lit(".jsonl")).alias("path"))
-    x = sc.in_window(f, F.lit("1997-01-01").cast("timestamp"), F.lit("1998-01-01").cast("timestamp"))
-    return x.groupBy(F.date_format("stamp", "yyyy-MM").alias("month")).agg(F.count("*").alias("files"))
+    """Orders as a journal file for each month, named by its time; of the files only those of fifteen months are planned and read."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyyMM01'T'000000").alias("stamp"))
+    path = fresh_path(spark, "journals")
+    o.repartition("stamp").write.partitionBy("stamp").json(path)
+    store.rename_parts(spark, path, "stamp", "journal_{}_orders.jsonl")
+    x, _ = sc.scan_window(spark, path, "journal", "o_orderkey long, o_custkey long", datetime(1996, 11, 1), datetime(1998, 2, 1))
+    return x.groupBy(F.date_format("stamp", "yyyy-MM").alias("month")).agg(F.count("*").alias("orders"), F.sum("o_custkey").alias("customers"))
 
 
 @query(f"""WITH {DECISIONS}, d AS (SELECT decision_id, CASE WHEN decision_id % 8 = 0 THEN 'sideways' ELSE direction END AS direction, CASE WHEN decision_id % 9 = 0 THEN 'L9' ELSE action_level END AS level, CASE WHEN decision_id % 10 = 0 THEN predicted + 1 ELSE predicted END AS predicted, CASE WHEN decision_id % 11 = 0 THEN NULL ELSE decision_id END AS id FROM decisions),
@@ -94,7 +97,10 @@ def s05_store_upsert(spark, sf_dir):
     """Decisions as versions of a symbol's state, merged in two parts."""
     d = decisions(spark, sf_dir).select(F.col("symbol").cast("string").alias("name"), F.col("direction").alias("value"), F.timestamp_micros(F.unix_micros(F.col("analysis_time").cast("timestamp")) + F.col("decision_id")).alias("updated_at"), "decision_id")
     parts = [store.shaped(d.where(f"decision_id % 2 = {i}"), "state") for i in (1, 0)]
-    table = store.merged(store.merged(None, parts[0], "state"), parts[1], "state")
+    root = fresh_path(spark, "store")
+    for part in parts:
+        store.commit(part, root, "state")
+    table = store.read_table(spark, root, "state")
     return table.join(d.groupBy("name").agg(F.count("*").alias("versions")), "name").select("name", "value", "versions")
 
 

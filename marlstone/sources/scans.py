@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,42 @@ def in_window(files: DataFrame, first: Column, last: Column) -> DataFrame:
     return files.withColumn("stamp", at).where((F.col("stamp") >= first) & (F.col("stamp") < last))
 
 
+#: A file name with the time from which its lines are: name_yyyyMMddTHHmmss_rest.
+STAMPED = r"_(\d{8}T\d{6})_"
+
+
+def window_globs(first: datetime, last: datetime, name: str) -> str:
+    """A glob of the file names of the days from first to before last: whole years and months by their prefix."""
+    parts, day, end = [], first.date(), (last - timedelta(microseconds=1)).date()
+    while day <= end:
+        year, month = date(day.year + 1, 1, 1), date(day.year + day.month // 12, day.month % 12 + 1, 1)
+        if (day.month, day.day) == (1, 1) and year <= end + timedelta(days=1):
+            parts.append(f"{day:%Y}")
+            day = year
+        elif day.day == 1 and month <= end + timedelta(days=1):
+            parts.append(f"{day:%Y%m}")
+            day = month
+        else:
+            parts.append(f"{day:%Y%m%d}")
+            day += timedelta(days=1)
+    return f"{name}_{{{','.join(parts)}}}*"
+
+
+def scan_window(spark: SparkSession, path: str, name: str, schema: str, first: datetime, last: datetime) -> tuple[DataFrame, DataFrame]:
+    """(rows, gaps) of the JSON-lines files under path whose name has a time from first to before last; day of the days in between that have no file.
+
+    The names decide while the files are listed: files of other days are neither planned nor opened. Of the days at the ends, the time
+    in the name decides. Malformed lines are rows without values.
+    """
+    if last <= first:
+        raise ValueError("the window is empty")
+    x = spark.read.schema(schema).option("pathGlobFilter", window_globs(first, last, name)).option("recursiveFileLookup", True).json(path)
+    stamp = F.to_timestamp(F.regexp_extract(F.col("_metadata.file_name"), STAMPED, 1), "yyyyMMdd'T'HHmmss")
+    x = x.withColumn("stamp", stamp).where((F.col("stamp") >= F.lit(first)) & (F.col("stamp") < F.lit(last)))
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first.date()), F.lit((last - timedelta(microseconds=1)).date()))).alias("day"))
+    return x, days.join(x.select(F.to_date("stamp").alias("day")).distinct(), "day", "left_anti")
+
+
 def normalise_bars(raw: DataFrame, order: str) -> DataFrame:
     """Typed bars from text fields: bad dates go, of a date's rows the last by order wins, pct_change is against the day before."""
     x = raw.withColumn("date", F.date_format(F.try_to_date("date", "yyyy-MM-dd"), "yyyy-MM-dd")).where("date is not null")

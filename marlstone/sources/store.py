@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.sources.shared import few, written
+
 
 @dataclass(frozen=True)
 class Table:
@@ -68,6 +71,79 @@ def merged(current: DataFrame | None, rows: DataFrame, name: str) -> DataFrame:
     return x.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__later")
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed the version that this one was based on."""
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def version(spark: SparkSession, root: str, name: str) -> int:
+    """The newest committed version of a table, 0 before the first."""
+    fs, at = _fs(spark, f"{root}/{name}/commits")
+    return max((int(f.getPath().getName()) for f in fs.listStatus(at)), default=0) if fs.exists(at) else 0
+
+
+def read_table(spark: SparkSession, root: str, name: str, at: int | None = None) -> DataFrame:
+    """The table as it was committed at a version (the newest by default); without any, no rows."""
+    n = version(spark, root, name) if at is None else at
+    if n == 0:
+        return spark.createDataFrame([], TABLES[name].schema)
+    folder = spark.read.text(f"{root}/{name}/commits/{n:08d}").first()[0]
+    return spark.read.schema(TABLES[name].schema).parquet(f"{root}/{name}/{folder}")
+
+
+def commit(rows: DataFrame, root: str, name: str) -> int:
+    """Upserts rows into a table under root and returns the new version: checked, merged and written aside, then named by a commit file.
+
+    The commit file is the only thing that readers go by, and is created once: a write that fails before it leaves the old version, and
+    of two writers that started from one version the second gets Conflict and has to merge anew. What a check rejects is kept, with
+    its codes, beside the version. Older versions stay readable.
+    """
+    spark = rows.sparkSession
+    base = version(spark, root, name)
+    good, bad = validated(rows, name)
+    folder = f"data/{base + 1:08d}-{uuid.uuid4().hex}"
+    merged(read_table(spark, root, name, base), good, name).write.parquet(f"{root}/{name}/{folder}")
+    bad.write.parquet(f"{root}/{name}/rejected/{folder.split('/')[1]}")
+    fs, at = _fs(spark, f"{root}/{name}/commits/{base + 1:08d}")
+    try:
+        out = fs.create(at, False)
+    except Exception as e:
+        if "FileAlreadyExists" in str(e) or "already exists" in str(e):
+            raise Conflict(f"{name} is at version {version(spark, root, name)}, this write began at {base}") from None
+        raise
+    out.write(bytearray(folder.encode()))
+    out.close()
+    return base + 1
+
+
+def rejected(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """All rows that commits of a table rejected, with their errors."""
+    fs, at = _fs(spark, f"{root}/{name}/rejected")
+    schema = f"{TABLES[name].schema}, errors array<string>"
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/{name}/rejected") if fs.exists(at) else spark.createDataFrame([], schema)
+
+
+def upsert_days(rows: DataFrame, path: str, day: str, key: list[str], newest: str) -> None:
+    """Upserts rows into a Parquet index with a folder for each day: only the folders of the days in rows are read and written anew, of each key its newest row stays.
+
+    The days' old rows are written aside first, as a folder cannot be read while it is overwritten; Spark puts the new folders in place
+    when all of them are written.
+    """
+    spark = rows.sparkSession
+    fs, at = _fs(spark, path)
+    x = rows.withColumn("__later", F.lit(1))
+    if fs.exists(at):
+        old = spark.read.schema(rows.schema).parquet(path).join(few(rows.select(day).distinct()), day, "left_semi")
+        x = x.unionByName(written(old.select(*rows.columns), "days").withColumn("__later", F.lit(0)))
+    w = Window.partitionBy(day, *key).orderBy(F.desc_nulls_last(newest), F.desc("__later"))
+    x = x.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__later")
+    x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
 def run_id(parameters: dict) -> str:
     """Names a run by its parameters, whatever their order."""
     return hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:16]
@@ -90,3 +166,13 @@ def frozen(spark: SparkSession, root: str, as_of: Column) -> DataFrame:
     x = spark.read.parquet(root).where(F.col("observed_at") <= as_of)
     rest = [c for c in x.columns if c not in ("symbol", "observed_at")]
     return x.groupBy("symbol").agg(F.max(F.struct("observed_at", *rest)).alias("x")).select("symbol", "x.*")
+
+
+def rename_parts(spark: SparkSession, path: str, column: str, name: str) -> None:
+    """Files of a table written by partitions of `column` get the name that readers of foreign journals expect, with the column's value in it; a file for each value."""
+    fs, at = _fs(spark, path)
+    for folder in fs.listStatus(at):
+        value = folder.getPath().getName().removeprefix(f"{column}=")
+        for f in fs.listStatus(folder.getPath()) if folder.isDirectory() else []:
+            if f.getPath().getName().startswith("part-"):
+                fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder.getPath(), name.format(value)))
