@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import engine as en
 from marlstone.operators import factors as fx
 from marlstone.sources.bindings import BARS, BENCH, bars, benchmark_series, sectors
 
@@ -288,6 +289,45 @@ def x07_engine_run(spark, sf_dir):
     return _rounded(fx.ic_statistics(fx.rank_ic(s), ["factor_name"]), "mean_ic", "ic_std").select("factor_name", "section_count", "mean_ic", "ic_std")
 
 
+#: The circular control in each scope, with the seed of the scope.
+SCOPED_CIRCULAR = f"""c0 AS (SELECT factor_name, scope, seed, date, symbol, fr, rr, row_number() OVER (PARTITION BY factor_name, scope, symbol ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY factor_name, scope, symbol) AS t FROM ssec),
+c1 AS (SELECT c0.*, trial, (pos - (2 + ('0x' || substr(md5(concat_ws('|', trial::VARCHAR, symbol::VARCHAR, seed)), 1, 8))::BIGINT % (t - 3)) + t) % t AS src FROM c0, (SELECT unnest(range({TRIALS})) AS trial) WHERE t >= 4),
+c2 AS (SELECT c1.factor_name, c1.scope, c1.trial, c1.date, c1.rr, o.fr AS rot FROM c1 JOIN c0 o ON o.factor_name = c1.factor_name AND o.scope = c1.scope AND o.symbol = c1.symbol AND o.pos = c1.src),
+c3 AS (SELECT factor_name, scope, trial, date, rank() OVER w1 + (count(*) OVER (PARTITION BY factor_name, scope, trial, date, rot) - 1) / 2.0::DOUBLE AS a, rank() OVER w2 + (count(*) OVER (PARTITION BY factor_name, scope, trial, date, rr) - 1) / 2.0::DOUBLE AS b FROM c2 WINDOW w1 AS (PARTITION BY factor_name, scope, trial, date ORDER BY rot), w2 AS (PARTITION BY factor_name, scope, trial, date ORDER BY rr)),
+cnul AS (SELECT factor_name, scope, trial, avg(ic) AS trial_ic FROM (SELECT factor_name, scope, trial, date, covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0) AS ic FROM c3 GROUP BY ALL) WHERE ic IS NOT NULL GROUP BY ALL),
+cns AS (SELECT factor_name, scope, avg(trial_ic) AS cm, stddev_samp(trial_ic) AS csd FROM cnul GROUP BY ALL),
+cv AS (SELECT factor_name, max(csd) FILTER (scope = 'overall') AS csd, max((mean_ic - cm) / csd) FILTER (scope = 'overall') AS ca, max((mean_ic - cm) / csd) FILTER (scope = 'train') AS ctr, max((mean_ic - cm) / csd) FILTER (scope = 'test') AS cte FROM sst JOIN cns USING (factor_name, scope) GROUP BY factor_name)"""
+
+
+def _run_sql(h: int) -> str:
+    """Both controls at horizon h over sections that do not overlap: a row for each factor."""
+    strided = _sections_sql(["rev_5", "vol_20"], f"fwd_{h}").replace("sec AS (", "sec0 AS (")
+    state = lambda a, tr, te: f"CASE WHEN {tr} * sg >= 3.5 AND {te} * sg >= 3.5 AND train_mean_ic * test_mean_ic > 0 THEN 'confirmed_alive' WHEN {tr} * sg >= 3.5 AND {te} * sg < 3.5 THEN 'train_only' WHEN {a} * sg <= -3.5 AND {te} * sg <= -3.5 AND mean_ic * sg < 0 AND test_mean_ic * sg < 0 THEN 'reversed_strict' ELSE 'noise' END"
+    return f"""SELECT * FROM (WITH {PANEL}, {strided}, sno AS (SELECT factor_name, date, row_number() OVER (PARTITION BY factor_name ORDER BY date) - 1 AS no FROM (SELECT DISTINCT factor_name, date FROM sec0)), sec AS (SELECT sec0.* FROM sec0 JOIN sno USING (factor_name, date) WHERE no % {h} = 0),
+{SCOPES}, {_shuffled("ssec", "ssec")}, {SCOPED_CIRCULAR}, raw AS (SELECT factor_name, count(DISTINCT date) AS eff FROM sec GROUP BY factor_name), sd AS (SELECT factor_name, random_ic_std AS ssd FROM sns WHERE scope = 'overall'), e AS (SELECT *, CASE factor_name WHEN 'vol_20' THEN -1.0 ELSE 1.0 END AS sg FROM ev)
+SELECT e.factor_name, {h} AS horizon, eff AS effective_sections, mean_ic, ssd, csd, alpha_t AS sa, ca, {state("alpha_t", "train_alpha_t", "test_alpha_t")} AS ss, {state("ca", "ctr", "cte")} AS cs FROM e JOIN raw USING (factor_name) JOIN sd USING (factor_name) JOIN cv USING (factor_name))"""
+
+
+RUNS = "WITH runs AS MATERIALIZED (" + " UNION ALL ".join(_run_sql(h) for h in (1, 4)) + ")"
+
+
+def _runs(spark, sf_dir, null):
+    return en.run_engine(_panel(spark, sf_dir, ["rev_5", "vol_20"], (1, 4)), ["rev_5", "vol_20"], [1, 4], TRIALS, least=LEAST_NAMES, null=null)
+
+
+@query(RUNS + " SELECT factor_name, horizon, 'ok' AS status, effective_sections, round(mean_ic, 6) AS mean_ic, round(sa, 3) AS alpha_t, CASE factor_name WHEN 'rev_5' THEN greatest(6 + horizon * 41, ceil((6 + horizon) / 0.3)) ELSE greatest(21 + horizon * 41, ceil((21 + horizon) / 0.3)) END::BIGINT AS required_rows FROM runs")
+def x07_engine_runs(spark, sf_dir):
+    """Two factors at one and four weeks, the latter over every fourth section."""
+    x = _runs(spark, sf_dir, "shuffle")
+    return x.select("factor_name", "horizon", "status", "effective_sections", F.round("mean_ic", 6).alias("mean_ic"), F.round("alpha_t", 3).alias("alpha_t"), F.col("required_rows").cast("long").alias("required_rows"))
+
+
+@query(RUNS + " SELECT factor_name, horizon, true AS comparable, round(ssd, 6) AS shuffle_std, round(csd, 6) AS circular_std, round(sa, 3) AS shuffle_alpha, round(ca, 3) AS circular_alpha, ss AS shuffle_state, cs AS circular_state, csd > ssd AS wider, ca <= sa + 1e-12 AS not_higher, ss <> cs AS state_changed, ss = 'confirmed_alive' AND cs <> 'confirmed_alive' AS downgraded FROM runs")
+def x08_null_comparison(spark, sf_dir):
+    x = en.compare_nulls(_runs(spark, sf_dir, "shuffle"), _runs(spark, sf_dir, "circular"))
+    return x.select("factor_name", "horizon", "comparable", *[F.round(f"{t}_std", 6).alias(f"{t}_std") for t in ("shuffle", "circular")], *[F.round(f"{t}_alpha", 3).alias(f"{t}_alpha") for t in ("shuffle", "circular")], "shuffle_state", "circular_state", "wider", "not_higher", "state_changed", "downgraded")
+
+
 @query("WITH " + PANEL + ", " + _sections_sql(["rev_5", "vol_20"]) + ", " + SHUFFLE + ", " + CIRCULAR + ", " + STATS + ", cs AS (SELECT factor_name, avg(trial_ic) AS cm, stddev_samp(trial_ic) AS csd FROM cnul GROUP BY factor_name) SELECT factor_name, round(random_ic_std, 6) AS shuffle_std, round(csd, 6) AS circular_std, (csd > random_ic_std) AS wider, (abs((mean_ic - cm) / csd) <= abs((mean_ic - random_ic_mean) / random_ic_std)) AS not_higher FROM st JOIN ns USING (factor_name) JOIN cs USING (factor_name)")
 def x08_compare_nulls(spark, sf_dir):
     s = fx.long_sections(_panel(spark, sf_dir, ["rev_5", "vol_20"]), ["rev_5", "vol_20"], 1, LEAST_NAMES)

@@ -122,3 +122,24 @@ def test_parse_number(spark):
     xs = ["1,234.5", "12%", "-", "", None, "NaN", " 7 ", "abc"]
     got = [r.v for r in spark.createDataFrame([(x,) for x in xs], "x string").select(nm.parse_number(F.col("x")).alias("v")).collect()]
     assert got == [1234.5, 12.0, None, None, None, None, 7.0, None]
+
+
+def test_comparison_of_controls_and_its_summary(spark):
+    from marlstone.operators import engine as en
+
+    names = "factor_name string, horizon int, status string, random_ic_std double, random_ic_mean double, mean_ic double, alpha_t double, train_mean_ic double, train_alpha_t double, test_mean_ic double, test_alpha_t double"
+    run = lambda rows: spark.createDataFrame([(n, h, s, std, 0.0, 0.1, a, 0.1, tr, 0.1, te) for n, h, s, std, a, tr, te in rows], names)
+    shuffle = [("a", 1, "ok", 0.01, 6.0, 5.0, 4.0), ("b", 1, "ok", 0.01, 2.0, 2.0, 2.0), ("c", 1, "insufficient_data", 0.01, 2.0, 2.0, 2.0)]
+    circular = [("a", 1, "ok", 0.02, 3.0, 2.5, 2.0), ("b", 1, "ok", 0.02, 1.9, 2.0, 2.0), ("c", 1, "ok", 0.02, 1.0, 1.0, 1.0)]
+    x = en.compare_nulls(run(shuffle), run(circular), directions={"a": "+", "b": "+", "c": "+"})
+    got = {r.factor_name: (r.comparable, r.shuffle_state, r.circular_state, r.wider, r.not_higher, r.state_changed, r.downgraded) for r in x.collect()}
+    assert got == {"a": (True, "confirmed_alive", "noise", True, True, True, True), "b": (True, "noise", "noise", True, True, False, False), "c": (False, None, None, False, False, False, False)}
+    s = en.comparison_summary(x).first()
+    assert (s.pairs, s.comparable, s.state_changes, s.downgrades, s.invariants, s.falsified, s.supported, s.status) == (3, 2, 1, 1, True, False, True, "ok") and s.median_decrease == pytest.approx(1.55)
+    # Without a change of state a median fall of under 0.3 speaks against the wider control.
+    s = en.comparison_summary(x.where("factor_name = 'b'")).first()
+    assert (s.falsified, s.supported, s.status) == (True, False, "ok")
+    assert en.comparison_summary(x.where("factor_name = 'c'")).first().status == "insufficient_data"
+    narrow = en.compare_nulls(run(circular), run(shuffle), directions={"a": "+", "b": "+", "c": "+"})
+    assert en.comparison_summary(narrow).first().status == "failed_invariants"
+    assert en.required_rows("rev_5", 4, 40) == 6 + 4 * 41 and en.required_rows("range_pos_252", 1, 40) == 844
