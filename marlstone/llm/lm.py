@@ -21,9 +21,9 @@ END = b" end"
 #: Tokens whose counts the tasks hold; all others are joined. Ids 0 and 1 of the model: any other word, the end.
 HEAD, VOCAB, MEMBERS, HIDDEN = 100_000, 1024, 32, 16
 #: Documents that run side by side, and tokens of one such batch at most (but for a single longer document).
-SIDE, SIDE_TOKENS = 1024, 2_000_000
+SIDE, SIDE_TOKENS = 1024, 1_000_000
 #: Rounds of training, after each of which the shards' weights are averaged, and tokens of a shard.
-ROUNDS, SHARD_TOKENS = 2, 4_000_000
+ROUNDS, SHARD_TOKENS = 2, 8_000_000
 
 
 def _with_split(docs: DataFrame, text: str) -> DataFrame:
