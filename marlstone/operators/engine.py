@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import finite
 from marlstone.operators import factors as fx
+from marlstone.sources.shared import written
 
 ALIVE = "confirmed_alive"
 #: A fall of the median distance below this, without a change of state, speaks against the wider control.
@@ -65,3 +66,48 @@ def comparison_summary(entries: DataFrame) -> DataFrame:
     some = F.col("comparable") > 0
     g = g.withColumn("falsified", F.coalesce(some & (F.col("state_changes") == 0) & (F.col("median_decrease") < LEAST_DECREASE), F.lit(False)))
     return g.withColumns({"supported": F.col("invariants") & (F.col("downgrades") > 0), "status": F.when(~some, "insufficient_data").when(~F.col("invariants"), "failed_invariants").otherwise("ok")})
+
+
+def ceiling(whole: Column, part: Column) -> Column:
+    """State of a condition under that of the factor as a whole: a condition can take a confirmed state away, never lift one."""
+    return F.when(whole.isNull() | part.isNull(), None).when((whole == ALIVE) & (part != ALIVE), "train_only").otherwise(whole)
+
+
+def conditional_validation(panel: DataFrame, names: list[str], horizons: list[int], states: DataFrame, bins: list[str], trials: int = 100, seed: int = 7, least: int = 30, min_dates: int = 40, share: float = 0.7, null: str = "shuffle", threshold: float = 3.5) -> DataFrame:
+    """One row for each factor, horizon and bin: status, effective_sections, alpha_t, raw_state, global_state, state, degraded.
+
+    states: date, state, the label known at the session before. The sections are those of the factor as a whole, a section every
+    horizon dates, so a bin's own do not overlap either; each bin is evaluated on its dates, against controls of its own, with the gates
+    and the threshold of the whole. status: ok, insufficient_sample (the gates) or unjudgeable (a statistic is missing); state keeps under
+    the ceiling of global_state, and degraded says that a confirmed factor is train_only in this bin.
+    """
+    keep = ["null_eligible"] if "null_eligible" in panel.columns else None
+    key = F.concat_ws("|", "factor_name", F.col("horizon").cast("string"), "state")
+    parts = [fx.strided(fx.long_sections(panel, names, h, least, keep), h).withColumn("horizon", F.lit(h)) for h in horizons]
+    s = written(reduce(DataFrame.unionByName, parts).join(states.where(F.col("state").isin(*bins)).select("date", "state"), "date").withColumn("factor_name", key).drop("horizon", "state"), "conditions")
+    grid = [(n, h, b, f"{n}|{h}|{b}") for n in names for h in horizons for b in bins]
+    cells = panel.sparkSession.createDataFrame(grid, "factor string, horizon int, bin string, factor_name string")
+    totals = cells.select("factor_name").join(s.groupBy("factor_name").agg(F.count_distinct("date").alias("total_dates")), "factor_name", "left").na.fill(0, ["total_dates"])
+    own = fx.verdict(fx.evaluate_sections(s, totals, trials, seed, least, min_dates, share, 1, null), threshold, {k: fx.FACTORS[n][1] for n, _, _, k in grid})
+    whole = fx.verdict(run_engine(panel, names, horizons, trials, seed, least, min_dates, share, null), threshold).select(F.col("factor_name").alias("factor"), "horizon", F.when(F.col("status") == "ok", F.col("state")).alias("global_state"))
+    x = cells.join(own.select("factor_name", F.col("status").alias("evaluated"), "effective_sections", "alpha_t", F.col("state").alias("raw_state")), "factor_name").join(whole, ["factor", "horizon"])
+    ok = F.col("evaluated") == "ok"
+    state = F.when(ok, ceiling(F.col("global_state"), F.col("raw_state")))
+    x = x.withColumn("state", state)
+    status = F.when(~ok, "insufficient_sample").when(F.col("state").isNull(), "unjudgeable").otherwise("ok")
+    return x.select("factor", "horizon", "bin", status.alias("status"), "effective_sections", F.when(ok, F.col("alpha_t")).alias("alpha_t"), F.when(ok, F.col("raw_state")).alias("raw_state"), "global_state", "state", F.coalesce((F.col("global_state") == ALIVE) & (F.col("state") == "train_only"), F.lit(False)).alias("degraded"))
+
+
+def condition_pairs(validated: DataFrame) -> DataFrame:
+    """factor, horizon, judgeable, insufficient, unjudgeable, degradations, pair_status of every pair of a conditional validation."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    g = validated.groupBy("factor", "horizon").agg(F.count("*").alias("bins"), of("ok").alias("judgeable"), of("insufficient_sample").alias("insufficient"), of("unjudgeable").alias("unjudgeable"), F.count_if("degraded").alias("degradations"))
+    status = F.when(F.col("degradations") > 0, "degradation_observed").when(F.col("judgeable") == F.col("bins"), "no_degradation").when(F.col("unjudgeable") > 0, "pending_unjudgeable").otherwise("pending_insufficient_sample")
+    return g.withColumn("pair_status", status)
+
+
+def condition_family(pairs: DataFrame, complete: bool) -> DataFrame:
+    """One row: whether a dimension of conditions is retained, over the whole declared family of factors and horizons; pending until it is complete."""
+    g = pairs.agg(F.sum("bins").alias("scanned"), F.sum("degradations").alias("degradations"), F.every(F.col("judgeable") == F.col("bins")).alias("all_judgeable"), F.sum("unjudgeable").alias("unjudgeable"))
+    status = F.when(~F.lit(complete) | F.col("scanned").isNull(), "pending_family_aggregation").when(F.col("degradations") > 0, "retained_degradation_observed").when(F.col("all_judgeable"), "rejected_no_degradation").when(F.col("unjudgeable") > 0, "pending_unjudgeable").otherwise("pending_insufficient_sample")
+    return g.select("scanned", "degradations", status.alias("dimension_status"), (status == "retained_degradation_observed").alias("retained"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -201,7 +203,8 @@ def circular_null(sections: DataFrame, trials: int, seed: Column | int = 7, by:
     """factor_name, trial, trial_ic: each symbol's series of factor ranks is rotated by an offset of its own, from 2 to T - 2, then ranked anew per date.
 
     Symbols with fewer than 4 sections take no part. Two shuffles of the panel: by symbol, where every date gets an array of what each
-    trial's rotation brings it, and by date, where the trials are ranked one after the other without leaving their partition.
+    trial's rotation brings it, and by date, where a task ranks the trials of a section side by side as the columns of a matrix (names
+    by trials); rows do not grow with the trials, their arrays do.
     """
     by = by or ["factor_name"]
     series_ = sections.withColumn("__seed", seed if isinstance(seed, Column) else F.lit(seed)).groupBy(*by, "symbol").agg(F.array_sort(F.collect_list(F.struct("date", "fr", "rr"))).alias("s"), F.first("__seed").alias("seed")).where(F.size("s") >= 4)
@@ -209,12 +212,31 @@ def circular_null(sections: DataFrame, trials: int, seed: Column | int = 7, by:
     number = lambda trial: F.conv(F.substring(_draw(F.col("seed"), trial, F.col("symbol")), 1, 8), 16, 10).cast("long")
     series_ = series_.withColumn("offsets", F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), lambda k: 2 + number(k) % (t - 3)))
     brought = lambda i: F.transform("offsets", lambda o: F.get("s", F.pmod(i - o, t).cast("int"))["fr"])
-    x = series_.select(*by, "symbol", F.explode(F.transform("s", lambda v, i: F.struct(v["date"].alias("date"), v["rr"].alias("rr"), brought(i).alias("turned")))).alias("x")).select(*by, "symbol", "x.*")
-    x = x.repartition(*by, "date").withColumn("b", average_rank(F.col("rr"), [*by, "date"]))
-    x = x.select(*by, "date", "b", F.posexplode("turned").alias("trial", "rotated"))
-    one = [*by, "date", "trial"]
-    ics = x.withColumn("a", average_rank(F.col("rotated"), one)).groupBy(*one).agg(pearson("a", "b").alias("ic"))
-    return _mean_ic_by_trial(ics, by)
+    x = series_.select(*by, F.explode(F.transform("s", lambda v, i: F.struct(v["date"].alias("date"), v["rr"].alias("rr"), brought(i).alias("turned")))).alias("x")).select(*by, "x.*")
+
+    def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (_column_ranks(m) for m in (np.stack(pdf["turned"].to_numpy()), pdf["rr"].to_numpy()[:, None]))
+        a, b = a - a.mean(axis=0), b - b.mean()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ic = (a * b).sum(axis=0) / np.sqrt((a * a).sum(axis=0) * (b * b).sum())
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "trial": np.arange(trials, dtype=np.int32), "ic": ic})
+
+    kinds = ", ".join(f"{c} {sections.schema[c].dataType.simpleString()}" for c in by)
+    ics = x.groupBy(*by, "date").applyInPandas(ranked, f"{kinds}, trial int, ic double")
+    return _mean_ic_by_trial(ics.where(~F.isnan("ic")), by)
+
+
+def _column_ranks(m: np.ndarray) -> np.ndarray:
+    """Rank from 1 within every column, ties sharing the mean of their places."""
+    order = np.argsort(m, axis=0, kind="stable")
+    s, at = np.take_along_axis(m, order, axis=0), np.arange(len(m))[:, None]
+    begins = np.vstack([np.ones((1, m.shape[1]), dtype=bool), s[1:] != s[:-1]])
+    first = np.maximum.accumulate(np.where(begins, at, 0), axis=0)
+    ends = np.vstack([begins[1:], np.ones((1, m.shape[1]), dtype=bool)])
+    last = np.minimum.accumulate(np.where(ends, at, len(m))[::-1], axis=0)[::-1]
+    out = np.empty(m.shape)
+    np.put_along_axis(out, order, (first + last) / 2.0 + 1.0, axis=0)
+    return out
 
 
 def ic_statistics(ics: DataFrame, by: list[str]) -> DataFrame:
@@ -254,11 +276,19 @@ def evaluate(panel: DataFrame, names: list[str], horizon: int = 1, trials: int =
     rotation, series of fewer than 4 sections take no part in the controls; the gaps say so (cross_source_panel_excluded_from_null,
     circular_series_too_short). Parameters out of range raise ValueError.
     """
+    eligible = "null_eligible" in panel.columns
+    kept = long_sections(panel, names, horizon, least, ["null_eligible"] if eligible else None)
+    totals = panel.groupBy().agg(F.count_distinct("date").alias("total_dates")).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("factor_name"), "total_dates")
+    return evaluate_sections(kept, totals, trials, seed, least, min_dates, share, stride, null)
+
+
+def evaluate_sections(sections: DataFrame, totals: DataFrame, trials: int = 100, seed: int = 7, least: int = 30, min_dates: int = 40, share: float = 0.7, stride: int = 1, null: str = "shuffle") -> DataFrame:
+    """evaluate over sections that are there already (of long_sections, perhaps with null_eligible); totals: factor_name and how many dates could have had one."""
     if trials < 2 or least < 2 or min_dates < 1 or stride < 1 or not 0 < share < 1 or null not in ("shuffle", "circular"):
         raise ValueError("invalid evaluation parameters")
-    eligible = "null_eligible" in panel.columns
+    eligible = "null_eligible" in sections.columns
     # Gates, statistics and controls all start from the sections: they are worked out once.
-    kept = written(long_sections(panel, names, horizon, least, ["null_eligible"] if eligible else None), "sections")
+    kept = written(sections, "sections")
     used = strided(kept, stride) if stride > 1 else kept
     # Every section stands for the whole and for its own part.
     by = ["factor_name", "scope"]
@@ -269,10 +299,8 @@ def evaluate(panel: DataFrame, names: list[str], horizon: int = 1, trials: int =
     x = x.withColumn("short", ~F.col("mixed") & short).withColumn("control", ~F.col("mixed") & ~F.col("short"))
     thin = x.groupBy(*by, "date").agg(F.count_if("control").alias("n"), F.max("mixed").alias("mixed"), F.max("short").alias("short"))
     thin = thin.groupBy("factor_name").agg(F.min("n").alias("fewest"), F.max("mixed").alias("mixed"), F.max("short").alias("short"), F.count_if(F.col("scope") == "overall").alias("effective_sections"))
-    total = panel.groupBy().agg(F.count_distinct("date").alias("total_dates"))
-    all_names = total.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("factor_name"), "total_dates")
     raw = kept.groupBy("factor_name").agg(F.count_distinct("date").alias("raw_sections"))
-    g = all_names.join(raw, "factor_name", "left").join(thin, "factor_name", "left").na.fill(0, ["raw_sections", "effective_sections"]).withColumn("excluded_dates", F.col("total_dates") - F.col("raw_sections"))
+    g = totals.join(raw, "factor_name", "left").join(thin, "factor_name", "left").na.fill(0, ["raw_sections", "effective_sections"]).withColumn("excluded_dates", F.col("total_dates") - F.col("raw_sections"))
     few, many = F.col("effective_sections") < min_dates, (F.col("total_dates") == 0) | (F.col("excluded_dates") > 0.30 * F.col("total_dates"))
     starved = ~few & ~many & (F.col("fewest") < least)
     told = F.array_compact(F.array(
@@ -339,12 +367,14 @@ def attribution(panel: DataFrame, factor: str, fwd: str = "fwd_1", least: int =
 
 def screen(panel: DataFrame, names: list[str], floor: int = 2, null_limit: int = 3) -> DataFrame:
     """Latest row of each symbol: vote by the signs of its factors' z-scores in their hypothesised direction, edge_status, watch rank."""
-    last = panel.withColumn("__n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("__n = 1").withColumn("date", F.lit(1))
-    for n in names:
-        last = standardise(last.withColumn(n, finite(F.col(n))), n)
+    last = panel.withColumn("__n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("__n = 1").select("symbol", *[finite(F.col(n)).alias(n) for n in names])
+    # Means and spreads are one row beside the symbols.
+    moments = last.agg(*[x for n in names for x in (F.avg(n).alias(f"__m_{n}"), F.stddev_pop(n).alias(f"__s_{n}"))])
+    last = last.join(F.broadcast(moments))
+    side = lambda n: F.when(F.col(f"__s_{n}") > 0, F.signum(F.col(n) - F.col(f"__m_{n}"))).otherwise(0.0)
     sign = {n: (-1 if FACTORS[n][1] == "-" else 1) for n in names}
     nulls = sum((F.col(n).isNull().cast("int") for n in names), F.lit(0))
-    vote = sum((F.coalesce(F.signum(F.col(n)) * sign[n], F.lit(0.0)).cast("int") for n in names), F.lit(0))
+    vote = sum((F.coalesce(F.when(F.col(n).isNotNull(), side(n)) * sign[n], F.lit(0.0)).cast("int") for n in names), F.lit(0))
     out = last.select("symbol", nulls.alias("null_count"), vote.alias("vote"))
     status = F.when(F.col("null_count") >= null_limit, f"null_factors>={null_limit}").when(F.abs("vote") < floor, "no_edge").otherwise("edge")
     out = out.withColumn("edge_status", status)

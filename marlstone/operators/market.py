@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import finite, normal_cdf
-from marlstone.sources.shared import written
+from marlstone.sources.shared import few, written
 
 # ---- series and events ------------------------------------------------------------------------------------------
 
@@ -70,18 +70,19 @@ def pair_graph(returns: DataFrame, fast: int = 60, slow: int = 120) -> DataFrame
     two blocks are worked out in one task from their series, without a row for each pair and date.
     """
     r = returns.where("y is not null")
-    series = r.groupBy("symbol").agg(F.collect_list(F.struct(F.col("date").cast("string").alias("date"), "y")).alias("s"))
+    # Dates by number: a row a date.
+    days = written(r.select("date").distinct().withColumn("no", F.row_number().over(Window.orderBy("date"))), "days")
+    series = r.join(few(days, 100_000), "date").groupBy("symbol").agg(F.collect_list(F.struct("no", "y")).alias("s")).select("symbol", F.col("s.no").alias("no"), F.col("s.y").alias("y"))
     blocks = max(1, -(-series.count() // SIDE))
     series = series.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = series.select("symbol", "s", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    dealt = series.select("symbol", "no", "y", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     schema = PAIRS.format(returns.schema["symbol"].dataType.simpleString())
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dates = {d: i for i, d in enumerate(sorted({x["date"] for s in pdf["s"] for x in s}))}
+        size = pdf["no"].map(len).to_numpy()
+        dates, at = np.unique(np.concatenate(pdf["no"].to_numpy()), return_inverse=True)
         values = np.full((len(pdf), len(dates)), np.nan)
-        for row, s in enumerate(pdf["s"]):
-            for x in s:
-                values[row, dates[x["date"]]] = x["y"]
+        values[np.repeat(np.arange(len(pdf)), size), at] = np.concatenate(pdf["y"].to_numpy())
         names, block = pdf["symbol"].to_numpy(), pdf["block"].to_numpy()
         left, right = np.flatnonzero(block == key[0]), np.flatnonzero(block == key[1])
         out: list[pd.DataFrame] = []
@@ -431,6 +432,20 @@ def checked_parameters(name: str, **given) -> dict:
     return given
 
 
+def parameter_errors(rows: DataFrame) -> DataFrame:
+    """rows (detector, parameter, value as text) with errors by the specification: unknown_detector, unknown_parameter, not_a_number, not_whole, out_of_range."""
+    spec = [(d, p, kind is int, float(low), float(high)) for d, ps in DETECTORS.items() for p, (kind, low, high) in ps.items()]
+    spec = rows.sparkSession.createDataFrame(spec, "detector string, parameter string, whole boolean, low double, high double")
+    x = rows.join(F.broadcast(spec), ["detector", "parameter"], "left")  # the registry: some twenty rows
+    v = finite(F.col("value").try_cast("double"))
+    named = F.col("low").isNotNull()
+    code = (
+        F.when(~F.coalesce(F.col("detector").isin(*DETECTORS), F.lit(False)), "unknown_detector").when(~named, "unknown_parameter").when(v.isNull(), "not_a_number")
+        .when(F.col("whole") & (v != F.floor(v)), "not_whole").when((v < F.col("low")) | (v > F.col("high")), "out_of_range")
+    )
+    return x.select(*rows.columns, code.alias("error"))
+
+
 def setup_count(bars: DataFrame, direction: str = "buy") -> DataFrame:
     """symbol, date, setup: run of bars whose close is below (buy) or above (sell) the close four bars before, by gaps and islands."""
     w = Window.partitionBy("symbol").orderBy("date")

@@ -316,6 +316,18 @@ def r02_stream_imbalance(spark, sf_dir):
     return streams.drain(detectors.imbalance(live, 1.02), "imbalance").select("event_id", "fired", F.round("strength", 6).alias("strength"))
 
 
+@query("""WITH s(detector, parameter, whole, low, high) AS (VALUES ('order_wall', 'factor', false, 1.0, 100.0), ('order_wall', 'lookback', true, 1.0, 1000.0), ('imbalance', 'ratio', false, 1.0, 100.0)),
+e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'wall' WHEN 1 THEN 'imbalance' ELSE 'order_wall' END AS detector, CASE event_id % 5 WHEN 1 THEN 'ratio' WHEN 2 THEN 'factor' WHEN 3 THEN 'lookback' ELSE 'ratio' END AS parameter, CASE WHEN event_id % 11 = 0 THEN 'x' ELSE (event_id % 150 - 10)::VARCHAR || CASE WHEN event_id % 2 = 0 THEN '' ELSE '.5' END END AS v FROM events)
+SELECT event_id, CASE WHEN e.detector = 'wall' THEN 'unknown_detector' WHEN low IS NULL THEN 'unknown_parameter' WHEN v = 'x' THEN 'not_a_number' WHEN whole AND v::DOUBLE <> floor(v::DOUBLE) THEN 'not_whole' WHEN v::DOUBLE < low OR v::DOUBLE > high THEN 'out_of_range' END AS error FROM e LEFT JOIN s ON s.detector = e.detector AND s.parameter = e.parameter""")
+def u02_detector_parameters(spark, sf_dir):
+    """Events as settings of detectors, held against the registry."""
+    k = F.col("event_id")
+    pick = lambda *names: F.get(F.array(*[F.lit(n) for n in names]), (k % 5).cast("int"))
+    value = F.when(k % 11 == 0, "x").otherwise(F.concat((k % 150 - 10).cast("string"), F.when(k % 2 == 0, "").otherwise(".5")))
+    x = events(spark, sf_dir).select("event_id", pick("wall", "imbalance", "order_wall", "order_wall", "order_wall").alias("detector"), pick("ratio", "ratio", "factor", "lookback", "ratio").alias("parameter"), value.alias("value"))
+    return mk.parameter_errors(x).select("event_id", "error")
+
+
 # ---- predicates, cards, universes -------------------------------------------------------------------------------
 
 

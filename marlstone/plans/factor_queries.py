@@ -395,6 +395,30 @@ def x12_conditional_validation(spark, sf_dir):
     return _rounded(fx.ic_statistics(s, ["state"]), "mean_ic", "ic_std").select("state", "section_count", "mean_ic", "ic_std")
 
 
+CONDITIONS = ["r0", "r1", "r2", "r3", "r4"]
+
+
+def _condition_sql() -> str:
+    """The shuffled control of every state of the week before, and the state as a whole."""
+    sections = _sections_sql(["rev_5", "vol_20"]).replace("sec AS (", "sec0 AS (")
+    tagged = f"rg AS (SELECT date, any_value(risk_regime) AS reg FROM bars GROUP BY date), lg AS (SELECT date, lag(reg) OVER (ORDER BY date) AS state FROM rg), sec AS (SELECT sec0.* REPLACE (sec0.factor_name || '|' || state AS factor_name) FROM sec0 JOIN lg USING (date) WHERE state IS NOT NULL)"
+    state = "CASE WHEN random_ic_mean IS NULL OR alpha_t IS NULL OR train_alpha_t IS NULL OR test_alpha_t IS NULL THEN NULL WHEN train_alpha_t * sg >= 3.5 AND test_alpha_t * sg >= 3.5 AND train_mean_ic * test_mean_ic > 0 THEN 'confirmed_alive' WHEN train_alpha_t * sg >= 3.5 AND test_alpha_t * sg < 3.5 THEN 'train_only' WHEN alpha_t * sg <= -3.5 AND test_alpha_t * sg <= -3.5 AND mean_ic * sg < 0 AND test_mean_ic * sg < 0 THEN 'reversed_strict' ELSE 'noise' END"
+    signed = "(SELECT *, CASE WHEN factor_name LIKE 'vol_20%' THEN -1.0 ELSE 1.0 END AS sg FROM ev)"
+    one = f"SELECT * FROM (WITH {PANEL}, {sections}, {tagged}, {SCOPES}, {_shuffled('ssec', 'ssec')}, n AS (SELECT factor_name, count(DISTINCT date) AS eff FROM sec GROUP BY factor_name) SELECT factor_name, eff, alpha_t, {state} AS raw FROM {signed} JOIN n USING (factor_name))"
+    all_ = f"SELECT * FROM (WITH {PANEL}, {_sections_sql(['rev_5', 'vol_20'])}, {SCOPES}, {_shuffled('ssec', 'ssec')} SELECT factor_name, {state} AS gst FROM {signed})"
+    return f"""WITH part AS MATERIALIZED ({one}), whole AS MATERIALIZED ({all_}), c AS (SELECT split_part(part.factor_name, '|', 1) AS factor, split_part(part.factor_name, '|', 2) AS bin, eff, alpha_t, raw, gst, eff >= 20 AS ok FROM part JOIN whole ON whole.factor_name = split_part(part.factor_name, '|', 1)),
+v AS (SELECT *, CASE WHEN NOT ok OR raw IS NULL OR gst IS NULL THEN NULL WHEN gst = 'confirmed_alive' AND raw <> 'confirmed_alive' THEN 'train_only' ELSE gst END AS state FROM c)"""
+
+
+@query(_condition_sql() + " SELECT factor, 1 AS horizon, bin, CASE WHEN NOT ok THEN 'insufficient_sample' WHEN state IS NULL THEN 'unjudgeable' ELSE 'ok' END AS status, eff AS effective_sections, CASE WHEN ok THEN round(alpha_t, 3) END AS alpha_t, CASE WHEN ok THEN raw END AS raw_state, gst AS global_state, state, coalesce(gst = 'confirmed_alive' AND state = 'train_only', false) AS degraded FROM v")
+def x12_condition_states(spark, sf_dir):
+    """Two factors under the regime of the week before, each regime against controls of its own."""
+    p = _panel(spark, sf_dir, ["rev_5", "vol_20"])
+    states = p.groupBy("date").agg(F.first("risk_regime").alias("reg")).withColumn("state", F.lag("reg").over(Window.partitionBy(F.lit(0)).orderBy("date")))  # one row a date
+    x = en.conditional_validation(p, ["rev_5", "vol_20"], [1], states, CONDITIONS, TRIALS, least=LEAST_NAMES, min_dates=20)
+    return x.withColumn("alpha_t", F.round("alpha_t", 3))
+
+
 @query("WITH " + PANEL + """, l AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
 u AS (""" + " UNION ALL ".join(f"SELECT symbol, {n} * {-1 if fx.FACTORS[n][1] == '-' else 1} AS x, {n} AS raw, '{n}' AS f FROM l" for n in DEFAULTS) + """),
 z AS (SELECT symbol, raw, CASE WHEN raw IS NULL THEN 0 WHEN stddev_pop(raw) OVER (PARTITION BY f) > 0 THEN sign(x - avg(x) OVER (PARTITION BY f)) ELSE 0 END AS v FROM u),

@@ -124,20 +124,33 @@ def s12_run_sink(spark, sf_dir):
     return spark.read.parquet(paths.pop())
 
 
-@query("""WITH r AS (SELECT o_orderkey AS k, o_custkey AS cik, ['10-K', '10-Q', '8-K', '4', 'memo'][1 + o_orderkey % 5] AS form, o_orderkey % 4 = 0 AS am, o_orderkey % 3 AS u, o_orderkey % 6 = 5 AS named FROM orders),
-x AS (SELECT *, CASE WHEN form <> 'memo' THEN form || CASE WHEN am THEN '/A' ELSE '' END END AS form_type, CASE WHEN u = 1 THEN lpad(cik::VARCHAR, 10, '0') || '-24-' || lpad((k % 1000000)::VARCHAR, 6, '0') END AS acc, CASE WHEN named OR u = 1 THEN lpad(cik::VARCHAR, 10, '0') END AS issuer FROM r)
+@query("""WITH r AS (SELECT o_orderkey AS k, o_custkey AS cik, ['10-K', '10-Q', 'S-1', '424B5', '8-K', '4', '11-K', 'memo'][1 + o_orderkey % 8] AS form, o_orderkey % 4 = 0 AS am, o_orderkey % 3 AS u, o_orderkey % 6 = 5 AS named FROM orders),
+x AS (SELECT *, CASE WHEN form NOT IN ('memo', '424B5') THEN form || CASE WHEN am THEN '/A' ELSE '' END END AS form_type, CASE WHEN u = 1 THEN lpad(cik::VARCHAR, 10, '0') || '-24-' || lpad((k % 1000000)::VARCHAR, 6, '0') END AS acc, CASE WHEN named OR u = 1 THEN lpad(cik::VARCHAR, 10, '0') END AS issuer FROM r)
 SELECT k::VARCHAR AS id, form_type, coalesce(form_type LIKE '%/A', false) AS amendment, issuer AS issuer_cik, acc AS accession_number, array_to_string(list_filter([CASE WHEN u = 0 THEN 'document_url_missing' WHEN u = 2 THEN 'accession_missing' END, CASE WHEN form_type IS NULL THEN 'form_type_missing' END, CASE WHEN issuer IS NULL THEN 'issuer_cik_missing' END], lambda c: c IS NOT NULL), ',') AS gaps FROM x""")
 def s15_filing_rows(spark, sf_dir):
     """Orders as raw filing rows: forms and amendments, addresses of the archive, others and none."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    cik, form = F.lpad(c.cast("string"), 10, "0"), F.get(F.array(*[F.lit(f) for f in ("10-K", "10-Q", "8-K", "4", "memo")]), (k % 5).cast("int"))
-    name = F.concat(form, F.when(k % 4 == 0, "/A").otherwise(""), F.lit(" report "), F.when(k % 6 == 5, F.concat(F.lit("("), cik, F.lit(")"))).otherwise(""))
+    cik, form = F.lpad(c.cast("string"), 10, "0"), F.get(F.array(*[F.lit(f) for f in ("10-K", "10-Q", "S-1", "424B5", "8-K", "4", "11-K", "memo")]), (k % 8).cast("int"))
+    name = F.concat(form, F.when(k % 4 == 0, "/A").otherwise(""), F.when(k % 2 == 0, " - report ").otherwise(" report "), F.when(k % 6 == 5, F.concat(F.lit("("), cik, F.lit(")"))).otherwise(""))
     archive = F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), c.cast("string"), F.lit("/"), cik, F.lit("24"), F.lpad((k % 1000000).cast("string"), 6, "0"), F.lit("/doc.htm"))
     urls = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("file:x"), archive)).otherwise(F.array(F.lit("https://example.org/x")))
     raw = read(spark, sf_dir, "orders").select(F.to_json(F.struct(k.cast("string").alias("id"), name.alias("file_name"), urls.alias("file_urls"))).alias("json"))
     return fl.filings(raw).select("id", "form_type", "amendment", "issuer_cik", "accession_number", F.array_join("gaps", ",").alias("gaps"))
 
 
+@query("""WITH h AS (SELECT o_custkey AS id, o_orderkey % 9 = 0 AS nameless, o_custkey % 4 = 0 OR o_orderkey % 8 = 0 AS late, (o_orderkey % 1000) / 10.0::DOUBLE AS pct FROM orders)
+SELECT id, count(*) AS holders, count(DISTINCT late) AS as_of_dates, count(*) FILTER (nameless) AS unattributed, round(sum(pct), 4) AS percent, array_to_string(list_filter([CASE WHEN count(DISTINCT late) > 1 THEN 'mixed_report_periods' END, CASE WHEN count(*) FILTER (nameless) > 0 THEN 'unattributed_holders' END, 'ordering_unknown'], lambda c: c IS NOT NULL), ',') AS gaps FROM h GROUP BY id""")
+def s15_holder_lists(spark, sf_dir):
+    """Customers as issuers and their orders as holders: some without a name, some of another quarter."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    late = (c % 4 == 0) | (k % 8 == 0)
+    holder = F.struct(F.when(k % 9 == 0, " ").otherwise(F.concat(F.lit("H"), k.cast("string"))).alias("shareholder_name"), k.cast("string").alias("shareholder_id"), F.when(late, "2024-06-30").otherwise("2024-03-31").alias("report_date"), F.concat((k % 1000 / 10).cast("string"), F.lit("%")).alias("percent_of_shares"), F.lit("1,000").alias("shares_changed"))
+    raw = read(spark, sf_dir, "orders").groupBy(c.alias("id")).agg(F.to_json(F.struct(F.collect_list(holder).alias("shareholder_list"))).alias("json"))
+    rows, payloads = fl.holders(raw)
+    total = rows.groupBy("id").agg(F.round(F.sum("percent"), 4).alias("percent"))
+    return payloads.join(total, "id").select("id", F.col("holders").cast("long").alias("holders"), F.size("as_of_dates").cast("long").alias("as_of_dates"), F.col("unattributed_count").cast("long").alias("unattributed"), "percent", F.array_join("gaps", ",").alias("gaps"))
+
+
 @query("SELECT p_partkey AS id, f AS field_name, CASE f WHEN 'roe' THEN p_size + 0.5 WHEN 'revenue' THEN p_size * 1000.0 END::DOUBLE AS value, CASE f WHEN 'roe' THEN 'percent' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'USD' ELSE 'HKD' END END AS unit, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size::DOUBLE END AS yoy FROM part, (SELECT unnest(['roe', 'revenue', 'blank']) AS f)")
 def s15_statement_rows(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("p_size")

@@ -10,15 +10,18 @@ from marlstone.functions.numeric import parse_number
 FILING = "id string, file_name string, file_urls array<string>, publish_at string"
 STATEMENT = "currency string, indicators array<struct<field_name:string,indicator_name:string,indicator_value:string,yoy:string>>"
 INSIDER = "owner_name string, transaction_type string, transaction_date string, shares string, price string, document_url string, form string"
+HOLDERS = "shareholder_list array<struct<shareholder_name:string,shareholder_id:string,report_date:string,percent_of_shares:string,shares_changed:string>>"
 #: Forms that a file's name can begin with.
 FORMS = ("10-K", "10-Q", "8-K", "20-F", "6-K", "DEF 14A", "13F-HR", "SC 13D", "SC 13G", "3", "4", "5")
 
 
 def form_type(name: Column) -> Column:
-    """The form that a file's name begins with, with /A where it is an amendment; null for any other."""
+    """The form of a file's name, with /A where it is an amendment: whatever code stands before " - ", else a known form that the name begins with; null for any other."""
+    head = F.trim(F.substring_index(name, " - ", 1))
+    coded = F.when(name.contains(" - ") & head.rlike("^[A-Za-z0-9-]+(?:/[Aa])?$"), F.upper(head))
     forms = "|".join(f.replace(" ", r"\s+") for f in FORMS)
     found = F.regexp_extract(F.upper(F.trim(name)), rf"^(?:FORM\s+)?((?:{forms})(?:/A)?)(?=\s|$|[(:,])", 1)
-    return F.when(found != "", F.regexp_replace(found, r"\s+", " "))
+    return F.coalesce(coded, F.when(found != "", F.regexp_replace(found, r"\s+", " ")))
 
 
 def archive_parts(url: Column) -> dict[str, Column]:
@@ -59,3 +62,20 @@ def insiders(raw: DataFrame, json: str = "json") -> DataFrame:
     x = raw.select("id", F.from_json(json, INSIDER).alias("r")).select("id", "r.*")
     a = archive_parts(F.col("document_url"))
     return x.select("id", F.trim("owner_name").alias("owner"), F.col("transaction_type").alias("kind"), parse_number(F.col("shares")).alias("shares"), parse_number(F.col("price")).alias("price"), F.when(a["known"], a["accession"]).alias("accession_number"), F.coalesce(F.upper(F.coalesce("form", F.lit("4"))).endswith("/A"), F.lit(False)).alias("amendment"))
+
+
+def holders(raw: DataFrame, json: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(rows, payloads) of holder lists, the quarterly ones of institutions among them.
+
+    rows: id, holder, report_date, percent, changed, unattributed (no name). payloads: id, holders, as_of_dates, mixed_period (rows of more
+    than one report date, whose shares may not be summed), unattributed_count, gaps. The order of a list says nothing about size.
+    """
+    x = raw.select("id", F.coalesce(F.from_json(json, HOLDERS)["shareholder_list"], F.array()).alias("l"))
+    x = x.withColumn("l", F.filter("l", lambda r: r.isNotNull()))
+    nameless = lambda r: F.coalesce(F.trim(r["shareholder_name"]), F.lit("")) == ""
+    dates = F.array_sort(F.array_distinct(F.filter(F.transform("l", lambda r: F.nullif(r["report_date"], F.lit(""))), lambda d: d.isNotNull())))
+    p = x.select("id", F.size("l").alias("holders"), dates.alias("as_of_dates"), F.size(F.filter("l", nameless)).alias("unattributed_count")).withColumn("mixed_period", F.size("as_of_dates") > 1)
+    gaps = F.array_compact(F.array(F.when(F.col("holders") == 0, "empty_holder_list"), F.when(F.col("mixed_period"), "mixed_report_periods"), F.when(F.col("unattributed_count") > 0, "unattributed_holders"), F.lit("ordering_unknown")))
+    r = x.select("id", F.explode("l").alias("r"))
+    rows = r.select("id", F.trim("r.shareholder_name").alias("holder"), F.nullif("r.report_date", F.lit("")).alias("report_date"), parse_number(F.col("r.percent_of_shares")).alias("percent"), parse_number(F.col("r.shares_changed")).alias("changed"), nameless(F.col("r")).alias("unattributed"))
+    return rows, p.withColumn("gaps", gaps)

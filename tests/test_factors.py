@@ -143,3 +143,21 @@ def test_comparison_of_controls_and_its_summary(spark):
     narrow = en.compare_nulls(run(circular), run(shuffle), directions={"a": "+", "b": "+", "c": "+"})
     assert en.comparison_summary(narrow).first().status == "failed_invariants"
     assert en.required_rows("rev_5", 4, 40) == 6 + 4 * 41 and en.required_rows("range_pos_252", 1, 40) == 844
+
+
+def test_conditions_take_states_away_and_never_lift_them(spark):
+    from marlstone.operators import engine as en
+
+    rows = [("a", 1, b, s, d) for b, s, d in (("x", "ok", True), ("y", "ok", False))] + [("b", 1, "x", "ok", False), ("b", 1, "y", "ok", False), ("c", 1, "x", "unjudgeable", False), ("c", 1, "y", "insufficient_sample", False), ("d", 1, "x", "ok", False), ("d", 1, "y", "insufficient_sample", False)]
+    v = spark.createDataFrame(rows, "factor string, horizon int, bin string, status string, degraded boolean")
+    pairs = en.condition_pairs(v)
+    assert {r.factor: r.pair_status for r in pairs.collect()} == {"a": "degradation_observed", "b": "no_degradation", "c": "pending_unjudgeable", "d": "pending_insufficient_sample"}
+    family = lambda names, complete=True: en.condition_family(pairs.where(F.col("factor").isin(*names)), complete).first()
+    assert (family("ab").dimension_status, family("ab").retained, family("ab").scanned) == ("retained_degradation_observed", True, 4)
+    assert [family(n).dimension_status for n in ("b", "bc", "bd")] == ["rejected_no_degradation", "pending_unjudgeable", "pending_insufficient_sample"]
+    assert family("ab", False).dimension_status == "pending_family_aggregation"
+    states = ["confirmed_alive", "train_only", "noise", "reversed_strict", None]
+    d = spark.createDataFrame([(g, p) for g in states for p in states], "g string, p string").withColumn("s", en.ceiling(F.col("g"), F.col("p")))
+    for r in d.collect():
+        want = None if r.g is None or r.p is None else r.g if r.g != "confirmed_alive" or r.p == "confirmed_alive" else "train_only"
+        assert r.s == want
