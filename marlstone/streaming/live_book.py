@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from statistics import median
@@ -10,7 +11,7 @@ from statistics import median
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "detector string, symbol string, session_id string, event_id long, ticks long, fired boolean, strength double"
 NAMES = [f.split()[0] for f in OUT.split(", ")]
@@ -38,56 +39,60 @@ class Settings:
     leak_drop: float = 0.5
 
 
-class LiveBook(StatefulProcessor):
-    """State of one symbol and session: the last `lookback` snapshots, and every level that is followed by itself, by its price and the snapshot in which it appeared, until it is settled or its snapshots are over."""
+#: Of a session: snapshots so far, and of the last one time, id, price, traded volume, limit, seal; the last snapshots; the levels that are followed.
+SESSION = "symbol:string,session_id:string,n:long,us:long,event_id:long,last:long,cum:long,limit_ticks:long,seal:long,recent:array<struct<bids:array<long>,bid_volumes:array<long>,asks:array<long>,ask_volumes:array<long>>>,levels:array<struct<detector:string,ticks:long,appeared:long,level:struct<" + ",".join(f.replace(" ", ":") for f in LEVEL.split(", ")) + ">>>"
+STATE = f"sessions array<struct<{SESSION}>>"
+SIDES = ("bids", "bid_volumes", "asks", "ask_volumes")
+
+
+class LiveBook:
+    """The fold of a bucket of sessions, as a call for each small session costs more than its rows. A session's state is bounded by the settings: the last `lookback` snapshots, and every level that is followed, by its price and the snapshot in which it appeared, until it is settled or its snapshots are over; still sessions go."""
 
     def __init__(self, settings: str, idle_ms: int):
-        self.settings, self.idle_ms = settings, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.p = Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(self.settings).items()})
-        self.recent = handle.getListState("recent", "bids array<long>, bid_volumes array<long>, asks array<long>, ask_volumes array<long>")
-        self.levels = handle.getMapState("levels", "detector string, ticks long, appeared long", LEVEL)
-        #: Snapshots so far, and of the last one: time, id, price, traded volume, limit, seal.
-        self.last = handle.getValueState("last", "n long, us long, event_id long, last long, cum long, limit_ticks long, seal long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
-        state = self.last.get() if self.last.exists() else (0, -(2**62), 0, None, None, None, None)
-        recent = [[dict(zip(x[0], x[1], strict=True)), dict(zip(x[2], x[3], strict=True))] for x in self.recent.get()] if self.recent.exists() else []
-        levels = {tuple(k): list(v) for k, v in self.levels.iterator()}
-        before, out = {k: tuple(v) for k, v in levels.items()}, []
-        for x in batch.to_dict("records"):
-            if (x["us"], x["event_id"]) <= state[1:3]:
-                out.append(("out_of_order", *key, x["event_id"], None, False, 0.0))
+        self.p, self.idle_ms = Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(settings).items()}), idle_ms
+
+    def __call__(self, bucket: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = state.getOption
+        sessions = {tuple(x[:2]): tuple(x[2:]) for x in kept[0]} if kept is not None else {}
+        batches, out = defaultdict(list), []
+        if not state.hasTimedOut:
+            names = ("symbol", "session_id", "us", "event_id", "last", "cum", "limit_ticks", "seal", *SIDES)
+            for pdf in rows:
+                for x in zip(*(pdf[c].tolist() for c in names), strict=True):
+                    batches[tuple(None if v is None or v != v else v for v in x[:2])].append(x[2:])
+        for key, batch in batches.items():
+            sessions[key] = self._session(key, sorted(batch, key=lambda x: x[:2]), sessions.get(key), out)
+        # A session that has been still for so long is over.
+        watermark = state.getCurrentWatermarkMs()
+        ends = {k: v[1] // 1000 + self.idle_ms for k, v in sessions.items()}
+        open_ = [(*k, *v) for k, v in sessions.items() if ends[k] > watermark]
+        if open_:
+            state.update((open_,))
+            state.setTimeoutTimestamp(min(e for e in ends.values() if e > watermark))
+        elif kept is not None:
+            state.remove()
+        if out:
+            columns = dict(zip(NAMES, zip(*out, strict=True), strict=True))
+            yield pd.DataFrame({**columns, "ticks": pd.array(columns["ticks"], dtype="Int64")})
+
+    def _session(self, key: tuple, batch: list[tuple], kept: tuple | None, out: list[tuple]) -> tuple:
+        """The state of a session after its rows of a micro-batch; what they tell goes to out."""
+        now, recent, levels = (0, -(2**62), 0, None, None, None, None), [], {}
+        if kept is not None:
+            now = tuple(kept[:7])
+            recent = [[dict(zip(x[0], x[1], strict=True)), dict(zip(x[2], x[3], strict=True))] for x in kept[7]]
+            levels = {tuple(x[:3]): list(x[3]) for x in kept[8]}
+        none = lambda v: None if v is None or v != v else int(v)
+        for us, event_id, last, cum, limit_ticks, seal, *sides in batch:
+            if (us, event_id) <= now[1:3]:
+                out.append(("out_of_order", *key, event_id, None, False, 0.0))
                 continue
-            bids, asks = ({int(t): int(v) for t, v in zip(x[a], x[b], strict=True)} for a, b in (("bids", "bid_volumes"), ("asks", "ask_volumes")))
-            none = lambda v: None if pd.isna(v) else int(v)
-            now = (state[0], int(x["us"]), int(x["event_id"]), none(x["last"]), none(x["cum"]), none(x["limit_ticks"]), none(x["seal"]))
-            out += [(d, *key, e, t, f, s) for d, e, t, f, s in self._step(now, state, bids, asks, recent, levels)]
+            bids, asks = ({int(t): int(v) for t, v in zip(*side, strict=True)} for side in (sides[:2], sides[2:]))
+            at = (now[0], us, event_id, none(last), none(cum), none(limit_ticks), none(seal))
+            out += [(d, *key, e, t, f, s) for d, e, t, f, s in self._step(at, now, bids, asks, recent, levels)]
             recent = [*recent, [bids, asks]][-self.p.lookback :]
-            state = (state[0] + 1, *now[1:])
-        self.last.update(state)
-        self.recent.put([(list(b), list(b.values()), list(a), list(a.values())) for b, a in recent])
-        for k in before.keys() - levels.keys():
-            self.levels.removeKey(k)
-        for k, v in levels.items():
-            if before.get(k) != tuple(v):
-                self.levels.updateValue(k, tuple(v))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(state[1] // 1000 + self.idle_ms)
-        yield pd.DataFrame(out, columns=NAMES).astype({"event_id": "int64", "ticks": "Int64", "fired": bool, "strength": float})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The session has been still for so long that it is over."""
-        for state in (self.last, self.recent, self.levels):
-            state.clear()
-        yield pd.DataFrame(columns=NAMES).astype({"event_id": "int64", "ticks": "Int64", "fired": bool, "strength": float})
-
-    def close(self) -> None:
-        pass
+            now = (now[0] + 1, *at[1:])
+        return (*now, [(list(b), list(b.values()), list(a), list(a.values())) for b, a in recent], [(*k, tuple(v)) for k, v in levels.items()])
 
     def _step(self, now, last, bids, asks, recent, levels) -> Iterator[tuple]:
         p, (n, _, event_id, price, cum, _, _) = self.p, now
@@ -148,17 +153,18 @@ class LiveBook(StatefulProcessor):
                     levels["wall_breaker", t, n] = [event_id, v, cum, 0, 0, v, price, False, False]
 
 
-def follow(snapshots: DataFrame, settings: Settings, delay: str = "1 day", idle: str = "1 day") -> DataFrame:
+def follow(snapshots: DataFrame, settings: Settings, delay: str = "1 day", idle: str = "1 day", buckets: int = 1024) -> DataFrame:
     """detector, symbol, session_id, event_id, ticks, fired, strength over a stream of snapshots: symbol, session_id, ts, event_id, last, cum
     (traded so far), bids, bid_volumes, asks, ask_volumes (prices in ticks and volumes, the same length), limit_ticks, seal.
 
     Snapshots of a session are taken as they come, in the order of time and id within a micro-batch; one that is not later than the last
     of its session is told as out_of_order and changes nothing. A session that is still for `idle` behind the watermark is over, and its
-    state goes. A vanished level is told with the snapshot in which it appeared.
+    state goes. A vanished level is told with the snapshot in which it appeared. Sessions are dealt to buckets by their hash; how many is
+    part of a stream's checkpoint.
     """
     if settings.break_steps > settings.break_most:
         raise ValueError("the steps cannot exceed the snapshots that a wall is followed")
     longs = [F.col(c).cast("array<long>").alias(c) for c in ("bids", "bid_volumes", "asks", "ask_volumes")] + [F.col(c).cast("long").alias(c) for c in ("last", "cum", "limit_ticks", "seal")]
     x = snapshots.withWatermark("ts", delay).select(F.col("symbol").cast("string").alias("symbol"), F.col("session_id").cast("string").alias("session_id"), "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), *longs)
-    processor = LiveBook(json.dumps(asdict(settings)), int(pd.Timedelta(idle).total_seconds() * 1000))
-    return x.groupBy("symbol", "session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    fold = LiveBook(json.dumps(asdict(settings)), int(pd.Timedelta(idle).total_seconds() * 1000))
+    return x.withColumn("bucket", F.pmod(F.xxhash64("symbol", "session_id"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInPandasWithState(lambda key, rows, state: fold(key, rows, state), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -50,3 +50,25 @@ def test_pairs_of_several_blocks_without_a_copy_of_the_series_for_each(spark, mo
                     assert told is None or b == 3 and abs(np.var(y)) > 0
                 else:
                     assert math.isclose(told, want, rel_tol=1e-7, abs_tol=1e-9)
+
+
+def test_many_small_sessions_share_the_calls_and_the_state_rows_of_a_few_buckets(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from marlstone.streaming import detectors, live_book, streams
+
+    t0 = datetime(2024, 1, 1)
+    rows = [(f"s{i % 90}", "d", t0 + timedelta(seconds=i), i, 5, i, [10, 9], [100 * (1 + i % 7), 50], [11], [30], None, None) for i in range(270)]
+    x = spark.createDataFrame(rows, "symbol string, session_id string, ts timestamp, event_id long, last long, cum long, bids array<long>, bid_volumes array<long>, asks array<long>, ask_volumes array<long>, limit_ticks long, seal long")
+    p = live_book.Settings(("order_wall",), lookback=2, wall_factor=1.1, wall_least=1.0)
+    seen = {}
+    for buckets in (1, 7, 1024):
+        with streams.rocks(spark):
+            found = live_book.follow(streams.in_order(spark, x, "many", 2), p, buckets=buckets)
+            seen[buckets] = sorted(tuple(r) for r in streams.drain(found, "found").collect())
+    assert seen[1] == seen[7] == seen[1024] and len(seen[1]) > 0
+    told = {}
+    for buckets in (1, 1024):
+        live = streams.as_stream(spark, x.selectExpr("cast(substr(symbol, 2) as long) symbol", "date'2024-01-01' session_id", "ts", "event_id", "cast(event_id % 5 as long) ticks", "cast(event_id % 97 as long) traded"), "ticks")
+        told[buckets] = sorted(tuple(r) for r in streams.drain(detectors.ignition(live, 1.2, 1, 1.0, buckets=buckets), "told").collect())
+    assert told[1] == told[1024] and len(told[1]) == 90
