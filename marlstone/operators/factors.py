@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from collections.abc import Callable
 
 import numpy as np
@@ -180,23 +182,33 @@ def _draw(seed: Column | int, *parts: Column) -> Column:
 def shuffle_null(sections: DataFrame, trials: int, seed: Column | int = 7, by: list[str] | None = None) -> DataFrame:
     """factor_name, trial, trial_ic: in each date the factor ranks are dealt anew among the names, by the order of an md5 of (trial, date, symbol, seed).
 
-    The panel is shuffled once, into one row for each section with its names as an array (as long as a date has names); all trials
-    are dealt inside that row, so neither rows nor shuffles grow with the trials. Means and spreads of the ranks are the same in every
-    trial: only the sum of products is counted anew.
+    The panel is shuffled once, by section; all trials are dealt inside its task, one after the other, as arrays as long as a date has
+    names, so neither rows nor shuffles grow with the trials. A section's time is that of a digest and a sort for each trial. Means and
+    spreads of the ranks are the same in every trial: only the sum of products is counted anew.
     """
     by = by or ["factor_name"]
-    s = sections.withColumn("__seed", seed if isinstance(seed, Column) else F.lit(seed)).groupBy(*by, "date").agg(
-        F.array_sort(F.collect_list("fr")).alias("frs"), F.collect_list(F.struct("symbol", "rr")).alias("held"), F.first("__seed").alias("seed"),
-        F.avg("fr").alias("mf"), F.avg("rr").alias("mr"), (F.stddev_pop("fr") * F.stddev_pop("rr")).alias("spread"),
-    )
-
-    def trial_ic(t: Column) -> Column:
-        dealt = F.array_sort(F.transform("held", lambda x: F.struct(_draw(F.col("seed"), t, F.col("date"), x["symbol"]).alias("k"), x["symbol"].alias("s"), x["rr"].alias("rr"))))
-        products = F.aggregate(F.zip_with("frs", dealt, lambda f, d: f * d["rr"]), F.lit(0.0), lambda a, x: a + x)
-        return F.try_divide(products / F.size("frs") - F.col("mf") * F.col("mr"), F.col("spread"))
-
-    ics = s.select(*by, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), trial_ic)).alias("trial", "ic"))
-    return _mean_ic_by_trial(ics, by)
+    s = sections.select(*by, "date", "symbol", "fr", "rr", (seed if isinstance(seed, Column) else F.lit(seed)).cast("string").alias("__seed"))
+    # The texts that are drawn by are Spark's own.
+    s = s.withColumn("__tail", F.concat_ws("|", F.lit(""), F.col("date").cast("string"), F.col("symbol").cast("string"), "__seed")).drop("__seed")
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["symbol", "rr"], kind="stable")
+        fr, rr, tails = np.sort(pdf["fr"].to_numpy()), pdf["rr"].to_numpy(), [t.encode() for t in pdf["__tail"].tolist()]
+        spread = fr.std() * rr.std()
+        ic = np.full(trials, np.nan)
+        for t in range(trials if spread > 0 else 0):
+            head = str(t).encode()
+            keys = np.frombuffer(b"".join([md5(head + x).digest() for x in tails]), dtype=">u8").reshape(-1, 2)
+            order = np.argsort(keys[:, 0].astype(np.uint64), kind="stable")
+            first = keys[order, 0]
+            if (first[1:] == first[:-1]).any():  # the other half decides
+                order = np.lexsort((keys[:, 1].astype(np.uint64), keys[:, 0].astype(np.uint64)))
+            ic[t] = ((fr * rr[order]).mean() - fr.mean() * rr.mean()) / spread
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "trial": np.arange(trials, dtype=np.int32), "ic": ic})
+
+    kinds = ", ".join(f"{c} {sections.schema[c].dataType.simpleString()}" for c in by)
+    ics = s.groupBy(*by, "date").applyInPandas(deal, f"{kinds}, trial int, ic double")
+    return _mean_ic_by_trial(ics.where(~F.isnan("ic")), by)
 
 
 def circular_null(sections: DataFrame, trials: int, seed: Column | int = 7, by: list[str] | None = None) -> DataFrame:

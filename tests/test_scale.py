@@ -72,3 +72,23 @@ def test_many_small_sessions_share_the_calls_and_the_state_rows_of_a_few_buckets
         live = streams.as_stream(spark, x.selectExpr("cast(substr(symbol, 2) as long) symbol", "date'2024-01-01' session_id", "ts", "event_id", "cast(event_id % 5 as long) ticks", "cast(event_id % 97 as long) traded"), "ticks")
         told[buckets] = sorted(tuple(r) for r in streams.drain(detectors.ignition(live, 1.2, 1, 1.0, buckets=buckets), "told").collect())
     assert told[1] == told[1024] and len(told[1]) == 90
+
+
+def test_shuffle_control_deals_by_digest_without_a_row_for_a_whole_section(spark):
+    from hashlib import md5
+
+    from marlstone.operators import factors as fx
+
+    rng = random.Random(9)
+    rows = [("f", d, s, float(rng.randrange(1, 9)), float(rng.randrange(1, 9))) for d in ("d1", "d2", "d3") for s in range(12)] + [("f", "d4", s, 2.0, float(s)) for s in range(5)]  # the last section has no spread
+    x = fx.shuffle_null(spark.createDataFrame(rows, "factor_name string, date string, symbol long, fr double, rr double"), 4, 7)
+    assert "collect_list" not in x._jdf.queryExecution().toString()
+    got = {r.trial: r.trial_ic for r in x.collect()}
+    for t in range(4):
+        ics = []
+        for d in ("d1", "d2", "d3"):
+            held = [r for r in rows if r[1] == d]
+            dealt = [r[4] for r in sorted(held, key=lambda r: md5(f"{t}|{d}|{r[2]}|7".encode()).hexdigest())]
+            ics.append(np.corrcoef(sorted(r[3] for r in held), dealt)[0, 1])
+        assert math.isclose(got[t], np.mean(ics), rel_tol=1e-9)
+    assert len(got) == 4
