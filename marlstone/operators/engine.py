@@ -23,6 +23,12 @@ def required_rows(name: str, horizon: int, min_dates: int) -> int:
     return max(history + horizon * (min_dates + 1), math.ceil((history + horizon) / 0.30))
 
 
+def _kept(panel: DataFrame, names: list[str], horizons: list[int]) -> DataFrame:
+    """What an evaluation reads of a panel, worked out once for all its sections, dates and controls; a panel that is kept already stays as it is."""
+    columns = [c for c in dict.fromkeys(("symbol", "date", "null_eligible", *names, *[f"fwd_{h}" for h in horizons])) if c in panel.columns]
+    return panel if panel.columns == columns else written(panel.select(*columns), "panel")
+
+
 def run_engine(panel: DataFrame, names: list[str], horizons: list[int], trials: int = 100, seed: int = 7, least: int = 30, min_dates: int = 40, share: float = 0.7, null: str = "shuffle") -> DataFrame:
     """factor_name, horizon and the columns of evaluate, each horizon over sections that do not overlap (a section every `horizon` dates).
 
@@ -31,6 +37,7 @@ def run_engine(panel: DataFrame, names: list[str], horizons: list[int], trials:
     """
     if not names or not horizons or min(horizons) < 1:
         raise ValueError("factors and horizons of one bar or more are needed")
+    panel = _kept(panel, names, horizons)
     runs = [fx.evaluate(panel, names, h, trials, seed, least, min_dates, share, h, null).withColumn("horizon", F.lit(h)) for h in horizons]
     bars = panel.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.coalesce(F.min("n"), F.lit(0)).alias("available_rows"), F.coalesce(F.median("n"), F.lit(0.0)).alias("available_median"))
     x = reduce(DataFrame.unionByName, runs).join(F.broadcast(bars))  # one row
@@ -82,6 +89,7 @@ def conditional_validation(panel: DataFrame, names: list[str], horizons: list[in
     the ceiling of global_state, and degraded says that a confirmed factor is train_only in this bin.
     """
     keep = ["null_eligible"] if "null_eligible" in panel.columns else None
+    panel = _kept(panel, names, horizons)
     key = F.concat_ws("|", "factor_name", F.col("horizon").cast("string"), "state")
     parts = [fx.strided(fx.long_sections(panel, names, h, least, keep), h).withColumn("horizon", F.lit(h)) for h in horizons]
     s = written(reduce(DataFrame.unionByName, parts).join(states.where(F.col("state").isin(*bins)).select("date", "state"), "date").withColumn("factor_name", key).drop("horizon", "state"), "conditions")

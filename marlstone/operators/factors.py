@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -182,32 +183,55 @@ def _draw(seed: Column | int, *parts: Column) -> Column:
 def shuffle_null(sections: DataFrame, trials: int, seed: Column | int = 7, by: list[str] | None = None) -> DataFrame:
     """factor_name, trial, trial_ic: in each date the factor ranks are dealt anew among the names, by the order of an md5 of (trial, date, symbol, seed).
 
-    The panel is shuffled once, by section; all trials are dealt inside its task, one after the other, as arrays as long as a date has
-    names, so neither rows nor shuffles grow with the trials. A section's time is that of a digest and a sort for each trial. Means and
-    spreads of the ranks are the same in every trial: only the sum of products is counted anew.
+    The panel is shuffled once, by date and seed: what is drawn there is the same for every factor, so a name's digests are worked out
+    once for all of them. All trials are dealt inside the task, one after the other, as arrays as long as a date has names, so neither
+    rows nor shuffles grow with the trials. Means and spreads of the ranks are the same in every trial: only the sum of products is
+    counted anew.
     """
     by = by or ["factor_name"]
     s = sections.select(*by, "date", "symbol", "fr", "rr", (seed if isinstance(seed, Column) else F.lit(seed)).cast("string").alias("__seed"))
     # The texts that are drawn by are Spark's own.
-    s = s.withColumn("__tail", F.concat_ws("|", F.lit(""), F.col("date").cast("string"), F.col("symbol").cast("string"), "__seed")).drop("__seed")
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["symbol", "rr"], kind="stable")
-        fr, rr, tails = np.sort(pdf["fr"].to_numpy()), pdf["rr"].to_numpy(), [t.encode() for t in pdf["__tail"].tolist()]
-        spread = fr.std() * rr.std()
-        ic = np.full(trials, np.nan)
-        for t in range(trials if spread > 0 else 0):
+    s = s.select(*by, "date", "fr", "rr", "__seed", F.concat_ws("|", F.lit(""), F.col("date").cast("string"), F.col("symbol").cast("string"), "__seed").alias("__tail"))
+    kinds = ", ".join(f"{c} {sections.schema[c].dataType.simpleString()}" for c in by)
+
+    def deal(rows: pa.Table) -> pa.Table:
+        encoded = rows["__tail"].combine_chunks().dictionary_encode()
+        tails, code = [t.encode() for t in encoded.dictionary.to_pylist()], encoded.indices.to_numpy()
+        own = np.zeros(len(code), dtype=np.int64)
+        for c in by:
+            k = rows[c].combine_chunks().dictionary_encode(null_encoding="encode")
+            own = own * len(k.dictionary) + k.indices.to_numpy()
+        fr, rr = rows["fr"].to_numpy(), rows["rr"].to_numpy()
+        at = np.lexsort((rr, own))
+        parts = np.split(at, np.flatnonzero(np.diff(own[at])) + 1)
+        held = []
+        for p in parts:
+            f, r, c = np.sort(fr[p]), rr[p], code[p]
+            held.append((f, r, c, f.std() * r.std(), len(np.unique(c)) == len(c)))
+        ic = np.full((len(parts), trials), np.nan)
+        place, slot = np.empty(len(tails), dtype=np.int64), np.empty(len(tails), dtype=np.int64)
+        for t in range(trials if any(x[3] > 0 for x in held) else 0):
             head = str(t).encode()
             keys = np.frombuffer(b"".join([md5(head + x).digest() for x in tails]), dtype=">u8").reshape(-1, 2)
             order = np.argsort(keys[:, 0].astype(np.uint64), kind="stable")
             first = keys[order, 0]
             if (first[1:] == first[:-1]).any():  # the other half decides
                 order = np.lexsort((keys[:, 1].astype(np.uint64), keys[:, 0].astype(np.uint64)))
-            ic[t] = ((fr * rr[order]).mean() - fr.mean() * rr.mean()) / spread
-        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "trial": np.arange(trials, dtype=np.int32), "ic": ic})
-
-    kinds = ", ".join(f"{c} {sections.schema[c].dataType.simpleString()}" for c in by)
-    ics = s.groupBy(*by, "date").applyInPandas(deal, f"{kinds}, trial int, ic double")
+            place[order] = np.arange(len(tails))
+            for n, (f, r, c, spread, once) in enumerate(held):
+                if not spread > 0:
+                    continue
+                if once:  # the names of this part, in the order of all
+                    slot[:] = -1
+                    slot[place[c]] = np.arange(len(c))
+                    dealt = r[slot[slot >= 0]]
+                else:
+                    dealt = r[np.argsort(place[c], kind="stable")]
+                ic[n, t] = ((f * dealt).mean() - f.mean() * r.mean()) / spread
+        lead = rows.select(by).take(pa.array(np.repeat([p[0] for p in parts], trials)))
+        return lead.append_column("trial", pa.array(np.tile(np.arange(trials, dtype=np.int32), len(parts)))).append_column("ic", pa.array(ic.ravel()))
+
+    ics = s.groupBy("date", "__seed").applyInArrow(deal, f"{kinds}, trial int, ic double")
     return _mean_ic_by_trial(ics.where(~F.isnan("ic")), by)
 
 

@@ -111,3 +111,28 @@ def test_shuffle_control_deals_by_digest_without_a_row_for_a_whole_section(spark
             ics.append(np.corrcoef(sorted(r[3] for r in held), dealt)[0, 1])
         assert math.isclose(got[t], np.mean(ics), rel_tol=1e-9)
     assert len(got) == 4
+
+
+def test_a_names_digests_are_worked_out_once_for_all_factors_of_a_date(spark):
+    from hashlib import md5
+
+    from pyspark.sql import functions as F
+
+    from marlstone.operators import factors as fx
+
+    rng = random.Random(4)
+    rows = [(f, sc, d, s, float(rng.randrange(1, 9)), float(rng.randrange(1, 9))) for f in ("f", "g|r0") for sc in ("overall", "train") for d in ("d1", "d2") for s in range(15) if (f, s) not in (("f", 3), ("g|r0", 8))]
+    x = spark.createDataFrame(rows, "factor_name string, scope string, date string, symbol long, fr double, rr double")
+    seed = F.when(F.col("scope") == "train", 8).otherwise(7)
+    null = fx.shuffle_null(x, 3, seed, ["factor_name", "scope"])
+    plan = null._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInArrow [date" in plan  # no factor in the key of the task
+    got = {(r.factor_name, r.scope, r.trial): r.trial_ic for r in null.collect()}
+    assert len(got) == 12
+    for f, sc, t in got:
+        ics = []
+        for d in ("d1", "d2"):
+            held = [r for r in rows if r[:3] == (f, sc, d)]
+            dealt = [r[5] for r in sorted(held, key=lambda r: md5(f"{t}|{d}|{r[3]}|{8 if sc == 'train' else 7}".encode()).hexdigest())]
+            ics.append(np.corrcoef(sorted(r[4] for r in held), dealt)[0, 1])
+        assert math.isclose(got[f, sc, t], np.mean(ics), rel_tol=1e-9)
