@@ -253,3 +253,14 @@ def test_late_rows_and_those_in_time_are_all_rows(spark, tmp_path):
     got = {(r.day, r.event_type): (r.n, r.cents, r.closed) for r in facts.collect()}
     assert got == {("2024-01-01", "x"): (2, 500, True), ("2024-01-01", "y"): (1, 200, True), ("2024-01-02", "x"): (1, 1600, False), ("2024-01-03", "x"): (1, 150, False)}
     assert sum(n for n, *_ in got.values()) + late.count() == 6
+
+
+def test_symbols_of_an_order_log_share_the_calls_and_state_rows_of_buckets(spark):
+    rows = order_rows(random.Random(11), tuple(f"s{i}" for i in range(7)))
+    x = spark.createDataFrame(rows, ORDERS)
+    told = {}
+    for buckets in (1, 64):
+        with streams.rocks(spark):
+            changes = streams.drain(lifecycle_log.changelog(streams.in_order(spark, x, "log", 2), "90 days", "60 days", buckets), "log-told")
+        told[buckets] = sorted(map(str, lifecycle_log.standing(changes).collect()))
+    assert told[1] == told[64] and len(told[1]) > 7
