@@ -14,9 +14,9 @@ BAR = "struct<date:string,open:double,close:double,high:double,low:double,volume
 PANEL = f"symbol string, market string, source string, adjust string, basis string, caveats array<string>, rows array<{BAR}>"
 
 
-def load_panels(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(bars, gaps) from one JSON file per symbol. A symbol of more than one source is not eligible for nulls; a wanted symbol without rows is a gap, not an error."""
-    raw = spark.read.schema(PANEL).option("multiLine", True).json(path)
+def load_panels(spark: SparkSession, path: str, wanted: DataFrame | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(bars, gaps) from one JSON file per panel, or from files of any number of panels, one a line. A symbol of more than one source is not eligible for nulls; a wanted symbol without rows is a gap, not an error."""
+    raw = spark.read.schema(PANEL).option("multiLine", not lines).json(path)
     x = raw.select("symbol", "market", F.col("source").alias("panel_source"), F.col("adjust").alias("panel_adjust"), "caveats", F.explode("rows").alias("r")).select("*", "r.*").drop("r")
     kinds = x.groupBy("symbol").agg(F.count_distinct("panel_source").alias("sources"))
     bars = x.join(kinds, "symbol").withColumn("null_eligible", F.col("sources") <= 1).drop("sources")
