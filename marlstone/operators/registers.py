@@ -25,7 +25,8 @@ def newest_per_day(index: DataFrame, day: str, order: list[str]) -> DataFrame:
 def hash_feedback(entries: DataFrame, bundles: DataFrame) -> DataFrame:
     """entries with gap: an entry needs a bundle of the same content hash that was frozen before it."""
     b = bundles.groupBy("content_hash").agg(F.min("frozen_at").alias("frozen_at"))
-    x = entries.join(b, "content_hash", "left")
+    # Bundles grow with the table, and their size is taken for smaller than it is: both sides are shuffled, none is sent whole.
+    x = entries.join(b.hint("merge"), "content_hash", "left")
     return x.select("entry_id", F.when(F.col("frozen_at").isNull(), "no_bundle").when(F.col("frozen_at") >= F.col("entered_at"), "bundle_after_entry").otherwise("linked").alias("state"))
 
 
