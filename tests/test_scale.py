@@ -136,3 +136,77 @@ def test_a_names_digests_are_worked_out_once_for_all_factors_of_a_date(spark):
             dealt = [r[5] for r in sorted(held, key=lambda r: md5(f"{t}|{d}|{r[3]}|{8 if sc == 'train' else 7}".encode()).hexdigest())]
             ics.append(np.corrcoef(sorted(r[4] for r in held), dealt)[0, 1])
         assert math.isclose(got[f, sc, t], np.mean(ics), rel_tol=1e-9)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+ORDERS = "symbol string, seq long, ts timestamp, order_id string, lifecycle string, status string, side string, quantity double, r double, ret double"
+
+
+def many_orders():
+    from datetime import datetime, timedelta
+
+    rng, t0 = random.Random(11), datetime(2024, 1, 1)
+    status = lambda: rng.choice([("open", "buy"), ("open", "long"), ("partial_closed", "sell"), ("closed", "exit"), ("closed_unreconciled", None)])
+    return [(f"s{i % 30}", i, t0 + timedelta(minutes=i), f"o{i}", None, *status(), float(rng.choice([0, 1, 2.5, 10])), rng.choice([None, 0.5, math.nan]), None) for i in range(900)]
+
+
+def test_a_table_as_a_stream_is_written_by_its_own_tasks_and_symbols_share_the_calls_of_a_few_buckets(spark, tmp_path, monkeypatch):
+    from marlstone.operators import lifecycles as lc
+    from marlstone.streaming import streams
+
+    d = spark.createDataFrame(many_orders(), ORDERS)
+    want = sorted(map(tuple, lc.latest(lc.lifecycles(d)).collect()), key=str)
+    monkeypatch.setattr(lc, "BATCH", 7)
+    for buckets in (1, 5, 1024):
+        for live in (streams.as_stream(spark, d.repartition(4), "orders"), streams.in_order(spark, d, "orders", 3)):
+            with streams.rocks(spark):
+                got = lc.latest(streams.drain(lc.stream_lifecycles(live, buckets), "lots")).collect()
+            assert sorted(map(tuple, got), key=str) == want
+    monkeypatch.setattr(streams, "fresh_path", lambda *_: f"{tmp_path}/stream")
+    streams.as_stream(spark, d.repartition(4), "orders")
+    assert len(list(tmp_path.glob("stream/part-*"))) == 4
+
+
+def test_panels_share_files(spark, tmp_path, monkeypatch):
+    from marlstone.plans import scan_queries as sq
+    from marlstone.sources import scans
+
+    (tmp_path / "p.json").write_text('{"symbol": "A", "source": "x", "rows": [{"date": "2024-01-02", "close": 1.5}]}\n{"symbol": "A", "source": "y", "rows": [{"date": "2024-01-02", "close": 2.5}]}\n{"symbol": "B", "source": "x", "rows": []}\n')
+    bars, gaps = scans.load_panels(spark, f"{tmp_path}/p.json", lines=True)
+    assert sorted((r.symbol, r.close, r.null_eligible) for r in bars.collect()) == [("A", 1.5, False), ("A", 2.5, False)] and [r.symbol for r in gaps.collect()] == ["B"]
+    monkeypatch.setattr(sq, "fresh_path", lambda *_: f"{tmp_path}/panels")
+    symbols = sq.s01_panel_scan(spark, "/root/testdata/sf0.001").count()
+    assert symbols >= 10 and len(list(tmp_path.glob("panels/**/*.json"))) <= 4
+
+
+def test_only_the_last_change_of_a_lifecycle_leaves_the_fold(spark, monkeypatch):
+    from marlstone.operators import lifecycles as lc
+
+    monkeypatch.setattr(lc, "BATCH", 7)
+    d = spark.createDataFrame(many_orders(), ORDERS)
+    x = lc.standing(d)
+    want = lc.latest(lc.lifecycles(d))
+    assert x.columns == want.columns and sorted(map(tuple, x.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "FlatMapGroups" not in plan(x) and "Aggregate" not in plan(x)
+
+
+def test_forecasts_and_cones_pass_once_over_a_symbols_bars(spark):
+    from marlstone.operators import paths as pt
+
+    rng = random.Random(5)
+    bars = spark.createDataFrame([(s, f"d{t:03}", c := 10 + rng.random(), c + rng.random(), c - rng.random()) for s in range(3) for t in range(80)], "symbol long, date string, close double, high double, low double")
+    rows = pt.study_rows(bars, 5, 3, 0.05, 0.05, {"trailing_return": [0.0], "drawdown": [], "realised_vol": [1.0]})
+    assert "Join" not in plan(pt.forecasts(rows, 3, 0.4, 5)) and "Join" not in plan(pt.matched(rows, 3))
+    assert mk.greedy_origins(rows.where("state is not null"), ["symbol", "state"], "i", 3).where("i is null").count() == 0
+
+
+def test_bundles_are_not_sent_whole(spark):
+    from marlstone.operators import registers as rg
+
+    e = spark.createDataFrame([("h1", "e1", 5), ("h2", "e2", 5), ("h3", "e3", 5)], "content_hash string, entry_id string, entered_at int")
+    b = spark.createDataFrame([("h1", 4), ("h2", 6), ("h2", 7)], "content_hash string, frozen_at int")
+    x = rg.hash_feedback(e, b)
+    assert {r.entry_id: r.state for r in x.collect()} == {"e1": "linked", "e2": "bundle_after_entry", "e3": "no_bundle"} and "Broadcast" not in plan(x)
