@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from hashlib import md5
+from operator import and_
 
 from collections.abc import Callable
 
@@ -57,12 +59,26 @@ def _rolling(c: str, n: int) -> Column:
 
 
 def _range_position() -> Column:
-    low, high = finite(F.col("low")), finite(F.col("high"))
-    lo, hi = full_window(F.min(low), low, _back(252), 252), full_window(F.max(high), high, _back(252), 252)
+    lo, hi = F.col("__lo"), F.col("__hi")
     return F.try_divide(finite(F.col("close")) - lo, hi - lo)
 
 
-#: name: (column over bars with ret, hypothesis, used by default). The registry of factors: each is a window expression.
+def with_range(bars: DataFrame, n: int) -> DataFrame:
+    """bars with the least low and the greatest high of the last n rows, __lo and __hi, missing unless all are there.
+
+    Spans of some rows are put together from shorter ones, by the prime factors of n: a frame of n rows would be gone through for every row.
+    """
+    x, wide = bars.withColumns({"__lo": finite(F.col("low")), "__hi": finite(F.col("high"))}), 1
+    while wide < n:
+        times = next(k for k in range(2, n // wide + 1) if n // wide % k == 0)
+        spans = lambda c: [F.col(c), *[F.lag(c, wide * k).over(series()) for k in range(1, times)]]  # noqa: B023, E731
+        whole = lambda c: reduce(and_, (s.isNotNull() for s in spans(c)))
+        x = x.withColumns({"__lo": F.when(whole("__lo"), F.least(*spans("__lo"))), "__hi": F.when(whole("__hi"), F.greatest(*spans("__hi")))})
+        wide *= times
+    return x
+
+
+#: name: (column over bars with ret and range, hypothesis, used by default). The registry of factors: each is a window expression.
 FACTORS: dict[str, tuple[Callable[[], Column], str, bool]] = {
     "mom_20_1": (lambda: _ratio(1, 21), "+", True),
     "mom_60_5": (lambda: _ratio(5, 65), "+", True),
@@ -88,7 +104,8 @@ def factor_panel(bars: DataFrame, names: list[str] | None = None, horizons: tupl
     """bars with ret, size, fwd_<h> and a column for each factor: one pass over the symbols' rows, one shuffle."""
     names = names or [n for n, f in FACTORS.items() if f[2]]
     cols = {"size": size_proxy(), **{f"fwd_{h}": forward_return(h) for h in horizons}, **{n: FACTORS[n][0]() for n in names}}
-    return with_returns(bars).withColumns(cols)
+    x = with_returns(bars)
+    return with_range(x, HISTORY["range_pos_252"]).withColumns(cols).drop("__lo", "__hi") if "range_pos_252" in names else x.withColumns(cols)
 
 
 def first_rows(panel: DataFrame, names: list[str]) -> DataFrame:
@@ -101,9 +118,19 @@ def long_sections(panel: DataFrame, names: list[str], horizon: int, least: int,
     """factor_name, date, symbol, factor, fwd, fr, rr: the pairs that are there of dates with at least `least` names, with their average ranks."""
     x = panel.select("date", "symbol", F.col(f"fwd_{horizon}").alias("fwd"), *(keep or []), F.explode(F.array(*[F.struct(F.lit(n).alias("factor_name"), F.col(n).alias("factor")) for n in names])).alias("x"))
     x = x.select("x.*", "date", "symbol", finite(F.col("fwd")).alias("fwd"), *(keep or [])).withColumn("factor", finite(F.col("factor")))
-    x = x.where("factor is not null and fwd is not null").withColumn("names", F.count("*").over(Window.partitionBy("factor_name", "date"))).where(F.col("names") >= least)
     by = ["factor_name", "date"]
-    return x.withColumns({"fr": average_rank(F.col("factor"), by), "rr": average_rank(F.col("fwd"), by)})
+    # Counted in the order of the rank, so that one sort serves both.
+    every = Window.partitionBy(*by).orderBy("factor").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = x.where("factor is not null and fwd is not null").withColumns({"names": F.count("*").over(every), "fr": average_rank(F.col("factor"), by)}).where(F.col("names") >= least)
+    return x.withColumn("rr", average_rank(F.col("fwd"), by))
+
+
+def kept_dates(panel: DataFrame, names: list[str], horizon: int, least: int) -> DataFrame:
+    """factor_name, dates, kept_dates: dates of the panel, and those of them that are sections; counted by date, with no row for a name and a factor."""
+    there = lambda n: F.count_if(finite(F.col(n)).isNotNull() & finite(F.col(f"fwd_{horizon}")).isNotNull())
+    x = panel.groupBy("date").agg(*[there(n).alias(n) for n in names]).where("date is not null")
+    x = x.select(F.explode(F.array(*[F.struct(F.lit(n).alias("factor_name"), F.col(n).alias("n")) for n in names])).alias("x")).select("x.*")
+    return x.groupBy("factor_name").agg(F.count("*").alias("dates"), F.count_if(F.col("n") >= least).alias("kept_dates"))
 
 
 def strided(sections: DataFrame, horizon: int) -> DataFrame:

@@ -210,3 +210,45 @@ def test_bundles_are_not_sent_whole(spark):
     b = spark.createDataFrame([("h1", 4), ("h2", 6), ("h2", 7)], "content_hash string, frozen_at int")
     x = rg.hash_feedback(e, b)
     assert {r.entry_id: r.state for r in x.collect()} == {"e1": "linked", "e2": "bundle_after_entry", "e3": "no_bundle"} and "Broadcast" not in plan(x)
+
+
+def test_range_of_many_rows_without_a_frame_of_many_rows(spark):
+    from marlstone.operators import factors as fx
+
+    rng = random.Random(8)
+    lows = {(s, t): rng.choice([None, math.nan]) if rng.random() < 0.02 else rng.random() for s in range(3) for t in range(60)}
+    d = spark.createDataFrame([(s, t, v, None if v is None else v + 1) for (s, t), v in lows.items()], "symbol int, date int, low double, high double")
+    for n in (1, 7, 12):
+        for r in fx.with_range(d, n).collect():
+            span = [lows.get((r.symbol, r.date - k)) for k in range(n)]
+            whole = all(v is not None and v == v for v in span)
+            assert (r["__lo"], r["__hi"]) == ((min(span), max(span) + 1) if whole else (None, None))
+    bars = d.selectExpr("*", "low close", "low volume", "low amount", "low turnover_rate")
+    assert "-251" not in plan(fx.factor_panel(bars, ["range_pos_252"]))
+
+
+def test_sections_are_counted_by_date_and_ranked_after_one_sort_each(spark):
+    from pyspark.sql import functions as F
+
+    from marlstone.operators import factors as fx
+
+    rng = random.Random(9)
+    d = spark.createDataFrame([(f"d{t}", s, rng.choice([None, math.nan, 0.5, rng.random()]), rng.choice([None, rng.random()]), rng.random()) for t in range(20) for s in range(8)], "date string, symbol int, a double, b double, fwd_1 double")
+    x, long = fx.kept_dates(d, ["a", "b"], 1, 4), fx.long_sections(d, ["a", "b"], 1, 4)
+    want = {r.factor_name: r.n for r in long.groupBy("factor_name").agg(F.count_distinct("date").alias("n")).collect()}
+    assert {r.factor_name: r.kept_dates for r in x.collect()} == want and all(r.dates == 20 for r in x.collect()) and "Window" not in plan(x)
+    physical = long._jdf.queryExecution().sparkPlan().toString()
+    assert physical.count("Window ") == 2
+
+
+def test_weeks_are_not_joined_by_a_shuffle_of_all_bars(spark):
+    from marlstone.sources.bindings import bars
+
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        x = bars(spark, "/root/testdata/sf0.001")
+        assert "SortMergeJoin" not in plan(x) and x.count() > 0
+    finally:
+        spark.conf.set(name, before)
