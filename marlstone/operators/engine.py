@@ -29,16 +29,16 @@ def _kept(panel: DataFrame, names: list[str], horizons: list[int]) -> DataFrame:
     return panel if panel.columns == columns else written(panel.select(*columns), "panel")
 
 
-def run_engine(panel: DataFrame, names: list[str], horizons: list[int], trials: int = 100, seed: int = 7, least: int = 30, min_dates: int = 40, share: float = 0.7, null: str = "shuffle") -> DataFrame:
+def run_engine(panel: DataFrame, names: list[str], horizons: list[int], trials: int = 100, seed: int = 7, least: int = 30, min_dates: int = 40, share: float = 0.7, null: str = "shuffle", sections: dict[int, DataFrame] | None = None) -> DataFrame:
     """factor_name, horizon and the columns of evaluate, each horizon over sections that do not overlap (a section every `horizon` dates).
 
     Where a factor has no result and the shortest symbol has fewer bars than it needs, gaps also says insufficient_history_window, with
-    available_rows (least, and the median in available_median) and required_rows.
+    available_rows (least, and the median in available_median) and required_rows. sections: those of each horizon, where they are written already.
     """
     if not names or not horizons or min(horizons) < 1:
         raise ValueError("factors and horizons of one bar or more are needed")
     panel = _kept(panel, names, horizons)
-    runs = [fx.evaluate(panel, names, h, trials, seed, least, min_dates, share, h, null).withColumn("horizon", F.lit(h)) for h in horizons]
+    runs = [fx.evaluate(panel, names, h, trials, seed, least, min_dates, share, h, null, (sections or {}).get(h)).withColumn("horizon", F.lit(h)) for h in horizons]
     bars = panel.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.coalesce(F.min("n"), F.lit(0)).alias("available_rows"), F.coalesce(F.median("n"), F.lit(0.0)).alias("available_median"))
     x = reduce(DataFrame.unionByName, runs).join(F.broadcast(bars))  # one row
     needs = reduce(lambda c, nh: F.when((F.col("factor_name") == nh[0]) & (F.col("horizon") == nh[1]), required_rows(*nh, min_dates)).otherwise(c), [(n, h) for n in names for h in horizons], F.lit(None).cast("int"))
@@ -47,6 +47,14 @@ def run_engine(panel: DataFrame, names: list[str], horizons: list[int], trials:
     return x.withColumn("gaps", F.when(short, F.concat("gaps", F.array(F.lit("insufficient_history_window")))).otherwise(F.col("gaps")))
 
 
+def run_nulls(panel: DataFrame, names: list[str], horizons: list[int], trials: int = 100, seed: int = 7, least: int = 30, min_dates: int = 40, share: float = 0.7, nulls: tuple[str, ...] = ("shuffle", "circular")) -> list[DataFrame]:
+    """run_engine once for each control, over one panel and one set of sections that all of them read."""
+    panel = _kept(panel, names, horizons)
+    keep = ["null_eligible"] if "null_eligible" in panel.columns else None
+    sections = {h: written(fx.long_sections(panel, names, h, least, keep), "sections") for h in horizons}
+    return [run_engine(panel, names, horizons, trials, seed, least, min_dates, share, null, sections) for null in nulls]
+
+
 def compare_nulls(shuffle: DataFrame, circular: DataFrame, threshold: float = 3.5, directions: dict[str, str] | None = None) -> DataFrame:
     """One row for each factor and horizon of two runs: comparable, both controls' deviation, distance and state, wider, not_higher, state_changed, downgraded.
 

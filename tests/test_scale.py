@@ -1,13 +1,17 @@
 """What larger tables and odd rows brought up: ties, pairs by blocks, many small sessions, controls of wide sections."""
 
+import hashlib
 import math
 import random
 
 import duckdb
 import numpy as np
 
+from marlstone.operators import engine as en
+from marlstone.operators import factors as fx
 from marlstone.operators import market as mk
 from marlstone.plans import checkpoint_queries as cq
+from marlstone.sources.shared import written
 
 
 def test_ordered_distinct_keeps_the_tables_order_in_ties_and_puts_missing_keys_last(spark, tmp_path):
@@ -252,3 +256,46 @@ def test_weeks_are_not_joined_by_a_shuffle_of_all_bars(spark):
         assert "SortMergeJoin" not in plan(x) and x.count() > 0
     finally:
         spark.conf.set(name, before)
+
+
+def test_rotation_in_blocks_of_packed_ranks(spark, monkeypatch):
+    monkeypatch.setattr(fx, "TURNED_ROWS", 40)
+    assert all(np.array_equal(fx._unpacked(fx._packed(m), *m.shape), m) for m in (np.array([[0.5, 1.0]]), np.array([[1.0], [70000.5], [2.0**30]]), np.array([[-1.25, 3.0]])))
+    rng = random.Random(5)
+    rows = [("f", f"d{d:02}", s, float(rng.randint(1, 9)) / 2, float(rng.randint(1, 30))) for s in range(40) for d in range(12 if s else 3) if rng.random() < 0.8 or s in (1, 2)]
+    df = spark.createDataFrame(rows, "factor_name string, date string, symbol long, fr double, rr double")
+    g = fx.circular_null(df, 4, 7)
+    assert "turned" in (plan := g._jdf.queryExecution().optimizedPlan().toString()) and "MapInArrow" in plan and "Generate explode" not in plan
+    got = {r.trial: r.trial_ic for r in g.collect()}
+    ranks = lambda v: [sum(x < y for x in v) + (sum(x == y for x in v) + 1) / 2 for y in v]
+    for trial in range(4):
+        series, dates = {}, {}
+        for _, d, s, f, r in sorted(rows):
+            series.setdefault(s, []).append((d, f, r))
+        for s, x in series.items():
+            t = len(x)
+            if t >= 4:
+                o = 2 + int(hashlib.md5(f"{trial}|{s}|7".encode()).hexdigest()[:8], 16) % (t - 3)
+                for p, (d, _, r) in enumerate(x):
+                    dates.setdefault(d, []).append((x[(p - o) % t][1], r))
+        ics = [np.corrcoef(*(ranks(v) for v in zip(*x)))[0, 1] for x in dates.values()]
+        assert abs(got[trial] - np.mean([v for v in ics if not np.isnan(v)])) < 1e-9
+
+
+def test_both_controls_read_one_panel_and_one_set_of_sections(spark, monkeypatch):
+    told = []
+    for module in (fx, en):
+        monkeypatch.setattr(module, "written", lambda df, what: (told.append(what), written(df, what))[1])
+    rng = random.Random(9)
+    rows = [(f"d{d:03}", s, rng.gauss(0, 1), rng.gauss(0, 1)) for d in range(60) for s in range(12) if s or d > 56]  # the first name is there on three dates
+    p = spark.createDataFrame(rows, "date string, symbol long, rev_5 double, fwd_1 double")
+    both = en.run_nulls(p, ["rev_5"], [1], 5, least=5)
+    assert told.count("panel") == told.count("sections") == 1
+    alone = [en.run_engine(p, ["rev_5"], [1], 5, least=5, null=n) for n in ("shuffle", "circular")]
+    assert [x.collect() for x in both] == [x.collect() for x in alone]
+    # The name leaves its three sections, and the others' ranks close up there: as if it had not been in the controls.
+    r = both[1].first()
+    s = fx.long_sections(p, ["rev_5"], 1, 5)
+    cut = fx.long_sections(p.where("symbol > 0"), ["rev_5"], 1, 5)
+    n = fx.with_null(fx.ic_statistics(fx.rank_ic(s), ["factor_name"]), fx.circular_null(cut, 5)).first()
+    assert "cross_source_panel_excluded_from_null" not in r.gaps and abs(r.alpha_t - n.alpha_t) < 1e-9 and abs(r.random_ic_std - n.random_ic_std) < 1e-12
