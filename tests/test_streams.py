@@ -264,3 +264,34 @@ def test_symbols_of_an_order_log_share_the_calls_and_state_rows_of_buckets(spark
             changes = streams.drain(lifecycle_log.changelog(streams.in_order(spark, x, "log", 2), "90 days", "60 days", buckets), "log-told")
         told[buckets] = sorted(map(str, lifecycle_log.standing(changes).collect()))
     assert told[1] == told[64] and len(told[1]) > 7
+
+
+def test_a_long_stretch_of_time_is_several_files_and_one_micro_batch(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    rows = spark.range(2000).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    with streams.rocks(spark):
+        stream = streams.in_order(spark, rows, "long", 3, behind=F.col("id") % 5 == 0)
+        folders = streams.fresh_path(spark, "long-told"), streams.fresh_path(spark, "long-state")
+        told = streams.drain(stream.withColumn("file", F.input_file_name()), "long", folders=folders)
+    got = told.select("id", "file", F.regexp_extract(F.input_file_name(), "batch=([0-9]+)", 1).cast("int").alias("batch")).collect()
+    assert sorted(r.id for r in got) == list(range(2000))
+    width = -(-(1999 * 60 + 1) // 3)
+    for r in got:
+        assert r.batch == (3 if r.id % 5 == 0 else r.id * 60 // width)
+    assert {b: len({r.file for r in got if r.batch == b}) for b in range(4)} == dict.fromkeys(range(4), 4)  # 400 rows in the last, 533 in the others
+
+
+def test_state_of_the_changelog_goes_as_bytes():
+    rows = [("a", 5, 1, "o1", "open", None, "open", False, 2.0, None, None, None, False), ("b", 6, 2, None, "closed", "a:o1", "exit", True, None, 0.5, -1.0, "o1", True)]
+    entry = lifecycle_log._entry(rows, lifecycle_log.ROWS)
+    assert [type(x) for x in entry] == [bytes] and list(lifecycle_log._rows(entry, lifecycle_log.ROWS)) == rows
+    kinds = []
+
+    class Handle:
+        def getListState(self, name, schema):
+            kinds.append(schema)
+
+        getValueState = getListState
+
+    lifecycle_log.LogFold(1).init(Handle())
+    assert set(kinds) == {"data binary"}
