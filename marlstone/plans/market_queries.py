@@ -70,8 +70,7 @@ def x15_relationship_graph(spark, sf_dir):
 @query(f"WITH {BARS}, r AS (SELECT symbol, date, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS y FROM bars) SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(covar_pop(a.y, b.y) / nullif(var_pop(b.y), 0), 5) + 0 AS beta, round(covar_pop(a.y, b.y) / nullif(sqrt(var_pop(a.y) * var_pop(b.y)), 0), 5) + 0 AS corr FROM r a JOIN r b ON a.date = b.date AND a.symbol <> b.symbol WHERE a.y IS NOT NULL AND b.y IS NOT NULL GROUP BY a.symbol, b.symbol HAVING count(*) >= 20")
 def j05_all_pairs(spark, sf_dir):
     r = bars(spark, sf_dir).select("symbol", "date", F.log(F.col("close") / F.lag("close").over(fx.series())).alias("y"))
-    p = mk.pair_statistics(r)
-    return p.select("a", "b", "n", F.round("beta", 5).alias("beta"), F.round("corr", 5).alias("corr"))
+    return mk.pair_statistics(r, digits=5)
 
 
 @query(f"""WITH {BARS}, {EVENTS}, {RET}, h AS (SELECT * FROM (VALUES ('T0', 0), ('T1', 1), ('T3', 3)) AS t(horizon, days)),

@@ -299,3 +299,19 @@ def test_both_controls_read_one_panel_and_one_set_of_sections(spark, monkeypatch
     cut = fx.long_sections(p.where("symbol > 0"), ["rev_5"], 1, 5)
     n = fx.with_null(fx.ic_statistics(fx.rank_ic(s), ["factor_name"]), fx.circular_null(cut, 5)).first()
     assert "cross_source_panel_excluded_from_null" not in r.gaps and abs(r.alpha_t - n.alpha_t) < 1e-9 and abs(r.random_ic_std - n.random_ic_std) < 1e-12
+
+
+def test_windows_of_pairs_from_products_of_stretches(spark):
+    rng = np.random.default_rng(4)
+    for times, share, windows in ((60, 0.8, (5, 12)), (60, 0.2, (5, 12)), (11, 0.9, (1, 10**6)), (7, 1.0, (7,)), (0, 1.0, (3, 4))):
+        x, y = (np.where(rng.random((n, times)) < share, rng.normal(size=(n, times)), np.nan) for n in (6, 9))
+        got = mk._pair_sums(x, y, *windows)
+        assert len(got) == len(windows)
+        for k, sums in zip(windows, got, strict=True):
+            for i in range(len(x)):
+                assert all(np.allclose(a[i], b, rtol=1e-9, atol=1e-12) for a, b in zip(sums, mk._tail_sums(x[i], y, k), strict=True))
+    rows = [(s, f"d{t:02}", float(v)) for s in range(5) for t, v in enumerate(rng.normal(size=30))]
+    df = spark.createDataFrame(rows, "symbol long, date string, y double")
+    exact, rounded = ({(r.a, r.b): r for r in mk.pair_graph(df, 10, 20, digits).collect()} for digits in (None, 3))
+    assert all(rounded[k][c] == round(v[c], 3) and rounded[k].shifted == v.shifted == (abs(v.beta_10 - v.beta_20) >= max(0.35, 0.35 * abs(v.beta_20))) for k, v in exact.items() for c in ("beta_10", "beta_20", "corr_20"))
+    assert "round(" not in mk.pair_graph(df, 10, 20, 3)._jdf.queryExecution().optimizedPlan().toString()
